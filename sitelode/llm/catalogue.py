@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .langid import op10_language_id
 from .sharding import op1_sharding
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op10_language_id": op10_language_id,
 }
 
 
