@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .langid import op10_language_id
 from .sharding import op1_sharding
+from .topk import op4_top_k
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op4_top_k": op4_top_k,
     "op10_language_id": op10_language_id,
 }
 
@@ -44,4 +46,16 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
 FROM d JOIN won USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1}
+_OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1, "op4_top_k": _OP4}
