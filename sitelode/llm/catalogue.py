@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
 from .langid import op10_language_id
 from .sharding import op1_sharding
 from .topk import op4_top_k
@@ -9,6 +10,7 @@ from .topk import op4_top_k
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_top_k": op4_top_k,
+    "op6_decontaminate": op6_decontaminate,
     "op10_language_id": op10_language_id,
 }
 
