@@ -5,12 +5,14 @@ from __future__ import annotations
 from .decontaminate import op6_decontaminate
 from .langid import op10_language_id
 from .sharding import op1_sharding
+from .toxicity import op9_toxicity
 from .topk import op4_top_k
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op4_top_k": op4_top_k,
     "op6_decontaminate": op6_decontaminate,
+    "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
 
