@@ -7,10 +7,12 @@ from .langid import op10_language_id
 from .sharding import op1_sharding
 from .toxicity import op9_toxicity
 from .substrings import op5_substring_dedup
+from .suffixes import op3_suffix_dedup
 from .topk import op4_top_k
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_top_k": op4_top_k,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
