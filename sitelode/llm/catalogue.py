@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
 from .langid import op10_language_id
+from .records import op7_token_records
 from .sharding import op1_sharding
 from .toxicity import op9_toxicity
 from .substrings import op5_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_top_k": op4_top_k,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
+    "op7_token_records": op7_token_records,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
