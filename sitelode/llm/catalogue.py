@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
 from .langid import op10_language_id
+from .pieces import op8_sentencepiece
 from .records import op7_token_records
 from .sharding import op1_sharding
 from .toxicity import op9_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_records": op7_token_records,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
 }
