@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .jaccard import op2_jaccard_join
 from .langid import op10_language_id
 from .pieces import op8_sentencepiece
 from .records import op7_token_records
@@ -14,6 +15,7 @@ from .topk import op4_top_k
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_jaccard_join": op2_jaccard_join,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_top_k": op4_top_k,
     "op5_substring_dedup": op5_substring_dedup,
