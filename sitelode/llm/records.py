@@ -8,6 +8,7 @@ with the offset and doc_id of each record (8 bytes each), for reads in any order
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -25,7 +26,7 @@ from .scratch import materialize, scratch_dir, shuffle_partitions
 #: The id that ends each document.
 END_ID = 2
 #: Distinct words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_500_000
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<qBI")
 _FILES = "part int, file string, docs long, tokens long, bytes long"
@@ -55,6 +56,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -63,7 +65,7 @@ class Encoder:
 
     def __call__(self, text: bytes) -> bytes:
         words = text.split()
-        missing = list(set(words) - self.words.keys())
+        missing = [w for w in set(words) if w not in self.words]
         if missing:
             if len(self.words) + len(missing) > CACHE_WORDS:
                 self.words.clear()
