@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode, else one beside the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        local = spark.sparkContext.getConf().get("spark.master", "").startswith("local")
+        found = tempfile.mkdtemp(prefix="sitelode-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder; a temporary one only in local mode where none is set."""
+    """``df`` as a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None:
-            local = context.getConf().get("spark.master", "").startswith("local")
-            where = tempfile.mkdtemp(prefix="sitelode-") if local else df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        context.setCheckpointDir(where)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

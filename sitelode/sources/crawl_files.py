@@ -1,0 +1,89 @@
+"""robots.txt and sitemaps as tables, one row for each line or URL, with built-in functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..registry import query
+
+
+def robots_rules(files: DataFrame) -> DataFrame:
+    """``files`` (host, content) as host, grp, agents, rules (array of path, allow), delay.
+
+    Neighbouring user-agent lines share the rules that follow; comments and unknown keys are skipped; an
+    empty path rules nothing.
+    """
+    lines = files.select("host", F.posexplode(F.split("content", r"\r?\n")).alias("at", "raw")).withColumn("line", F.trim(F.regexp_replace("raw", "#.*$", "")))
+    kv = lines.where(F.col("line").contains(":")).select("host", "at", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace("line", "^[^:]*:", "")).alias("value"))
+    kv = kv.where(F.col("key").isin("user-agent", "allow", "disallow", "crawl-delay"))
+    order = Window.partitionBy("host").orderBy("at")
+    starts = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(order), F.lit("")) != "user-agent")
+    kv = kv.withColumn("grp", F.sum(F.when(starts, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rule = F.when(F.col("key").isin("allow", "disallow") & (F.col("value") != ""), F.struct(F.col("at"), F.col("value").alias("path"), (F.col("key") == "allow").alias("allow")))
+    return kv.where("grp > 0").groupBy("host", "grp").agg(
+        F.array_sort(F.collect_set(F.when(F.col("key") == "user-agent", F.lower("value")))).alias("agents"),
+        F.array_sort(F.collect_list(rule)).alias("rules"),
+        F.max(F.when(F.col("key") == "crawl-delay", F.col("value").try_cast("double"))).alias("delay"),
+    )
+
+
+def disallowed(rules: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` (host, agent, path) with disallowed: by the most specific group, longest rule first, ties allow."""
+    token = F.lower(F.regexp_replace("agent", "/.*$", ""))
+    agent = F.explode("agents").alias("group_agent")
+    met = requests.withColumn("token", token).join(rules.select("host", "grp", "rules", agent), "host", "left")
+    fits = (F.col("group_agent") == "*") | F.col("token").startswith(F.col("group_agent")) | F.col("group_agent").startswith(F.col("token"))
+    best = met.where(fits).groupBy("host", "agent", "path").agg(F.max_by("rules", F.struct(F.length("group_agent"), F.col("grp"))).alias("rules"))
+    hit = F.filter("rules", lambda r: F.col("path").startswith(r["path"]))
+    verdict = F.element_at(F.array_sort(F.transform(hit, lambda r: F.struct((-F.length(r["path"])).alias("n"), (~r["allow"]).alias("no")))), 1)["no"]
+    decided = best.select("host", "agent", "path", F.when(F.size(hit) > 0, verdict).otherwise(F.lit(False)).alias("no"))
+    return requests.join(decided, ["host", "agent", "path"], "left").select("host", "agent", "path", F.coalesce("no", F.lit(False)).alias("disallowed"))
+
+
+def _tag(xml: Column, name: str) -> Column:
+    return F.nullif(F.trim(F.regexp_extract(xml, rf"(?is)<{name}>\s*(.*?)\s*</{name}>", 1)), F.lit(""))
+
+
+def sitemap_urls(files: DataFrame) -> DataFrame:
+    """``files`` (location, xml) as location, kind (url or sitemap), loc, lastmod, changefreq, priority."""
+    each = lambda kind: files.select("location", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all("xml", F.lit(rf"(?is)<{kind}>(.*?)</{kind}>"), 1)).alias("x"))
+    rows = each("url").unionByName(each("sitemap"))
+    return rows.select("location", "kind", _tag(F.col("x"), "loc").alias("loc"), _tag(F.col("x"), "lastmod").alias("lastmod"), _tag(F.col("x"), "changefreq").alias("changefreq"), _tag(F.col("x"), "priority").try_cast("double").alias("priority")).where("loc IS NOT NULL")
+
+
+def search_results(files: DataFrame) -> DataFrame:
+    """``files`` (query, html) as query, rank (from 1), url, title: results in page order, redirects undone."""
+    hits = F.regexp_extract_all("html", F.lit(r'(?is)<a\b[^>]*class="result__a"[^>]*>.*?</a>'), 0)
+    rows = files.select("query", F.posexplode(hits).alias("at", "a"))
+    href = F.regexp_extract("a", r'(?is)\bhref="([^"]*)"', 1)
+    target = F.regexp_extract(href, r"[?&]uddg=([^&]*)", 1)
+    return rows.select("query", (F.col("at") + 1).alias("rank"), F.when(target != "", F.url_decode(target)).otherwise(href).alias("url"), F.trim(F.regexp_replace("a", r"<[^>]*>", "")).alias("title"))
+
+
+# --- small inputs of our own ---------------------------------------------------------------------
+
+ROBOTS = [
+    ("a.example", "User-agent: *\nDisallow: /private\nAllow: /private/open\n# note\nCrawl-delay: 2\n\nUser-agent: NewsBot\nUser-agent: OtherBot\nDisallow: /\n"),
+    ("b.example", "User-agent: *\nDisallow:\n"),
+    ("c.example", "Sitemap: https://c.example/s.xml\nno colon line\nUser-agent: tool\nAllow: /x\nDisallow: /x\n"),
+]
+REQUESTS = [("a.example", "Any/1.0", "/private/a"), ("a.example", "Any/1.0", "/private/open/b"), ("a.example", "NewsBot/2", "/"), ("a.example", "OtherBot", "/z"), ("b.example", "Any", "/q"), ("c.example", "tool/1", "/x/1"), ("d.example", "Any", "/")]
+SITEMAPS = [("s1", "<urlset><url><loc> https://a.example/1 </loc><lastmod>2024-01-02</lastmod><priority>0.5</priority></url><url><loc>https://a.example/2</loc><changefreq>daily</changefreq></url><url></url></urlset>"), ("s2", "<sitemapindex><sitemap><loc>https://a.example/s1.xml</loc></sitemap></sitemapindex>")]
+RESULTS = [("q", '<a class="result__a" href="//x.example/l/?uddg=https%3A%2F%2Fa.example%2F1&r=2">One <b>b</b></a><p></p><a rel="n" class="result__a" href="https://b.example/2">Two</a>')]
+
+
+@query("robots_eval", "SELECT * FROM (VALUES ('a.example','Any/1.0','/private/a',true),('a.example','Any/1.0','/private/open/b',false),('a.example','NewsBot/2','/',true),('a.example','OtherBot','/z',true),('b.example','Any','/q',false),('c.example','tool/1','/x/1',false),('d.example','Any','/',false)) t(host, agent, path, disallowed)")
+def robots_eval(spark, sf_dir):
+    rules = robots_rules(spark.createDataFrame(ROBOTS, "host string, content string"))
+    return disallowed(rules, spark.createDataFrame(REQUESTS, "host string, agent string, path string"))
+
+
+@query("sitemap_parse", "SELECT * FROM (VALUES ('s1','url','https://a.example/1','2024-01-02',NULL,CAST(0.5 AS DOUBLE)),('s1','url','https://a.example/2',NULL,'daily',NULL),('s2','sitemap','https://a.example/s1.xml',NULL,NULL,NULL)) t(location, kind, loc, lastmod, changefreq, priority)")
+def sitemap_parse(spark, sf_dir):
+    return sitemap_urls(spark.createDataFrame(SITEMAPS, "location string, xml string"))
+
+
+@query("serp_parse", "SELECT * FROM (VALUES ('q', 1, 'https://a.example/1', 'One b'), ('q', 2, 'https://b.example/2', 'Two')) t(query, rank, url, title)")
+def serp_parse(spark, sf_dir):
+    return search_results(spark.createDataFrame(RESULTS, "query string, html string"))
