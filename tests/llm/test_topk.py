@@ -24,7 +24,7 @@ def test_against_brute_force(spark, monkeypatch):
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(60)]
     rows += [(100 + i, rows[0][1]) for i in range(12)]  # ties
-    rows += [(200, None), (210, [1.0, None, 0, 0, 0, 0]), (220, [float("nan")] * 6), (230, [float("inf")] * 6), (240, [1.0, 2.0]), (250, [3.0, 4.0]), (None, rows[3][1]), (260, [])]
+    rows += [(200, None), (210, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (220, [float("nan")] * 6), (230, [float("inf")] * 6), (240, [1.0, 2.0]), (250, [3.0, 4.0]), (None, rows[3][1]), (260, [])]
     rows += [rows[5]]
     df = spark.createDataFrame([(i, v, "q") for i, v in rows], "vec_id long, embedding array<double>, v string")
     got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 10 == 0).collect())
