@@ -95,4 +95,18 @@ SELECT d.doc_id, coalesce(least(d.doc_id, (SELECT min(e.doc_id) FROM reach JOIN
 FROM d
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1, "op2_jaccard_join": _OP2, "op4_top_k": _OP4, "op5_substring_dedup": _OP5}
+_OP3 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS k FROM (SELECT r, doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+least AS (SELECT k, min(doc_id) AS first FROM win GROUP BY k),
+cov AS (SELECT r, i FROM win JOIN least USING (k) WHERE first < doc_id),
+gap AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM cov),
+isle AS (SELECT r, min(i) AS lo, max(i) + 50 AS hi FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM gap) GROUP BY r, g),
+part AS (SELECT r, lo, hi, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM isle),
+kept AS (SELECT r, CAST(sum(hi - lo) AS BIGINT) AS removed, count(*) AS spans, max(hi) AS done, string_agg(substr(h, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) AS front FROM part JOIN d USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE front || substr(h, 2 * done + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1, "op2_jaccard_join": _OP2, "op3_suffix_dedup": _OP3, "op4_top_k": _OP4, "op5_substring_dedup": _OP5}
