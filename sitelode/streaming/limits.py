@@ -1,8 +1,8 @@
 """Stateful limits on event streams, and the same folds over a batch.
 
-The folds depend on the order of events, so each key's events are folded in (ts, event_id) order by a
-generator that sees them one at a time: in a batch by ``applyInPandas`` over one key's events, in a stream
-by a stateful operator that keeps the same small state.
+The folds depend on the order of events, so each key's events are folded one at a time in (ts, event_id)
+order: in a batch over partitions sorted so, in a stream by a stateful operator that keeps the same small
+state.
 """
 
 from __future__ import annotations
@@ -90,14 +90,26 @@ class Breaker:
         return self.state
 
 
-def _fold(make, out: str, outcome: bool = False):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["at", "event_id"], kind="stable")
-        step = make()
-        batch[out] = [step(a, o) for a, o in zip(batch["at"], batch["ok"])] if outcome else [step(a) for a in batch["at"]]
-        return batch[["event_id", "key", out]]
+def folded(events: DataFrame, make, out: str, kind: str, outcome: bool = False) -> DataFrame:
+    """event_id, key and what the fold that ``make`` starts for each key says of each event.
 
-    return run
+    Events come to a task sorted by key and time and go through in batches, so a crowded key costs time but
+    no memory: only the fold's own state is kept.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = step = None
+        for batch in batches:
+            said = []
+            for key, at, ok in zip(batch["key"], batch["at"], batch["ok"]):
+                if step is None or key != now:
+                    now, step = key, make()
+                said.append(step(at, ok) if outcome else step(at))
+            batch[out] = said
+            yield batch[["event_id", "key", out]]
+
+    dealt = events.repartition("key").sortWithinPartitions("key", "at", "event_id")
+    return dealt.mapInPandas(run, f"event_id long, key long, {out} {kind}")
 
 
 def _events(spark, sf_dir, keys: int) -> DataFrame:
@@ -107,22 +119,22 @@ def _events(spark, sf_dir, keys: int) -> DataFrame:
 
 @query("host_budget_sliding")
 def host_budget_sliding(spark, sf_dir):
-    return _events(spark, sf_dir, 3).groupBy("key").applyInPandas(_fold(lambda: SlidingBudget(20, 7200), "allowed"), "event_id long, key long, allowed boolean")
+    return folded(_events(spark, sf_dir, 3), lambda: SlidingBudget(20, 7200), "allowed", "boolean")
 
 
 @query("ip_window")
 def ip_window(spark, sf_dir):
-    return _events(spark, sf_dir, 20).groupBy("key").applyInPandas(_fold(lambda: FirstEventWindow(3, 3600), "allowed"), "event_id long, key long, allowed boolean")
+    return folded(_events(spark, sf_dir, 20), lambda: FirstEventWindow(3, 3600), "allowed", "boolean")
 
 
 @query("gcra_replay")
 def gcra_replay(spark, sf_dir):
-    return _events(spark, sf_dir, 20).groupBy("key").applyInPandas(_fold(Gcra, "allowed"), "event_id long, key long, allowed boolean")
+    return folded(_events(spark, sf_dir, 20), Gcra, "allowed", "boolean")
 
 
 @query("breaker_states")
 def breaker_states(spark, sf_dir):
-    return _events(spark, sf_dir, 20).groupBy("key").applyInPandas(_fold(lambda: Breaker(2, 3600, 2), "state", True), "event_id long, key long, state string")
+    return folded(_events(spark, sf_dir, 20), lambda: Breaker(2, 3600, 2), "state", "string", True)
 
 
 @query("daily_budget", "SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) <= 200 AS allowed FROM events")

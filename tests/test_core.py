@@ -149,3 +149,14 @@ def test_streams(spark, tmp_path):
             for r in sorted(src.collect(), key=lambda r: (r.ts, r.event_id)):
                 want[r.event_id] = each.setdefault(r.key, SlidingBudget(5, 3600))(r.ts.timestamp())
             assert {r.event_id: r.allowed for r in rows} == want
+
+
+def test_folds_see_each_key_in_order(spark):
+    from sitelode.streaming.limits import folded
+
+    rows = [(i, i % 3, float(i * 7 % 50), i % 4 != 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, key long, at double, ok boolean").repartition(5)
+    want, each = {}, {}
+    for i, k, at, ok in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        want[i] = each.setdefault(k, Breaker(2, 10, 1))(at, ok)
+    assert {r.event_id: r.state for r in folded(df, lambda: Breaker(2, 10, 1), "state", "string", True).collect()} == want
