@@ -52,7 +52,7 @@ def _packer(key: str, text: str):
             texts = [t or b"" for t in utf8(table.column(text))]
             ids = np.array([NO_ID if i is None else i for i in table.column(key).to_pylist()], np.int64)
             sink = pa.BufferOutputStream()
-            rest = table.drop_columns([text])
+            rest = table.drop_columns([text]).append_column("void", table.column(text).is_null())
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_table(rest)
             cols = [ids.tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), b"".join(texts), sink.getvalue().to_pybytes()]
@@ -224,7 +224,9 @@ def _compare(method: Method):
     return run
 
 
-def _finish(method: Method, buckets: int, names: list[str]):
+def _finish(method: Method, buckets: int, names: list[str], order_out: list[str]):
+    """``order_out`` names the columns to give: of the pack's other columns, ``t`` for the text itself, and ``names``."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         _, pack = _open(left)
         state, keys, _, sizes, _, _ = _units_of(method, buckets, pack, _answers(right, 1))
@@ -240,7 +242,10 @@ def _finish(method: Method, buckets: int, names: list[str]):
         bits[runs(first[order], sizes[order])] = sent
         made = method.finish(pack, state, bits)
         extra = pa.ipc.open_stream(left.column("extra")[0].as_py()).read_all()
-        return pa.Table.from_arrays([*[c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in extra.columns], *made], names=[*extra.column_names, *names])
+        have = dict(zip(names, made)) | {n: c.combine_chunks() for n, c in zip(extra.column_names, extra.columns)}
+        if "t" in order_out:
+            have["t"] = pa.array([None if void else t for void, t in zip(have["void"].to_pylist(), pack.texts())], pa.binary()).cast(pa.string())
+        return pa.Table.from_arrays([have[n] for n in order_out], names=order_out)
 
     return run
 
@@ -248,7 +253,9 @@ def _finish(method: Method, buckets: int, names: list[str]):
 def exchange(docs: DataFrame, method: Method, keep: list[str], made: list[tuple[str, str]]) -> DataFrame:
     """Run ``method`` over ``docs`` (doc_id, text): columns ``keep``, then what ``method.finish`` makes."""
     spark = docs.sparkSession
-    inner = docs.select(F.col("doc_id").cast("long").alias("k"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("t"))
+    # a kept text column is not packed twice: it is the pack's own text
+    columns = {c: "t" if c == "text" else f"c{i}" for i, c in enumerate(keep)}
+    inner = docs.select(F.col("doc_id").cast("long").alias("k"), *[F.col(c).alias(a) for c, a in columns.items() if a != "t"], F.col("text").cast("string").alias("t"))
     packs = materialize(inner.mapInArrow(_packer("k", "t"), _PACK), "packs")
     total = packs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * shuffle_partitions(spark), -(-total // BUCKET_BYTES))
@@ -256,7 +263,7 @@ def exchange(docs: DataFrame, method: Method, keep: list[str], made: list[tuple[
     units = packs.select("pack", "ids", "lens", "text").groupBy("pack").cogroup(votes.groupBy("pack")).applyInArrow(_ship(method, buckets), _UNITS)
     found = materialize(units.groupBy("bucket").applyInArrow(_compare(method), _REPLY), "found")
     names = [f"m{i}" for i in range(len(made))]
-    kept = inner.drop("t").schema
-    schema = T.StructType([*kept.fields, *[T.StructField(n, T._parse_datatype_string(t)) for n, (_, t) in zip(names, made)]])
-    out = packs.groupBy("pack").cogroup(votes.unionByName(found).groupBy("pack")).applyInArrow(_finish(method, buckets, names), schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[F.col(n).alias(c) for n, (c, _) in zip(names, made)])
+    order_out = [*columns.values(), *names]
+    schema = T.StructType([*[inner.schema[a] for a in columns.values()], *[T.StructField(n, T._parse_datatype_string(t)) for n, (_, t) in zip(names, made)]])
+    out = packs.groupBy("pack").cogroup(votes.unionByName(found).groupBy("pack")).applyInArrow(_finish(method, buckets, names, order_out), schema)
+    return out.select(*[F.col(a).alias(c) for c, a in columns.items()], *[F.col(n).alias(c) for n, (c, _) in zip(names, made)])
