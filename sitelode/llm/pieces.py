@@ -16,6 +16,7 @@ that decoding gives the text back, byte by byte.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .chunks import by_bytes, runs, utf8
 from .words import _BYTES, _powers, mix
@@ -32,7 +34,7 @@ THETA = 1.0
 SEED = 20250101
 _CHUNK = 1 << 19
 _MARK = "▁"
-_SIEVE = np.uint64((1 << 22) - 1)
+_SLOTS = np.uint64((1 << 20) - 1)
 _models: dict[tuple[str, float], Lattice] = {}
 
 
@@ -90,12 +92,41 @@ class Lattice:
         self.keys = keys[by]
         self.piece = np.array([known.get(t, (-1, 0.0))[0] for t in prefixes])[by]
         self.weight = np.array([known.get(t, (-1, 0.0))[1] for t in prefixes])[by]
-        self.sieve = np.zeros(int(_SIEVE) + 1, bool)
-        self.sieve[(self.keys & _SIEVE).astype(np.int64)] = True
+        self._index()
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.joined = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.offsets = np.cumsum(self.lengths) - self.lengths
 
+    def _index(self) -> None:
+        """Two tables from bits of a key to its place: the second has those keys whose slot in the first was taken."""
+        n = len(self.keys)
+        self.keys = np.append(self.keys, np.uint64(0))  # place n is no key
+        self.one = np.full(int(_SLOTS) + 1, n, np.int32)
+        slot = (self.keys[:n] & _SLOTS).astype(np.int64)
+        self.one[slot] = np.arange(n)
+        rest = np.flatnonzero(self.one[slot] != np.arange(n))
+        for shift in range(20, 44):
+            other = ((self.keys[rest] >> np.uint64(shift)) & _SLOTS).astype(np.int64)
+            if len(np.unique(other)) == len(rest):
+                break
+        else:
+            raise ValueError("no shift parts the keys")
+        self.shift = np.uint64(shift)
+        self.two = np.full(int(_SLOTS) + 1, n, np.int32)
+        self.two[other] = rest
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``h`` are prefixes of pieces, and the places of those."""
+        place = self.one[(h & _SLOTS).astype(np.int64)]
+        ok = self.keys[place] == h
+        miss = np.flatnonzero(~ok)
+        again = self.two[((h[miss] >> self.shift) & _SLOTS).astype(np.int64)]
+        hit = (self.keys[again] == h[miss]) & (again < len(self.keys) - 1)
+        place[miss[hit]] = again[hit]
+        ok[miss[hit]] = True
+        ok &= place < len(self.keys) - 1
+        return ok, place[ok]
+
     @staticmethod
     def _keys(texts: list[bytes]) -> np.ndarray:
         data = np.frombuffer(b"".join(texts), np.uint8)
@@ -118,11 +149,8 @@ class Lattice:
             if not len(live):
                 break
             h = mix((sums[live + k] - sums[live]) * inverse[live] + np.uint64(k))
-            maybe = self.sieve[(h & _SIEVE).astype(np.int64)]
-            live, h = live[maybe], h[maybe]
-            slot = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            ok = self.keys[slot] == h
-            live, slot = live[ok], slot[ok]
+            ok, slot = self.find(h)
+            live = live[ok]
             hit = self.piece[slot] >= 0
             found_s.append(live[hit])
             found_e.append(live[hit] + k)
@@ -133,9 +161,10 @@ class Lattice:
         lead[base[length > 0]] = True
         char = np.flatnonzero(lead)
         size = np.diff(np.append(char, n))
-        own = np.zeros(n, bool)
+        own, size_at = np.zeros(n, bool), np.zeros(n, np.int64)
+        size_at[char] = size
         for s, e in zip(found_s, found_e):
-            own[s[e - s == size[np.searchsorted(char, s, side="right") - 1]]] = True
+            own[s[e - s == size_at[s]]] = True
         bare = runs(char[~own[char]], size[~own[char]])
         s = np.concatenate([*found_s, bare])
         e = np.concatenate([*found_e, bare + 1])
@@ -144,7 +173,8 @@ class Lattice:
         by = np.argsort(e, kind="stable")
         s, e, p, w = s[by], e[by], p[by], w[by]
         # forward: places of all words at one distance from their word's start go together
-        first = np.searchsorted(e, np.arange(n + 2))
+        first = np.zeros(n + 2, np.int64)
+        np.cumsum(np.bincount(e, minlength=n + 1), out=first[1:])
         origin = np.repeat(base, length)
         depth = np.arange(n) - origin + 1  # of place i + 1
         at_depth = np.argsort(depth, kind="stable")
@@ -243,7 +273,7 @@ def encode_pieces(docs: DataFrame, model: str, keep: list[str] | None = None, th
     """
     keep = keep or ["doc_id"]
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("doc_id").cast("long").alias("k"), F.col("text").alias("x"))
-    schema = inner.drop("k", "x").withColumn("p", F.array(F.lit(0))).schema
+    schema = T.StructType([*inner.drop("k", "x").schema.fields, T.StructField("p", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = lattice(model, theta)
@@ -264,7 +294,7 @@ def decode_pieces(rows: DataFrame, model: str, keep: list[str] | None = None, th
     """``rows``' columns named in ``keep`` (doc_id if none) and decoded, the text that ``pieces`` spell."""
     keep = keep or ["doc_id"]
     inner = rows.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("pieces").alias("x"))
-    schema = inner.drop("x").withColumn("t", F.lit("").cast("binary")).schema
+    schema = T.StructType([*inner.drop("x").schema.fields, T.StructField("t", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = lattice(model, theta)
@@ -279,18 +309,32 @@ def decode_pieces(rows: DataFrame, model: str, keep: list[str] | None = None, th
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col("t").cast("string").alias("decoded"))
 
 
+def _round_trip(model: str, theta: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = lattice(model, theta)
+        for batch in batches:
+            texts, keys = utf8(batch.column("text")), row_keys(batch.column("doc_id"))
+            for lo, hi in by_bytes(texts, _CHUNK):
+                ids, counts = cut.sample([t or b"" for t in texts[lo:hi]], keys[lo:hi])
+                back = cut.decode(ids, counts)
+                ends, raw = np.cumsum(counts), ids.astype("<u4")
+                crc = [zlib.crc32(raw[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist())]
+                cols = [pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), pa.array([zlib.crc32(b) for b in back], pa.int64()), pa.array([b == (t or b"") for b, t in zip(back, texts[lo:hi])])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), *cols], names=["doc_id", "n_pieces", "pieces_crc32", "decoded_crc32", "lossless"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, model: str, theta: float = THETA) -> DataFrame:
+    """doc_id, n_pieces, pieces_crc32 (of the ids as little-endian 32-bit numbers), decoded_crc32 and lossless.
+
+    Encodes as ``encode_pieces`` does, decodes as ``decode_pieces`` does, and keeps digests only, in one
+    pass. Null text counts as empty.
+    """
+    return docs.select("doc_id", "text").mapInArrow(_round_trip(model, theta), "doc_id long, n_pieces long, pieces_crc32 long, decoded_crc32 long, lossless boolean")
+
+
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, pieces_crc32 (of the ids as text with commas), decoded_crc32 and lossless."""
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = encode_pieces(docs, model, ["doc_id", "text"])
-    out = decode_pieces(coded, model, ["doc_id", "text", "pieces"])
-    return out.select(
-        "doc_id",
-        F.when(F.col("pieces").isNull(), 0).otherwise(F.size("pieces")).cast("long").alias("n_pieces"),
-        F.crc32(F.concat_ws(",", F.col("pieces").cast("array<string>")).cast("binary")).alias("pieces_crc32"),
-        F.crc32(F.coalesce("decoded", F.lit("")).cast("binary")).alias("decoded_crc32"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
-    )
+    return round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
