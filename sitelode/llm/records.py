@@ -9,6 +9,7 @@ with the offset and doc_id of each record (8 bytes each), for reads in any order
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -30,6 +31,10 @@ CACHE_WORDS = 1_500_000
 _MASK = 0xA282EAD8
 _HEAD = struct.Struct("<qBI")
 _FILES = "part int, file string, docs long, tokens long, bytes long"
+#: Words of ASCII letters and plain marks only; runs of either are tokenized apart, letters in lower case.
+_PLAIN = re.compile(rb"[A-Za-z,.;:!?()\"-]+")
+_PROBE = "The cat, sat\n\ton(it)!  Well--known; THE END.\r\n A-b ...x"
+_PARTS = re.compile(rb"[a-z]+|[^a-z]+")
 _encoders: dict[str, Encoder] = {}
 
 
@@ -52,7 +57,9 @@ class Encoder:
     """Ids of whole texts, as little-endian numbers of ``width`` bytes.
 
     No token reaches over ASCII white space and the rules look at nothing beyond it, so the library
-    encodes each distinct word (run of other bytes) once and texts are put together from those.
+    encodes each distinct word (run of other bytes) once and texts are put together from those. Of words
+    of plain letters and marks it encodes the runs of letters, in lower case, and of marks: that is how
+    its own rules take them apart. A tokenizer that a probe shows to work otherwise encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -61,20 +68,30 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.kind = "<u2" if self.width == 2 else "<u4"
         self.words: dict[bytes, bytes] = {}
+        ids = lambda t: self.library.encode(t, add_special_tokens=False).ids
+        words = _PROBE.split()
+        self.by_word = ids(_PROBE) == [i for w in words for i in ids(w)]
+        self.by_part = self.by_word and ids(_PROBE) == [i for w in words for p in _PARTS.findall(w.lower().encode()) for i in ids(p.decode())]
 
     def __call__(self, text: bytes) -> bytes:
+        if not self.by_word:
+            return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, self.kind).tobytes()
         words = text.split()
         missing = [w for w in set(words) if w not in self.words]
         if missing:
             if len(self.words) + len(missing) > CACHE_WORDS:
                 self.words.clear()
                 missing = list(set(words))
-            kind = "<u2" if self.width == 2 else "<u4"
-            for lo in range(0, len(missing), 4096):
-                part = missing[lo : lo + 4096]
+            plain = {w: _PARTS.findall(w.lower()) for w in missing if self.by_part and _PLAIN.fullmatch(w)}
+            needed = list({p for parts in plain.values() for p in parts if p not in self.words}.union(w for w in missing if w not in plain))
+            for lo in range(0, len(needed), 4096):
+                part = needed[lo : lo + 4096]
                 for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                    self.words[w] = np.array(e.ids, kind).tobytes()
+                    self.words[w] = np.array(e.ids, self.kind).tobytes()
+            for w, parts in plain.items():
+                self.words[w] = b"".join(map(self.words.__getitem__, parts))
         return b"".join(map(self.words.__getitem__, words))
 
 

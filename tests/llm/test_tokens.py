@@ -109,3 +109,11 @@ def test_high_theta_is_close_to_the_best():
     cut = Lattice(PIECES, theta=50.0)
     ids, counts = cut.sample([b"the cat"] * 50, np.arange(50).astype(np.uint64))
     assert len({tuple(x) for x in ids.reshape(50, -1).tolist()}) == 1 and counts[0] * 50 == len(ids)
+
+
+@pytest.mark.parametrize("name, by_part", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_shortcuts_only_where_a_probe_allows(name, by_part):
+    e = records.Encoder(public_tokenizers.path(name))
+    assert e.by_part is by_part and e.by_word is by_part
+    for t in ["Hello  there, General!\n\nYes-no (maybe)? It's <|endoftext|> fine..", ""]:
+        assert np.frombuffer(e(t.encode()), e.kind).tolist() == e.library.encode(t, add_special_tokens=False).ids
