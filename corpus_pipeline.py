@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelode.llm.decontaminate import decontaminate
-from sitelode.llm.jaccard import jaccard_classes
+from sitelode.llm.jaccard import keys_of, surplus
 from sitelode.llm.langid import identify, sample_windows, train
 from sitelode.llm.pieces import encode_pieces
 from sitelode.llm.scratch import materialize
@@ -31,13 +31,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates, that of the least doc_id.
+    """Keeps one row of each class of near duplicates, that of the least doc_id.
 
-    Rows with a null doc_id are kept: no id could say which of them goes.
+    Rows are told apart by id and text: a repeated id with another text is another document, repeated rows
+    and rows with a null doc_id (last in their class) count like all others.
     """
-    classes = jaccard_classes(docs)
-    gone = materialize(classes.where("doc_id != class_id").select(F.col("doc_id").alias("gone")), "gone")
-    return docs.select(COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    marks = surplus(docs)
+    keyed = keys_of(docs.select(COLUMNS))
+    once = keyed.join(marks, ["k", "h"], "left_anti").select(COLUMNS)
+    repeated = marks.where("chosen")
+    if repeated.isEmpty():
+        return once
+    # the key is one struct, not k and h, so that rows that repeat very often meet after partial aggregation
+    rows = keyed.join(repeated.select("k", "h"), ["k", "h"], "left_semi").groupBy(F.struct("k", "h").alias("key"))
+    one = rows.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *COLUMNS)).alias("one"))
+    return once.unionByName(one.select([F.col(f"one.{c}").alias(c) for c in COLUMNS]))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

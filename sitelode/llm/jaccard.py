@@ -185,28 +185,19 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array([nodes[i] for i in keep], pa.binary()), "to": pa.array([nodes[root[i]] for i in keep], pa.binary()), "weight": pa.array(weight[keep], pa.int64())})
 
 
-def jaccard_classes(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id and n_links for each document.
+#: Sorts after every id; stands for null ids.
+NO_ID = 2**63 - 1
 
-    Two documents are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more;
-    a class is what links connect, class_id its least doc_id, n_links a document's links, copies included.
-    Words are runs of ASCII letters, digits and non-ASCII characters in lower case; a text of one to four
-    words has one shingle.
-
-    Null and wordless texts are linked to nothing: class_id is their own doc_id, n_links 0. Null ids never
-    name a class (one of nothing else has a null class_id). Repeated rows are copies of each other; ids
-    that repeat with other texts are other documents. An empty table gives no rows.
 
-    Candidates are missed with a chance of at most ``1 - recall`` for a pair at the threshold, less above;
-    sets are compared exactly, as 64-bit fingerprints of shingles.
-    """
+def _grouped(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with words (k, h, size, node, trie), rows without, and one row for each text: node, copies, k, h, label, weight."""
     depth = prefix_depth(SIMILAR[0] / SIMILAR[1], trees, DEEPEST, recall)
     inner = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"), F.col("text").alias("x"))
     signed = materialize(inner.mapInArrow(_signed(trees, depth), "k long, h long, size long, node binary, trie binary"), "signed")
     lone, rows = signed.where("node is null"), signed.where("node is not null")
 
     # one row for each text: copies share their node
-    picked = rows.groupBy("node").agg(F.min(F.struct(F.coalesce("k", F.lit(2**63 - 1)).alias("k"), "h", "size", "trie")).alias("one"), F.count(F.lit(1)).alias("copies"))
+    picked = rows.groupBy("node").agg(F.min(F.struct(F.coalesce("k", F.lit(NO_ID)).alias("k"), "h", "size", "trie")).alias("one"), F.count(F.lit(1)).alias("copies"))
     texts = materialize(picked.select("node", "copies", "one.*"), "texts")
     leaves = texts.select("node", "trie").mapInArrow(_leaves, "leaf long, node binary")
     shared = materialize(leaves.groupBy("leaf").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("leaf", "least"), "shared")
@@ -223,7 +214,7 @@ def jaccard_classes(docs: DataFrame, trees: int = TREES, recall: float = RECALL)
     )
     placed = materialize(info.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("k", "h", "node", "copies", "label", "blocks", "block"), "placed")
     met = (
-        inner.select(F.coalesce("k", F.lit(2**63 - 1)).alias("k"), "h", "x")
+        inner.select(F.coalesce("k", F.lit(NO_ID)).alias("k"), "h", "x")
         .join(placed, ["k", "h"])
         .select("node", "copies", "label", "block", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("node", "copies", "label", "block", "x", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
@@ -234,13 +225,51 @@ def jaccard_classes(docs: DataFrame, trees: int = TREES, recall: float = RECALL)
 
     labels = materialize(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))), "labels")
     weights = materialize(found.groupBy("node").agg(F.sum("weight").alias("weight")), "weights")
-    named = texts.select("node", "copies", "k").join(labels, "node", "left").join(weights, "node", "left").select("node", "copies", "k", F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(0)).alias("weight"))
-    named = materialize(named, "named")
+    named = texts.select("node", "copies", "k", "h").join(labels, "node", "left").join(weights, "node", "left").select("node", "copies", "k", "h", F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(0)).alias("weight"))
+    return rows, lone, materialize(named, "named")
+
+
+def jaccard_classes(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id and n_links for each document.
+
+    Two documents are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more;
+    a class is what links connect, class_id its least doc_id, n_links a document's links, copies included.
+    Words are runs of ASCII letters, digits and non-ASCII characters in lower case; a text of one to four
+    words has one shingle.
+
+    Null and wordless texts are linked to nothing: class_id is their own doc_id, n_links 0. Null ids never
+    name a class (one of nothing else has a null class_id). Repeated rows are copies of each other; ids
+    that repeat with other texts are other documents. An empty table gives no rows.
+
+    Candidates are missed with a chance of at most ``1 - recall`` for a pair at the threshold, less above;
+    sets are compared exactly, as 64-bit fingerprints of shingles.
+    """
+    rows, lone, named = _grouped(docs, trees, recall)
     least = materialize(named.groupBy("label").agg(F.min("k").alias("least")), "least")
-    classes = materialize(named.join(least, "label").select("node", F.when(F.col("least") < 2**63 - 1, F.col("least")).alias("class_id"), (F.col("copies") - 1 + F.col("weight")).alias("n_links")), "classes")
+    classes = materialize(named.join(least, "label").select("node", F.when(F.col("least") < NO_ID, F.col("least")).alias("class_id"), (F.col("copies") - 1 + F.col("weight")).alias("n_links")), "classes")
     out = rows.select("k", "node").join(classes, "node").select(F.col("k").alias("doc_id"), "class_id", "n_links")
     return out.unionByName(lone.select(F.col("k").alias("doc_id"), F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
+def keys_of(docs: DataFrame) -> DataFrame:
+    """``docs`` with k and h, which say id and text: null ids as NO_ID, texts by a hash of 64 bits."""
+    return docs.withColumns({"k": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "h": F.xxhash64("text")})
+
+
+def surplus(docs: DataFrame) -> DataFrame:
+    """k, h, chosen for the rows that repeat others, by ``keys_of``: which to drop to keep one row of each class.
+
+    A class keeps the least id, null ids last, and of an id's several texts that of the least hash; ids and
+    texts of all its other rows are there with ``chosen`` false. Its own are there, with ``chosen`` true, only
+    if several rows have them: all but one of those are to go. Rows in no class of several rows are not there.
+    """
+    rows, _, named = _grouped(docs)
+    best = materialize(named.groupBy("label").agg(F.min(F.struct("k", "h")).alias("best"), F.sum("copies").alias("copies")).where("copies > 1").select("label", "best"), "best")
+    several = materialize(named.select("node", "label").join(best, "label").select("node", "best"), "several")
+    met = rows.select(F.coalesce("k", F.lit(NO_ID)).alias("k"), "h", "node").join(several, "node")
+    marks = met.groupBy("k", "h").agg(F.max((F.col("k") == F.col("best.k")) & (F.col("h") == F.col("best.h"))).alias("chosen"), F.count(F.lit(1)).alias("n"))
+    return materialize(marks.where("NOT chosen OR n > 1").select("k", "h", "chosen"), "surplus")
+
+
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))

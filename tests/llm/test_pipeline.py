@@ -32,6 +32,20 @@ def test_every_stage_takes_an_empty_table(spark, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_near_duplicates_keep_one_row_of_each_class(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    near = a.rsplit(" ", 1)[0] + " end"
+    docs = [(5, a), (7, a), (5, b), (3, b), (9, near), (None, a)]  # ids that repeat with other texts
+    docs += [(1, c), (1, c), (1, c), (2, c), (None, d), (None, d), (None, d.upper()), (2, e)]  # repeated rows, null ids
+    docs += [(2**63 - 1, "w"), (None, "w"), (8, None), (8, None), (8, "")]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = sorted((r.doc_id, (r.text or "").lower()) for r in pipeline.near_duplicates(spark, df, "").collect() if r.doc_id is not None)
+    assert out == sorted([(5, a), (3, b), (1, c), (2, e), (2**63 - 1, "w"), (8, ""), (8, ""), (8, "")])
+    assert [r.text.lower() for r in pipeline.near_duplicates(spark, df, "").where("doc_id IS NULL").collect()] == [d]
+
+
 def test_scratch_tables_can_be_read_again_and_dropped(spark):
     t = materialize(spark.range(5), "t")
     assert t.count() == 5 and t.columns == ["id"]
