@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +60,18 @@ def pagerank(e: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> Da
     return ranks.select("url", "pagerank")
 
 
-def depths(e: DataFrame, seed: DataFrame, most: int = 50) -> DataFrame:
-    """url, depth: clicks from the one URL in ``seed``, over ``e`` (src, dst), as far as ``most``."""
+def depths(e: DataFrame, seed: DataFrame) -> DataFrame:
+    """url, depth: clicks from the one URL in ``seed``, over ``e`` (src, dst), until no new URL is found."""
     seen = seed.select("url", F.lit(0).alias("depth"))
     frontier = seen
-    for d in range(1, most + 1):
+    for d in count(1):
         step = e.join(frontier.select(F.col("url").alias("src")), "src").select(F.col("dst").alias("url")).distinct()
         frontier = cut(step.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if d % CUT_EVERY == 0:
+            seen = cut(seen)
     return seen
 
 
@@ -144,7 +148,7 @@ def bfs_depth(spark, sf_dir):
     found = of(spark, sf_dir)
     seed = found.agg(F.min_by("source_url", "page_id").alias("u")).select(urls.without_slash(F.col("u")).alias("url"))
     e = _internal(found).select(urls.without_slash(F.col("source_url")).alias("src"), urls.without_slash(F.col("target_url")).alias("dst")).distinct()
-    return depths(cut(e), seed, 8)
+    return depths(cut(e), seed)
 
 
 @query("referring_domains", f"WITH {html.SQL} SELECT {html._host('target_url')} AS domain, count(DISTINCT {html._host('source_url')}) AS referring, count(*) AS n FROM links GROUP BY 1")

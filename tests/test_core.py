@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sitelode import findings, html, registry
+from sitelode import findings, graph, html, registry
 from sitelode.functions import urls
 from sitelode.operators import sinks
 from sitelode.rules.catalogue import RULES, WEIGHTS
@@ -160,3 +160,16 @@ def test_folds_see_each_key_in_order(spark):
     for i, k, at, ok in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
         want[i] = each.setdefault(k, Breaker(2, 10, 1))(at, ok)
     assert {r.event_id: r.state for r in folded(df, lambda: Breaker(2, 10, 1), "state", "string", True).collect()} == want
+
+
+def test_depths_reach_the_end_of_a_long_chain(spark):
+    e = spark.createDataFrame([(f"u{i}", f"u{i + 1}") for i in range(12)] + [("u12", "u0"), ("u3", "u1"), ("x", "y")], "src string, dst string")
+    found = graph.depths(e, spark.createDataFrame([("u0",)], "url string"))
+    assert sorted(map(tuple, found.collect())) == sorted((f"u{i}", i) for i in range(13))
+
+
+def test_bfs_depth_goes_deeper_than_eight_clicks(spark, tmp_path):
+    url = lambda i: f"http://a.example/p{i}"
+    pages = [(i, url(i), f'<html><body><a href="{url(i + 1)}">next</a></body></html>') for i in range(10)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {r.url: r.depth for r in graph.bfs_depth(spark, str(tmp_path)).collect()} == {url(i): i for i in range(11)}
