@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import graph, html
 from ..functions import urls
+from ..plans.scratch import cut
 from ..registry import query, table
 
 # Failures that no retry can mend.
@@ -40,6 +41,19 @@ def first_sight(found: DataFrame) -> DataFrame:
     return first.select("url", "f.priority", "f.seq")
 
 
+def pop_order(found: DataFrame) -> DataFrame:
+    """``first_sight`` of ``found`` with position: the place of each URL in the order of priority and URL, from 1.
+
+    Rows are sorted by range and numbered within a partition; only the partitions' counts meet in one place.
+    """
+    # written, so that the sort and the counts see the same rows
+    rows = cut(first_sight(found).repartitionByRange("priority", "url").withColumn("part", F.spark_partition_id()))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("priority", "url"))
+    return rows.withColumn("place", place).join(F.broadcast(before), "part").select("url", "priority", "seq", (F.col("before") + F.col("place")).alias("position"))
+
+
 def failure_class(kind: Column) -> Column:
     return F.when(kind.isin(*FATAL), "fatal").otherwise("transient")
 
@@ -55,6 +69,10 @@ def after_failures(attempts: DataFrame, most: int = 3) -> DataFrame:
 _L = f"WITH {html.SQL}"
 
 
+def _found(spark, sf_dir: str) -> DataFrame:
+    return graph.of(spark, sf_dir).select(F.col("target_url").alias("url"), (F.length(urls.path(F.col("target_url"))) % 3).alias("priority"), F.col("page_id").alias("seq"))
+
+
 @query("scope_filter", f"{_L} SELECT DISTINCT target_url FROM links WHERE ({html._host('target_url')} = 'example.com' OR ends_with({html._host('target_url')}, '.example.com')) AND NOT starts_with({html._pathsql('target_url')}, '/en/9')")
 def scope_filter(spark, sf_dir):
     rows = graph.of(spark, sf_dir).select("target_url").distinct()
@@ -63,8 +81,14 @@ def scope_filter(spark, sf_dir):
 
 @query("frontier_order", f"{_L}, f AS (SELECT target_url AS url, length({html._pathsql('target_url')}) % 3 AS priority, min(page_id) AS seq FROM links GROUP BY ALL) SELECT url, priority, seq FROM f ORDER BY priority, url LIMIT 100")
 def frontier_order(spark, sf_dir):
-    found = graph.of(spark, sf_dir).select(F.col("target_url").alias("url"), (F.length(urls.path(F.col("target_url"))) % 3).alias("priority"), F.col("page_id").alias("seq"))
-    return first_sight(found).orderBy("priority", "url").limit(100)
+    """The first 100 to be popped; ``frontier_order_all`` has every URL."""
+    return first_sight(_found(spark, sf_dir)).orderBy("priority", "url").limit(100)
+
+
+@query("frontier_order_all", f"{_L}, f AS (SELECT target_url AS url, length({html._pathsql('target_url')}) % 3 AS priority, min(page_id) AS seq FROM links GROUP BY ALL) SELECT url, priority, seq, row_number() OVER (ORDER BY priority, url) AS position FROM f")
+def frontier_order_all(spark, sf_dir):
+    """Every URL with its place in the pop order, from 1."""
+    return pop_order(_found(spark, sf_dir))
 
 
 @query("discovered_links", f"{_L} SELECT DISTINCT target_url FROM links WHERE NOT is_external AND target_url NOT IN (SELECT url FROM pages)")

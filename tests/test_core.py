@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from sitelode import findings, graph, html, registry
 from sitelode.functions import urls
-from sitelode.operators import sinks
+from sitelode.operators import frontier, sinks
 from sitelode.rules.catalogue import RULES, WEIGHTS
 from sitelode.streaming.limits import Breaker, FirstEventWindow, Gcra, SlidingBudget
 
@@ -173,3 +173,11 @@ def test_bfs_depth_goes_deeper_than_eight_clicks(spark, tmp_path):
     pages = [(i, url(i), f'<html><body><a href="{url(i + 1)}">next</a></body></html>') for i in range(10)]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert {r.url: r.depth for r in graph.bfs_depth(spark, str(tmp_path)).collect()} == {url(i): i for i in range(11)}
+
+
+def test_pop_order_has_every_url(spark):
+    rows = [(f"u{(i * 7919) % 1000:03}", (i * 7919) % 1000 % 3, i) for i in range(1000)] + [("u005", 0, 5000)]
+    out = frontier.pop_order(spark.createDataFrame(rows, "url string, priority int, seq long")).collect()
+    want = sorted((p, u) for u, p, _ in rows[:1000])
+    assert [(r.priority, r.url) for r in sorted(out, key=lambda r: r.position)] == want
+    assert sorted(r.position for r in out) == list(range(1, 1001))
