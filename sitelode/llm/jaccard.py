@@ -14,6 +14,7 @@ leaves a block is one row for each of its texts: how much it is linked, and one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ TREES, DEEPEST, RECALL = 20, 8, 0.9999
 BLOCK, BLOCK_BYTES, MOST_BLOCKS = 64, 8 << 20, 64
 _CHUNK = 1 << 20
 _TILE = 4096
+#: Texts on each side of one matrix product.
+_SIDE = 2048
 
 
 def prefix_depth(similarity: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
@@ -140,20 +143,8 @@ def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.n
     row, col = owner[use], slot[column[use]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    inner = np.zeros((len(left), len(right)), np.float64)
     width = int(col[-1]) + 1 if len(col) else 0
-    for lo in range(0, width, _TILE):
-        a, b = np.searchsorted(col, (lo, lo + _TILE))
-        m = np.zeros((len(texts), min(_TILE, width - lo)), np.float32)
-        m[row[a:b], col[a:b] - lo] = 1
-        inner += m[left] @ m[right].T
-    both = inner.astype(np.int64)
-    union = counts[left][:, None] + counts[right][None, :] - both
-    near = (both * SIMILAR[1] >= union * SIMILAR[0]) & (union > 0) & (left[:, None] != right[None, :])
     weight = np.zeros(len(texts), np.int64)
-    np.add.at(weight, left, near @ copies[right])
-    if left is not right:
-        np.add.at(weight, right, near.T @ copies[left])
     root = list(range(len(texts)))
 
     def find(x: int) -> int:
@@ -162,11 +153,31 @@ def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.n
             x = root[x]
         return x
 
-    # a forest edge for each text: the text whose tree it joined
-    for i, j in zip(*np.nonzero(near)):
-        x, y = find(int(left[i])), find(int(right[j]))
-        if x != y:
-            root[max(x, y)] = min(x, y)
+    def dense(side: np.ndarray, lo: int) -> np.ndarray:
+        a, b = np.searchsorted(col, (lo, lo + _TILE))
+        place = np.full(len(texts), -1)
+        place[side] = np.arange(len(side))
+        at = place[row[a:b]]
+        m = np.zeros((len(side), min(_TILE, width - lo)), np.float32)
+        m[at[at >= 0], col[a:b][at >= 0] - lo] = 1
+        return m
+
+    # pieces of fixed size, so that memory does not grow with the square of the texts
+    for one, two in product(*([side[k : k + _SIDE] for k in range(0, len(side), _SIDE)] for side in (left, right))):
+        inner = np.zeros((len(one), len(two)), np.float64)
+        for lo in range(0, width, _TILE):
+            inner += dense(one, lo) @ dense(two, lo).T
+        both = inner.astype(np.int64)
+        union = counts[one][:, None] + counts[two][None, :] - both
+        near = (both * SIMILAR[1] >= union * SIMILAR[0]) & (union > 0) & (one[:, None] != two[None, :])
+        np.add.at(weight, one, near @ copies[two])
+        if left is not right:
+            np.add.at(weight, two, near.T @ copies[one])
+        # a forest edge for each text: the text whose tree it joined
+        for i, j in zip(*np.nonzero(near)):
+            x, y = find(int(one[i])), find(int(two[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
     return weight, np.array([find(i) for i in range(len(texts))])
 
 

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -74,6 +75,25 @@ def test_blocks_count_each_link_once():
     assert w.tolist() == [3, 1, 0] and root[0] == root[1] != root[2]
 
 
+def test_a_large_block_takes_little_memory(monkeypatch):
+    texts = [f"a b c d e f g h i j k l m n o p q r s t{i // 2}{' z' * (i % 2)}".encode() for i in range(6000)]
+    at, ones = np.arange(6000), np.ones(6000, np.int64)
+    tracemalloc.start()
+    weight, _ = linked(texts[:5000:50], ones[:100], at[:100], at[:100])
+    linked([f"t{i} b c d e f".encode() for i in range(6000)], ones, at, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    monkeypatch.setattr(jaccard, "_SIDE", 7)
+    for left, right in ((at[:100],) * 2, (at[:60], at[60:100])):
+        small = linked(texts[:5000:50], ones[:100], left, right)
+        monkeypatch.setattr(jaccard, "_SIDE", 2048)
+        large = linked(texts[:5000:50], ones[:100], left, right)
+        monkeypatch.setattr(jaccard, "_SIDE", 7)
+        assert [x.tolist() for x in small] == [x.tolist() for x in large]
+    assert weight.sum() > 0
+
+
 def test_components(spark):
     rng = random.Random(9)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(500, 560)] + [(7, 7), (700, 701), (701, 700)]
