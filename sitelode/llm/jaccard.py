@@ -1,12 +1,11 @@
-"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
+"""N-gram Jaccard join: banded MinHash LSH, then exact verification.
 
-A text's set is that of its runs of five words. Each tree of the forest orders texts by a sequence of
-MinHash values, a trie of prefixes; two texts of similarity s share a prefix of d values in one tree with
-probability s**d. The match length starts at the deepest and is shortened until the chance that a pair at
-the threshold shares a prefix in some tree reaches the target recall. Texts under one trie node at that
-depth are candidates of each other.
+A text's set is that of its runs of five words. Each band (``tree``) is a hash of d MinHash values; two texts
+of similarity s share one band with probability s**d. d is fixed by the threshold and the target recall, the
+most at which a pair at the threshold shares some band often enough; it does not adapt to data as the
+prefixes of an LSH forest would. Texts that share a band are candidates of each other.
 
-A crowded node is never turned into pairs. Nodes' texts are first grouped to candidate components; each
+A crowded band value is never turned into pairs. Its texts are first grouped to candidate components; each
 component's texts are then compared in blocks, by matrix products over the shingles they share, and what
 leaves a block is one row for each of its texts: how much it is linked, and one link of a spanning forest.
 """
@@ -39,7 +38,7 @@ _SIDE = 2048
 
 
 def prefix_depth(similarity: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """Shorten the matched prefix from ``deepest`` until pairs at ``similarity`` meet with the target recall."""
+    """The most values of a band, up to ``deepest``, at which pairs at ``similarity`` meet with the target recall."""
     depth = deepest
     while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
         depth -= 1
