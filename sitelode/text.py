@@ -1,4 +1,4 @@
-"""Text analytics: readability, keywords, sentiment, duplicates."""
+"""Text analytics: readability, keywords, sentiment, exact duplicates."""
 
 from __future__ import annotations
 
