@@ -158,13 +158,23 @@ def keyword_density(spark, sf_dir):
     return rows.withColumn("d", F.col("n") * 100.0 / F.col("words")).where("d >= 1.5").select("doc_id", "term", F.round("d", 6).alias("density"))
 
 
+def cooccurring(docs: DataFrame, window: int = 3) -> DataFrame:
+    """a, b, n: all pairs of words at most ``window`` tokens apart, a word with itself too."""
+    rows = docs.select(keyword_tokens(F.col("text")).alias("t"))
+    pairs = [F.arrays_zip(F.col("t").alias("a"), F.slice("t", k + 1, F.greatest(F.size("t"), F.lit(1))).alias("b")) for k in range(1, window + 1)]
+    out = rows.select(F.explode(F.concat(*pairs)).alias("p")).select(F.col("p.a").alias("x"), F.col("p.b").alias("y")).where("y IS NOT NULL")
+    return out.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"))
+
+
 @query("cooccurrence", f"WITH {_TF} SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT t[i] AS a, t[i + k] AS b FROM t, range(1, 4) AS r(k), range(1, 100000) AS s(i) WHERE i + k <= len(t)) WHERE a <> b GROUP BY ALL ORDER BY n DESC, a, b LIMIT 50")
 def cooccurrence(spark, sf_dir, window=3):
-    """Pairs of different words at most ``window`` tokens apart; the 50 most frequent."""
-    rows = table(spark, sf_dir, "documents").select(keyword_tokens(F.col("text")).alias("t"))
-    pairs = [F.arrays_zip(F.col("t").alias("a"), F.slice("t", k + 1, F.greatest(F.size("t"), F.lit(1))).alias("b")) for k in range(1, window + 1)]
-    out = rows.select(F.explode(F.concat(*pairs)).alias("p")).select(F.col("p.a").alias("x"), F.col("p.b").alias("y")).where("y IS NOT NULL AND x <> y")
-    return out.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "a", "b").limit(50)
+    """Pairs of different words; the 50 most frequent. ``cooccurrence_all`` has every pair."""
+    return cooccurring(table(spark, sf_dir, "documents"), window).where("a <> b").orderBy(F.desc("n"), "a", "b").limit(50)
+
+
+@query("cooccurrence_all", f"WITH {_TF} SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM (SELECT t[i] AS a, t[i + k] AS b FROM (SELECT t, unnest(range(1, len(t) + 1)) AS i FROM t), range(1, 4) AS r(k) WHERE i + k <= len(t)) GROUP BY ALL")
+def cooccurrence_all(spark, sf_dir):
+    return cooccurring(table(spark, sf_dir, "documents"))
 
 
 def _isin(xs):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sitelode import findings, graph, html, registry
+from sitelode import findings, graph, html, registry, text
 from sitelode.functions import urls
 from sitelode.operators import frontier, sinks
 from sitelode.rules.catalogue import RULES, WEIGHTS
@@ -181,3 +181,9 @@ def test_pop_order_has_every_url(spark):
     want = sorted((p, u) for u, p, _ in rows[:1000])
     assert [(r.priority, r.url) for r in sorted(out, key=lambda r: r.position)] == want
     assert sorted(r.position for r in out) == list(range(1, 1001))
+
+
+def test_cooccurrence_has_all_pairs(spark):
+    docs = spark.createDataFrame([(1, "apple apple pear plum grape"), (2, None)], "doc_id long, text string")
+    want = {("apple", "apple", 1), ("apple", "pear", 2), ("apple", "plum", 2), ("apple", "grape", 1), ("pear", "plum", 1), ("grape", "pear", 1), ("grape", "plum", 1)}
+    assert set(map(tuple, text.cooccurring(docs).collect())) == want
