@@ -187,3 +187,8 @@ def test_cooccurrence_has_all_pairs(spark):
     docs = spark.createDataFrame([(1, "apple apple pear plum grape"), (2, None)], "doc_id long, text string")
     want = {("apple", "apple", 1), ("apple", "pear", 2), ("apple", "plum", 2), ("apple", "grape", 1), ("pear", "plum", 1), ("grape", "pear", 1), ("grape", "plum", 1)}
     assert set(map(tuple, text.cooccurring(docs).collect())) == want
+
+
+def test_lease_outcomes_count_every_event(spark):
+    total = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert frontier.lease_outcomes_all(spark, SF).agg(F.sum("attempts")).first()[0] == total
