@@ -1,14 +1,16 @@
-"""Exact matches across documents: packs of whole texts that trade fingerprints by bucket.
+"""Exact matches across documents: packs of whole texts that trade anchors and units by key.
 
 Texts are packed, once, into rows of about ``PACK_BYTES``, a written table. Then
 
-1. each pack sends the distinct fingerprints of its anchors to buckets, which vote on the shared ones;
-2. each pack sends its units, stretches around shared anchors, to buckets, which compare them exactly
-   and answer with one bit for each window: does it start in a document with a smaller id?
-3. each pack applies those bits to its texts.
+1. each pack sends its distinct anchors, one row each, to the partition of their key, which tells the
+   packs of a shared one so;
+2. each pack sends its distinct units, stretches around shared anchors, to the partition of their key,
+   which compares them exactly and tells the packs which windows start in a document with a smaller id;
+3. each pack applies those answers to its texts.
 
-What travels is one row for each pack and bucket; equal content of one pack travels once, so a passage
-that very many documents have costs a bucket no more than one entry for each pack.
+Rows grow with the text, whatever the numbers of packs and partitions, and a partition holds a fixed
+share of the text. Equal content of one pack travels once: a passage that every document has costs its
+partition one entry for each pack, about 24 bytes in step 1.
 """
 
 from __future__ import annotations
@@ -27,16 +29,19 @@ from .scratch import materialize, shuffle_partitions
 
 PACK_BYTES = 2 << 20
 PACK_ROWS = 20_000
-#: Text bytes behind one bucket, about.
-BUCKET_BYTES = 2 << 20
+#: Text bytes behind one partition of anchors or units, about.
+SHARE_BYTES = 16 << 20
+#: Bytes of units that are compared at a time; units of one key stay together.
+COMPARE_BYTES = 4 << 20
 #: Occurrences from which an anchor is common; its windows then go to buckets one by one.
 COMMON = 1000
 #: Documents without an id count as having this one, the largest.
 NO_ID = np.iinfo(np.int64).max
 _PACK = "pack long, ids binary, lens binary, text binary, extra binary"
-_SENT = "bucket int, pack long, keys binary, counts binary"
-_UNITS = "bucket int, pack long, docs binary, sizes binary, body binary"
-_REPLY = "pack long, step int, bucket int, bits binary"
+_ANCHORS = "key long, pack long, slot int, times int"
+_SHARED = "pack long, slot int, common boolean"
+_UNITS = "key long, pack long, slot int, doc long, size int, body binary"
+_FOUND = "pack long, slot int, bits binary"
 
 
 def _packer(key: str, text: str):
@@ -87,32 +92,9 @@ class Pack:
         return [self.text[e - n : e] for e, n in zip(self.ends.tolist(), self.lens.tolist())]
 
 
-def _by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of ``keys`` by bucket (else unchanged), and the bucket of each place of that order."""
-    b = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    return order, b[order]
-
-
-def _slices(b: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    if len(b):
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(b)) + 1, [len(b)]])
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            yield int(b[lo]), lo, hi
-
-
-def _short(keys: np.ndarray) -> bytes:
-    """Five bytes of each key that its bucket doesn't already tell. A clash costs work, never results."""
-    return np.ascontiguousarray((keys >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _distinct(keys: np.ndarray, docs: np.ndarray, buckets: int):
-    """Distinct keys in sending order, their buckets, and each key's place in that order."""
-    uniq, inverse = np.unique(keys, return_inverse=True)
-    order, b = _by_bucket(uniq, buckets)
-    place = np.empty(len(uniq), np.int64)
-    place[order] = np.arange(len(uniq))
-    return uniq[order], b, place[inverse]
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and each key's slot among them."""
+    return np.unique(keys, return_inverse=True)
 
 
 class Method:
@@ -123,11 +105,11 @@ class Method:
         raise NotImplementedError
 
     def units(self, pack: Pack, state, shared: np.ndarray, common: np.ndarray):
-        """From marks for each anchor: state, then of the units to send their keys, document ids, numbers of windows (under 256), bodies in one array and the ends of each in it."""
+        """From marks for each anchor: state, then of the units to send their keys, document ids, numbers of windows, bodies in one array and the ends of each in it."""
         raise NotImplementedError
 
     def compare(self, docs: np.ndarray, sizes: np.ndarray, body: bytes) -> np.ndarray:
-        """For each window of the units of a bucket, one after another: does a smaller document have it?"""
+        """For each window of the units, one after another, whole keys together: does a smaller document have it?"""
         raise NotImplementedError
 
     def finish(self, pack: Pack, state, bits: np.ndarray | None) -> list[pa.Array]:
@@ -135,55 +117,50 @@ class Method:
         raise NotImplementedError
 
 
-def _send(method: Method, buckets: int):
+def _send(method: Method):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pid, ids, lens, text in zip(*(batch.column(c).to_pylist() for c in ("pack", "ids", "lens", "text"))):
                 _, keys, docs = method.anchors(Pack(ids, lens, text))
-                uniq, b, inverse = _distinct(keys, docs, buckets)
-                n = np.bincount(inverse, minlength=len(uniq))
+                uniq, slot = _distinct(keys)
+                n = np.bincount(slot, minlength=len(uniq))
                 low, high = np.full(len(uniq), NO_ID), np.full(len(uniq), np.iinfo(np.int64).min)
-                np.minimum.at(low, inverse, docs)
-                np.maximum.at(high, inverse, docs)
-                counts = np.where(low == high, 1, np.clip(n, 2, 255)).astype(np.uint8)
-                out = [(k, pid, _short(uniq[lo:hi]), counts[lo:hi].tobytes()) for k, lo, hi in _slices(b)]
-                if out:
-                    cols = list(zip(*out))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary())], names=["bucket", "pack", "keys", "counts"])
+                np.minimum.at(low, slot, docs)
+                np.maximum.at(high, slot, docs)
+                times = np.where(low == high, 1, n)  # one document counts once
+                yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(np.full(len(uniq), pid, np.int64)), pa.array(np.arange(len(uniq), dtype=np.int32)), pa.array(times.astype(np.int32))], names=["key", "pack", "slot", "times"])
 
     return run
 
 
-def _reply(table: pa.Table, step: int, bits: list[bytes]) -> pa.Table:
-    return pa.table({"pack": table.column("pack"), "step": pa.array([step] * len(table), pa.int32()), "bucket": table.column("bucket"), "bits": pa.array(bits, pa.binary())})
+def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    """A partition's rows as one table with plain columns."""
+    held = [b for b in batches if len(b)]
+    return pa.Table.from_batches(held).combine_chunks() if held else None
 
 
-def _vote(table: pa.Table) -> pa.Table:
-    raw = [np.frombuffer(k, np.uint8).reshape(-1, 5) for k in table.column("keys").to_pylist()]
-    wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
-    wide[:, :5] = np.concatenate(raw)
-    keys = wide.view(np.uint64)[:, 0]
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint8)
-    _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-    total = np.bincount(inverse, weights=counts, minlength=len(times))
-    shared, common = (total >= 2)[inverse], (total >= COMMON)[inverse]
-    cuts = np.cumsum([len(r) for r in raw])[:-1]
-    return _reply(table, 1, [np.packbits(np.concatenate([s, c])).tobytes() for s, c in zip(np.split(shared, cuts), np.split(common, cuts))])
+def _array(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name).chunk(0))
 
 
-def _marks(replies: dict[int, bytes], b: np.ndarray, planes: int) -> np.ndarray:
-    """The answered bits, in sending order; one row for each plane."""
-    out = np.zeros((planes, len(b)), bool)
-    for k, lo, hi in _slices(b):
-        out[:, lo:hi] = np.unpackbits(np.frombuffer(replies[k], np.uint8))[: planes * (hi - lo)].reshape(planes, -1)
-    return out
+def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = _gathered(batches)
+    if table is None:
+        return
+    _, group = np.unique(_array(table, "key"), return_inverse=True)
+    total = np.bincount(group, weights=_array(table, "times"))
+    shared = np.flatnonzero((total >= 2)[group])
+    yield pa.RecordBatch.from_arrays([pa.array(_array(table, "pack")[shared]), pa.array(_array(table, "slot")[shared]), pa.array((total >= COMMON)[group[shared]])], names=["pack", "slot", "common"])
 
 
-def _units_of(method: Method, buckets: int, pack: Pack, votes: dict[int, bytes]):
-    state, keys, docs = method.anchors(pack)
-    _, b, inverse = _distinct(keys, docs, buckets)
-    shared, common = _marks(votes, b, 2)[:, inverse]
-    return method.units(pack, state, shared, common)
+def _units_of(method: Method, pack: Pack, slots: np.ndarray, common: np.ndarray):
+    """The units of a pack whose anchors in ``slots`` are shared."""
+    state, keys, _ = method.anchors(pack)
+    uniq, slot = _distinct(keys)
+    marks = np.zeros((2, len(uniq)), bool)
+    marks[0, slots] = True
+    marks[1, slots] = common
+    return method.units(pack, state, *marks[:, slot])
 
 
 def _open(left: pa.Table) -> tuple[int, Pack]:
@@ -191,55 +168,71 @@ def _open(left: pa.Table) -> tuple[int, Pack]:
     return row.column("pack")[0].as_py(), Pack(*(row.column(c)[0].as_py() for c in ("ids", "lens", "text")))
 
 
-def _answers(right: pa.Table, step: int) -> dict[int, bytes]:
-    return {b: x for s, b, x in zip(*(right.column(c).to_pylist() for c in ("step", "bucket", "bits"))) if s == step}
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name).combine_chunks())
 
 
-def _ship(method: Method, buckets: int):
+def _ship(method: Method):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left):  # cannot be: answers go to packs that asked
+            return pa.table({"key": pa.array([], pa.int64()), "pack": pa.array([], pa.int64()), "slot": pa.array([], pa.int32()), "doc": pa.array([], pa.int64()), "size": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
         pid, pack = _open(left)
-        _, keys, docs, sizes, body, ends = _units_of(method, buckets, pack, _answers(right, 1))
-        order, b = _by_bucket(keys, buckets)
-        docs, sizes = docs[order], sizes[order]
-        starts = np.concatenate([[0], ends])[:-1][order]
-        lengths = ends[order] - starts
-        body = body[runs(starts, lengths)]
-        at = np.concatenate([[0], np.cumsum(lengths)])
-        rows = [(k, docs[lo:hi].tobytes(), sizes[lo:hi].astype(np.uint8).tobytes(), body[at[lo] : at[hi]].tobytes()) for k, lo, hi in _slices(b)]
-        cols = list(zip(*rows)) or [[]] * 4
-        return pa.table({"bucket": pa.array(cols[0], pa.int32()), "pack": pa.array([pid] * len(rows), pa.int64()), "docs": pa.array(cols[1], pa.binary()), "sizes": pa.array(cols[2], pa.binary()), "body": pa.array(cols[3], pa.binary())})
+        _, keys, docs, sizes, body, ends = _units_of(method, pack, _flat(right, "slot"), _flat(right, "common"))
+        n = len(keys)
+        offsets = np.concatenate([[0], ends]).astype(np.int32)
+        bodies = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
+        return pa.table({"key": pa.array(keys.view(np.int64)), "pack": pa.array(np.full(n, pid, np.int64)), "slot": pa.array(np.arange(n, dtype=np.int32)), "doc": pa.array(docs), "size": pa.array(sizes.astype(np.int32)), "body": bodies})
 
     return run
 
 
 def _compare(method: Method):
-    def run(table: pa.Table) -> pa.Table:
-        parts = table.column("sizes").to_pylist()
-        sizes = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-        docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
-        bits = method.compare(docs, sizes, b"".join(table.column("body").to_pylist()))
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(p) for p in parts])]
-        return _reply(table, 2, [np.packbits(x).tobytes() for x in np.split(bits, ends[:-1])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _gathered(batches)
+        if table is None:
+            return
+        keys = _array(table, "key")
+        order = np.argsort(keys, kind="stable")
+        table, keys = table.take(pa.array(order)).combine_chunks(), keys[order]
+        length = np.asarray(pa.compute.binary_length(table.column("body").chunk(0)), np.int64)
+        # ranges of whole keys
+        last = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1
+        total = np.cumsum(length)[last - 1]
+        part = total // COMPARE_BYTES
+        stops = last[np.flatnonzero(np.concatenate([part[1:] != part[:-1], [True]]))]
+        for lo, hi in zip([0, *stops[:-1].tolist()], stops.tolist()):
+            rows = table.slice(lo, hi - lo)
+            sizes = _flat(rows, "size").astype(np.int64)
+            bits = method.compare(_flat(rows, "doc"), sizes, b"".join(rows.column("body").to_pylist()))
+            # a byte is the least that a row's bits take
+            wide = -(-sizes // 8)
+            at = np.cumsum(wide) - wide
+            spread = np.zeros(int(wide.sum()) * 8, np.uint8)
+            spread[runs(at * 8, sizes)] = bits
+            packed = np.packbits(spread)
+            some = np.flatnonzero(np.add.reduceat(packed, at, dtype=np.int64) > 0)
+            offsets = np.concatenate([[0], np.cumsum(wide[some])]).astype(np.int32)
+            answers = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(packed[runs(at[some], wide[some])])])
+            yield pa.RecordBatch.from_arrays([pa.array(_flat(rows, "pack")[some]), pa.array(_flat(rows, "slot")[some]), answers], names=["pack", "slot", "bits"])
 
     return run
 
 
-def _finish(method: Method, buckets: int, names: list[str], order_out: list[str]):
+def _finish(method: Method, names: list[str], order_out: list[str]):
     """``order_out`` names the columns to give: of the pack's other columns, ``t`` for the text itself, and ``names``."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         _, pack = _open(left)
-        state, keys, _, sizes, _, _ = _units_of(method, buckets, pack, _answers(right, 1))
-        order, b = _by_bucket(keys, buckets)
-        found = _answers(right, 2)
-        spans = np.concatenate([[0], np.cumsum(sizes[order])])
-        sent = np.zeros(int(spans[-1]), bool)
-        for k, lo, hi in _slices(b):
-            n = int(spans[hi] - spans[lo])
-            sent[spans[lo] : spans[hi]] = np.unpackbits(np.frombuffer(found[k], np.uint8))[:n]
-        bits = np.zeros(len(sent), bool)
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        bits[runs(first[order], sizes[order])] = sent
+        found = _flat(right, "step") == 2
+        votes, answers = right.filter(pa.array(~found)), right.filter(pa.array(found))
+        state, _, _, sizes, _, _ = _units_of(method, pack, _flat(votes, "slot"), np.asarray(_flat(votes, "common"), bool))
+        first = np.cumsum(sizes) - sizes
+        bits = np.zeros(int(sizes.sum()), bool)
+        if len(answers):
+            slot = _flat(answers, "slot")
+            wide = -(-sizes[slot] // 8)
+            raw = np.unpackbits(np.frombuffer(b"".join(answers.column("bits").to_pylist()), np.uint8))
+            bits[runs(first[slot], sizes[slot])] = raw[runs((np.cumsum(wide) - wide) * 8, sizes[slot])]
         made = method.finish(pack, state, bits)
         extra = pa.ipc.open_stream(left.column("extra")[0].as_py()).read_all()
         have = dict(zip(names, made)) | {n: c.combine_chunks() for n, c in zip(extra.column_names, extra.columns)}
@@ -258,12 +251,16 @@ def exchange(docs: DataFrame, method: Method, keep: list[str], made: list[tuple[
     inner = docs.select(F.col("doc_id").cast("long").alias("k"), *[F.col(c).alias(a) for c, a in columns.items() if a != "t"], F.col("text").cast("string").alias("t"))
     packs = materialize(inner.mapInArrow(_packer("k", "t"), _PACK), "packs")
     total = packs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * shuffle_partitions(spark), -(-total // BUCKET_BYTES))
-    votes = materialize(packs.select("pack", "ids", "lens", "text").mapInArrow(_send(method, buckets), _SENT).groupBy("bucket").applyInArrow(_vote, _REPLY), "votes")
-    units = packs.select("pack", "ids", "lens", "text").groupBy("pack").cogroup(votes.groupBy("pack")).applyInArrow(_ship(method, buckets), _UNITS)
-    found = materialize(units.groupBy("bucket").applyInArrow(_compare(method), _REPLY), "found")
+    n = max(shuffle_partitions(spark), -(-total // SHARE_BYTES))
+    bodies = packs.select("pack", "ids", "lens", "text")
+    anchors = bodies.mapInArrow(_send(method), _ANCHORS)
+    shared = materialize(anchors.repartition(n, "key").mapInArrow(_vote, _SHARED), "shared")
+    units = bodies.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_ship(method), _UNITS)
+    found = materialize(units.repartition(n, "key").mapInArrow(_compare(method), _FOUND), "found")
     names = [f"m{i}" for i in range(len(made))]
     order_out = [*columns.values(), *names]
     schema = T.StructType([*[inner.schema[a] for a in columns.values()], *[T.StructField(n, T._parse_datatype_string(t)) for n, (_, t) in zip(names, made)]])
-    out = packs.groupBy("pack").cogroup(votes.unionByName(found).groupBy("pack")).applyInArrow(_finish(method, buckets, names, order_out), schema)
+    none = F.lit(None)
+    answers = shared.select("pack", F.lit(1).alias("step"), "slot", "common", none.cast("binary").alias("bits")).unionByName(found.select("pack", F.lit(2).alias("step"), "slot", none.cast("boolean").alias("common"), "bits"))
+    out = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_finish(method, names, order_out), schema)
     return out.select(*[F.col(a).alias(c) for c, a in columns.items()], *[F.col(n).alias(c) for n, (c, _) in zip(names, made)])

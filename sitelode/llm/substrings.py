@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .chunks import runs
 from .packs import Method, Pack, exchange
-from .words import SPACED, grams, mix, whole, words_of
+from .words import SPACED, grams, whole, words_of
 
 #: Consecutive words of a window.
 WINDOW = 13
@@ -45,7 +45,7 @@ class WordWindows(Method):
         before = np.cumsum(mark)
         starts = np.flatnonzero((before[PERIOD : PERIOD + n] > before[:n]) & whole(w.counts, WINDOW)) if n else np.empty(0, np.int64)
         one = grams(w.hashes, WINDOW)[starts]
-        two = grams(mix(w.hashes ^ np.uint64(0xA5A5A5A55A5A5A5A)), WINDOW)[starts].astype(np.uint32)
+        two = grams(w.again(1), WINDOW, 0xD6E8FEB86659FD93)[starts]
         ids = pack.ids[doc[starts]]
         order = np.lexsort((ids, two, one))
         a, b, c = one[order], two[order], ids[order]
@@ -58,16 +58,12 @@ class WordWindows(Method):
         own[order] = c > least[group]
         member = np.empty(len(order), np.int64)
         member[order] = group
-        body = np.empty((len(least), 12), np.uint8)
-        body[:, :8] = a[new].view(np.uint8).reshape(-1, 8)
-        body[:, 8:] = b[new].view(np.uint8).reshape(-1, 4)
+        body = np.stack([a[new], b[new]], axis=1).view(np.uint8).ravel()
         sizes = np.ones(len(least), np.int64)
-        return (w, doc, starts, own, member), a[new], least, sizes, body.ravel(), np.arange(1, len(least) + 1) * 12
+        return (w, doc, starts, own, member), a[new], least, sizes, body, np.arange(1, len(least) + 1) * 16
 
     def compare(self, docs: np.ndarray, sizes: np.ndarray, body: bytes) -> np.ndarray:
-        raw = np.frombuffer(body, np.uint8).reshape(-1, 12)
-        one = np.ascontiguousarray(raw[:, :8]).view(np.uint64)[:, 0]
-        two = np.ascontiguousarray(raw[:, 8:]).view(np.uint32)[:, 0]
+        one, two = np.frombuffer(body, np.uint64).reshape(-1, 2).T
         order = np.lexsort((docs, two, one))
         a, b, c = one[order], two[order], docs[order]
         new = np.ones(len(order), bool)
@@ -104,7 +100,8 @@ def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFram
 
     Null text has no words; documents under 13 words keep all. A null doc_id counts as larger than
     any; rows that share an id take nothing from each other. Very long texts are packed alone. An empty
-    table gives no rows. Windows are told apart by 96-bit fingerprints.
+    table gives no rows. Windows are told apart by 128 bits: two fingerprints of the words' bytes that owe
+    each other nothing.
     """
     return exchange(docs, WordWindows(), keep or ["doc_id"], [("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")])
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .chunks import runs
 from .packs import Method, Pack, exchange
-from .words import _BYTES, _powers, mix
+from .words import groups, hashed, mix
 
 #: Bytes of a window, of a minimizer's string, and minimizer places in a window.
 WINDOW, GRAM = 50, 16
@@ -67,13 +67,6 @@ def minimizers(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return first, stop - first + 1, mix(h[place[first]]), text[first]
 
 
-def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    powers, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers[: len(data)], out=sums[1:])
-    return sums, inverse
-
-
 def _least(ids: np.ndarray, *keys: np.ndarray):
     """Groups of equal keys: group of each, first member (of the least id) of each group."""
     order = np.lexsort((ids, *keys))
@@ -133,13 +126,20 @@ class _Sorter:
         inside = p < self.end[place]
         return np.where(inside, self.key[np.minimum(p, len(self.key) - 1)], np.uint64(0))
 
+    def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many of the places' next WINDOW symbols agree, up to the first that does not."""
+        out = np.zeros(len(a), np.int64)
+        live = np.arange(len(a))
+        for offset in range(0, WINDOW, self.chars):
+            x = self.at(a[live], offset) ^ self.at(b[live], offset)
+            # symbols before the highest bit that differs
+            high = np.where(x >> np.uint64(32), np.frexp((x >> np.uint64(32)).astype(np.float64))[1] + 32, np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
+            out[live] += np.where(x == 0, self.chars, self.chars - 1 - (high - 1) // self.bits)
+            live = live[x == 0]
+        return np.minimum(out, WINDOW)
+
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Do the places' next WINDOW symbols agree? (Their common prefix, cut at WINDOW.)"""
-        out = np.ones(len(a), bool)
-        for offset in [*range(0, WINDOW - self.chars, self.chars), WINDOW - self.chars]:
-            live = np.flatnonzero(out)
-            out[live] = self.at(a[live], offset) == self.at(b[live], offset)
-        return out
+        return self.common_prefix(a, b) == WINDOW
 
     def direct(self, places: np.ndarray) -> np.ndarray:
         """``places`` in the order of their next WINDOW symbols."""
@@ -210,7 +210,7 @@ def covered(docs: np.ndarray, sizes: np.ndarray, body: np.ndarray) -> np.ndarray
     s = _Sorter(body, sizes)
     order = s.suffixes()
     new = np.ones(len(order), bool)
-    new[1:] = ~s.same(order[1:], order[:-1])
+    new[1:] = s.common_prefix(order[1:], order[:-1]) < WINDOW
     doc = np.zeros(len(s.code), np.int64)
     windows = runs(s.first, sizes)
     doc[windows] = np.repeat(docs, sizes)
@@ -229,18 +229,17 @@ class ByteWindows(Method):
 
     def units(self, pack: Pack, state, shared: np.ndarray, common: np.ndarray):
         data, first, windows, keys, text = state
-        sums, inverse = _prefix(data)
         # stretches of minimizers that not too many share, then single windows of the others
         s, c = np.flatnonzero(shared & ~common), np.flatnonzero(common)
         start = np.concatenate([first[s], runs(first[c], windows[c])])
         size = np.concatenate([windows[s], np.ones(int(windows[c].sum()), np.int64)])
         end = start + size + WINDOW - 1
-        body_hash = mix((sums[end] - sums[start]) * inverse[start] + size.astype(np.uint64)) if len(start) else np.empty(0, np.uint64)
+        body_hash = hashed(data, start, end)
         key = np.concatenate([keys[s], body_hash[len(s) :]])
         owner = np.concatenate([text[s], np.repeat(text[c], windows[c])])
-        other = np.concatenate([keys[s], np.repeat(keys[c], windows[c])])
         ids = pack.ids[owner]
-        group, pick = _least(ids, body_hash, other, size)
+        # equal bytes have equal minimizers, so they go to one bucket
+        group, pick = _least(ids, groups(data, start, end, body_hash)[0])
         own = ids > ids[pick][group] if len(pick) else np.empty(0, bool)
         lengths = size[pick] + WINDOW - 1
         body = data[runs(start[pick], lengths)]
@@ -283,8 +282,7 @@ def dedup_suffixes(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
     Null text is empty; texts under 50 bytes keep all. A null doc_id counts as larger than any; rows
     that share an id take nothing from each other. Very long texts are packed alone. An empty table
-    gives no rows. What a pack sends once for several equal stretches is told apart by two 64-bit
-    fingerprints and the length; buckets compare bytes.
+    gives no rows. Bytes decide everywhere; fingerprints only bring together what may be equal.
     """
     return exchange(docs, ByteWindows(), keep or ["doc_id"], [("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept", "binary")])
 
