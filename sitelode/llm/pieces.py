@@ -3,11 +3,13 @@
 All ways to write a text in pieces form a lattice over its bytes. Going forward, each place gets the
 total weight of the ways up to it; going backward from the end, the piece that ends at a place is drawn
 in proportion to its weight times that of the ways to its start. That draws whole segmentations in
-proportion to their weights. Draws come from a counter: a hash of the row key and the place, so a text
-is cut alike in every run, batch and cluster.
+proportion to their weights. Draws come from a counter: a hash of the row key and the place. Shares are
+whole numbers of 1 / 2**32, made word by word with additions, multiplications and divisions alone, which
+every machine rounds alike, so a text is cut alike in every run, batch and cluster.
 
 The model file is a merge model: its scores are merge ranks, not probabilities. A piece's weight here is
-that of a word of its rank under Zipf's law, 1 / (rank + 2), to the power ``theta``.
+that of a word of its rank under Zipf's law, 1 / (rank + 2), to the power ``theta`` (a power is taken only once
+for each piece, and not for the default of 1).
 
 Spaces are pieces' word marks, and a text gets one more in front, as the library does. A word mark that
 is part of the text, and every character without a piece of its own, can be written in byte pieces, so
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import by_bytes, runs, utf8
-from .words import _BYTES, _powers, mix
+from .words import groups, hashed, mix
 
 #: Exponent of the weights; larger ones keep closer to the likeliest segmentation.
 THETA = 1.0
@@ -38,13 +40,6 @@ _SLOTS = np.uint64((1 << 20) - 1)
 _models: dict[tuple[str, float], Lattice] = {}
 
 
-def _hash_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    powers, inverse = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers[: len(data)], out=sums[1:])
-    return sums, inverse
-
-
 @dataclass
 class Edges:
     """Lattice edges of distinct words, sorted by the byte place where they end."""
@@ -53,7 +48,7 @@ class Edges:
     starts: np.ndarray
     pieces: np.ndarray
     first: np.ndarray  # first edge of each place
-    upto: np.ndarray  # place + running share of its edges
+    upto: np.ndarray  # place * 2**32 + running share of its edges, of 2**32
 
 
 class Lattice:
@@ -80,18 +75,21 @@ class Lattice:
         if any(b" " in t.lstrip(b" ") for t in texts):
             raise ValueError("a piece reaches over a word's start")
         order = np.argsort([-sp.get_score(i) for i in ids], kind="stable")
+        ranks = np.arange(len(ids) + 1) + 2.0
+        weights = 1.0 / (ranks if theta == 1 else ranks**theta)
         weight = np.empty(len(ids))
-        weight[order] = -theta * np.log(np.arange(len(ids)) + 2.0)
-        self.byte_ids, self.byte_weight = byte_ids, -theta * float(np.log(len(ids) + 2.0))
+        weight[order] = weights[:-1]
+        self.byte_ids, self.byte_weight = byte_ids, float(weights[-1])
         self.most = max(map(len, texts))
-        # prefixes of pieces tell where to stop looking
-        prefixes = sorted({t[:k] for t in texts for k in range(1, len(t) + 1)})
+        # a trie of the pieces: a node for each prefix, found from its parent's number and its last byte
         known = dict(zip(texts, zip(ids, weight)))
-        keys = self._keys(prefixes)
+        prefixes = sorted({t[:k] for t in texts for k in range(1, len(t) + 1)})
+        number = {t: i + 1 for i, t in enumerate(prefixes)} | {b"": 0}
+        self.piece = np.array([-1] + [known.get(t, (-1, 0.0))[0] for t in prefixes])
+        self.weight = np.array([0.0] + [known.get(t, (-1, 0.0))[1] for t in prefixes])
+        keys = self.steps(np.array([number[t[:-1]] for t in prefixes]), np.array([t[-1] for t in prefixes]))
         by = np.argsort(keys)
-        self.keys = keys[by]
-        self.piece = np.array([known.get(t, (-1, 0.0))[0] for t in prefixes])[by]
-        self.weight = np.array([known.get(t, (-1, 0.0))[1] for t in prefixes])[by]
+        self.keys, self.child = keys[by], np.append(by + 1, 0)
         self._index()
         self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self.joined = np.frombuffer(b"".join(self.bytes_of), np.uint8)
@@ -105,22 +103,25 @@ class Lattice:
         slot = (self.keys[:n] & _SLOTS).astype(np.int64)
         self.one[slot] = np.arange(n)
         rest = np.flatnonzero(self.one[slot] != np.arange(n))
-        for shift in range(20, 44):
-            other = ((self.keys[rest] >> np.uint64(shift)) & _SLOTS).astype(np.int64)
+        for odd in range(1, 20001, 2):
+            self.odd = np.uint64(odd * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+            other = self._second(self.keys[rest])
             if len(np.unique(other)) == len(rest):
                 break
         else:
-            raise ValueError("no shift parts the keys")
-        self.shift = np.uint64(shift)
-        self.two = np.full(int(_SLOTS) + 1, n, np.int32)
+            raise ValueError("no multiplier parts the keys")
+        self.two = np.full(1 << 22, n, np.int32)
         self.two[other] = rest
 
+    def _second(self, h: np.ndarray) -> np.ndarray:
+        return ((h * self.odd) >> np.uint64(42)).astype(np.int64)
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of ``h`` are prefixes of pieces, and the places of those."""
+        """Which of ``h`` are steps of the trie, and the places of those."""
         place = self.one[(h & _SLOTS).astype(np.int64)]
         ok = self.keys[place] == h
         miss = np.flatnonzero(~ok)
-        again = self.two[((h[miss] >> self.shift) & _SLOTS).astype(np.int64)]
+        again = self.two[self._second(h[miss])]
         hit = (self.keys[again] == h[miss]) & (again < len(self.keys) - 1)
         place[miss[hit]] = again[hit]
         ok[miss[hit]] = True
@@ -128,12 +129,9 @@ class Lattice:
         return ok, place[ok]
 
     @staticmethod
-    def _keys(texts: list[bytes]) -> np.ndarray:
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
-        sums, inverse = _hash_of(data)
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    def steps(node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """A number of its own for each node and byte."""
+        return mix((node.astype(np.uint64) << np.uint64(8)) | byte.astype(np.uint64))
 
     def edges(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[Edges, np.ndarray]:
         """Edges of the words ``data[start:start + length]``, laid one after another, and each word's offset there."""
@@ -141,21 +139,20 @@ class Lattice:
         text = data[runs(start, length)]
         n = len(text)
         stop = np.repeat(base + length, length)
-        sums, inverse = _hash_of(text)
-        live = np.arange(n)
+        live, node = np.arange(n), np.zeros(n, np.int64)
         found_s, found_e, found_p, found_w = [], [], [], []
-        for k in range(1, self.most + 1):
-            live = live[live + k <= stop[live]]
+        for k in range(self.most):
+            inside = live + k < stop[live]
+            live, node = live[inside], node[inside]
             if not len(live):
                 break
-            h = mix((sums[live + k] - sums[live]) * inverse[live] + np.uint64(k))
-            ok, slot = self.find(h)
-            live = live[ok]
-            hit = self.piece[slot] >= 0
+            ok, place = self.find(self.steps(node, text[live + k]))
+            live, node = live[ok], self.child[place]
+            hit = self.piece[node] >= 0
             found_s.append(live[hit])
-            found_e.append(live[hit] + k)
-            found_p.append(self.piece[slot[hit]])
-            found_w.append(self.weight[slot[hit]])
+            found_e.append(live[hit] + k + 1)
+            found_p.append(self.piece[node[hit]])
+            found_w.append(self.weight[node[hit]])
         # characters without a piece of their own: an edge for each byte
         lead = (text & 0xC0) != 0x80
         lead[base[length > 0]] = True
@@ -179,29 +176,37 @@ class Lattice:
         depth = np.arange(n) - origin + 1  # of place i + 1
         at_depth = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[at_depth], np.arange(1, int(depth.max(initial=0)) + 2))
-        done = np.full(n + 1, -np.inf)  # done[e]: ways to place e, as an end
+        # ways to a place, as an end, are total * 2**scale
+        total, scale = np.zeros(n + 1), np.zeros(n + 1, np.int64)
+        share = np.zeros(len(e), np.int64)
         for d in range(1, len(cuts)):
             place = at_depth[cuts[d - 1] : cuts[d]] + 1
             lo, hi = first[place], first[place + 1]
             some = hi > lo
-            place, lo, hi = place[some], lo[some], hi[some]
+            place, lo, size = place[some], lo[some], (hi - lo)[some]
             if not len(place):
                 continue
-            mine = runs(lo, hi - lo)
-            heads = np.cumsum(hi - lo) - (hi - lo)
+            rank = np.arange(int(size.max()))[None, :]
+            mine = np.where(rank < size[:, None], lo[:, None] + rank, -1)
             before = s[mine]
-            value = w[mine] + np.where(before == origin[before], 0.0, done[before])
-            top = np.maximum.reduceat(value, heads)
-            safe = np.where(np.isfinite(top), top, 0.0)
-            done[place] = safe + np.log(np.add.reduceat(np.exp(value - np.repeat(safe, hi - lo)), heads))
-        share = np.exp(w + np.where(s == origin[s], 0.0, done[s]) - done[e]) if len(s) else np.empty(0)
-        share = np.nan_to_num(share)
-        running = np.cumsum(share)
-        ahead = np.concatenate([[0.0], running])[first[e]] if len(s) else np.empty(0)
-        upto = e + np.clip(running - ahead, 0.0, 1.0) * (1 - 2e-10)
-        last = first[1:][e] - 1 if len(s) else np.empty(0, np.int64)
-        if len(s):
-            upto[last] = e[last] + 1 - 1e-10
+            begin = before == origin[before]
+            value = w[mine] * np.where(begin, 1.0, total[before])
+            power = np.where(begin, 0, scale[before])
+            real = (mine >= 0) & (value > 0)
+            top = np.where(real, power, -(1 << 40)).max(axis=1)
+            # terms a thousand binary places below the largest scale weigh nothing
+            value = np.where(real, np.ldexp(value, np.clip(power - top[:, None], -2000, 0).astype(np.int32)), 0.0)
+            running = np.cumsum(value, axis=1)
+            ways = running[:, -1]
+            good = ways > 0
+            part = np.zeros_like(running)
+            part[good] = np.floor(running[good] / ways[good][:, None] * 2.0**32)
+            flat = mine >= 0
+            share[mine[flat]] = part[flat].astype(np.int64)
+            fraction, exponent = np.frexp(ways)
+            total[place], scale[place] = fraction, np.where(good, exponent + top, 0)
+            share[lo + size - 1] = 1 << 32
+        upto = (e.astype(np.uint64) << np.uint64(32)) + share.astype(np.uint64)
         return Edges(e, s, p, first, upto), base
 
     def sample(self, texts: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,9 +223,7 @@ class Lattice:
         begin[heads] = True
         start = np.flatnonzero(begin)
         length = np.diff(np.append(start, n))
-        sums, inverse = _hash_of(data)
-        word = mix((sums[start + length] - sums[start]) * inverse[start] + length.astype(np.uint64))
-        _, pick, which = np.unique(word, return_index=True, return_inverse=True)
+        which, pick = groups(data, start, start + length, hashed(data, start, start + length))
         edges, base = self.edges(data, start[pick], length[pick])
         # backward: one piece for every unfinished word in each round
         shift = start - base[which]  # place in the chunk = place among distinct words + shift
@@ -234,9 +237,8 @@ class Lattice:
         while len(live):
             here = place[live]
             counter = (here + shift[live] - text_at[owner[live]]).astype(np.uint64)
-            u = (mix(salt[owner[live]] + counter * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(edges.upto, here + u * (1 - 2e-10), side="left")
-            e = np.clip(e, edges.first[here], edges.first[here + 1] - 1)
+            u = mix(salt[owner[live]] + counter * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+            e = np.searchsorted(edges.upto, (here.astype(np.uint64) << np.uint64(32)) + u, side="right")
             out[here + shift[live]] = edges.pieces[e]
             place[live] = edges.starts[e]
             live = live[place[live] > floor[live]]
@@ -329,7 +331,9 @@ def round_trip(docs: DataFrame, model: str, theta: float = THETA) -> DataFrame:
     """doc_id, n_pieces, pieces_crc32 (of the ids as little-endian 32-bit numbers), decoded_crc32 and lossless.
 
     Encodes as ``encode_pieces`` does, decodes as ``decode_pieces`` does, and keeps digests only, in one
-    pass. Null text counts as empty.
+    pass. lossless compares the decoded bytes with the text's. Null text counts as empty (no pieces, both
+    checksums 0, lossless); a null doc_id is a key like any; repeated rows give equal rows, copies under
+    other ids other pieces; other columns are ignored; an empty table gives no rows.
     """
     return docs.select("doc_id", "text").mapInArrow(_round_trip(model, theta), "doc_id long, n_pieces long, pieces_crc32 long, decoded_crc32 long, lossless boolean")
 

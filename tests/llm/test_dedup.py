@@ -109,3 +109,44 @@ def test_digest_columns(spark, tmp_path):
     assert five[2].kept_sha256 == hashlib.sha256(b"start").hexdigest()
     three = {r.doc_id: r for r in op3_suffix_dedup(spark, str(tmp_path)).collect()}
     assert three[2].kept_sha256 == hashlib.sha256(b"start ").hexdigest() and three[2].n_spans == 1
+
+
+def test_words_with_equal_polynomial_hashes_stay_apart(spark):
+    from test_tokens import thue_morse
+
+    one, two = thue_morse(2048)
+    common = " ".join(f"c{i}" for i in range(12))
+    rows = [(1, f"{common} {one}"), (2, f"{common} {two}"), (3, f"{common} {one}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got_words(dedup_substrings(df)) == want_words(rows)
+    assert got_bytes(dedup_suffixes(df)) == want_bytes(rows)
+
+
+def test_groups_are_of_equal_bytes():
+    from sitelode.llm.words import gram_ids, groups, words_of
+
+    rng = random.Random(3)
+    w = words_of([" ".join(rng.choice(["a", "bb", "ccccccccc", "ccccccccd", "d" * 200, "e" * 200]) for _ in range(300)).encode()])
+    each = [w.data[s:e].tobytes() for s, e in zip(w.starts, w.ends)]
+    for hashes in (w.hashes, np.zeros(len(each), np.uint64), w.hashes % np.uint64(2)):
+        group, first = groups(w.data, w.starts, w.ends, hashes)
+        assert len(set(zip(group.tolist(), each))) == len(set(each)) == len(set(group.tolist()))
+        assert all(each[first[g]] == x for g, x in zip(group, each))
+    ids, three = w.ids(), [tuple(each[i : i + 3]) for i in range(298)]
+    assert len(set(zip(gram_ids(ids, 3).tolist(), three))) == len(set(three)) == len(set(gram_ids(ids, 3).tolist()))
+
+
+def test_common_prefixes():
+    body = np.frombuffer(b"abcabcabd" * 12, np.uint8)
+    s = _Sorter(body, np.array([len(body) - 49]))
+    at = [(i, j) for i in range(len(body) - 49) for j in range(len(body) - 49)]
+    a, b = np.array(at).T
+    text = body.tobytes()
+
+    def plain(i, j):
+        n = 0
+        while n < 50 and text[i + n] == text[j + n]:
+            n += 1
+        return n
+
+    assert s.common_prefix(s.first[0] + a, s.first[0] + b).tolist() == [plain(i, j) for i, j in at]

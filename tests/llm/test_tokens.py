@@ -91,17 +91,17 @@ def test_samples_follow_the_weights():
 
     def ways(s):
         if not s:
-            yield (), 0.0
+            yield (), 1.0
         for k in range(1, len(s) + 1):
             if s[:k] in known:
                 for rest, w in ways(s[k:]):
-                    yield (known[s[:k]], *rest), w + weight[known[s[:k]]]
+                    yield (known[s[:k]], *rest), w * weight[known[s[:k]]]
 
     every = dict(ways(b" " + word))
-    total = sum(np.exp(v) for v in every.values())
+    total = sum(every.values())
     assert set(got) <= set(every)
     for way, w in every.items():
-        p = np.exp(w) / total
+        p = w / total
         assert abs(got[way] / n - p) < 0.015
 
 
@@ -117,3 +117,49 @@ def test_shortcuts_only_where_a_probe_allows(name, by_part):
     assert e.by_part is by_part and e.by_word is by_part
     for t in ["Hello  there, General!\n\nYes-no (maybe)? It's <|endoftext|> fine..", ""]:
         assert np.frombuffer(e(t.encode()), e.kind).tolist() == e.library.encode(t, add_special_tokens=False).ids
+
+
+def thue_morse(size):
+    """Two words whose polynomial hashes modulo 2**64 agree, whatever the base."""
+    out = b"a"
+    while len(out) < size:
+        out += out.translate(bytes.maketrans(b"ab", b"ba"))
+    return out.decode(), out.translate(bytes.maketrans(b"ab", b"ba")).decode()
+
+
+def test_round_trip_against_encode_and_decode(spark, docs, corpus, tmp_path):
+    from sitelode.llm.pieces import op8_sentencepiece, round_trip
+
+    one, two = thue_morse(2048)
+    more = [(300, f"{one} {two}"), (301, f"{two} {one} x"), (302, "a" * 5000)]
+    df = docs.select("doc_id", "text", "k").unionByName(spark.createDataFrame([(i, t, "z") for i, t in more], "doc_id long, text string, k string"))
+    rows = round_trip(df, PIECES).collect()
+    want = Counter()
+    for r in encode_pieces(df, PIECES, ["doc_id", "text"]).collect():
+        raw = np.array(r.pieces or [], "<u4").tobytes()
+        want[r.doc_id, len(r.pieces or []), zlib.crc32(raw), zlib.crc32((r.text or "").encode()), True] += 1
+    assert Counter(tuple(r) for r in rows) == want and len(rows) == len(corpus) + 3
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert Counter(tuple(r) for r in op8_sentencepiece(spark, str(tmp_path)).collect()) == want
+
+
+def test_a_word_is_cut_alike_wherever_it_stands():
+    cut = lattice(PIECES)
+    key = np.array([77], np.uint64)
+    alone = cut.sample([b"there was a thing"], key)[0].tolist()
+    before = [b"filler%d " % i * 40 for i in range(300)]
+    ids, counts = cut.sample([*before, b"there was a thing"], np.append(np.arange(300).astype(np.uint64), key))
+    assert ids[-counts[-1] :].tolist() == alone
+    one = cut.edges(np.frombuffer(b" there", np.uint8), np.array([0]), np.array([6]))[0]
+    text = np.frombuffer(b" xy" * 40000 + b" there", np.uint8)
+    far, base = cut.edges(text, np.append(np.arange(40000) * 3, 120000), np.append(np.full(40000, 3), 6))
+    mask = np.uint64((1 << 32) - 1)
+    here = far.starts >= base[-1]
+    assert (far.upto[here] - (np.uint64(base[-1]) << np.uint64(32))).tolist() == one.upto.tolist() and (one.upto & mask).max() > 0
+
+
+def test_records_query(spark, docs, corpus, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = records.op7_token_records(spark, str(tmp_path)).collect()
+    tok = library()
+    assert sum(r.n_tokens for r in rows) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in corpus)
