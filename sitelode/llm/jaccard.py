@@ -1,48 +1,67 @@
-"""N-gram Jaccard join: banded MinHash LSH, then exact verification.
+"""N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
-A text's set is that of its runs of five words. Each band (``tree``) is a hash of d MinHash values; two texts
-of similarity s share one band with probability s**d. d is fixed by the threshold and the target recall, the
-most at which a pair at the threshold shares some band often enough; it does not adapt to data as the
-prefixes of an LSH forest would. Texts that share a band are candidates of each other.
+A text's set is that of its runs of five words. Its signature in each tree is a sequence of up to eight
+MinHash digits; two texts of similarity s agree on the first d digits of one tree with probability s**d.
+All signatures of a tree, sorted, are a prefix trie: neighbours in that order share as many digits as any
+two texts with as long a common prefix, so that the neighbours' common prefixes hold every node of the trie.
 
-A crowded band value is never turned into pairs. Its texts are first grouped to candidate components; each
-component's texts are then compared in blocks, by matrix products over the shingles they share, and what
-leaves a block is one row for each of its texts: how much it is linked, and one link of a spanning forest.
+The join starts at the deepest prefixes. What it finds there, weighted by the chance to be found, tells how
+similar the corpus's linked texts are; matched prefixes are then shortened to the longest at which the
+expected recall over those similarities reaches the target, and so on until it stands. One more link at
+the threshold is always assumed, so that little data leads to the shortest prefixes.
+
+A crowded node is never turned into pairs. Texts that nodes connect are compared in blocks bounded in texts
+and bytes, by matrix products over the shingles they share, and what leaves a block is one row for each of
+its texts: how much it is linked, and one link of a spanning forest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import by_bytes, utf8
+from .chunks import by_bytes, runs, utf8
 from .components import components
-from .scratch import drop_scratch, materialize
+from .scratch import drop_scratch, materialize, shuffle_partitions
 from .words import LETTERED, grams, lowered, mix, whole, words_of
 
 SHINGLE = 5
 #: Similarity from which two texts are linked, as a fraction so that the test is exact.
 SIMILAR = (4, 5)
 TREES, DEEPEST, RECALL = 20, 8, 0.9999
-#: Texts and bytes of a block; a component has at most MOST_BLOCKS blocks unless its bytes need more.
-BLOCK, BLOCK_BYTES, MOST_BLOCKS = 64, 8 << 20, 64
+#: Texts and bytes that a block has at most; blocks of BLOCK texts up to SPREAD of them, larger ones from there on.
+MOST_TEXTS, BLOCK_BYTES, BLOCK, SPREAD = 2048, 8 << 20, 64, 16
+#: Links are counted by similarity in steps of 1 / STEPS.
+STEPS = 100
 _CHUNK = 1 << 20
 _TILE = 4096
 #: Texts on each side of one matrix product.
 _SIDE = 2048
 
 
-def prefix_depth(similarity: float, trees: int = TREES, deepest: int = DEEPEST, recall: float = RECALL) -> int:
-    """The most values of a band, up to ``deepest``, at which pairs at ``similarity`` meet with the target recall."""
-    depth = deepest
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
-        depth -= 1
-    return depth
+def found_at(similarity: float, depth: int, trees: int) -> float:
+    """The chance that two texts share the first ``depth`` digits in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
+
+
+def shortened(links: dict[int, int], depth: int, trees: int = TREES, recall: float = RECALL) -> int:
+    """The longest prefix, up to ``depth``, with the target recall over the links that ``depth`` has shown.
+
+    ``links``: links found at ``depth`` by similarity in steps of 1 / STEPS.
+    """
+    least = STEPS * SIMILAR[0] // SIMILAR[1]
+    seen = {least: 1} | {k: n + (k == least) for k, n in links.items()}
+    there = {k: n / found_at(k / STEPS, depth, trees) for k, n in seen.items()}
+    for d in range(depth, 1, -1):
+        if sum(n * found_at(k / STEPS, d, trees) for k, n in there.items()) >= recall * sum(there.values()):
+            return d
+    return 1
 
 
 def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,75 +85,145 @@ def shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return keys[new], np.bincount(owner[new], minlength=len(texts)), w.counts
 
 
-def fingerprints(texts: list[bytes | None]) -> list[bytes | None]:
-    """128 bits of each text's word sequence; None without words."""
+def exact_shingles(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingles``, but numbers that are equal for equal shingles alone."""
     w = words_of([lowered(t) for t in texts], LETTERED)
+    ids = w.ids() + 1
     first = np.cumsum(w.counts) - w.counts
-    place = (np.arange(len(w.hashes)) - np.repeat(first, w.counts)).astype(np.uint64)
-    out = np.zeros((len(texts), 2), np.uint64)
-    some = w.counts > 0
-    for k, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
-        terms = mix(w.hashes + mix(place + np.uint64(salt)))
-        if some.any():
-            out[some, k] = np.add.reduceat(terms, first[some])
-    out[:, 1] += w.counts.astype(np.uint64)
-    return [x.astype(">u8").tobytes() if s else None for x, s in zip(out, some)]
-
-
-def prefixes(keys: np.ndarray, counts: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each text (all have shingles) and tree, a fingerprint of its first ``depth`` MinHash values."""
+    few = np.flatnonzero((w.counts > 0) & (w.counts < SHINGLE))
+    # short texts once more at the end, filled with zeros to a whole shingle
+    tail = np.zeros(len(few) * SHINGLE, np.int64)
+    tail[runs(np.arange(len(few)) * SHINGLE, w.counts[few])] = ids[runs(first[few], w.counts[few])]
+    tokens = np.concatenate([ids, tail])
+    many = np.maximum(w.counts - SHINGLE + 1, 0)
+    at = np.concatenate([runs(first, many), len(ids) + np.arange(len(few)) * SHINGLE])
+    owner = np.concatenate([np.repeat(np.arange(len(texts)), many), few])
+    code = np.zeros(len(at), np.uint64)
+    for k in range(SHINGLE):
+        code = mix(code + tokens[at + k].astype(np.uint64))
+    _, like, group = np.unique(code, return_index=True, return_inverse=True)
+    if any((tokens[at + k] != tokens[at[like[group]] + k]).any() for k in range(SHINGLE)):
+        group = tokens[at]
+        for k in range(1, SHINGLE):
+            _, group = np.unique(group * (int(tokens.max()) + 1) + tokens[at + k], return_inverse=True)
+    order = np.lexsort((group, owner))
+    group, owner = group[order], owner[order]
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (owner[1:] != owner[:-1])
+    return group[new], np.bincount(owner[new], minlength=len(texts))
+
+
+def names(texts: list[bytes | None]) -> list[bytes | None]:
+    """A 128-bit cryptographic hash of each text's word sequence; None without words."""
+    w = words_of([lowered(t) for t in texts], LETTERED)
+    lengths = w.ends - w.starts + 1
+    data = w.data[runs(w.starts, lengths)]
+    data[np.cumsum(lengths) - 1] = 0x20
+    at = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(w.counts)])].tolist()
+    raw = data.tobytes()
+    return [hashlib.blake2b(raw[lo:hi], digest_size=16).digest() if hi > lo else None for lo, hi in zip(at[:-1], at[1:])]
+
+
+def signatures(keys: np.ndarray, counts: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """For each text (all have shingles) and tree, its first ``depth`` MinHash digits, of 16 bits each."""
     rng = np.random.default_rng(97)
     mult = rng.integers(1, 2**62, trees * depth).astype(np.uint64) * np.uint64(2) + np.uint64(1)
     plus = rng.integers(0, 2**62, trees * depth).astype(np.uint64)
     first = np.cumsum(counts) - counts
-    out = np.empty((len(counts), trees), np.uint64)
-    for t in range(trees):
-        acc = np.full(len(counts), t + 1, np.uint64)
-        for d in range(depth):
-            k = t * depth + d
-            h = keys * mult[k]
-            h += plus[k]
-            h ^= h >> np.uint64(32)
-            h *= mult[k]
-            acc = mix(acc * np.uint64(0x9DDFEA08EB382D69) + np.minimum.reduceat(h, first))
-        out[:, t] = acc
-    return out
-
-
-def _signed(trees: int, depth: int):
+    out = np.empty((len(counts), trees * depth), ">u2")
+    for k in range(trees * depth):
+        h = keys * mult[k]
+        h += plus[k]
+        h ^= h >> np.uint64(32)
+        h *= mult[k]
+        out[:, k] = mix(np.minimum.reduceat(h, first)) >> np.uint64(48)
+    return out.reshape(len(counts), trees, depth)
+
+
+def _signed(trees: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = utf8(batch.column("x"))
             for lo, hi in by_bytes(texts, _CHUNK):
                 part = texts[lo:hi]
-                nodes = fingerprints(part)
+                nodes = names(part)
                 keys, counts, _ = shingles(part)
                 some = np.flatnonzero(counts > 0)
                 trie: list[bytes | None] = [None] * len(part)
                 if len(some):
-                    for i, row in zip(some.tolist(), prefixes(keys, counts[some], trees, depth)):
+                    for i, row in zip(some.tolist(), signatures(keys, counts[some], trees, DEEPEST)):
                         trie[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), batch.column("h").slice(lo, hi - lo), pa.array([len(t or b"") for t in part], pa.int64()), pa.array(nodes, pa.binary()), pa.array(trie, pa.binary())], names=["k", "h", "size", "node", "trie"])
 
     return run
 
 
+_LEAF = "tree int, signature binary, node binary"
+_PAIR = "a binary, b binary, shared int, tree int, signature binary"
+
+
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = np.frombuffer(b"".join(batch.column("trie").to_pylist()), np.int64)
         if len(batch):
-            per = len(rows) // len(batch)
-            nodes = batch.column("node").take(pa.array(np.repeat(np.arange(len(batch)), per)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows), nodes], names=["leaf", "node"])
+            raw = b"".join(batch.column("trie").to_pylist())
+            trees = len(raw) // (2 * DEEPEST * len(batch))
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * DEEPEST), trees * len(batch), [None, pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(trees, dtype=np.int32), len(batch))), rows, batch.column("node").take(pa.array(np.repeat(np.arange(len(batch)), trees)))], names=["tree", "signature", "node"])
+
+
+def _neighbours(least: int):
+    """Pairs of neighbours in a sorted part of the tries that share ``least`` digits, and both ends of the part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            tree, node = np.asarray(batch.column("tree")), batch.column("node")
+            digits = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u2").reshape(-1, DEEPEST)
+            if before is None:
+                yield _ends(batch.slice(0, 1))
+            else:
+                tree, digits = np.append(before[0], tree), np.concatenate([before[1], digits])
+                node = pa.concat_arrays([before[2], node])
+            shared = np.minimum.accumulate(digits[1:] == digits[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+            at = np.flatnonzero(shared >= least)
+            none = [pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())]
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(at + 1)), pa.array(shared[at].astype(np.int32)), *none], names=["a", "b", "shared", "tree", "signature"])
+            before, last = (tree[-1:], digits[-1:], node.slice(len(node) - 1)), batch.slice(len(batch) - 1)
+        if before is not None:
+            yield _ends(last)
+
+    return run
+
+
+def _ends(row: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([row.column("node"), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), row.column("tree"), row.column("signature")], names=["a", "b", "shared", "tree", "signature"])
+
 
+def tries(texts: DataFrame, least: int) -> DataFrame:
+    """a, b, shared: neighbours in the sorted prefix tries of ``texts`` (node, trie), and how many digits they share.
 
-def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    The sort is by range of tree, signature and node, so a prefix that very many texts have is spread over
+    tasks; where one part ends and the next begins, the two texts (one row for each end) are neighbours too.
+    """
+    parts = shuffle_partitions(texts.sparkSession)
+    leaves = texts.select("node", "trie").mapInArrow(_leaves, _LEAF)
+    pairs = materialize(leaves.repartitionByRange(parts, "tree", "signature", "node").sortWithinPartitions("tree", "signature", "node").mapInArrow(_neighbours(least), _PAIR), "tries")
+    order = Window.partitionBy("tree").orderBy("signature", "a")
+    digits = [F.substring("signature", 1, 2 * d) == F.substring(F.lag("signature").over(order), 1, 2 * d) for d in range(least, DEEPEST + 1)]
+    ends = pairs.where("tree IS NOT NULL").select(F.lag("a").over(order).alias("a"), F.col("a").alias("b"), F.when(digits[0], sum(x.cast("int") for x in digits) + F.lit(least - 1)).alias("shared"))
+    return pairs.where("tree IS NULL").select("a", "b", "shared").unionByName(ends.where("shared IS NOT NULL"))
+
+
+def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Compare texts ``left`` with ``right`` (places in ``texts``; the same array: all pairs of it).
 
     Returns for each text the copies of all texts linked to it, and one place it is linked to in a
-    spanning forest of the links (its own place for roots).
+    spanning forest of the links (its own place for roots); and the number of links by similarity, in
+    steps of 1 / STEPS rounded down.
     """
-    keys, counts, _ = shingles(texts)
+    keys, counts = exact_shingles(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
     _, column, times = np.unique(keys, return_inverse=True, return_counts=True)
     slot = np.cumsum(times > 1) - 1
@@ -143,7 +232,7 @@ def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.n
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     width = int(col[-1]) + 1 if len(col) else 0
-    weight = np.zeros(len(texts), np.int64)
+    weight, alike = np.zeros(len(texts), np.int64), np.zeros(STEPS + 1, np.int64)
     root = list(range(len(texts)))
 
     def find(x: int) -> int:
@@ -172,12 +261,13 @@ def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.n
         np.add.at(weight, one, near @ copies[two])
         if left is not right:
             np.add.at(weight, two, near.T @ copies[one])
+        alike += np.bincount(both[near] * STEPS // union[near], minlength=STEPS + 1)
         # a forest edge for each text: the text whose tree it joined
         for i, j in zip(*np.nonzero(near)):
             x, y = find(int(one[i])), find(int(two[j]))
             if x != y:
                 root[max(x, y)] = min(x, y)
-    return weight, np.array([find(i) for i in range(len(texts))])
+    return weight, np.array([find(i) for i in range(len(texts))]), alike // (2 if left is right else 1)
 
 
 def _verify(table: pa.Table) -> pa.Table:
@@ -190,38 +280,29 @@ def _verify(table: pa.Table) -> pa.Table:
     one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
     left = np.flatnonzero(block == one)
     right = left if one == two else np.flatnonzero(block == two)
-    weight, root = linked(texts, copies, left, right)
-    keep = np.flatnonzero(weight > 0)
-    return pa.table({"node": pa.array([nodes[i] for i in keep], pa.binary()), "to": pa.array([nodes[root[i]] for i in keep], pa.binary()), "weight": pa.array(weight[keep], pa.int64())})
+    weight, root, alike = linked(texts, copies, left, right)
+    keep, bins = np.flatnonzero(weight > 0), np.flatnonzero(alike)
+    none = [None] * len(bins)
+    return pa.table(
+        {
+            "node": pa.array([nodes[i] for i in keep] + none, pa.binary()),
+            "to": pa.array([nodes[root[i]] for i in keep] + none, pa.binary()),
+            "weight": pa.array(np.concatenate([weight[keep], alike[bins]]), pa.int64()),
+            "alike": pa.array([None] * len(keep) + bins.tolist(), pa.int32()),
+        }
+    )
 
 
 #: Sorts after every id; stands for null ids.
 NO_ID = 2**63 - 1
 
 
-def _grouped(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with words (k, h, size, node, trie), rows without, and one row for each text: node, copies, k, h, label, weight."""
-    depth = prefix_depth(SIMILAR[0] / SIMILAR[1], trees, DEEPEST, recall)
-    inner = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"), F.col("text").alias("x"))
-    signed = materialize(inner.mapInArrow(_signed(trees, depth), "k long, h long, size long, node binary, trie binary"), "signed")
-    lone, rows = signed.where("node is null"), signed.where("node is not null")
-
-    # one row for each text: copies share their node
-    picked = rows.groupBy("node").agg(F.min(F.struct(F.coalesce("k", F.lit(NO_ID)).alias("k"), "h", "size", "trie")).alias("one"), F.count(F.lit(1)).alias("copies"))
-    texts = materialize(picked.select("node", "copies", "one.*"), "texts")
-    leaves = texts.select("node", "trie").mapInArrow(_leaves, "leaf long, node binary")
-    shared = materialize(leaves.groupBy("leaf").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least != most").select("leaf", "least"), "shared")
-    candidates = components(leaves.join(shared, "leaf").select(F.col("node").alias("a"), F.col("least").alias("b")))
-    candidates = materialize(candidates, "candidates")
-    drop_scratch(shared)
-
-    info = materialize(candidates.join(texts.drop("trie"), "node"), "members")
-    sizes = materialize(
-        info.groupBy("label")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-        .select("label", F.greatest(F.least(F.ceil(F.col("n") / BLOCK), F.lit(MOST_BLOCKS)), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")),
-        "sizes",
-    )
+def _compared(inner: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """All links among texts that ``pairs`` connect: node, to, weight; and links by similarity: weight, alike."""
+    members = materialize(components(pairs), "candidates")
+    info = materialize(members.join(texts.drop("trie"), "node"), "members")
+    blocks = F.greatest(F.ceil(F.col("n") / MOST_TEXTS), F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPREAD)), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    sizes = materialize(info.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).select("label", blocks.cast("int").alias("blocks")), "sizes")
     placed = materialize(info.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("k", "h", "node", "copies", "label", "blocks", "block"), "placed")
     met = (
         inner.select(F.coalesce("k", F.lit(NO_ID)).alias("k"), "h", "x")
@@ -229,9 +310,32 @@ def _grouped(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> tup
         .select("node", "copies", "label", "block", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("node", "copies", "label", "block", "x", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     )
-    found = materialize(met.groupBy("label", "one", "two").applyInArrow(_verify, "node binary, to binary, weight long"), "links")
-    for t in (info, sizes, candidates):
+    found = materialize(met.groupBy("label", "one", "two").applyInArrow(_verify, "node binary, to binary, weight long, alike int"), "links")
+    for t in (members, info, sizes, placed):
         drop_scratch(t)
+    return found
+
+
+def _grouped(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with words (k, h, size, node, trie), rows without, and one row for each text: node, copies, k, h, label, weight."""
+    inner = docs.select(F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"), F.col("text").alias("x"))
+    signed = materialize(inner.mapInArrow(_signed(trees), "k long, h long, size long, node binary, trie binary"), "signed")
+    lone, rows = signed.where("node is null"), signed.where("node is not null")
+
+    # one row for each text: copies share their node
+    picked = rows.groupBy("node").agg(F.min(F.struct(F.coalesce("k", F.lit(NO_ID)).alias("k"), "h", "size", "trie")).alias("one"), F.count(F.lit(1)).alias("copies"))
+    texts = materialize(picked.select("node", "copies", "one.*"), "texts")
+    pairs = tries(texts, shortened({}, DEEPEST, trees, recall))
+    depth, links = DEEPEST, None
+    while True:
+        links, before = _compared(inner, texts, pairs.where(F.col("shared") >= depth)), links
+        if before is not None:
+            drop_scratch(before)
+        seen = {r["alike"]: r["n"] for r in links.where("node IS NULL").groupBy("alike").agg(F.sum("weight").alias("n")).collect()}
+        depth, last = shortened(seen, depth, trees, recall), depth
+        if depth == last:
+            break
+    found = links.where("node IS NOT NULL")
 
     labels = materialize(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))), "labels")
     weights = materialize(found.groupBy("node").agg(F.sum("weight").alias("weight")), "weights")
@@ -251,8 +355,8 @@ def jaccard_classes(docs: DataFrame, trees: int = TREES, recall: float = RECALL)
     name a class (one of nothing else has a null class_id). Repeated rows are copies of each other; ids
     that repeat with other texts are other documents. An empty table gives no rows.
 
-    Candidates are missed with a chance of at most ``1 - recall`` for a pair at the threshold, less above;
-    sets are compared exactly, as 64-bit fingerprints of shingles.
+    At most ``1 - recall`` of the links are expected to be missed as candidates; the shortest prefixes miss
+    no more of those at the threshold itself. Candidates are compared by their words' bytes.
     """
     rows, lone, named = _grouped(docs, trees, recall)
     least = materialize(named.groupBy("label").agg(F.min("k").alias("least")), "least")

@@ -8,7 +8,7 @@ import pytest
 
 from sitelode.llm import jaccard
 from sitelode.llm.components import components
-from sitelode.llm.jaccard import jaccard_classes, linked, prefix_depth
+from sitelode.llm.jaccard import DEEPEST, exact_shingles, found_at, jaccard_classes, linked, shortened, tries
 
 
 def sets(texts):
@@ -63,23 +63,78 @@ def test_empty(nothing):
     assert jaccard_classes(nothing).count() == 0
 
 
-def test_prefix_is_shortened_to_the_recall():
-    d = prefix_depth(0.8, 20, 8, 0.9999)
-    assert 1 - (1 - 0.8**d) ** 20 >= 0.9999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
-    assert prefix_depth(0.999, 20, 8, 0.9) == 8
+def test_prefixes_are_shortened_to_the_recall():
+    # nothing known: as if all links were at the threshold
+    d = shortened({}, 8, 20, 0.9999)
+    assert found_at(0.8, d, 20) >= 0.9999 > found_at(0.8, d + 1, 20)
+    # many links, all very similar: the deepest prefixes do
+    assert shortened({97: 10**6}, 8, 20, 0.9999) == 8
+    # the more of them are close to the threshold, the shorter
+    depths = [shortened({80: k, 95: 10**6 - k}, 8, 20, 0.9999) for k in (0, 20000, 10**5, 10**6)]
+    assert depths == sorted(depths, reverse=True) and depths[0] == 8 and depths[-1] == d
+
+
+def test_tries_hold_every_node(spark):
+    """Texts that share digits in a tree are connected by neighbours that share as many."""
+    rng = random.Random(5)
+    digits = {bytes([i]) * 16: [[rng.randrange(2) for _ in range(DEEPEST)] for _ in range(3)] for i in range(40)}
+    raw = [(n, np.array(d, ">u2").tobytes()) for n, d in digits.items()]
+    found = tries(spark.createDataFrame(raw, "node binary, trie binary"), 2).collect()
+    for depth in range(2, DEEPEST + 1):
+        label = {n: n for n in digits}
+        for _ in digits:
+            for r in found:
+                if r.shared >= depth:
+                    label[bytes(r.a)] = label[bytes(r.b)] = min(label[bytes(r.a)], label[bytes(r.b)])
+        want = {n: n for n in digits}
+        for _ in digits:
+            for x in digits:
+                for y in digits:
+                    if any(digits[x][t][:depth] == digits[y][t][:depth] for t in range(3)):
+                        want[x] = want[y] = min(want[x], want[y])
+        assert label == want
+
+
+def test_shingles_are_told_apart_by_bytes():
+    rng = random.Random(6)
+    corpus = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(9)))) for i in range(200)]
+    codes, counts = exact_shingles([t.encode() for _, t in corpus])
+    parts = np.split(codes, np.cumsum(counts)[:-1])
+    want = sets([t for _, t in corpus])
+    assert [len(p) for p in parts] == [len(s) for s in want]
+    for a, p in zip(want, parts):
+        for b, q in zip(want, parts):
+            assert len(a & b) == len(set(p.tolist()) & set(q.tolist()))
+
+
+def test_texts_of_words_with_equal_polynomial_hashes(spark):
+    from test_tokens import thue_morse
+
+    one, two = thue_morse(2048)
+    df = spark.createDataFrame([(1, f"{one} {two} " * 4), (2, f"{two} {one} {one} {two} " * 2), (3, one), (4, two)], "doc_id long, text string")
+    assert {r.doc_id: (r.class_id, r.n_links) for r in jaccard_classes(df).collect()} == {i: (i, 0) for i in range(1, 5)}
+
+
+def test_recall_on_a_table(spark):
+    """Against brute force over all texts of the table."""
+    from sitelode.llm.jaccard import op2_jaccard_join
+
+    sf = "/root/testdata/sf0.001"
+    corpus = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert got(op2_jaccard_join(spark, sf)) == brute(corpus)
 
 
 def test_blocks_count_each_link_once():
     texts = [b"a b c d e f g h i j", b"a b c d e f g h i j", b"z y x w v"]
-    w, root = linked(texts, np.array([1, 3, 1]), np.array([0]), np.array([1, 2]))
-    assert w.tolist() == [3, 1, 0] and root[0] == root[1] != root[2]
+    w, root, alike = linked(texts, np.array([1, 3, 1]), np.array([0]), np.array([1, 2]))
+    assert w.tolist() == [3, 1, 0] and root[0] == root[1] != root[2] and alike.tolist() == [0] * 100 + [1]
 
 
 def test_a_large_block_takes_little_memory(monkeypatch):
     texts = [f"a b c d e f g h i j k l m n o p q r s t{i // 2}{' z' * (i % 2)}".encode() for i in range(6000)]
     at, ones = np.arange(6000), np.ones(6000, np.int64)
     tracemalloc.start()
-    weight, _ = linked(texts[:5000:50], ones[:100], at[:100], at[:100])
+    weight, _, _ = linked(texts[:5000:50], ones[:100], at[:100], at[:100])
     linked([f"t{i} b c d e f".encode() for i in range(6000)], ones, at, at)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
