@@ -1,8 +1,9 @@
-"""Exact top-k inner products: tiles of queries times tiles of rows, merged as a tree.
+"""Exact top-k inner products: a grid of tiles, merged as a tree.
 
-Vectors are packed into tiles (a matrix in one row); every query tile meets every row tile in one
-matrix product. A task keeps, for each query, only the best k over all tiles it has seen, and those
-short lists are merged level by level. The query set is a stated part of the table.
+Vectors are packed into tiles (a matrix in one row). Query tiles and row tiles are dealt to groups of a
+fixed number of tiles; each cell of the grid of both groups is one task, which multiplies every query tile
+with every row tile and keeps, for each query, the best k. Those short lists are merged level by level. The
+query set is a stated part of the table.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize, shuffle_partitions
+from .scratch import materialize
 
 ROWS_PER_TILE = 4096
 QUERIES_PER_TILE = 512
+#: Tiles of a group: what a cell of the grid holds at a time.
+QUERY_GROUP, ROW_GROUP = 16, 8
+#: Scores beyond 64 bits count as the number of 64 bits next to them.
+LEAST_SCORE, MOST_SCORE = -(2**63), 2**63 - 1
 #: Products up to here are exact in a double.
 _EXACT = float(2**53)
 _TILE = "dim int, ids binary, matrix binary"
@@ -70,41 +75,37 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.n
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T as exact integers."""
+    """a @ b.T as exact integers, within LEAST_SCORE and MOST_SCORE."""
     bound = (np.abs(a).max(initial=0.0)) * (np.abs(b).max(initial=0.0)) * a.shape[1]
     if bound < _EXACT:
         return (a @ b.T).astype(np.int64)
-    out = np.array([[sum(int(x) * int(y) for x, y in zip(r, s)) for s in b] for r in a], dtype=object)
-    return out.astype(np.int64)
+    whole = [[list(map(int, r)) for r in m] for m in (a, b)]
+    return np.array([[max(LEAST_SCORE, min(MOST_SCORE, sum(x * y for x, y in zip(r, s)))) for s in whole[1]] for r in whole[0]], np.int64).reshape(len(a), len(b))
 
 
 def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        """All query tiles of a cell against all its row tiles."""
         kept = [np.empty(0, np.int64)] * 3
-        for batch in batches:
-            for dim, qids, qm, ids, m in zip(*(c.to_pylist() for c in batch.columns)):
-                qids, ids = np.frombuffer(qids, np.int64), np.frombuffer(ids, np.int64)
-                if not dim:
-                    scores = np.zeros((len(qids), len(ids)), np.int64)
-                else:
-                    scores = _products(np.frombuffer(qm, np.float64).reshape(-1, dim), np.frombuffer(m, np.float64).reshape(-1, dim))
+        for qids, qm in zip(*(queries.column(c).to_pylist() for c in ("ids", "matrix"))):
+            qids = np.frombuffer(qids, np.int64)
+            best = [np.empty(0, np.int64)] * 3
+            for dim, ids, m in zip(*(rows.column(c).to_pylist() for c in ("dim", "ids", "matrix"))):
+                ids = np.frombuffer(ids, np.int64)
+                scores = _products(np.frombuffer(qm, np.float64).reshape(-1, dim), np.frombuffer(m, np.float64).reshape(-1, dim)) if dim else np.zeros((len(qids), len(ids)), np.int64)
                 own = qids[:, None] == ids[None, :]
-                low = np.iinfo(np.int64).min
-                masked = np.where(own, low, scores)
+                masked = np.where(own, LEAST_SCORE, scores)
                 most = min(k, masked.shape[1])
                 # partial selection: the k-th best score of each query; all that tie with it stay until the merge
                 floor = np.partition(masked, masked.shape[1] - most, axis=1)[:, masked.shape[1] - most]
                 r, c = np.nonzero((masked >= floor[:, None]) & ~own)
                 new = [qids[r], ids[c], scores[r, c]]
                 part = _best(*new, k)
-                joined = [np.concatenate([x, y[part]]) for x, y in zip(kept, new)]
-                part = _best(*joined, k)
-                kept = [x[part] for x in joined]
-                if len(kept[0]) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["query_id", "vec_id", "score"])
-                    kept = [np.empty(0, np.int64)] * 3
-        if len(kept[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in kept], names=["query_id", "vec_id", "score"])
+                best = [np.concatenate([x, y[part]]) for x, y in zip(best, new)]
+                part = _best(*best, k)
+                best = [x[part] for x in best]
+            kept = [np.concatenate([x, y]) for x, y in zip(kept, best)]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, kept))))
 
     return run
 
@@ -114,22 +115,26 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
 
     Components count as floor(256 * x). A query's own id is no candidate; ties go to the smaller
     vec_id. Vectors that are null or hold a null or non-finite component, and null ids, take no part;
-    vectors meet only those of their own length; rows that repeat an id are candidates each. An empty
-    table gives no rows. Columns besides the two named are ignored.
+    vectors meet only those of their own length. Rows that repeat an id are candidates each; an id asks
+    once, with the least of its vectors, component by component. A score beyond 64 bits counts as the
+    nearest number of 64 bits. An empty table gives no rows. Columns besides the two named are ignored.
 
-    Query tiles times row tiles is the work asked for. Row tiles are dealt to the query tiles by an
-    equi-join on the query tile's number, so no task holds more than one tile of each at a time.
+    Every query meets every row, which is the work asked for. A row tile travels once for each group of
+    query tiles and a query tile once for each group of row tiles; a task holds one group of each.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id).cast("long").alias("id"), quantized(F.col(vector)).alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     tiles = materialize(rows.select("id", "v").mapInArrow(_pack(ROWS_PER_TILE), _TILE), "topk-rows")
-    asked = rows.where("q").select("id", "v").repartition(max(1, shuffle_partitions(spark) // 8)).mapInArrow(_pack(QUERIES_PER_TILE), _TILE)
-    asked = materialize(asked.select("dim", F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"), F.abs(F.xxhash64("ids")).alias("tile")), "topk-queries")
-    # one row for each query tile: its number and length only
-    numbers = asked.groupBy("dim").agg(F.collect_set("tile").alias("tiles"))
-    dealt = tiles.join(F.broadcast(numbers), "dim").select("dim", "ids", "matrix", F.explode("tiles").alias("tile"))
-    met = dealt.join(asked, ["dim", "tile"]).select("dim", "qids", "qmatrix", "ids", "matrix")
-    lists = met.mapInArrow(_search(k), _LIST)
+    once = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    asked = materialize(once.mapInArrow(_pack(QUERIES_PER_TILE), _TILE), "topk-queries")
+    grid = {}
+    for name, table, size in (("query_group", asked, QUERY_GROUP), ("row_group", tiles, ROW_GROUP)):
+        grid[name] = max(1, -(-table.count() // size))
+    place = lambda name: F.pmod(F.xxhash64("ids", "matrix"), F.lit(grid[name])).cast("int").alias(name)
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.lit(grid[name] - 1))).alias(name)
+    cell = ["dim", "query_group", "row_group"]
+    left = asked.select("dim", "ids", "matrix", place("query_group"), every("row_group")).groupBy(cell)
+    right = tiles.select("dim", "ids", "matrix", place("row_group"), every("query_group")).groupBy(cell)
+    lists = left.cogroup(right).applyInArrow(_search(k), _LIST)
     for level in range(2):  # a tree: lists meet first in groups by a hash of the candidate, then all
         by = [F.col("query_id"), F.pmod(F.xxhash64("vec_id"), F.lit(8))] if level == 0 else [F.col("query_id")]
         order = Window.partitionBy(*by).orderBy(F.col("score").desc(), F.col("vec_id"))

@@ -10,10 +10,12 @@ from sitelode.llm.topk import _products, top_k
 
 def brute(rows, k=5):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    out = []
+    out, asks = [], {}
     for q, a in ok:
+        asks[q] = min(asks.get(q, a), a)
+    for q, a in asks.items():
         if q % 10 == 0:
-            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in ok if i != q and len(b) == len(a))
+            found = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b)))), i) for i, b in ok if i != q and len(b) == len(a))
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(found[:k])]
     return sorted(out)
 
@@ -21,11 +23,14 @@ def brute(rows, k=5):
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "ROWS_PER_TILE", 7)
     monkeypatch.setattr(topk, "QUERIES_PER_TILE", 3)
+    monkeypatch.setattr(topk, "QUERY_GROUP", 2)
+    monkeypatch.setattr(topk, "ROW_GROUP", 2)
     rng = random.Random(2)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)]) for i in range(60)]
     rows += [(100 + i, rows[0][1]) for i in range(12)]  # ties
     rows += [(200, None), (210, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (220, [float("nan")] * 6), (230, [float("inf")] * 6), (240, [1.0, 2.0]), (250, [3.0, 4.0]), (None, rows[3][1]), (260, [])]
-    rows += [rows[5]]
+    rows += [rows[5], rows[10], (20, rows[7][1]), (20, [0.5] * 6)]  # rows and query ids that repeat
+    rows += [(300, [2.0**40, 2.0**40]), (310, [-(2.0**40), 2.0**33]), (311, [2.0**41, 0.0])]  # scores beyond 64 bits
     df = spark.createDataFrame([(i, v, "q") for i, v in rows], "vec_id long, embedding array<double>, v string")
     got = sorted(tuple(r) for r in top_k(df, F.col("vec_id") % 10 == 0).collect())
     assert got == brute(rows)
@@ -36,5 +41,17 @@ def test_large_numbers_stay_exact():
     assert _products(a, np.array([[2.0**20, 1.0]])).tolist() == [[2**60 + 3], [2**20 + 1]]
 
 
+def test_scores_stay_within_64_bits():
+    big = np.array([[2.0**40]])
+    assert _products(big, big).tolist() == [[2**63 - 1]] and _products(big, -big).tolist() == [[-(2**63)]]
+
+
+def test_query(spark, tmp_path):
+    rows = [(i, [i / 7, 1.0 - i / 3]) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in topk.op4_top_k(spark, str(tmp_path)).collect())
+    assert got == [r for r in brute(rows) if r[0] % 50 == 0] and len(got) == 15
+
+
 def test_empty(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
