@@ -1,15 +1,17 @@
 """Benchmark decontamination by greedy string tiling.
 
-Documents and benchmark items that share a seed (a few words in a row) are tiled: the longest common
-runs of words not yet marked are found with running Karp-Rabin hashes, marked in both, and so on with
-shorter runs down to the seed's length. The tiles' share of the item is its coverage, which does not
-depend on the order in which the document has the item's passages.
+Documents and benchmark items are joined on shared seeds (a few words in a row), and each matched pair is
+tiled: the longest common runs of words not yet marked are found with running Karp-Rabin hashes, marked in
+both, and so on with shorter runs down to the seed's length. The tiles' share of the item is its coverage,
+which does not depend on the order in which the document has the item's passages.
+
+A sieve, a bitmap of fixed size that holds the seeds' hashes, goes to every task, so that of the documents
+only those seeds travel that the benchmark may have, and only the words under them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import by_bytes, utf8
+from .scratch import materialize
 from .words import LETTERED, grams, lowered, whole, words_of
 
 #: Words of the shortest tile, and of a seed.
 LEAST = 5
 #: Share of an item's words under tiles from which a document counts as contaminated.
 COVERAGE = 0.6
-#: Bytes of benchmark text that one pass over the documents holds in memory.
-BLOCK_BYTES = 8 << 20
+#: Bits of the sieve: at most 16 MB to the driver and to each task, however large the benchmark.
+SIEVE_BITS = 27
+_BLOCK = 4096
 _CHUNK = 1 << 20
 _PRIME = (1 << 61) - 1
 _BASE = 1_000_003
@@ -86,74 +90,103 @@ def tiles(item: list[int], runs: list[list[int]], least: int = LEAST) -> list[tu
         s = max(least, s // 2)
 
 
-@dataclass
-class Benchmark:
-    ids: list[int]
-    words: list[list[int]]
-    seeds: np.ndarray  # sorted, distinct
-    first: np.ndarray  # into ``owners``, for each seed
-    owners: np.ndarray
-    sieve: np.ndarray
-
-    @classmethod
-    def of(cls, items: list[tuple[int, str | None]], least: int = LEAST) -> Benchmark:
-        w = words_of([lowered(t.encode()) if t else b"" for _, t in items], LETTERED)
-        keys, ok = grams(w.hashes, least), whole(w.counts, least)
-        owner = np.repeat(np.arange(len(items)), w.counts)[: len(keys)]
-        pairs = np.unique(np.stack([keys[ok], owner[ok].astype(np.uint64)]), axis=1) if ok.any() else np.empty((2, 0), np.uint64)
-        seeds, first = np.unique(pairs[0], return_index=True)
-        sieve = np.zeros(1 << 20, bool)
-        sieve[(seeds & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        ends = np.cumsum(w.counts)
-        return cls([i for i, _ in items], [w.hashes[e - n : e].tolist() for e, n in zip(ends, w.counts)], seeds, np.append(first, pairs.shape[1]), pairs[1].astype(np.int64), sieve)
-
-
-def coverages(bench: Benchmark, texts: list[bytes | None], least: int = LEAST) -> dict[int, list[tuple[int, float, int]]]:
-    """Place of a text -> (item id, coverage, tiles) for each item that shares a seed with it."""
-    out: dict[int, list[tuple[int, float, int]]] = {}
+def _seeds(texts: list[bytes | None], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts together: word fingerprints, words of each text, and the seeds' fingerprints and places."""
     w = words_of([lowered(t) for t in texts], LETTERED)
-    keys, ok = grams(w.hashes, least), whole(w.counts, least)
-    at = np.flatnonzero(ok & bench.sieve[(keys & np.uint64(len(bench.sieve) - 1)).astype(np.int64)])
-    if not len(at) or not len(bench.seeds):
-        return out
-    slot = np.minimum(np.searchsorted(bench.seeds, keys[at]), len(bench.seeds) - 1)
-    hit = bench.seeds[slot] == keys[at]
-    at, slot = at[hit], slot[hit]
-    text = np.searchsorted(np.cumsum(w.counts), at, side="right")
-    shared: dict[tuple[int, int], list[int]] = {}
-    for p, s, t in zip(at.tolist(), slot.tolist(), text.tolist()):
-        for o in bench.owners[bench.first[s] : bench.first[s + 1]].tolist():
-            shared.setdefault((t, o), []).append(p)
-    for (t, o), places in shared.items():
-        # a tile lies in words that shared seeds cover, so only those runs are tiled
-        runs, start, end = [], places[0], places[0] + least
-        for p in places[1:]:
+    at = np.flatnonzero(whole(w.counts, least))
+    return w.hashes, w.counts, grams(w.hashes, least)[at], at
+
+
+def _slots(seeds: np.ndarray) -> np.ndarray:
+    return (seeds >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def _of_items(least: int):
+    """For each item its words and its distinct seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, counts, seeds, at = _seeds(utf8(batch.column("t")), least)
+            ends = np.cumsum(counts)
+            which = np.searchsorted(ends, at, side="right")
+            own = [np.unique(seeds[lo:hi]).view(np.int64).tolist() for lo, hi in zip(np.searchsorted(which, np.arange(len(batch))), np.searchsorted(which, np.arange(1, len(batch) + 1)))]
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([hashes[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["item", "words", "seeds"])
+
+    return run
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of the sieve that this partition's seeds mark."""
+    sieve = np.zeros(((1 << SIEVE_BITS - 3) // _BLOCK, _BLOCK), np.uint8)
+    for batch in batches:
+        slot = _slots(np.asarray(batch.column("seed"), np.int64).view(np.uint64))
+        np.bitwise_or.at(sieve.reshape(-1), slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+    at = np.flatnonzero(sieve.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([sieve[i].tobytes() for i in at], pa.binary())], names=["block", "bits"])
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()])
+    return pa.table({"block": table.column("block").slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _sifted(sieve, least: int):
+    """Of each document: the words that the sieve's seeds cover, in runs, and those seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sieve.value
+        for batch in batches:
+            texts = utf8(batch.column("x"))
+            for lo, hi in by_bytes(texts, _CHUNK):
+                hashes, counts, seeds, at = _seeds(texts[lo:hi], least)
+                slot = _slots(seeds)
+                hit = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                if not len(hit):
+                    continue
+                seeds, at = seeds[hit], at[hit]
+                text = np.searchsorted(np.cumsum(counts), at, side="right")
+                rows = []
+                for t in np.unique(text).tolist():
+                    own = np.arange(*np.searchsorted(text, (t, t + 1)))
+                    place = at[own]
+                    # a tile lies in words that seeds cover, so only those runs travel
+                    new = np.flatnonzero(np.concatenate([[True], np.diff(place) > least]))
+                    first, last = place[new], np.append(place[new[1:] - 1], place[-1]) + least
+                    rows.append((lo + t, (last - first).tolist(), b"".join(hashes[i:j].tobytes() for i, j in zip(first, last)), np.unique(seeds[own]).view(np.int64).tolist()))
+                row, sizes, words, own = zip(*rows)
+                key = [batch.column(c).take(pa.array(row)) for c in ("k1", "k2")]
+                yield pa.RecordBatch.from_arrays([*key, pa.array(sizes, pa.list_(pa.int32())), pa.array(words, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["k1", "k2", "sizes", "words", "seeds"])
+
+    return run
+
+
+def coverage(item: bytes, sizes: list[int], words: bytes, least: int = LEAST) -> tuple[float, int]:
+    """The share of an item's words under tiles with a document's runs of words, and the number of tiles."""
+    own, other = np.frombuffer(item, np.uint64), np.frombuffer(words, np.uint64)
+    mine = set(grams(own, least).tolist())
+    known = set(own.tolist())
+    runs = []
+    for part in np.split(other, np.cumsum(sizes)[:-1]):
+        # of the runs only what this item's own seeds cover: nothing else can be under a tile
+        at = [i for i, g in enumerate(grams(part, least).tolist()) if g in mine]
+        start = end = -1
+        for p in at:
             if p > end:
-                runs.append((start, end))
+                if end >= 0:
+                    runs.append(part[start:end].tolist())
                 start = p
             end = p + least
-        runs.append((start, end))
-        found = tiles(bench.words[o], [w.hashes[a:b].tolist() for a, b in runs], least)
-        out.setdefault(t, []).append((bench.ids[o], sum(x[0] for x in found) / len(bench.words[o]), len(found)))
-    return out
+        if end >= 0:
+            runs.append(part[start:end].tolist())
+    found = tiles(own.tolist(), runs, least) if known else []
+    return sum(x[0] for x in found) / len(own), len(found)
 
 
-def _pass(bench: Benchmark, least: float):
+def _tiled(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = utf8(batch.column("x"))
-            best = list(zip(batch.column("item").to_pylist(), batch.column("cov").to_pylist(), batch.column("items").to_pylist(), batch.column("tiles").to_pylist()))
-            for lo, hi in by_bytes(texts, _CHUNK):
-                for i, found in coverages(bench, texts[lo:hi]).items():
-                    item, cov, n, k = best[lo + i]
-                    for new, c, m in found:
-                        n += c >= least
-                        if c > cov or (c == cov and c > 0 and (item is None or new < item)):
-                            item, cov, k = new, c, m
-                    best[lo + i] = (item, cov, n, k)
-            cols = list(zip(*best)) or [[]] * 4
-            made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *made], names=batch.schema.names)
+            made = [coverage(*row, least) for row in zip(*(batch.column(c).to_pylist() for c in ("item_words", "sizes", "words")))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "item")), pa.array([c for c, _ in made], pa.float64()), pa.array([n for _, n in made], pa.int32())], names=["k1", "k2", "item", "coverage", "tiles"])
 
     return run
 
@@ -167,24 +200,40 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     with null text or id match nothing; repeated rows and ids are judged each; an empty table gives no
     rows, an empty benchmark finds nothing.
 
-    The benchmark is cut into blocks of at most ``BLOCK_BYTES`` text, and each block is one narrow pass
-    over the documents in the same stage: nothing is shuffled, and no pass holds more than a block.
+    Repeated item ids are items each, of which the one with the highest coverage counts; n_items counts ids.
+
+    Documents are known by hashes of doc_id and text, 128 bits together; rows that repeat both get one
+    answer. Pairs of documents and items meet by an equi-join on seeds and are told apart before any
+    words are sent to them. Found documents join back by their hashes: Spark broadcasts that table only
+    if it is small.
     """
     keep = keep or ["doc_id"]
+    spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t"))
-    total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-total // BLOCK_BYTES)
-    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("x"), F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("cov"), F.lit(0).alias("items"), F.lit(0).alias("tiles"))
-    for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b) if blocks > 1 else items
-        rows = rows.mapInArrow(_pass(Benchmark.of(sorted((r["i"], r["t"]) for r in part.collect())), threshold), rows.schema)
-    return rows.select(
+    items = materialize(items.mapInArrow(_of_items(LEAST), "item long, words binary, seeds array<long>").withColumn("n", F.xxhash64("item", "words")), "items")
+    sown = items.select("item", "n", F.explode("seeds").alias("seed"))
+    sieve = np.zeros(1 << SIEVE_BITS - 3, np.uint8)
+    blocks = "block int, bits binary"
+    for r in sown.select("seed").distinct().mapInArrow(_marked, blocks).groupBy("block").applyInArrow(_merged, blocks).collect():
+        sieve[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(sieve)
+
+    known = [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(7), "text", F.col("doc_id").isNull(), "doc_id")]
+    rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], known[0].alias("k1"), known[1].alias("k2"))
+    sifted = materialize(docs.select(known[0].alias("k1"), known[1].alias("k2"), F.col("text").alias("x")).mapInArrow(_sifted(shared, LEAST), "k1 long, k2 long, sizes array<int>, words binary, seeds array<long>").dropDuplicates(["k1", "k2"]), "sifted")
+    pairs = sifted.select("k1", "k2", F.explode("seeds").alias("seed")).join(sown, "seed").select("k1", "k2", "item", "n").distinct()
+    met = pairs.join(items.select("item", "n", F.col("words").alias("item_words")), ["item", "n"]).join(sifted.drop("seeds"), ["k1", "k2"])
+    tiled = met.select("k1", "k2", "item", "item_words", "sizes", "words").mapInArrow(_tiled(LEAST), "k1 long, k2 long, item long, coverage double, tiles int")
+    best = F.max(F.struct("coverage", (-F.col("item")).alias("i"), "tiles")).alias("best")
+    each = tiled.groupBy("k1", "k2", "item").agg(F.max(F.struct("coverage", (-F.col("tiles")).alias("t"))).alias("top")).select("k1", "k2", "item", "top.coverage", (-F.col("top.t")).alias("tiles"))
+    found = materialize(each.groupBy("k1", "k2").agg(best, F.count_if(F.col("coverage") >= threshold).alias("items")), "found")
+    return rows.join(found, ["k1", "k2"], "left").select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)],
-        (F.col("cov") >= threshold).alias("contaminated"),
-        F.col("item").alias("best_item"),
-        F.col("cov").alias("coverage"),
-        F.col("items").alias("n_items"),
-        F.col("tiles").alias("n_tiles"),
+        F.coalesce(F.col("best.coverage") >= threshold, F.lit(False)).alias("contaminated"),
+        (-F.col("best.i")).alias("best_item"),
+        F.coalesce(F.col("best.coverage"), F.lit(0.0)).alias("coverage"),
+        F.coalesce(F.col("items"), F.lit(0)).cast("int").alias("n_items"),
+        F.coalesce(F.col("best.tiles"), F.lit(0)).alias("n_tiles"),
     )
 
 

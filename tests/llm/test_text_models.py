@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -110,10 +112,42 @@ def test_decontamination(spark, docs, corpus, nothing):
     assert decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
 
 
-def test_benchmark_in_blocks(spark, monkeypatch):
-    from sitelode.llm import decontaminate as d
-
-    monkeypatch.setattr(d, "BLOCK_BYTES", 64)
+def plain_words(t):
+    return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every document against every item, tiled by the definition."""
+    rng = random.Random(12)
+    items = [(i, " ".join(f"v{rng.randrange(40)}" for _ in range(rng.randrange(4, 26)))) for i in range(12)] + [(3, " ".join(f"v{rng.randrange(40)}" for _ in range(15)))]
+    texts = []
+    for i in range(60):
+        parts = [f"n{rng.randrange(300)}" for _ in range(rng.randrange(20))]
+        for _ in range(rng.randrange(4)):
+            own = rng.choice(items)[1].split()
+            lo = rng.randrange(len(own))
+            parts += own[lo : lo + rng.randrange(3, 26)] + ["x"] * rng.randrange(2)
+        texts.append((i if i % 9 else None, " ".join(parts)))
+    texts += [(5, texts[5][1]), (5, texts[6][1])]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.contaminated, r.best_item, round(r.coverage, 9), r.n_items, r.n_tiles) for r in decontaminate(df, bench).collect())
+    want = Counter()
+    for i, t in texts:
+        best, over = (0.0, 0, 0), set()
+        for j, item in items:
+            a, b = plain_words(item), plain_words(t)
+            if len(a) < 5:
+                continue
+            found = plain_tiles(a, b, 5)
+            share = sum(found) / len(a)
+            if share >= 0.6:
+                over.add(j)
+            best = max(best, (share, -j, -len(found))) if share else best
+        want[i, best[0] >= 0.6, -best[1] if best[0] else None, round(best[0], 9), len(over), -best[2]] += 1
+    assert got == want
+
+
+def test_many_items(spark):
     items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(9)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame([(i, t) for i, t in items] + [(99, items[3][1] + " " + items[8][1])], "doc_id long, text string")
@@ -121,5 +155,14 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     assert got == {**{i: (i, 1) for i in range(9)}, 99: (3, 2)}
 
 
+def test_decontamination_query(spark):
+    from sitelode.llm.decontaminate import op6_decontaminate
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = op6_decontaminate(spark, SF)
+    assert rows.columns == ["doc_id", "contaminated", "best_item", "coverage", "n_items", "n_tiles"]
+    assert rows.count() == docs.count() and 0 < rows.where("contaminated").count() < docs.count() / 5
+
+
 def test_softmax_rows_sum_to_one():
     assert np.allclose(langid._softmax(np.random.default_rng(0).normal(size=(5, 3))).sum(axis=1), 1)
