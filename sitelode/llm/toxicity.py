@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import by_bytes, utf8
+from .scratch import drop_scratch, materialize
 from .words import LETTERED, lowered, words_of
 
-#: Labelled rows that training looks at.
+#: Labelled rows that training looks at, about: each class of the last category has half of them at most, expected.
 TRAIN_ROWS = 8000
 FOLDS = 3
 #: A word is a feature if at least so many sampled texts have it and its chi-squared is so high.
@@ -136,39 +137,84 @@ def predict(chain: Chain, texts: list[bytes | None]) -> np.ndarray:
     return out
 
 
+def _vocabulary(words: DataFrame, names: Sequence[str], sizes: dict[str, np.ndarray]) -> list[int]:
+    """The words that any model of the chain may choose, by ``_fit``'s own rule.
+
+    ``words``: word, fold and y_<category> for each distinct word of each text. ``sizes``: for each
+    category, texts by class (0, 1) and fold. A model is fitted on all folds or all but one, so at most
+    MOST_WORDS times FOLDS + 1 words of each category come out.
+    """
+    cells = [(n, y, f) for n in names for y in (0, 1) for f in range(FOLDS)]
+    counted = materialize(words.groupBy("word").agg(*[F.count_if((F.col(f"y_{n}") == y) & (F.col("fold") == f)).alias(f"{n}_{y}_{f}") for n, y, f in cells]), "words")
+    tops = []
+    for n in names:
+        for left_out in range(-1, FOLDS):
+            folds = [f for f in range(FOLDS) if f != left_out]
+            n0, n1 = (max(1.0, float(sizes[n][y, folds].sum())) for y in (0, 1))
+            b, a = (sum(F.col(f"{n}_{y}_{f}") for f in folds).cast("double") for y in (0, 1))
+            c, d = F.lit(n1) - a, F.lit(n0) - b
+            chi = F.lit(n1 + n0) * (a * d - b * c) * (a * d - b * c) / F.greatest(F.lit(n1 * n0) * (a + b) * (c + d), F.lit(1e-9))
+            # a little under the bound, which _fit applies itself
+            tops.append(counted.where((a + b >= LEAST_TEXTS) & (chi >= CHI2 * 0.999)).orderBy(chi.desc(), "word").limit(MOST_WORDS + 50).select("word"))
+    found = sorted({r["word"] for t in tops for r in t.collect()})
+    drop_scratch(counted)
+    return found
+
+
 def learn(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows: int = TRAIN_ROWS, seed: int = 11) -> Chain | None:
     """A chain over ``categories`` (name -> boolean expression over ``labels``, in chain order).
 
-    Looks at no more than about ``rows`` labelled documents, picked by a hash of doc_id, the classes of
-    the last category evenly; the picked ids (bounded so) are broadcast, and words are taken apart on
-    the executors. Null labels are unknown; None where there are no usable labels.
+    Looks at about ``rows`` labelled documents at most, picked by a hash of doc_id, the classes of the last
+    category evenly. Words are taken apart and counted on the executors; the driver gets the words that
+    models may choose, and which of those each picked text has. Of contradicting labels of one document
+    the highest mark of each category counts; of several texts with one id the least. Null labels are
+    unknown; None where there are no usable labels.
     """
     last = list(categories)[-1]
-    marks = labels.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("d"), *[c.cast("int").alias(f"y_{n}") for n, c in categories.items()])
+    names = list(categories)
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("d")).agg(*[F.max(c.cast("int")).alias(f"y_{n}") for n, c in categories.items()])
     sizes = {r[0]: r[1] for r in marks.groupBy(f"y_{last}").count().collect() if r[0] is not None}
     if len(sizes) < 2:
         return None
     drawn = F.pmod(F.xxhash64("d", F.lit(seed)), F.lit(1_000_003))
     share = F.create_map(*[x for y, n in sorted(sizes.items()) for x in (F.lit(y), F.lit(min(1.0, rows / 2 / n)))])
-    picked = marks.where(F.col(f"y_{last}").isNotNull()).where(drawn < F.lit(1_000_003) * share[F.col(f"y_{last}")]).dropDuplicates(["d"]).limit(2 * rows)
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("d")).drop("doc_id", "d").limit(2 * rows)
-    names = list(categories)
+    picked = marks.where(F.col(f"y_{last}").isNotNull()).where(drawn < F.lit(1_000_003) * share[F.col(f"y_{last}")])
+    met = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), "text").join(F.broadcast(picked), "d")
+    texts = met.groupBy("d", *[f"y_{n}" for n in names]).agg(F.min("text").alias("text")).drop("d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = utf8(batch.column("text"))
             for lo, hi in by_bytes(items, _CHUNK):
                 words, counts = presence(items[lo:hi])
-                ends = np.cumsum(counts)
-                parts = [words[e - c : e] for e, c in zip(ends, counts)]
-                fold = [int(p[:1].sum() % FOLDS) if len(p) else 0 for p in parts]
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(fold, pa.int32()), *[batch.column(f"y_{n}").slice(lo, hi - lo) for n in names]], names=["words", "fold", *[f"y_{n}" for n in names]])
-
-    found = texts.mapInArrow(run, "words binary, fold int, " + ", ".join(f"y_{n} int" for n in names)).collect()
+                ends = np.concatenate([[0], np.cumsum(counts)])
+                fold = np.zeros(hi - lo, np.int32)
+                fold[counts > 0] = words[ends[:-1][counts > 0]] % np.uint64(FOLDS)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([lists, pa.array(fold), *[batch.column(f"y_{n}").slice(lo, hi - lo) for n in names]], names=["words", "fold", *[f"y_{n}" for n in names]])
+
+    taken = materialize(texts.mapInArrow(run, "words array<long>, fold int, " + ", ".join(f"y_{n} int" for n in names)), "taken")
+    counts = {n: np.zeros((2, FOLDS)) for n in names}
+    for n in names:
+        for r in taken.where(F.col(f"y_{n}").isNotNull()).groupBy(f"y_{n}", "fold").count().collect():
+            counts[n][r[0], r[1]] = r[2]
+    known = _vocabulary(taken.select(F.explode("words").alias("word"), "fold", *[f"y_{n}" for n in names]), names, counts)
+    vocabulary = np.array(known, np.int64)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("words")
+            words, owner = np.asarray(lists.flatten(), np.int64), np.repeat(np.arange(len(batch)), np.asarray(lists.value_lengths()))
+            hit = np.isin(words, vocabulary)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(owner[hit], minlength=len(batch)))])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words[hit])), *batch.columns[1:]], names=batch.schema.names)
+
+    found = taken.mapInArrow(chosen, taken.schema).collect()
+    drop_scratch(taken)
     if not found:
         return None
-    found.sort(key=lambda r: (r["words"], r["fold"]))
-    each = [np.frombuffer(r["words"], np.uint64) for r in found]
+    found.sort(key=lambda r: (r["words"], r["fold"], *[-1 if r[f"y_{n}"] is None else r[f"y_{n}"] for n in names]))
+    each = [np.sort(np.array(r["words"], np.int64).view(np.uint64)) for r in found]
     y = {n: np.array([-1 if r[f"y_{n}"] is None else r[f"y_{n}"] for r in found]) for n in names}
     return train_chain(names, np.concatenate(each), np.array([len(x) for x in each]), y, np.array([r["fold"] for r in found]))
 
@@ -192,11 +238,15 @@ def score(docs: DataFrame, chain: Chain | None, names: Sequence[str]) -> DataFra
 
 
 def categories() -> dict[str, Column]:
-    """In chain order: text labelled of low quality, then toxic text."""
+    """In chain order: text labelled of low quality, then toxic text.
+
+    The labels there are have one category of toxicity only, so the chain's first link is low quality.
+    """
     return {"junk": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
+    """doc_id, p_junk, p_toxic and toxic (p_toxic reaches THRESHOLD); without usable labels nothing is toxic."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     chain = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), categories())
     return score(docs, chain, list(categories())).withColumn("toxic", F.col("p_toxic") >= THRESHOLD)

@@ -166,3 +166,67 @@ def test_decontamination_query(spark):
 
 def test_softmax_rows_sum_to_one():
     assert np.allclose(langid._softmax(np.random.default_rng(0).normal(size=(5, 3))).sum(axis=1), 1)
+
+
+def test_language_forward_pass_against_plain_loops():
+    """Filters at every place, the highest answer of each, softmax; a text's score is the mean of its windows."""
+    rng = np.random.default_rng(3)
+    net = langid.train([b"the and of to in is", b"der die und das ist ein"] * 10, ["en", "de"] * 10)
+    text = bytes(rng.integers(97, 123, 300).astype(np.uint8)) + b" the and"
+    data, windows = langid.padded([text])
+    got = langid.window_probabilities(net, data)
+    assert windows.tolist() == [2]
+    for w in range(2):
+        best = []
+        for width, table in zip(langid.WIDTHS, net.tables):
+            for f in range(langid.FILTERS):
+                best.append(max(sum(float(table[j][data[w * langid.WINDOW + p + j]][f]) for j in range(width)) for p in range(langid.WINDOW)))
+        z = [sum(max(b + float(c), 0) * float(net.dense[i][k]) for i, (b, c) in enumerate(zip(best, net.bias))) + float(net.offset[k]) for k in range(2)]
+        e = np.exp(np.array(z) - max(z))
+        assert np.allclose(got[w], e / e.sum(), atol=1e-4)
+
+
+def test_chain_against_plain_folds():
+    """Later categories learn from probabilities of models that never saw the row."""
+    rng = np.random.default_rng(4)
+    n = 240
+    y = {"a": rng.integers(0, 2, n), "b": rng.integers(0, 2, n)}
+    each = [np.unique(np.concatenate([rng.integers(100, 130, 5), [1 + y["a"][i]] * (rng.random() < 0.8), [10 + y["b"][i]] * (rng.random() < 0.8)])).astype(np.uint64) for i in range(n)]
+    counts, words, folds = np.array([len(x) for x in each]), np.concatenate(each), np.arange(n) % toxicity.FOLDS
+    chain = toxicity.train_chain(["a", "b"], words, counts, y, folds)
+    owner, held = np.repeat(np.arange(n), counts), np.zeros(n)
+    for f in range(toxicity.FOLDS):
+        link = toxicity._fit(words, owner, n, np.zeros((n, 0)), y["a"], folds != f)
+        for i in np.flatnonzero(folds == f):
+            z = link.bias + sum(float(link.weights[list(link.words).index(w)]) for w in each[i] if w in link.words)
+            held[i] = 1 / (1 + np.exp(-z))
+    want = toxicity._fit(words, owner, n, held[:, None], y["b"], np.ones(n, bool))
+    assert np.allclose(chain.links[1].weights, want.weights) and np.allclose(chain.links[1].earlier, want.earlier) and len(want.earlier) == 1
+
+
+def test_vocabulary_of_executors_is_what_the_models_choose(spark, monkeypatch):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    marks = {r.doc_id: (int(r.quality == 0), int(r.toxic == 1)) for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect() if r.doc_id in marks and r.text is not None}
+    chain = toxicity.learn(docs, labels, toxicity.categories())
+    words, counts = toxicity.presence([t.encode() for t in texts.values()])
+    ends = np.cumsum(counts)
+    folds = np.array([int(words[e - c] % np.uint64(toxicity.FOLDS)) if c else 0 for e, c in zip(ends, counts)])
+    plain = toxicity.train_chain(["junk", "toxic"], words, counts, {"junk": np.array([marks[i][0] for i in texts]), "toxic": np.array([marks[i][1] for i in texts])}, folds)
+    for a, b in zip(chain.links, plain.links):
+        assert a.words.tolist() == b.words.tolist() and np.allclose(a.weights, b.weights, atol=1e-6) and abs(a.bias - b.bias) < 1e-6
+
+
+def test_contradicting_labels_and_repeated_ids(spark):
+    text = [(i, f"good fine w{i % 5}" if i % 2 else f"vile rude w{i % 5}") for i in range(80)]
+    labels = [(i, 1, (i + 1) % 2) for i in range(80)]
+    df = spark.createDataFrame(text, "doc_id long, text string")
+    one = toxicity.learn(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), toxicity.categories())
+    more = spark.createDataFrame(labels + [(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    two = toxicity.learn(df.unionByName(df), more, toxicity.categories())
+    assert one.links[1].weights.tolist() == two.links[1].weights.tolist() and one.links[1].words.tolist() == two.links[1].words.tolist()
+
+
+def test_toxicity_query(spark):
+    rows = toxicity.op9_toxicity(spark, SF)
+    assert rows.columns == ["doc_id", "p_junk", "p_toxic", "toxic"] and rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
