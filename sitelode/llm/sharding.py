@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import shuffle_partitions
+from .scratch import materialize, shuffle_partitions
 
 #: Hex digits of the md5 that make a draw: 52 bits, exact in a double.
 DIGITS = 13
@@ -87,6 +87,7 @@ def assign_shards(
         )
         .withColumn("_cell", F.floor(F.col("_order") * F.lit(cells / 2 ** (4 * DIGITS))).cast("int"))
     )
+    rows = materialize(rows, "shards")  # hashed once; a row is some 40 bytes
     counts = rows.groupBy("_shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
