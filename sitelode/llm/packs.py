@@ -1,16 +1,17 @@
 """Exact matches across documents: packs of whole texts that trade anchors and units by key.
 
-Texts are packed, once, into rows of about ``PACK_BYTES``, a written table. Then
+Texts are packed, once, into rows of about ``PACK_BYTES``, a written table. Keys are dealt to parts, each of
+which stands for a fixed share of the text and is one task. Then
 
-1. each pack sends its distinct anchors, one row each, to the partition of their key, which tells the
-   packs of a shared one so;
-2. each pack sends its distinct units, stretches around shared anchors, to the partition of their key,
-   which compares them exactly and tells the packs which windows start in a document with a smaller id;
+1. each pack sends its distinct anchors to the parts of their keys, which tell the packs of shared ones so;
+2. each pack sends its distinct units, stretches around shared anchors, to the parts of their keys, which
+   compare them exactly and tell the packs which windows start in a document with a smaller id;
 3. each pack applies those answers to its texts.
 
-Rows grow with the text, whatever the numbers of packs and partitions, and a partition holds a fixed
-share of the text. Equal content of one pack travels once: a passage that every document has costs its
-partition one entry for each pack, about 24 bytes in step 1.
+What a pack has for a part is one row, so there are never more rows than anchors or units, however many
+packs and parts there are; and rows of any size are read as flat arrays, so small ones cost no more for each
+entry than large ones. Equal content of one pack travels once: a passage that every document has costs its
+part one entry for each pack, some 10 bytes in step 1 and the unit in step 2.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .scratch import materialize, shuffle_partitions
 
 PACK_BYTES = 2 << 20
 PACK_ROWS = 20_000
-#: Text bytes behind one partition of anchors or units, about.
+#: Text bytes behind one part, about.
 SHARE_BYTES = 16 << 20
 #: Bytes of units that are compared at a time; units of one key stay together.
 COMPARE_BYTES = 4 << 20
@@ -37,11 +38,19 @@ COMPARE_BYTES = 4 << 20
 COMMON = 1000
 #: Documents without an id count as having this one, the largest.
 NO_ID = np.iinfo(np.int64).max
-_PACK = "pack long, ids binary, lens binary, text binary, extra binary"
-_ANCHORS = "key long, pack long, slot int, times int"
-_SHARED = "pack long, slot int, common boolean"
-_UNITS = "key long, pack long, slot int, doc long, size int, body binary"
-_FOUND = "pack long, slot int, bits binary"
+_PACK = "pack long, size long, ids binary, lens binary, text binary, extra binary"
+_ANCHORS = "part int, pack long, keys binary, times binary"
+_SHARED = "pack long, part int, shared binary, common binary"
+_UNITS = "part int, pack long, docs binary, sizes binary, subs binary, body binary"
+_FOUND = "pack long, part int, bits binary"
+
+
+def _squeezed(data: bytes | np.ndarray) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True)
+
+
+def _restored(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, "zstd", asbytes=True) if size else b""
 
 
 def _packer(key: str, text: str):
@@ -60,8 +69,8 @@ def _packer(key: str, text: str):
             rest = table.drop_columns([text]).append_column("void", table.column(text).is_null())
             with pa.ipc.new_stream(sink, rest.schema) as w:
                 w.write_table(rest)
-            cols = [ids.tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), b"".join(texts), sink.getvalue().to_pybytes()]
-            return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), *[pa.array([c], pa.binary()) for c in cols]], names=["pack", "ids", "lens", "text", "extra"])
+            cols = [ids.tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), _squeezed(b"".join(texts)), sink.getvalue().to_pybytes()]
+            return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([size], pa.int64()), *[pa.array([c], pa.binary()) for c in cols]], names=["pack", "size", "ids", "lens", "text", "extra"])
 
         for batch in batches:
             sizes = np.asarray(pa.compute.binary_length(batch.column(text)).fill_null(0), np.int64)
@@ -85,16 +94,63 @@ class Pack:
 
     def __init__(self, ids: bytes, lens: bytes, text: bytes):
         self.ids, self.lens = np.frombuffer(ids, np.int64), np.frombuffer(lens, np.int64)
-        self.text = text
         self.ends = np.cumsum(self.lens)
+        self.text = _restored(text, int(self.lens.sum()))
 
     def texts(self) -> list[bytes]:
         return [self.text[e - n : e] for e, n in zip(self.ends.tolist(), self.lens.tolist())]
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, and each key's slot among them."""
-    return np.unique(keys, return_inverse=True)
+def _binaries(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Consecutive pieces of ``data`` as an array of binaries."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All binaries of a column as one array of bytes, and the length of each."""
+    lengths = np.asarray(pa.compute.binary_length(column).fill_null(0).combine_chunks(), np.int64)
+    return np.frombuffer(b"".join(x for x in column.to_pylist() if x), np.uint8), lengths
+
+
+def _packed(bits: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Consecutive runs of ``bits`` as binaries; a run that has none set is null."""
+    wide = -(-sizes // 8)
+    at = np.cumsum(wide) - wide
+    spread = np.zeros(int(wide.sum()) * 8, np.uint8)
+    spread[runs(at * 8, sizes)] = bits
+    data = np.packbits(spread)
+    some = np.add.reduceat(data, at, dtype=np.int64) > 0 if len(at) else np.zeros(0, bool)
+    full = _binaries(data, wide)
+    return pa.compute.if_else(pa.array(some), full, pa.nulls(len(full), pa.binary()))
+
+
+def _unpacked(column: pa.ChunkedArray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of bits that ``_packed`` has made, null ones as zeros."""
+    data, lengths = _joined(column)
+    out = np.zeros(int(sizes.sum()), bool)
+    have = lengths > 0
+    raw = np.unpackbits(data)
+    first = np.cumsum(sizes) - sizes
+    out[runs(first[have], sizes[have])] = raw[runs((np.cumsum(lengths) - lengths)[have] * 8, sizes[have])]
+    return out
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of ``keys`` by part; the parts there are, and how many keys each has."""
+    part = (keys % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    there, n = np.unique(part, return_counts=True)
+    return order, there, n
+
+
+def _distinct(keys: np.ndarray, parts: int):
+    """Distinct keys in sending order, each key's place in it, the parts and how many keys each has."""
+    uniq, inverse = np.unique(keys, return_inverse=True)
+    order, there, n = _dealt(uniq, parts)
+    place = np.empty(len(uniq), np.int64)
+    place[order] = np.arange(len(uniq))
+    return uniq[order], place[inverse], there, n
 
 
 class Method:
@@ -105,10 +161,14 @@ class Method:
         raise NotImplementedError
 
     def units(self, pack: Pack, state, shared: np.ndarray, common: np.ndarray):
-        """From marks for each anchor: state, then of the units to send their keys, document ids, numbers of windows, bodies in one array and the ends of each in it."""
+        """From marks for each anchor: state, then of the units to send their keys, document ids, numbers of windows (under 256), bodies in one array and the ends of each in it."""
+        raise NotImplementedError
+
+    def lengths(self, sizes: np.ndarray) -> np.ndarray:
+        """Bytes of the bodies of units with so many windows."""
         raise NotImplementedError
 
-    def compare(self, docs: np.ndarray, sizes: np.ndarray, body: bytes) -> np.ndarray:
+    def compare(self, docs: np.ndarray, sizes: np.ndarray, body: np.ndarray) -> np.ndarray:
         """For each window of the units, one after another, whole keys together: does a smaller document have it?"""
         raise NotImplementedError
 
@@ -117,50 +177,57 @@ class Method:
         raise NotImplementedError
 
 
-def _send(method: Method):
+def _send(method: Method, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pid, ids, lens, text in zip(*(batch.column(c).to_pylist() for c in ("pack", "ids", "lens", "text"))):
                 _, keys, docs = method.anchors(Pack(ids, lens, text))
-                uniq, slot = _distinct(keys)
-                n = np.bincount(slot, minlength=len(uniq))
+                uniq, place, there, n = _distinct(keys, parts)
+                times = np.bincount(place, minlength=len(uniq))
                 low, high = np.full(len(uniq), NO_ID), np.full(len(uniq), np.iinfo(np.int64).min)
-                np.minimum.at(low, slot, docs)
-                np.maximum.at(high, slot, docs)
-                times = np.where(low == high, 1, n)  # one document counts once
-                yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(np.full(len(uniq), pid, np.int64)), pa.array(np.arange(len(uniq), dtype=np.int32)), pa.array(times.astype(np.int32))], names=["key", "pack", "slot", "times"])
+                np.minimum.at(low, place, docs)
+                np.maximum.at(high, place, docs)
+                times = np.where(low == high, 1, np.clip(times, 2, 255)).astype(np.uint8)  # one document counts once
+                # five bytes of what the part does not tell; a clash costs work, never results
+                short = (uniq // np.uint64(parts)).view(np.uint8).reshape(-1, 8)[:, :5]
+                yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.full(len(there), pid)), _binaries(short, n * 5), _binaries(times, n)], names=["part", "pack", "keys", "times"])
 
     return run
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
-    """A partition's rows as one table with plain columns."""
     held = [b for b in batches if len(b)]
-    return pa.Table.from_batches(held).combine_chunks() if held else None
+    return pa.Table.from_batches(held) if held else None
 
 
-def _array(table: pa.Table, name: str) -> np.ndarray:
-    return np.asarray(table.column(name).chunk(0))
+def _flat(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table.column(name).combine_chunks())
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = _gathered(batches)
     if table is None:
         return
-    _, group = np.unique(_array(table, "key"), return_inverse=True)
-    total = np.bincount(group, weights=_array(table, "times"))
-    shared = np.flatnonzero((total >= 2)[group])
-    yield pa.RecordBatch.from_arrays([pa.array(_array(table, "pack")[shared]), pa.array(_array(table, "slot")[shared]), pa.array((total >= COMMON)[group[shared]])], names=["pack", "slot", "common"])
-
-
-def _units_of(method: Method, pack: Pack, slots: np.ndarray, common: np.ndarray):
-    """The units of a pack whose anchors in ``slots`` are shared."""
+    times, sizes = _joined(table.column("times"))
+    wide = np.zeros((len(times), 8), np.uint8)
+    wide[:, :5] = _joined(table.column("keys"))[0].reshape(-1, 5)
+    keys = wide.view(np.uint64)[:, 0] ^ (np.repeat(_flat(table, "part").astype(np.uint64), sizes) << np.uint64(40))
+    _, group = np.unique(keys, return_inverse=True)
+    total = np.bincount(group, weights=times)
+    out = pa.table({"pack": table.column("pack"), "part": table.column("part"), "shared": _packed((total >= 2)[group], sizes), "common": _packed((total >= COMMON)[group], sizes)})
+    yield from out.filter(pa.compute.is_valid(out.column("shared"))).combine_chunks().to_batches()
+
+
+def _units_of(method: Method, parts: int, pack: Pack, votes: pa.Table):
+    """The units of a pack whose anchors the parts say to be shared."""
     state, keys, _ = method.anchors(pack)
-    uniq, slot = _distinct(keys)
+    uniq, place, there, n = _distinct(keys, parts)
+    first = np.cumsum(n) - n
+    at = np.searchsorted(there, _flat(votes, "part"))
     marks = np.zeros((2, len(uniq)), bool)
-    marks[0, slots] = True
-    marks[1, slots] = common
-    return method.units(pack, state, *marks[:, slot])
+    for row, name in enumerate(("shared", "common")):
+        marks[row, runs(first[at], n[at])] = _unpacked(votes.column(name), n[at])
+    return method.units(pack, state, *marks[:, place])
 
 
 def _open(left: pa.Table) -> tuple[int, Pack]:
@@ -168,20 +235,27 @@ def _open(left: pa.Table) -> tuple[int, Pack]:
     return row.column("pack")[0].as_py(), Pack(*(row.column(c)[0].as_py() for c in ("ids", "lens", "text")))
 
 
-def _flat(table: pa.Table, name: str) -> np.ndarray:
-    return np.asarray(table.column(name).combine_chunks())
-
-
-def _ship(method: Method):
+def _ship(method: Method, parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):  # cannot be: answers go to packs that asked
-            return pa.table({"key": pa.array([], pa.int64()), "pack": pa.array([], pa.int64()), "slot": pa.array([], pa.int32()), "doc": pa.array([], pa.int64()), "size": pa.array([], pa.int32()), "body": pa.array([], pa.binary())})
         pid, pack = _open(left)
-        _, keys, docs, sizes, body, ends = _units_of(method, pack, _flat(right, "slot"), _flat(right, "common"))
-        n = len(keys)
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        bodies = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(body))])
-        return pa.table({"key": pa.array(keys.view(np.int64)), "pack": pa.array(np.full(n, pid, np.int64)), "slot": pa.array(np.arange(n, dtype=np.int32)), "doc": pa.array(docs), "size": pa.array(sizes.astype(np.int32)), "body": bodies})
+        _, keys, docs, sizes, body, ends = _units_of(method, parts, pack, right)
+        order, there, n = _dealt(keys, parts)
+        lengths = np.diff(ends, prepend=0)[order]
+        body = body[runs(ends[order] - lengths, lengths)]
+        cuts = np.concatenate([[0], np.cumsum(np.add.reduceat(lengths, np.cumsum(n) - n))]) if len(n) else np.zeros(1, np.int64)
+        bodies = [_squeezed(body[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:])]
+        # numbers for units of one key to be compared together
+        subs = (keys[order] // np.uint64(parts)).astype(np.uint16)
+        return pa.table(
+            {
+                "part": pa.array(there),
+                "pack": pa.array(np.full(len(there), pid)),
+                "docs": _binaries(docs[order], n * 8),
+                "sizes": _binaries(sizes[order].astype(np.uint8), n),
+                "subs": _binaries(subs, n * 2),
+                "body": pa.array(bodies, pa.binary()),
+            }
+        )
 
     return run
 
@@ -191,48 +265,45 @@ def _compare(method: Method):
         table = _gathered(batches)
         if table is None:
             return
-        keys = _array(table, "key")
-        order = np.argsort(keys, kind="stable")
-        table, keys = table.take(pa.array(order)).combine_chunks(), keys[order]
-        length = np.asarray(pa.compute.binary_length(table.column("body").chunk(0)), np.int64)
-        # ranges of whole keys
-        last = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1
-        total = np.cumsum(length)[last - 1]
-        part = total // COMPARE_BYTES
-        stops = last[np.flatnonzero(np.concatenate([part[1:] != part[:-1], [True]]))]
+        sizes, counts = _joined(table.column("sizes"))
+        sizes = sizes.astype(np.int64)
+        docs, subs = _joined(table.column("docs"))[0].view(np.int64), _joined(table.column("subs"))[0].view(np.uint16)
+        lengths = method.lengths(sizes)
+        raw = np.add.reduceat(lengths, np.cumsum(counts) - counts).tolist()
+        body = np.frombuffer(b"".join(_restored(x, n) for x, n in zip(table.column("body").to_pylist(), raw)), np.uint8)
+        start, first = np.cumsum(lengths) - lengths, np.cumsum(sizes) - sizes
+        order = np.argsort(subs, kind="stable")
+        # ranges of whole subs of about COMPARE_BYTES
+        last = np.flatnonzero(np.concatenate([np.diff(subs[order]) != 0, [True]])) + 1
+        share = np.cumsum(lengths[order])[last - 1] // COMPARE_BYTES
+        stops = last[np.concatenate([np.diff(share) != 0, [True]])]
+        bits = np.zeros(int(sizes.sum()), bool)
         for lo, hi in zip([0, *stops[:-1].tolist()], stops.tolist()):
-            rows = table.slice(lo, hi - lo)
-            sizes = _flat(rows, "size").astype(np.int64)
-            bits = method.compare(_flat(rows, "doc"), sizes, b"".join(rows.column("body").to_pylist()))
-            # a byte is the least that a row's bits take
-            wide = -(-sizes // 8)
-            at = np.cumsum(wide) - wide
-            spread = np.zeros(int(wide.sum()) * 8, np.uint8)
-            spread[runs(at * 8, sizes)] = bits
-            packed = np.packbits(spread)
-            some = np.flatnonzero(np.add.reduceat(packed, at, dtype=np.int64) > 0)
-            offsets = np.concatenate([[0], np.cumsum(wide[some])]).astype(np.int32)
-            answers = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(packed[runs(at[some], wide[some])])])
-            yield pa.RecordBatch.from_arrays([pa.array(_flat(rows, "pack")[some]), pa.array(_flat(rows, "slot")[some]), answers], names=["pack", "slot", "bits"])
+            own = order[lo:hi]
+            bits[runs(first[own], sizes[own])] = method.compare(docs[own], sizes[own], body[runs(start[own], lengths[own])])
+        windows = np.add.reduceat(sizes, np.cumsum(counts) - counts)
+        out = pa.table({"pack": table.column("pack"), "part": table.column("part"), "bits": _packed(bits, windows)})
+        yield from out.filter(pa.compute.is_valid(out.column("bits"))).combine_chunks().to_batches()
 
     return run
 
 
-def _finish(method: Method, names: list[str], order_out: list[str]):
+def _finish(method: Method, parts: int, names: list[str], order_out: list[str]):
     """``order_out`` names the columns to give: of the pack's other columns, ``t`` for the text itself, and ``names``."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         _, pack = _open(left)
         found = _flat(right, "step") == 2
-        votes, answers = right.filter(pa.array(~found)), right.filter(pa.array(found))
-        state, _, _, sizes, _, _ = _units_of(method, pack, _flat(votes, "slot"), np.asarray(_flat(votes, "common"), bool))
+        answers = right.filter(pa.array(found))
+        state, keys, _, sizes, _, _ = _units_of(method, parts, pack, right.filter(pa.array(~found)))
+        order, there, n = _dealt(keys, parts)
         first = np.cumsum(sizes) - sizes
         bits = np.zeros(int(sizes.sum()), bool)
         if len(answers):
-            slot = _flat(answers, "slot")
-            wide = -(-sizes[slot] // 8)
-            raw = np.unpackbits(np.frombuffer(b"".join(answers.column("bits").to_pylist()), np.uint8))
-            bits[runs(first[slot], sizes[slot])] = raw[runs((np.cumsum(wide) - wide) * 8, sizes[slot])]
+            at = np.searchsorted(there, _flat(answers, "part"))
+            mine = order[runs((np.cumsum(n) - n)[at], n[at])]  # units that got an answer, row by row
+            windows = np.add.reduceat(sizes[mine], np.cumsum(n[at]) - n[at])
+            bits[runs(first[mine], sizes[mine])] = _unpacked(answers.column("bits"), windows)
         made = method.finish(pack, state, bits)
         extra = pa.ipc.open_stream(left.column("extra")[0].as_py()).read_all()
         have = dict(zip(names, made)) | {n: c.combine_chunks() for n, c in zip(extra.column_names, extra.columns)}
@@ -250,17 +321,17 @@ def exchange(docs: DataFrame, method: Method, keep: list[str], made: list[tuple[
     columns = {c: "t" if c == "text" else f"c{i}" for i, c in enumerate(keep)}
     inner = docs.select(F.col("doc_id").cast("long").alias("k"), *[F.col(c).alias(a) for c, a in columns.items() if a != "t"], F.col("text").cast("string").alias("t"))
     packs = materialize(inner.mapInArrow(_packer("k", "t"), _PACK), "packs")
-    total = packs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(shuffle_partitions(spark), -(-total // SHARE_BYTES))
+    total = packs.agg(F.sum("size")).first()[0] or 0
+    parts = max(shuffle_partitions(spark), -(-total // SHARE_BYTES))
     bodies = packs.select("pack", "ids", "lens", "text")
-    anchors = bodies.mapInArrow(_send(method), _ANCHORS)
-    shared = materialize(anchors.repartition(n, "key").mapInArrow(_vote, _SHARED), "shared")
-    units = bodies.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_ship(method), _UNITS)
-    found = materialize(units.repartition(n, "key").mapInArrow(_compare(method), _FOUND), "found")
+    anchors = bodies.mapInArrow(_send(method, parts), _ANCHORS)
+    shared = materialize(anchors.repartitionById(parts, "part").mapInArrow(_vote, _SHARED), "shared")
+    units = bodies.groupBy("pack").cogroup(shared.groupBy("pack")).applyInArrow(_ship(method, parts), _UNITS)
+    found = materialize(units.repartitionById(parts, "part").mapInArrow(_compare(method), _FOUND), "found")
     names = [f"m{i}" for i in range(len(made))]
     order_out = [*columns.values(), *names]
     schema = T.StructType([*[inner.schema[a] for a in columns.values()], *[T.StructField(n, T._parse_datatype_string(t)) for n, (_, t) in zip(names, made)]])
-    none = F.lit(None)
-    answers = shared.select("pack", F.lit(1).alias("step"), "slot", "common", none.cast("binary").alias("bits")).unionByName(found.select("pack", F.lit(2).alias("step"), "slot", none.cast("boolean").alias("common"), "bits"))
-    out = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_finish(method, names, order_out), schema)
+    none = F.lit(None).cast("binary")
+    answers = shared.select("pack", F.lit(1).alias("step"), "part", "shared", "common", none.alias("bits")).unionByName(found.select("pack", F.lit(2).alias("step"), "part", none.alias("shared"), none.alias("common"), "bits"))
+    out = packs.drop("size").groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(_finish(method, parts, names, order_out), schema)
     return out.select(*[F.col(a).alias(c) for c, a in columns.items()], *[F.col(n).alias(c) for n, (c, _) in zip(names, made)])

@@ -62,8 +62,11 @@ class WordWindows(Method):
         sizes = np.ones(len(least), np.int64)
         return (w, doc, starts, own, member), a[new], least, sizes, body, np.arange(1, len(least) + 1) * 16
 
-    def compare(self, docs: np.ndarray, sizes: np.ndarray, body: bytes) -> np.ndarray:
-        one, two = np.frombuffer(body, np.uint64).reshape(-1, 2).T
+    def lengths(self, sizes: np.ndarray) -> np.ndarray:
+        return sizes * 16
+
+    def compare(self, docs: np.ndarray, sizes: np.ndarray, body: np.ndarray) -> np.ndarray:
+        one, two = body.view(np.uint64).reshape(-1, 2).T
         order = np.lexsort((docs, two, one))
         a, b, c = one[order], two[order], docs[order]
         new = np.ones(len(order), bool)

@@ -245,8 +245,11 @@ class ByteWindows(Method):
         body = data[runs(start[pick], lengths)]
         return (data, start, size, own, group, size[pick]), key[pick], ids[pick], size[pick], body, np.cumsum(lengths)
 
-    def compare(self, docs: np.ndarray, sizes: np.ndarray, body: bytes) -> np.ndarray:
-        return covered(docs, sizes, np.frombuffer(body, np.uint8))
+    def lengths(self, sizes: np.ndarray) -> np.ndarray:
+        return sizes + WINDOW - 1
+
+    def compare(self, docs: np.ndarray, sizes: np.ndarray, body: np.ndarray) -> np.ndarray:
+        return covered(docs, sizes, body)
 
     def finish(self, pack: Pack, state, bits: np.ndarray) -> list[pa.Array]:
         data, start, size, own, group, sent = state
