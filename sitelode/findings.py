@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import html
-from .registry import query, table
+from .registry import query, table, texts
+from .rules.families import families
 from .rules.catalogue import METRICS, RULES, SEVERITIES, UTILITY, WEIGHTS, Rule
 
-#: Rules in one projection; more make generated methods too large to compile well.
-CHUNK = 60
 _ROBOTS = {"noindex": "robots_noindex", "index": "robots_index", "nofollow": "robots_nofollow", "follow": "robots_follow"}
 
 
@@ -28,20 +27,15 @@ def severity_rank(severity: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), severity) - 1
 
 
+def made(rules: list[Rule] = RULES) -> Column:
+    """The findings of a page, an array in rule order: seq, code, severity, category, title, is_metric."""
+    each = [f"CASE WHEN {r.when} THEN named_struct('seq', {k}, 'code', '{r.code}', 'severity', '{r.severity}', 'category', '{r.category}', 'title', '{r.title}', 'is_metric', {str(r.code in METRICS).lower()}) END" for k, r in enumerate(rules)]
+    return F.expr(f"filter(array({', '.join(each)}), x -> x IS NOT NULL)")
+
+
 def findings(facts: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """One row for each rule that a page breaks, in rule order: page_id, url, seq, code, severity, category, title, is_metric."""
-    rows = judged(facts)
-    out = None
-    for lo in range(0, len(rules), CHUNK):
-        made = F.array(
-            *[
-                F.when(F.expr(r.when), F.struct(F.lit(lo + k).alias("seq"), F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.title).alias("title"), F.lit(r.code in METRICS).alias("is_metric")))
-                for k, r in enumerate(rules[lo : lo + CHUNK])
-            ]
-        )
-        part = rows.select("page_id", "url", F.inline(F.filter(made, lambda x: x.isNotNull())))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return judged(facts).select("page_id", "url", F.inline(made(rules)))
 
 
 def signature(title: Column) -> Column:
@@ -52,6 +46,12 @@ def signature(title: Column) -> Column:
     return F.array_join(kept, " ")
 
 
+def defect(code: Column, title: Column, known: dict[str, str] | None = None) -> Column:
+    """The defect that a code is known to report, else what its title says."""
+    known = families() if known is None else known
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in known.items() for x in pair])[code], signature(title))
+
+
 def collapse(found: DataFrame) -> DataFrame:
     """Findings of one page that describe one defect become one; other codes stay as ``also``.
 
@@ -60,7 +60,7 @@ def collapse(found: DataFrame) -> DataFrame:
     element), so the fold runs over an array.
     """
     item = F.struct("code", "seq", "severity", severity_rank(F.col("severity")).cast("int").alias("rank"), "category", "title", "is_metric")
-    grouped = found.groupBy("page_id", "url", signature(F.col("title")).alias("defect")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    grouped = found.groupBy("page_id", "url", defect(F.col("code"), F.col("title")).alias("defect")).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def step(acc: Column, x: Column) -> Column:
         first_of = F.element_at(acc, 1)
@@ -90,7 +90,7 @@ def penalty(weights: Column) -> Column:
 
 
 def of(spark, sf_dir: str) -> DataFrame:
-    return findings(html.page_facts(table(spark, sf_dir, "pages")))
+    return findings(html.page_facts(texts(spark, sf_dir, "pages")))
 
 
 # --- SQL twins -------------------------------------------------------------------------------------
@@ -119,7 +119,7 @@ def _product(w: str) -> str:
 
 @query("page_facts", f"WITH {html.SQL} SELECT * FROM pf")
 def page_facts(spark, sf_dir):
-    return html.page_facts(table(spark, sf_dir, "pages"))
+    return html.page_facts(texts(spark, sf_dir, "pages"))
 
 
 @query("findings_all", f"WITH {SQL} SELECT * FROM fnd")
@@ -133,7 +133,8 @@ _SIGNATURE = "array_to_string(list_filter(list_transform(regexp_split_to_array(l
 # Rules here emit once for each page, so the strictest finding of a defect, first by code, is what stays.
 @query(
     "findings_collapsed",
-    f"""WITH {SQL}, s AS (SELECT *, {_SIGNATURE} AS defect, {_ranks} AS rank FROM fnd),
+    f"""WITH {SQL}, fam(known, defect) AS (VALUES {", ".join(f"('{c}', '{d}')" for c, d in families().items())}),
+    s AS (SELECT fnd.*, coalesce(defect, {_SIGNATURE}) AS defect, {_ranks} AS rank FROM fnd LEFT JOIN fam ON known = code),
     c AS (SELECT page_id, defect, list_sort(list(DISTINCT code)) AS codes FROM s GROUP BY ALL)
     SELECT page_id, url, seq, code, severity, category, title, is_metric, array_to_string(list_filter(codes, lambda c: c <> code), ',') AS also
     FROM s JOIN c USING (page_id, defect) QUALIFY row_number() OVER (PARTITION BY page_id, defect ORDER BY rank, code, seq) = 1""",
@@ -154,9 +155,8 @@ def issues_by_category(spark, sf_dir):
 
 @query("crawl_stats", f"WITH {SQL} SELECT (SELECT count(*) FROM pf) AS pages, (SELECT sum(html_bytes) FROM pf)::BIGINT AS bytes, (SELECT avg(word_count) FROM pf) AS avg_words, (SELECT count(*) FROM fnd WHERE NOT is_metric) AS issues, (SELECT count(*) FROM links) AS links")
 def crawl_stats(spark, sf_dir):
-    facts = html.page_facts(table(spark, sf_dir, "pages"))
-    one = facts.agg(F.count("*").alias("pages"), F.sum("html_bytes").alias("bytes"), F.avg("word_count").alias("avg_words"), F.sum("link_count").alias("links"))
-    return one.crossJoin(findings(facts).where("NOT is_metric").agg(F.count("*").alias("issues")))
+    facts = judged(html.page_facts(texts(spark, sf_dir, "pages"))).select("html_bytes", "word_count", "link_count", F.size(F.filter(made(), lambda x: ~x["is_metric"])).alias("found"))
+    return facts.agg(F.count("*").alias("pages"), F.sum("html_bytes").alias("bytes"), F.avg("word_count").alias("avg_words"), F.sum("link_count").alias("links"), F.sum("found").alias("issues"))
 
 
 @query("metric_split", f"WITH {SQL} SELECT count(*) FILTER (is_metric) AS metrics, count(*) FILTER (NOT is_metric) AS defects FROM fnd")
@@ -194,8 +194,8 @@ def issue_code_aggregates(spark, sf_dir):
 
 
 def _weighted(spark, sf_dir) -> DataFrame:
-    found = of(spark, sf_dir).where("NOT is_metric")
-    return found.join(F.broadcast(weights(found)), "code")
+    codes = spark.createDataFrame([(r.code,) for r in RULES], "code string")
+    return of(spark, sf_dir).where("NOT is_metric").join(F.broadcast(weights(codes)), "code")
 
 
 _W = f"WITH {SQL}, fw AS (SELECT * FROM fnd JOIN wts USING (code) WHERE NOT is_metric)"
@@ -248,14 +248,14 @@ _impact = "CASE rank " + " ".join(f"WHEN {k} THEN {IMPACTS[s]}" for k, s in enum
     f"""WITH {SQL}, g AS (SELECT code, min({_ranks}) AS rank, count(DISTINCT url) AS urls FROM fnd WHERE NOT is_metric GROUP BY code),
     i AS (SELECT code, {_duck_prefix(INSIGHT_CATEGORIES, 'seo')} AS category, {_duck_prefix(EFFORTS, 'moderate')} AS effort, urls, round(CAST({_impact} AS DOUBLE) * urls / (SELECT count(*) FROM pf), 6) AS impact FROM g)
     SELECT *, CASE WHEN impact >= 75 THEN 'critical' WHEN impact >= 50 THEN 'high' WHEN impact >= 25 THEN 'medium' ELSE 'low' END AS priority
-    FROM i ORDER BY impact DESC, code LIMIT 20""",
+    FROM i ORDER BY impact DESC, CASE effort WHEN 'quick' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END, code LIMIT 20""",
 )
 def insights(spark, sf_dir, most=20):
-    """Codes by impact: severity's base times the share of pages."""
-    facts = html.page_facts(table(spark, sf_dir, "pages"))
-    total = facts.agg(F.count("*").alias("total"))
+    """Codes by impact: severity's base times the share of pages; of equal impact the least effort first."""
+    total = table(spark, sf_dir, "pages").agg(F.count("*").alias("total"))
     base = F.create_map(*[x for s in SEVERITIES for x in (F.lit(SEVERITIES.index(s)), F.lit(IMPACTS[s]))])
-    rows = findings(facts).where("NOT is_metric").groupBy("code").agg(F.min(severity_rank(F.col("severity")).cast("int")).alias("rank"), F.countDistinct("url").alias("urls"))
+    rows = of(spark, sf_dir).where("NOT is_metric").groupBy("code").agg(F.min(severity_rank(F.col("severity")).cast("int")).alias("rank"), F.countDistinct("url").alias("urls"))
     rows = rows.crossJoin(F.broadcast(total)).select("code", _by_prefix(F.col("code"), INSIGHT_CATEGORIES, "seo").alias("category"), _by_prefix(F.col("code"), EFFORTS, "moderate").alias("effort"), "urls", F.round(base[F.col("rank")] * F.col("urls") / F.col("total"), 6).alias("impact"))
     level = F.when(F.col("impact") >= 75, "critical").when(F.col("impact") >= 50, "high").when(F.col("impact") >= 25, "medium").otherwise("low")
-    return rows.withColumn("priority", level).orderBy(F.desc("impact"), "code").limit(most)
+    effort = F.array_position(F.array(*[F.lit(name) for name, _ in EFFORTS]), F.col("effort"))
+    return rows.withColumn("priority", level).orderBy(F.desc("impact"), effort, "code").limit(most)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..registry import query, table
+from .. import html
+from ..registry import query, table, texts
 
 # Query keys that hold a page number, in order.
 PAGE_KEYS = "page p pg start offset pagina".split()
@@ -92,12 +93,135 @@ def retry_queue(spark, sf_dir):
     return e.select("event_id", backoff(F.col("event_id") % 12, 1000, F.col("event_id")).alias("wait_ms"), retry_score(F.col("event_id"), F.col("user_id")).alias("score")).orderBy("score", "event_id").limit(500)
 
 
-@query("share_previews", "SELECT doc_id, replace(replace(replace(replace(replace(substr(coalesce(text, ''), 1, 80), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;') AS preview FROM documents")
+def share_preview(facts):
+    """url, title, description, site, crumb and image that a shared page shows, escaped: canonical URL else its own, stand-ins for what is missing."""
+    at = F.coalesce("canonical", "url")
+    say = lambda c, missing: escape_html(F.coalesce(c, F.lit(missing)))
+    return facts.select(
+        "page_id",
+        escape_html(at).alias("shown_url"),
+        say("title", "Untitled page").alias("title"),
+        say("description", "No meta description stored for this page.").alias("description"),
+        F.regexp_extract(at, "^[A-Za-z]+://([^/?#:]+)", 1).alias("site"),
+        escape_html(breadcrumb(at)).alias("crumb"),
+        escape_html(F.col("og_image")).alias("image"),
+    )
+
+
+def _duck_escape(e: str) -> str:
+    return f"replace(replace(replace(replace(replace({e}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#39;')"
+
+
+_at = "coalesce(canonical, url)"
+_crumb = f"array_to_string(list_concat([regexp_extract({_at}, '^[a-z]+://([^/?#]+)', 1)], list_filter(string_split(regexp_extract({_at}, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/'), lambda s: s <> '')), ' › ')"
+
+
+@query(
+    "share_previews",
+    f"WITH {html.SQL} SELECT page_id, {_duck_escape(_at)} AS shown_url, {_duck_escape("coalesce(title, 'Untitled page')")} AS title, {_duck_escape("coalesce(description, 'No meta description stored for this page.')")} AS description, regexp_extract({_at}, '^[A-Za-z]+://([^/?#:]+)', 1) AS site, {_duck_escape(_crumb)} AS crumb, {_duck_escape('og_image')} AS image FROM pf",
+)
 def share_previews(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", escape_html(F.substring(F.coalesce("text", F.lit("")), 1, 80)).alias("preview"))
+    return share_preview(html.page_facts(texts(spark, sf_dir, "pages")))
+
+
+def collapsed(text: Column) -> Column:
+    """White space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " "))
+
+
+@query("collapse_whitespace", "SELECT doc_id, md5(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS digest FROM documents")
+def collapse_whitespace(spark, sf_dir):
+    """Digests of texts with their white space collapsed."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(collapsed(F.coalesce("text", F.lit(""))).cast("binary")).alias("digest"))
+
+
+def shortened(url: Column, most: int) -> Column:
+    """A label of at most ``most`` characters, the last one an ellipsis if something is cut."""
+    return F.when(F.length(url) > most, F.concat(F.substring(url, 1, most - 1), F.lit("…"))).otherwise(url)
+
+
+@query("url_labels", "SELECT page_id, CASE WHEN length(url) > 24 THEN substr(url, 1, 23) || '…' ELSE url END AS label FROM pages")
+def url_labels(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", shortened(F.col("url"), 24).alias("label"))
+
+
+def charset(content_type: Column) -> Column:
+    """The charset of a content type, lower case without quotes; null without one."""
+    return F.nullif(F.lower(F.trim(F.regexp_extract(content_type, "(?i)charset\\s*=\\s*[\"']?([^;\"'\\s]+)", 1))), F.lit(""))
+
+
+def is_html(content_type: Column) -> Column:
+    """Is a response to be judged as a document? One without a content type is."""
+    return F.coalesce(F.lower(content_type).rlike("html|xhtml"), F.lit(True))
+
+
+_TYPES = ["text/html; charset=UTF-8", "text/css", "application/pdf", "text/html;charset='iso-8859-1'", "application/xhtml+xml"]
+
+
+@query("content_types", "WITH t AS (SELECT page_id, ['text/html; charset=UTF-8', 'text/css', 'application/pdf', 'text/html;charset=' || chr(39) || 'iso-8859-1' || chr(39), 'application/xhtml+xml', NULL][page_id % 6 + 1] AS content_type FROM pages) SELECT page_id, nullif(lower(trim(regexp_extract(content_type, '(?i)charset\\s*=\\s*[\"'']?([^;\"''\\s]+)', 1))), '') AS charset, coalesce(regexp_matches(lower(content_type), 'html|xhtml'), true) AS is_html FROM t")
+def content_types(spark, sf_dir):
+    """Charset of each response and whether it is a document; content types are dealt to the pages by number, as the table has none."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in _TYPES], F.lit(None).cast("string")), (F.col("page_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", charset(kind).alias("charset"), is_html(kind).alias("is_html"))
+
+
+def private_host(host: Column) -> Column:
+    """Is a host an address that a crawler must not reach: loopback, private, link-local, carrier, multicast, or local by name?"""
+    local = F.lower(host).rlike(r"^(localhost|.*\.localhost|.*\.local|.*\.internal)$")
+    v4 = host.rlike(r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^(22[4-9]|2[3-5][0-9])\.") & host.rlike(r"^[0-9.]+$")
+    v6 = F.lower(host).rlike(r"^\[?(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]?$")
+    return local | v4 | v6
+
+
+@query("private_hosts", "WITH h AS (SELECT event_id, ['10.0.', '172.16.', '172.32.', '8.8.', '100.64.', '192.168.', '169.254.', '203.0.'][event_id % 8 + 1] || user_id % 256 || '.' || event_id % 200 AS host FROM events) SELECT event_id, host, event_id % 8 NOT IN (2, 3, 7) AS private FROM h")
+def private_hosts(spark, sf_dir):
+    """Addresses made of the events' numbers, each judged."""
+    first = F.element_at(F.array(*[F.lit(x) for x in ("10.0.", "172.16.", "172.32.", "8.8.", "100.64.", "192.168.", "169.254.", "203.0.")]), (F.col("event_id") % 8 + 1).cast("int"))
+    host = F.concat(first, (F.col("user_id") % 256).cast("string"), F.lit("."), (F.col("event_id") % 200).cast("string"))
+    return table(spark, sf_dir, "events").select("event_id", host.alias("host")).withColumn("private", private_host(F.col("host")))
+
+
+def canonical_json(text: Column) -> Column:
+    """An object's members sorted by key, values as they are written; null for what is no object."""
+    members = F.from_json(text, "map<string,string>")
+    quoted = F.transform(F.array_sort(F.map_keys(members)), lambda k: F.concat(F.to_json(F.struct(k.alias("k"))), F.lit("|"), F.coalesce(members[k], F.lit("null"))))
+    return F.when(members.isNotNull(), F.array_join(quoted, ","))
+
+
+def hmac_sha256(key: str, text: Column) -> Column:
+    """HMAC-SHA256 of a text, lower-case hex, by its definition: two nested hashes over the padded key."""
+    block = key.encode()
+    if len(block) > 64:
+        import hashlib
+
+        block = hashlib.sha256(block).digest()
+    block = block.ljust(64, b"\0")
+    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in block).hex()))
+    inner = F.unhex(F.sha2(F.concat(pad(0x36), F.encode(text, "UTF-8")), 256))
+    return F.sha2(F.concat(pad(0x5C), inner), 256)
+
+
+_PAD = lambda x: "unhex('" + bytes(b ^ x for b in b"secret".ljust(64, b"\0")).hex() + "')"
+
+
+@query("signed_payloads", f"SELECT event_id, sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode(coalesce(props, ''))))) AS signature FROM events")
+def signed_payloads(spark, sf_dir):
+    """A signature of each event's payload."""
+    return table(spark, sf_dir, "events").select("event_id", hmac_sha256("secret", F.coalesce("props", F.lit(""))).alias("signature"))
+
+
+def style_values(page: Column, name: str) -> Column:
+    """All values of a property in style attributes and sheets of a page, in order."""
+    return F.transform(F.regexp_extract_all(page, F.lit(rf"(?is)(?:^|[;{{\"'\s]){name}\s*:\s*([^;}}\"']+)"), 1), lambda x: F.lower(F.trim(x)))
+
+
+@query("inline_styles", "SELECT page_id, list_transform(regexp_extract_all(coalesce(html, ''), '(?is)(?:^|[;{\"''\\s])color\\s*:\\s*([^;}\"'']+)', 1), lambda x: lower(trim(x))) AS colors, list_transform(regexp_extract_all(coalesce(html, ''), '(?is)(?:^|[;{\"''\\s])font-size\\s*:\\s*([^;}\"'']+)', 1), lambda x: lower(trim(x))) AS sizes FROM pages")
+def inline_styles(spark, sf_dir):
+    page = F.coalesce("html", F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", style_values(page, "color").alias("colors"), style_values(page, "font-size").alias("sizes"))
 
 
-@query("outlines", "SELECT item_id, 'How to ' || substr(text, 1, 20) || ': ' || len(string_split(text, ' ')) || ' words' AS outline FROM benchmark")
-def outlines(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark")
-    return rows.select("item_id", render("How to {{topic}}: {{n}} words", topic=F.substring("text", 1, 20), n=F.size(F.split("text", " ")).cast("string")).alias("outline"))
+def marked_types(page: Column, attribute: str) -> Column:
+    """Values of ``itemtype`` (microdata) or ``typeof`` (RDFa), one for each word, in order."""
+    found = F.regexp_extract_all(page, F.lit(rf"(?is)\b{attribute}\s*=\s*[\"']([^\"']+)[\"']"), 1)
+    return F.filter(F.flatten(F.transform(found, lambda x: F.split(x, r"\s+"))), lambda x: x != "")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import html
 from .functions import urls
 from .plans.scratch import cut
-from .registry import query, table
+from .registry import query, table, texts
 
 DAMPING, ROUNDS = 0.85, 20
 #: Rounds between lineage cuts.
@@ -23,7 +23,7 @@ def links(parsed: DataFrame) -> DataFrame:
 
 
 def of(spark, sf_dir: str) -> DataFrame:
-    return links(html.parse(table(spark, sf_dir, "pages")))
+    return links(html.parse(texts(spark, sf_dir, "pages")))
 
 
 def edges(found: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def orphan_pages(spark, sf_dir):
 
 @query("dead_ends", f"WITH {html.SQL} SELECT page_id, url FROM pf WHERE internal_links = 0")
 def dead_ends(spark, sf_dir):
-    return html.page_facts(table(spark, sf_dir, "pages")).where("internal_links = 0").select("page_id", "url")
+    return html.page_facts(texts(spark, sf_dir, "pages")).where("internal_links = 0").select("page_id", "url")
 
 
 @query("authority_share", f"WITH {html.SQL}, i AS (SELECT regexp_replace(target_url, '/$', '') AS url, count(*) AS n FROM links WHERE NOT is_external AND source_url <> target_url GROUP BY 1) SELECT url, n, round(100.0 * n / (SELECT count(*) FROM links), 6) AS pct FROM i ORDER BY n DESC, url LIMIT 20")
@@ -179,12 +179,12 @@ def graph_dot(spark, sf_dir):
 
 @query("headings_extract", f"WITH {html.SQL} SELECT page_id, h.level AS level, h.text AS text, strlen(h.text) AS bytes FROM (SELECT page_id, unnest(headings) AS h FROM pg)")
 def headings_extract(spark, sf_dir):
-    return html.parse(table(spark, sf_dir, "pages")).select("page_id", F.inline("headings")).withColumn("bytes", F.octet_length("text").cast("long"))
+    return html.parse(texts(spark, sf_dir, "pages")).select("page_id", F.inline("headings")).withColumn("bytes", F.octet_length("text").cast("long"))
 
 
 @query("h1_census", f"WITH {html.SQL} SELECT h1_count, count(*) AS pages FROM pf GROUP BY 1")
 def h1_census(spark, sf_dir):
-    return html.page_facts(table(spark, sf_dir, "pages")).groupBy("h1_count").agg(F.count("*").alias("pages"))
+    return html.page_facts(texts(spark, sf_dir, "pages")).groupBy("h1_count").agg(F.count("*").alias("pages"))
 
 
 @query(

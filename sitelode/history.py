@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import findings, html
-from .registry import query, table
+from .registry import query, table, texts
 
 
 def crawls(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Page facts as they are, and a second crawl: some pages gone, some changed, some new."""
-    base = html.page_facts(table(spark, sf_dir, "pages")).select("page_id", "url", "title", "word_count", "html_bytes")
+    base = html.page_facts(texts(spark, sf_dir, "pages")).select("page_id", "url", "title", "word_count", "html_bytes")
     p = F.col("page_id")
     later = base.where("page_id % 17 <> 0").select(
         "page_id",
@@ -103,10 +103,59 @@ def _snapshots(spark, sf_dir):
     return s.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("issues") / F.col("pages"))))
 
 
-@query("history_series", f"WITH {_SNAP} SELECT day, pages, issues, round(score, 9) AS score, issues - lag(issues) OVER (ORDER BY day) AS delta FROM h")
+_ROWS = "hs AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run_id, ts, event_id, 'page ' || user_id % 40 AS page, event_type AS category, 'metric ' || event_id % 3 AS metric, value FROM events)"
+
+
+def _history(spark, sf_dir):
+    """run_id, ts, page, category, metric, value (event_id tells rows of one time apart): events as rows of a history."""
+    e, text = table(spark, sf_dir, "events"), lambda word, n: F.concat(F.lit(word), n.cast("string"))
+    return e.select(F.col("ts").cast("date").cast("string").alias("run_id"), "ts", "event_id", text("page ", F.col("user_id") % 40).alias("page"), F.col("event_type").alias("category"), text("metric ", F.col("event_id") % 3).alias("metric"), "value")
+
+
+def series(rows: DataFrame) -> DataFrame:
+    """page, category, metric, samples, first, last and delta of each series, in order of time and run."""
+    order = F.struct("ts", "run_id", "event_id")
+    return rows.groupBy("page", "category", "metric").agg(F.count("*").alias("samples"), F.min_by("value", order).alias("first"), F.max_by("value", order).alias("last")).withColumn("delta", F.col("last") - F.col("first"))
+
+
+@query("history_series", f"WITH {_ROWS} SELECT page, category, metric, count(*) AS samples, arg_min(value, (ts, run_id, event_id)) AS first, arg_max(value, (ts, run_id, event_id)) AS last, arg_max(value, (ts, run_id, event_id)) - arg_min(value, (ts, run_id, event_id)) AS delta FROM hs GROUP BY page, category, metric")
 def history_series(spark, sf_dir):
-    """One row for each day's snapshot, few whatever the events; so one ordered window will do."""
-    return _snapshots(spark, sf_dir).withColumn("delta", F.col("issues") - F.lag("issues").over(Window.orderBy("day"))).withColumn("score", F.round("score", 9))
+    return series(_history(spark, sf_dir))
+
+
+@query("history_runs", f"WITH {_ROWS} SELECT run_id, min(ts) AS first_ts, count(*) AS n FROM hs GROUP BY run_id")
+def history_runs(spark, sf_dir):
+    return _history(spark, sf_dir).groupBy("run_id").agg(F.min("ts").alias("first_ts"), F.count("*").alias("n"))
+
+
+@query("latest_runs", f"WITH {_ROWS}, r AS (SELECT run_id, min(ts) AS first_ts FROM hs GROUP BY run_id) SELECT run_id, row_number() OVER (ORDER BY first_ts DESC, run_id DESC) AS back FROM r QUALIFY back <= 2")
+def latest_runs(spark, sf_dir):
+    """The latest run (1) and the one before it (2): that is what is asked for."""
+    last = history_runs(spark, sf_dir).orderBy(F.desc("first_ts"), F.desc("run_id")).limit(2)
+    return last.withColumn("back", F.row_number().over(Window.orderBy(F.desc("first_ts"), F.desc("run_id"))).cast("long")).select("run_id", "back")
+
+
+@query("regression_deltas", f"WITH {_ROWS}, r AS (SELECT run_id, count(*) FILTER (category = 'error') AS errors, count(*) FILTER (category <> 'error') AS others, avg(value) AS level FROM hs GROUP BY run_id), d AS (SELECT run_id, errors - lag(errors) OVER (ORDER BY run_id) AS new_errors, lag(others) OVER (ORDER BY run_id) - others AS removed, round(level - lag(level) OVER (ORDER BY run_id), 6) AS change FROM r) SELECT run_id, greatest(new_errors, 0) AS new_errors, greatest(removed, 0) AS removed, change, new_errors > 0 OR removed > 5 AS regressed FROM d WHERE new_errors IS NOT NULL")
+def regression_deltas(spark, sf_dir, most_removed=5):
+    """Each run against the one before (runs are few): more errors, fewer other rows, change of the level; and whether a gate would close."""
+    r = _history(spark, sf_dir).groupBy("run_id").agg(F.count_if(F.col("category") == "error").alias("errors"), F.count_if(F.col("category") != "error").alias("others"), F.avg("value").alias("level"))
+    before = lambda c: F.lag(c).over(Window.orderBy("run_id"))
+    d = r.select("run_id", (F.col("errors") - before("errors")).alias("new_errors"), (before("others") - F.col("others")).alias("removed"), F.round(F.col("level") - before("level"), 6).alias("change")).where("new_errors IS NOT NULL")
+    return d.select("run_id", F.greatest("new_errors", F.lit(0)).alias("new_errors"), F.greatest("removed", F.lit(0)).alias("removed"), "change", ((F.col("new_errors") > 0) | (F.col("removed") > most_removed)).alias("regressed"))
+
+
+def content_change(before, later):
+    """How severe a change of the number of words is: by more than a half, by more than a fifth."""
+    share = F.abs(later - before) / before
+    return F.when(before.isNull() & later.isNull(), "info").when(before.isNull() | later.isNull() | (before <= 0), "warning").when(share > 0.5, "critical").when(share > 0.2, "warning").otherwise("info")
+
+
+@query("content_changes", f"{_TWO} SELECT url, w1, w2, CASE WHEN w1 IS NULL AND w2 IS NULL THEN 'info' WHEN w1 IS NULL OR w2 IS NULL OR w1 <= 0 THEN 'warning' WHEN abs(w2 - w1) / CAST(w1 AS DOUBLE) > CAST(0.5 AS DOUBLE) THEN 'critical' WHEN abs(w2 - w1) / CAST(w1 AS DOUBLE) > CAST(0.2 AS DOUBLE) THEN 'warning' ELSE 'info' END AS severity FROM j WHERE p IS NOT NULL AND q IS NOT NULL")
+def content_changes(spark, sf_dir):
+    """For pages of both crawls, how severe the change of their length is."""
+    first = lambda d, c: d.groupBy("url").agg(F.min_by(F.struct("word_count"), "page_id").alias("r")).select("url", F.col("r.word_count").alias(c))
+    base, later = crawls(spark, sf_dir)
+    return first(base, "w1").join(first(later, "w2"), "url").withColumn("severity", content_change(F.col("w1"), F.col("w2")))
 
 
 @query("health_trend", f"WITH {_SNAP}, t AS (SELECT count(*) AS points, coalesce(regr_slope(score, i), 0) AS slope, avg(score) AS mean, arg_min(score, day) AS first, arg_max(score, day) AS last FROM h) SELECT points, round(slope, 9) AS slope, round(first, 9) AS first, round(last, 9) AS last, CASE WHEN mean > 0 AND slope / mean > 0.05 THEN 'improving' WHEN mean > 0 AND slope / mean < -0.05 THEN 'declining' ELSE 'stable' END AS direction FROM t")
@@ -140,7 +189,29 @@ def audit_chain_verify(spark, sf_dir):
     return _chain(spark, sf_dir).withColumn("ok", F.col("previous_hash") == want).groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("broken"))
 
 
-@query("ci_gate", f"WITH {findings.SQL}, s AS (SELECT count(*) FILTER (severity IN ('critical', 'error')) AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM fnd WHERE NOT is_metric) SELECT errors, warnings, CASE WHEN errors > 100 THEN 10 WHEN warnings > 1000 THEN 11 ELSE 0 END AS exit_code FROM s")
+@query("history_scores", f"WITH {findings.SQL}, fw AS (SELECT * FROM fnd JOIN wts USING (code) WHERE NOT is_metric) SELECT url, category, round({findings._product('weight')}, 9) AS score FROM fw GROUP BY url, category")
+def history_scores(spark, sf_dir):
+    """Snapshot rows of scores by page and category."""
+    return findings._weighted(spark, sf_dir).groupBy("url", "category").agg(F.round(findings.penalty(F.collect_list("weight")), 9).alias("score"))
+
+
+def gate(errors, warnings, score, most_errors=0, most_warnings=None, least_score=None, new_errors=0):
+    """The code a report ends with: 10 for errors, also new ones, 11 for warnings, 12 for a low score, 0 else, in that order."""
+    out = F.when((errors > most_errors) | F.lit(new_errors > 0), 10)
+    if most_warnings is not None:
+        out = out.when(warnings > most_warnings, 11)
+    if least_score is not None:
+        out = out.when(score < least_score, 12)
+    return out.otherwise(0)
+
+
+_GATE = f"WITH {findings.SQL}, fw AS (SELECT * FROM fnd JOIN wts USING (code) WHERE NOT is_metric), c AS (SELECT count(*) FILTER (severity IN ('critical', 'error')) AS errors, count(*) FILTER (severity = 'warning') AS warnings FROM fw), s AS (SELECT coalesce(round(avg(greatest(0.0, least(100.0, score))), 2), 100.0) AS score FROM (SELECT {findings._product('weight')} AS score FROM fw GROUP BY url))"
+
+
+@query("ci_gate", f"{_GATE} SELECT errors, warnings, score, CASE WHEN errors > 100 THEN 10 WHEN warnings > 1000 THEN 11 ELSE 0 END AS exit_code, CASE WHEN errors > 10000000 THEN 10 WHEN score < 99.9 THEN 12 ELSE 0 END AS by_score, 10 AS by_baseline FROM c, s")
 def ci_gate(spark, sf_dir, errors=100, warnings=1000):
-    s = findings.of(spark, sf_dir).where("NOT is_metric").agg(F.count_if(F.col("severity").isin("critical", "error")).alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
-    return s.withColumn("exit_code", F.when(F.col("errors") > errors, 10).when(F.col("warnings") > warnings, 11).otherwise(0))
+    """Counts, site score and the exit codes of three gates: of counts, of the score, and against a baseline with fewer errors."""
+    by_page = findings._weighted(spark, sf_dir).groupBy("url").agg(F.count_if(F.col("severity").isin("critical", "error")).alias("e"), F.count_if(F.col("severity") == "warning").alias("w"), findings.penalty(F.collect_list("weight")).alias("s"))
+    s = by_page.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("errors"), F.coalesce(F.sum("w"), F.lit(0)).alias("warnings"), F.coalesce(F.round(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(100.0), "s"))), 2), F.lit(100.0)).alias("score"))
+    e, w, c = F.col("errors"), F.col("warnings"), F.col("score")
+    return s.select("errors", "warnings", "score", gate(e, w, c, errors, warnings).alias("exit_code"), gate(e, w, c, 10_000_000, None, 99.9).alias("by_score"), gate(e, w, c, 10_000_000, new_errors=1).alias("by_baseline"))

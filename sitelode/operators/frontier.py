@@ -79,14 +79,8 @@ def scope_filter(spark, sf_dir):
     return rows.where(in_scope(F.col("target_url"), ["*.example.com"], block_prefixes=["/en/9"]))
 
 
-@query("frontier_order", f"{_L}, f AS (SELECT target_url AS url, length({html._pathsql('target_url')}) % 3 AS priority, min(page_id) AS seq FROM links GROUP BY ALL) SELECT url, priority, seq FROM f ORDER BY priority, url LIMIT 100")
+@query("frontier_order", f"{_L}, f AS (SELECT target_url AS url, length({html._pathsql('target_url')}) % 3 AS priority, min(page_id) AS seq FROM links GROUP BY ALL) SELECT url, priority, seq, row_number() OVER (ORDER BY priority, url) AS position FROM f")
 def frontier_order(spark, sf_dir):
-    """The first 100 to be popped; ``frontier_order_all`` has every URL."""
-    return first_sight(_found(spark, sf_dir)).orderBy("priority", "url").limit(100)
-
-
-@query("frontier_order_all", f"{_L}, f AS (SELECT target_url AS url, length({html._pathsql('target_url')}) % 3 AS priority, min(page_id) AS seq FROM links GROUP BY ALL) SELECT url, priority, seq, row_number() OVER (ORDER BY priority, url) AS position FROM f")
-def frontier_order_all(spark, sf_dir):
     """Every URL with its place in the pop order, from 1."""
     return pop_order(_found(spark, sf_dir))
 
@@ -106,15 +100,39 @@ def _outcomes(events: DataFrame) -> DataFrame:
     return after_failures(rows, 30).select("url", F.col("attempts").cast("long").alias("attempts"), "state")
 
 
-@query("lease_outcomes", f"WITH a AS (SELECT user_id % 300 AS url, event_id AS tick, {_KINDS} AS kind FROM events WHERE event_id % 4 <> 1), l AS (SELECT url, count(*) AS attempts, list(kind ORDER BY tick)[-1] AS kind FROM a GROUP BY url) SELECT url, attempts, CASE WHEN kind IS NULL THEN 'done' WHEN kind IN ('gone') OR attempts >= 30 THEN 'dead' ELSE 'retry' END AS state FROM l")
+@query("lease_outcomes", f"WITH a AS (SELECT user_id % 300 AS url, event_id AS tick, {_KINDS} AS kind FROM events), l AS (SELECT url, count(*) AS attempts, list(kind ORDER BY tick)[-1] AS kind FROM a GROUP BY url) SELECT url, attempts, CASE WHEN kind IS NULL THEN 'done' WHEN kind IN ('gone') OR attempts >= 30 THEN 'dead' ELSE 'retry' END AS state FROM l")
 def lease_outcomes(spark, sf_dir):
-    """Of three quarters of the events; ``lease_outcomes_all`` takes every one."""
-    return _outcomes(table(spark, sf_dir, "events").where("event_id % 4 <> 1"))
+    return _outcomes(table(spark, sf_dir, "events"))
 
 
-@query("lease_outcomes_all", f"WITH a AS (SELECT user_id % 300 AS url, event_id AS tick, {_KINDS} AS kind FROM events), l AS (SELECT url, count(*) AS attempts, list(kind ORDER BY tick)[-1] AS kind FROM a GROUP BY url) SELECT url, attempts, CASE WHEN kind IS NULL THEN 'done' WHEN kind IN ('gone') OR attempts >= 30 THEN 'dead' ELSE 'retry' END AS state FROM l")
-def lease_outcomes_all(spark, sf_dir):
-    return _outcomes(table(spark, sf_dir, "events"))
+def expired(leases: DataFrame, ttl: int) -> DataFrame:
+    """``leases`` (url, since, acked: when it was acknowledged, or null) that ran out before ``ttl`` seconds had brought an answer, as of the last time seen."""
+    now = leases.agg(F.max(F.greatest("since", F.coalesce("acked", "since"))).alias("now"))
+    ends = F.col("since") + F.make_dt_interval(secs=F.lit(ttl))
+    return leases.crossJoin(F.broadcast(now)).where(F.coalesce("acked", "now") > ends).select("url", "since", ends.alias("expired"))
+
+
+@query("expired_leases", "WITH l AS (SELECT event_id AS url, ts AS since, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts + INTERVAL (event_id % 90) SECOND END AS acked FROM events), n AS (SELECT max(greatest(since, coalesce(acked, since))) AS now FROM l) SELECT url, since, since + INTERVAL 60 SECOND AS expired FROM l, n WHERE coalesce(acked, now) > since + INTERVAL 60 SECOND")
+def expired_leases(spark, sf_dir):
+    """Leases to be given out again: each event leases a URL, a third are never acknowledged."""
+    e = F.col("event_id")
+    acked = F.when(e % 3 == 0, F.lit(None)).otherwise(F.col("ts") + F.make_dt_interval(secs=(e % 90)))
+    return expired(table(spark, sf_dir, "events").select(e.alias("url"), F.col("ts").alias("since"), acked.alias("acked")), 60)
+
+
+@query("not_modified", "SELECT p.page_id, md5(p.html) = q.etag AS unchanged FROM pages p JOIN (SELECT url, min(CASE WHEN page_id % 4 = 0 THEN 'other' ELSE md5(html) END) AS etag FROM pages GROUP BY url) q USING (url)")
+def not_modified(spark, sf_dir):
+    """Pages whose validator is that of the crawl before (made of the pages' contents, one in four another), so that they need no new fetch."""
+    pages = table(spark, sf_dir, "pages")
+    known = pages.groupBy("url").agg(F.min(F.when(F.col("page_id") % 4 == 0, "other").otherwise(F.md5(F.col("html").cast("binary")))).alias("etag"))
+    return pages.join(known, "url").select("page_id", (F.md5(F.col("html").cast("binary")) == F.col("etag")).alias("unchanged"))
+
+
+@query("render_budget", "SELECT page_id, row_number() OVER (PARTITION BY lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#:]+)', 1)) ORDER BY page_id) <= 5 AS granted FROM pages")
+def render_budget(spark, sf_dir, quota=5):
+    """The first pages of each host may be rendered, up to a quota."""
+    order = Window.partitionBy(urls.host(F.col("url"))).orderBy("page_id")
+    return table(spark, sf_dir, "pages").select("page_id", (F.row_number().over(order) <= quota).alias("granted"))
 
 
 # Marks of pages that only scripts fill, root elements first, then frameworks.
@@ -138,22 +156,92 @@ def render_decision_query(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", render_decision(F.col("url"), F.col("html"), ["/de/"], ["/es/"]).alias("decision"))
 
 
-# Technologies by a part of the page; a parameter to extend.
-TECH = [("WordPress", "wp-content"), ("jQuery", "jquery"), ("React", "data-reactroot"), ("Bootstrap", "bootstrap"), ("Google Analytics", "google-analytics"), ("inline script", "<script>"), ("inline style", "<style")]
-
-
-@query("tech_detection", "SELECT page_id, name FROM pages, (VALUES " + ", ".join(f"('{n}', '{m}')" for n, m in TECH) + ") t(name, mark) WHERE contains(lower(html), mark)")
+# Technologies by what shows them, in order: a response header's value, the generator tag, a part of the page, a cookie's name.
+TECH = """
+header | Nginx | web server | server | nginx
+header | Apache | web server | server | apache
+header | LiteSpeed | web server | server | litespeed
+header | Microsoft IIS | web server | server | microsoft-iis
+header | Cloudflare | CDN | server | cloudflare
+header | PHP | language | x-powered-by | php
+header | ASP.NET | framework | x-powered-by | asp.net
+header | Express | framework | x-powered-by | express
+header | Next.js | framework | x-powered-by | next.js
+generator | WordPress | CMS | | wordpress
+generator | Drupal | CMS | | drupal
+generator | Joomla | CMS | | joomla
+generator | Hugo | static site generator | | hugo
+generator | Jekyll | static site generator | | jekyll
+generator | Squarespace | CMS | | squarespace
+generator | Webflow | CMS | | webflow
+page | WordPress | CMS | | wp-content
+page | WooCommerce | e-commerce | | /wp-content/plugins/woocommerce
+page | Next.js | framework | | /_next/static
+page | Nuxt | framework | | /_nuxt/
+page | Shopify | e-commerce | | cdn.shopify.com
+page | Google Tag Manager | analytics | | googletagmanager.com
+page | Google Analytics | analytics | | google-analytics.com
+cookie | WordPress | CMS | | wp-
+cookie | WooCommerce | e-commerce | | wp_woocommerce_session_
+cookie | Shopify | e-commerce | | _shopify_
+cookie | Cloudflare | CDN | | __cf_bm
+cookie | Django | framework | | csrftoken
+cookie | Laravel | framework | | laravel_session
+"""
+
+
+def technologies(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, html, headers: array of k, v): page_id, name, kind, confidence of each technology, by its first sign."""
+    signs = [[x.strip() for x in line.split("|")] for line in TECH.strip().splitlines()]
+    low = F.lower(F.coalesce("html", F.lit("")))
+    generator = F.regexp_extract(low, r"<meta\b[^>]*\bname\s*=\s*[\"']generator[\"'][^>]*\bcontent\s*=\s*[\"']([^\"']*)", 1)
+    heads = F.transform(F.coalesce("headers", F.array()), lambda h: F.struct(F.lower(h["k"]).alias("k"), F.lower(h["v"]).alias("v")))
+    rows = pages.select("page_id", low.alias("low"), generator.alias("generator"), heads.alias("heads"))
+    shows = {
+        "header": lambda at, mark: F.exists("heads", lambda h: (h["k"] == at) & h["v"].contains(mark)),
+        "generator": lambda at, mark: F.col("generator").contains(mark),
+        "page": lambda at, mark: F.col("low").contains(mark),
+        "cookie": lambda at, mark: F.exists("heads", lambda h: (h["k"] == "set-cookie") & F.ltrim(h["v"]).startswith(mark)),
+    }
+    names = list(dict.fromkeys(s[1] for s in signs))
+    made = []
+    for name in names:
+        first = F
+        for how, _, kind, at, mark in (s for s in signs if s[1] == name):
+            first = first.when(shows[how](at, mark), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), F.lit("medium" if how == "cookie" else "high").alias("confidence")))
+        made.append(first)
+    return rows.select("page_id", F.inline(F.array_compact(F.array(*made))))
+
+
+_SERVERS = ["nginx/1.24", "Apache", "cloudflare", "gws"]
+
+
+@query(
+    "tech_detection",
+    """WITH h AS (SELECT page_id, ['nginx/1.24', 'Apache', 'cloudflare', 'gws'][page_id % 4 + 1] AS server, CASE WHEN page_id % 6 = 0 THEN 'PHP/8.1' END AS powered, ['csrftoken=1; Path=/', 'sid=2', 'wp-settings=3'][page_id % 3 + 1] AS cookie, lower(coalesce(html, '')) AS low FROM pages)
+    SELECT page_id, unnest(list_filter([
+      CASE WHEN contains(server, 'nginx') THEN {'name': 'Nginx', 'kind': 'web server', 'confidence': 'high'} END, CASE WHEN contains(lower(server), 'apache') THEN {'name': 'Apache', 'kind': 'web server', 'confidence': 'high'} END,
+      CASE WHEN server = 'cloudflare' THEN {'name': 'Cloudflare', 'kind': 'CDN', 'confidence': 'high'} END, CASE WHEN powered IS NOT NULL THEN {'name': 'PHP', 'kind': 'language', 'confidence': 'high'} END,
+      CASE WHEN contains(low, 'wp-content') THEN {'name': 'WordPress', 'kind': 'CMS', 'confidence': 'high'} WHEN starts_with(cookie, 'wp-') THEN {'name': 'WordPress', 'kind': 'CMS', 'confidence': 'medium'} END,
+      CASE WHEN contains(low, '/_next/static') THEN {'name': 'Next.js', 'kind': 'framework', 'confidence': 'high'} END, CASE WHEN contains(low, 'google-analytics.com') THEN {'name': 'Google Analytics', 'kind': 'analytics', 'confidence': 'high'} END,
+      CASE WHEN starts_with(cookie, 'csrftoken') THEN {'name': 'Django', 'kind': 'framework', 'confidence': 'medium'} END], lambda x: x IS NOT NULL), max_depth := 2) FROM h""",
+)
 def tech_detection(spark, sf_dir):
-    low = F.lower("html")
-    found = F.array_compact(F.array(*[F.when(low.contains(m), F.lit(n)) for n, m in TECH]))
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("name"))
+    """Technologies of pages; their response headers are made of the pages' numbers, as the table has none."""
+    p, pair = F.col("page_id"), lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    headers = F.array(
+        pair("Server", F.element_at(F.array(*[F.lit(x) for x in _SERVERS]), (p % 4 + 1).cast("int"))),
+        pair("X-Powered-By", F.when(p % 6 == 0, "PHP/8.1")),
+        pair("Set-Cookie", F.element_at(F.array(F.lit("csrftoken=1; Path=/"), F.lit("sid=2"), F.lit("wp-settings=3")), (p % 3 + 1).cast("int"))),
+    )
+    return technologies(table(spark, sf_dir, "pages").select("page_id", "html", headers.alias("headers")))
 
 
-@query("crux_join", "SELECT p.page_id, c.lcp FROM pages p JOIN (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]+', 0) AS origin, length(regexp_extract(url, '^[a-z]+://[^/?#]+', 0)) * 100 AS lcp FROM pages WHERE page_id % 2 = 0) c ON c.origin = regexp_extract(p.url, '^[a-z]+://[^/?#]+', 0)")
+@query("crux_join", "SELECT p.page_id, c.lcp FROM pages p JOIN (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]+', 0) AS origin, length(regexp_extract(url, '^[a-z]+://[^/?#]+', 0)) * 100 AS lcp FROM pages) c ON c.origin = regexp_extract(p.url, '^[a-z]+://[^/?#]+', 0)")
 def crux_join(spark, sf_dir):
-    """Field data by origin joined to its pages."""
+    """Field data by origin joined to its pages; one figure for each origin stands for the data."""
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]+", 0).alias("origin"))
-    field = pages.where("page_id % 2 = 0").select("origin", (F.length("origin") * 100).cast("long").alias("lcp")).distinct()
+    field = pages.select("origin", (F.length("origin") * 100).cast("long").alias("lcp")).distinct()
     return pages.join(field, "origin").select("page_id", "lcp")
 
 

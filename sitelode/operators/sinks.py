@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import findings, html
-from ..registry import query, table
+from ..registry import query, texts
 
 #: Columns of each exported table, in order: name, type, nullable, version that added it.
 CONTRACTS = {
@@ -65,7 +65,7 @@ def _shared(spark) -> str:
 
 
 def _pages(spark, sf_dir):
-    return html.page_facts(table(spark, sf_dir, "pages")).withColumn("crawl_id", F.lit("c1"))
+    return html.page_facts(texts(spark, sf_dir, "pages")).withColumn("crawl_id", F.lit("c1"))
 
 
 @query("warehouse_pages", f"WITH {html.SQL} SELECT 'c1' AS crawl_id, page_id, url, title, word_count, html_bytes FROM pf")
@@ -94,4 +94,4 @@ def csv_export(spark, sf_dir):
 
 @query("page_markdown")
 def page_markdown(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", markdown().alias("markdown"))
+    return texts(spark, sf_dir, "pages").select("page_id", markdown().alias("markdown"))

@@ -101,3 +101,130 @@ def rank_trend(spark, sf_dir):
     t = x.groupBy("query").agg(F.count("*").alias("points"), (F.max_by("e", "day") - F.min_by("e", "day")).cast("int").alias("change"), F.min("position").alias("best"), F.round(F.avg("position"), 6).alias("mean"), (F.coalesce(F.regr_slope("e", "i"), F.lit(0.0)) / F.avg("e")).alias("s"))
     direction = F.when(F.col("s") < -0.05, "improving").when(F.col("s") > 0.05, "declining").otherwise("stable")
     return t.where("points > 1").withColumn("direction", direction).drop("s")
+
+
+# Words that an article of each type should have, and its sections: heading, words, points. {q} is the query.
+WORDS = {"post": 2000, "comparison": 2500, "tutorial": 1800, "faq": 1500, "product": 800, "landing": 1200}
+SECTIONS = {
+    "comparison": [
+        ("What is {q}?", 300, ["Definition and overview", "Key characteristics", "Common use cases"]),
+        ("Comparison Criteria", 400, ["Effectiveness", "Safety profile", "Cost"]),
+        ("Results and Analysis", 500, ["Research findings", "User experiences", "Expert opinions"]),
+        ("Conclusion", 300, ["Summary of findings", "Recommendations"]),
+    ],
+    "tutorial": [
+        ("Getting Started", 200, ["Prerequisites", "Equipment needed"]),
+        ("Step-by-Step Guide", 800, ["Step 1: Preparation", "Step 2: Procedure", "Step 3: Storage"]),
+        ("Safety Considerations", 300, ["Handling precautions", "Storage requirements"]),
+    ],
+    "other": [
+        ("Overview", 300, ["What is it?", "Key benefits"]),
+        ("How It Works", 500, ["Mechanism of action", "Research evidence"]),
+        ("Dosage and Administration", 400, ["Recommended dosage", "Administration method"]),
+        ("Safety and Side Effects", 300, ["Known side effects", "Contraindications"]),
+    ],
+}
+
+
+def outline(rows: DataFrame) -> DataFrame:
+    """``rows`` (query, content_type) with title, meta_description, words and sections (heading, words, points) of an article."""
+    q, kind = F.col("query"), F.col("content_type")
+    word = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))
+    title = F.array_join(F.transform(F.filter(F.split(q, r"\s+"), lambda w: w != ""), word), " ")
+
+    def parts(name: str) -> Column:
+        made = [F.struct(F.replace(F.lit(h), F.lit("{q}"), q).alias("heading"), F.lit(n).alias("words"), F.array(*[F.lit(p) for p in points]).alias("points")) for h, n, points in SECTIONS[name]]
+        return F.array(*made)
+
+    return rows.select(
+        "query",
+        "content_type",
+        F.concat(title, F.lit(": Complete Guide")).alias("title"),
+        F.concat(F.lit("Comprehensive guide to "), F.lower(q), F.lit(". Learn everything you need to know about "), F.lower(q), F.lit(".")).alias("meta_description"),
+        F.create_map(*[F.lit(x) for p in WORDS.items() for x in p])[kind].alias("words"),
+        F.when(kind == "comparison", parts("comparison")).when(kind == "tutorial", parts("tutorial")).otherwise(parts("other")).alias("sections"),
+    )
+
+
+_HEADS = """CASE content_type WHEN 'comparison' THEN ['What is ' || query || '?|300|3', 'Comparison Criteria|400|3', 'Results and Analysis|500|3', 'Conclusion|300|2']
+  WHEN 'tutorial' THEN ['Getting Started|200|2', 'Step-by-Step Guide|800|3', 'Safety Considerations|300|2']
+  ELSE ['Overview|300|2', 'How It Works|500|2', 'Dosage and Administration|400|2', 'Safety and Side Effects|300|2'] END"""
+
+
+@query(
+    "outlines",
+    f"""WITH {_P}, {_best}, o AS (SELECT query, {_TYPE} AS content_type FROM b WHERE source = 'gsc' AND query NOT IN (SELECT query FROM b WHERE source = 'bing'))
+    SELECT query, array_to_string(list_transform(list_filter(string_split(query, ' '), lambda w: w <> ''), lambda w: upper(w[1]) || w[2:]), ' ') || ': Complete Guide' AS title,
+    'Comprehensive guide to ' || lower(query) || '. Learn everything you need to know about ' || lower(query) || '.' AS meta_description,
+    CASE content_type WHEN 'post' THEN 2000 WHEN 'comparison' THEN 2500 WHEN 'tutorial' THEN 1800 WHEN 'faq' THEN 1500 ELSE 800 END AS words, array_to_string({_HEADS}, '; ') AS sections FROM o""",
+)
+def outlines(spark, sf_dir):
+    """Outlines of articles for the gaps, their sections as heading, words and number of points."""
+    rows = outline(content_gaps(spark, sf_dir))
+    text = F.transform("sections", lambda s: F.concat_ws("|", s["heading"], s["words"].cast("string"), F.size(s["points"]).cast("string")))
+    return rows.select("query", "title", "meta_description", "words", F.array_join(text, "; ").alias("sections"))
+
+
+def bare_host(target: Column) -> Column:
+    """Host of a URL or of a bare domain, lower case, without ``www.`` and a dot at the end; null where there is none."""
+    t = F.trim(target)
+    host = F.when(t.contains("://"), F.regexp_extract(t, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)).otherwise(F.regexp_extract(t, r"^([^/?#]*)", 1))
+    clean = F.regexp_replace(F.regexp_replace(F.lower(host), r"^www\.", ""), r"\.+$", "")
+    return F.when((clean != "") & ~clean.rlike(r"\s"), clean)
+
+
+def check_keywords(results: DataFrame, targets: DataFrame) -> DataFrame:
+    """``results`` (keyword, position, url) for ``targets`` (keyword, target): position and url of the first result of the target's host, else of the first whose URL has the target in it; nulls without one."""
+    met = targets.join(results, "keyword", "left")
+    same = F.coalesce(bare_host(F.col("url")) == bare_host(F.col("target")), F.lit(False))
+    part = F.coalesce(F.lower("url").contains(F.lower("target")), F.lit(False))
+    rank = F.when(same, 0).when(part, 1)
+    best = met.groupBy("keyword", "target").agg(F.min(F.when(rank.isNotNull(), F.struct(rank.alias("rank"), "position", "url"))).alias("best"))
+    return best.select("keyword", "target", "best.position", "best.url")
+
+
+_RESULTS = "s AS (SELECT 'topic ' || page_id % 20 AS keyword, CAST(row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) AS INTEGER) AS position, url FROM pages), g AS (SELECT 'topic ' || i AS keyword, ['www.example.com', 'HTTPS://M.EXAMPLE.COM/x', '/page', 'nowhere.test', 'blog.'][i % 5 + 1] AS target FROM range(0, 22) AS t(i))"
+_BARE = r"regexp_replace(regexp_replace(lower(CASE WHEN contains({0}, '://') THEN regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1) ELSE regexp_extract({0}, '^([^/?#]*)', 1) END), '^www\.', ''), '\.+$', '')"
+
+
+@query(
+    "keyword_check",
+    f"""WITH {_RESULTS}, m AS (SELECT keyword, target, position, url, CASE WHEN nullif({_BARE.format('url')}, '') = nullif({_BARE.format('target')}, '') THEN 0 WHEN contains(lower(url), lower(target)) THEN 1 END AS rank FROM g LEFT JOIN s USING (keyword))
+    SELECT keyword, target, arg_min(position, rank * 100000 + position) FILTER (rank IS NOT NULL) AS position, arg_min(url, rank * 100000 + position) FILTER (rank IS NOT NULL) AS url FROM m GROUP BY keyword, target""",
+)
+def keyword_check(spark, sf_dir):
+    """Where targets stand in result lists; pages in order of their number are the results of twenty keywords."""
+    order = Window.partitionBy(F.col("page_id") % 20).orderBy("page_id")
+    results = table(spark, sf_dir, "pages").select(F.concat(F.lit("topic "), (F.col("page_id") % 20).cast("string")).alias("keyword"), F.row_number().over(order).alias("position"), "url")
+    marks = F.element_at(F.array(*[F.lit(x) for x in ("www.example.com", "HTTPS://M.EXAMPLE.COM/x", "/page", "nowhere.test", "blog.")]), (F.col("id") % 5 + 1).cast("int"))
+    return check_keywords(results, spark.range(22).select(F.concat(F.lit("topic "), F.col("id").cast("string")).alias("keyword"), marks.alias("target")))
+
+
+@query("positions_recorded", f"WITH {_P} SELECT query, day, source, arg_max(position, (impressions, clicks, position)) AS position, max(impressions) AS impressions FROM p GROUP BY query, day, source")
+def positions_recorded(spark, sf_dir):
+    """Both sources' rows in one table, one for each query, day and source: of several the one with most impressions, then clicks, stays."""
+    rows = positions(spark, sf_dir)
+    both = rows.where("source = 'gsc'").unionByName(rows.where("source = 'bing'"))
+    return both.groupBy("query", "day", "source").agg(F.max_by("position", F.struct("impressions", "clicks", "position")).alias("position"), F.max("impressions").alias("impressions"))
+
+
+@query("rank_history", f"WITH {_P}, l AS (SELECT max(day) AS last FROM p) SELECT query, day, min(position) AS position FROM p, l WHERE day > last - INTERVAL 90 DAY GROUP BY query, day")
+def rank_history(spark, sf_dir, days=90):
+    """Best position of each query and day within so many days of the last one."""
+    rows = positions(spark, sf_dir)
+    last = rows.agg(F.max("day").alias("last"))
+    near = rows.crossJoin(F.broadcast(last)).where(F.col("day") > F.date_sub("last", days))
+    return near.groupBy("query", "day").agg(F.min("position").alias("position"))
+
+
+def metric_sum(reports: DataFrame, index: int) -> DataFrame:
+    """``reports`` (report, values: array of texts): the sum of the numbers at ``index``; what is no number counts nothing."""
+    return reports.groupBy("report").agg(F.coalesce(F.sum(F.try_element_at("values", F.lit(index + 1)).try_cast("double")), F.lit(0.0)).alias("total"))
+
+
+@query("analytics_sums", "SELECT event_type AS report, coalesce(sum(CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 100 END), 0)::DOUBLE AS total FROM events GROUP BY event_type")
+def analytics_sums(spark, sf_dir):
+    """Second metric of report rows made of events; one in seven is no number."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("report"), F.array(F.lit("1"), F.when(e % 7 == 0, "(not set)").otherwise((e % 100).cast("string"))).alias("values"))
+    return metric_sum(rows, 1)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import graph, html
 from .functions import urls
-from .registry import query, table
+from .plans.scratch import cut
+from .registry import query, table, texts
 
 # Words that carry no topic.
 STOP_WORDS = "a an the and or but in on at to for of with by is are was were be been being have has had do does did will would could should may might shall can it its this that how what which who where when why".split()
@@ -33,7 +34,7 @@ _PF = f"WITH {html.SQL}"
 
 
 def _facts(spark, sf_dir) -> DataFrame:
-    return html.page_facts(table(spark, sf_dir, "pages"))
+    return html.page_facts(texts(spark, sf_dir, "pages"))
 
 
 @query("duplicate_titles", f"{_PF} SELECT lower(trim(title)) AS title, count(*) AS n, min(page_id) AS first_page FROM pf WHERE title IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
@@ -48,17 +49,18 @@ def near_duplicates(rows: DataFrame, threshold: float = NEAR) -> DataFrame:
     more than threshold**2 of their words, so both offer only as many of their rarest words as may be
     missing from the other, plus one. Where words of a repeat there is no such bound, and all are offered.
     """
-    each = rows.where(F.size("words") > 0).select("id", "words", F.explode(F.array_distinct("words")).alias("w"))
-    often = each.groupBy("w").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("id").orderBy("n", "w")
+    rows = cut(rows.where(F.size("words") > 0).select("id", "words"))
     distinct = F.size(F.array_distinct("words"))
-    ranked = each.join(often, "w").select("id", "words", "w", F.row_number().over(order).alias("k"), (distinct - F.ceil(F.lit(threshold * threshold) * F.size("words")) + 1).alias("most"), (distinct < F.size("words")).alias("repeats"))
-    side = lambda df, c: df.select(F.col("id").alias(c), F.col("words").alias(f"w{c}"), "w")
+    each = rows.select("id", (distinct - F.ceil(F.lit(threshold * threshold) * F.size("words")) + 1).alias("most"), (distinct < F.size("words")).alias("repeats"), F.explode(F.array_distinct("words")).alias("w"))
+    often = each.groupBy("w").agg(F.count("*").alias("n"))
+    ranked = cut(each.join(often, "w").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("n", "w"))))
+    side = lambda df, c: df.select(F.col("id").alias(c), "w")
     rare = ranked.where("k <= greatest(most, 1)")
     plain = side(rare.where("NOT repeats"), "a").join(side(rare, "b"), "w")
-    pairs = plain.unionByName(side(ranked.where("repeats"), "a").join(side(ranked, "b"), "w")).where("a < b").drop("w").dropDuplicates(["a", "b"])
+    pairs = plain.unionByName(side(ranked.where("repeats"), "a").join(side(ranked, "b"), "w")).where("a < b").select("a", "b").distinct()
+    words = lambda c: rows.select(F.col("id").alias(c), F.col("words").alias(f"w{c}"))
     score = F.size(F.filter("wa", lambda x: F.array_contains(F.col("wb"), x))) / F.sqrt(F.size("wa") * F.size("wb"))
-    return pairs.select("a", "b", F.round(score, 6).alias("similarity"), score.alias("raw")).where(F.col("raw") > threshold).drop("raw")
+    return pairs.join(words("a"), "a").join(words("b"), "b").select("a", "b", F.round(score, 6).alias("similarity"), score.alias("raw")).where(F.col("raw") > threshold).drop("raw")
 
 
 @query(
@@ -87,24 +89,45 @@ def canonical_groups(spark, sf_dir):
     return _facts(spark, sf_dir).groupBy(F.coalesce("canonical", "url").alias("target")).agg(F.count("*").alias("pages"))
 
 
+def crawled(facts: DataFrame) -> DataFrame:
+    """Page facts with a response of each page. The given pages have none, so it is made up from the page's number, for all of them."""
+    p = F.col("page_id")
+    return facts.withColumns(
+        {
+            "status_code": F.when(p % 11 == 3, 404).when(p % 13 == 5, 503).when(p % 5 == 1, 301).otherwise(200),
+            "has_csp": p % 3 == 0,
+            "has_hsts": p % 4 != 0,
+        }
+    )
+
+
 #: Site rules that compare a share of pages (or links) with a bound: code, severity, title, measured, bound, over or under.
-# Bounds and codes.
+# Codes, severities, titles and bounds.
 RATES = [
-    ("FRESH-C002", "warning", "Most pages have few words", "avg(CASE WHEN word_count < 300 THEN 1.0 ELSE 0.0 END)", 0.5, ">"),
-    ("SCHEMA-COV001", "warning", "Low structured data coverage", "avg(CASE WHEN json_ld_count > 0 THEN 1.0 ELSE 0.0 END)", 0.1, "<"),
-    ("MOBILE-C001", "warning", "Pages without a mobile viewport", "avg(CASE WHEN viewport IS NULL OR viewport NOT LIKE '%device-width%' THEN 1.0 ELSE 0.0 END)", 0.2, ">"),
-    ("HEAD-C001", "warning", "Pages without H1", "avg(CASE WHEN h1_count = 0 THEN 1.0 ELSE 0.0 END)", 0.3, ">"),
-    ("HEAD-C002", "warning", "Pages with several H1", "avg(CASE WHEN h1_count > 1 THEN 1.0 ELSE 0.0 END)", 0.3, ">"),
-    ("IMG-OPT001", "warning", "Images without alternative text", "sum(images_missing_alt) * 1.0 / nullif(sum(image_count), 0)", 0.5, ">"),
-    ("LINK-BAL001", "warning", "Few internal links for the external ones", "sum(internal_links) * 1.0 / nullif(sum(external_links), 0)", 0.1, "<"),
-    ("LINK-V001", "warning", "Few links on a page on average", "avg(link_count)", 2.0, "<"),
+    ("REDIR-C001", "warning", "High redirect ratio detected", "avg(CASE WHEN status_code BETWEEN 300 AND 399 THEN 1.0 ELSE 0.0 END)", 0.1, ">"),
+    ("QUALITY001", "error", "High 4xx error rate", "avg(CASE WHEN status_code BETWEEN 400 AND 499 THEN 1.0 ELSE 0.0 END)", 0.2, ">"),
+    ("QUALITY002", "critical", "High 5xx error rate", "avg(CASE WHEN status_code >= 500 THEN 1.0 ELSE 0.0 END)", 0.1, ">"),
+    ("HEALTH001", "warning", "Crawl health score", "floor(100.0 * avg(CASE WHEN status_code BETWEEN 200 AND 299 THEN 1.0 ELSE 0.0 END))", 80, "<"),
+    ("SEC-C001", "warning", "Low CSP coverage", "avg(CASE WHEN NOT has_csp THEN 1.0 ELSE 0.0 END)", 0.3, ">"),
+    ("SEC-C002", "warning", "Low HSTS coverage", "avg(CASE WHEN NOT has_hsts THEN 1.0 ELSE 0.0 END)", 0.5, ">"),
+    ("FRESH-C002", "warning", "Low average content depth", "avg(CASE WHEN coalesce(word_count, 0) < 200 THEN 1.0 ELSE 0.0 END)", 0.5, ">"),
+    ("SCHEMA-COV001", "warning", "Low structured data coverage", "100.0 * avg(CASE WHEN json_ld_count > 0 THEN 1.0 ELSE 0.0 END)", 10.0, "<"),
+    ("MOBILE-C001", "warning", "High rate of missing viewport", "avg(CASE WHEN viewport IS NULL OR viewport NOT LIKE '%device-width%' THEN 1.0 ELSE 0.0 END)", 0.2, ">"),
+    ("HEAD-C001", "warning", "High rate of pages without H1", "avg(CASE WHEN h1_count = 0 THEN 1.0 ELSE 0.0 END)", 0.3, ">"),
+    ("HEAD-C002", "warning", "High rate of multiple H1s", "avg(CASE WHEN h1_count > 1 THEN 1.0 ELSE 0.0 END)", 0.2, ">"),
+    ("IMG-OPT001", "warning", "High rate of missing alt text", "sum(images_missing_alt) * 1.0 / nullif(sum(image_count), 0)", 0.5, ">"),
+    ("LINK-BAL001", "warning", "Imbalanced link ratio", "sum(internal_links) * 1.0 / nullif(sum(external_links), 0)", 0.1, "<"),
+    ("LINK-BAL002", "warning", "High percentage of dead-end pages", "avg(CASE WHEN link_count = 0 THEN 1.0 ELSE 0.0 END)", 0.3, ">"),
+    ("LINK-V001", "warning", "Low average link count", "avg(link_count)", 2.0, "<"),
+    ("CANON-C001", "info", "High self-referencing canonical rate", "CASE WHEN sum(CASE WHEN canonical IS NOT NULL THEN 1 ELSE 0 END) > 5 THEN sum(CASE WHEN canonical = url THEN 100.0 ELSE 0.0 END) / sum(CASE WHEN canonical IS NOT NULL THEN 1 ELSE 0 END) END", 90.0, ">"),
 ]
+_CRAWLED = "cr AS (SELECT *, CASE WHEN page_id % 11 = 3 THEN 404 WHEN page_id % 13 = 5 THEN 503 WHEN page_id % 5 = 1 THEN 301 ELSE 200 END AS status_code, page_id % 3 = 0 AS has_csp, page_id % 4 <> 0 AS has_hsts FROM pf)"
 
 
-@query("site_rates", _PF + " " + " UNION ALL ".join(f"SELECT '{c}' AS code, '{s}' AS severity, '{t}' AS title, round(CAST(({m}) AS DOUBLE), 6) AS measured, coalesce(({m}) {o} {b}, false) AS breaks FROM pf" for c, s, t, m, b, o in RATES))
+@query("site_rates", f"{_PF}, {_CRAWLED} " + " UNION ALL ".join(f"SELECT '{c}' AS code, '{s}' AS severity, '{t}' AS title, round(CAST(({m}) AS DOUBLE), 6) AS measured, coalesce(CAST(({m}) AS DOUBLE) {o} {b}, false) AS breaks FROM cr" for c, s, t, m, b, o in RATES))
 def site_rates(spark, sf_dir):
     """One aggregation over the pages for all rates."""
-    row = _facts(spark, sf_dir).agg(*[F.expr(f"CAST(({m}) AS DOUBLE)").alias(c) for c, _, _, m, _, _ in RATES])
+    row = crawled(_facts(spark, sf_dir)).agg(*[F.expr(f"CAST(({m}) AS DOUBLE)").alias(c) for c, _, _, m, _, _ in RATES])
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.lit(t).alias("title"), F.round(F.col(f"`{c}`"), 6).alias("measured"), F.coalesce(F.expr(f"`{c}` {o} {b}"), F.lit(False)).alias("breaks")) for c, s, t, _, b, o in RATES])))
 
 
@@ -114,13 +137,68 @@ def link_equity(spark, sf_dir):
     return found.groupBy("page_id").agg(F.count("*").alias("n")).crossJoin(F.broadcast(found.agg(F.count("*").alias("total")))).select("page_id", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("pct"))
 
 
-@query("sitemap_coverage", f"{_PF}, m AS (SELECT DISTINCT regexp_replace(target_url, '/$', '') AS u FROM links WHERE page_id % 2 = 0) SELECT count(*) AS pages, count(*) FILTER (regexp_replace(url, '/$', '') IN (SELECT u FROM m)) AS covered FROM pages")
+_LISTED = "m AS (SELECT DISTINCT regexp_replace(CASE WHEN page_id % 3 = 0 THEN url || '-old' WHEN page_id % 3 = 1 THEN url || '/' ELSE url END, '/$', '') AS u FROM pages)"
+
+
+def _listed(spark, sf_dir) -> DataFrame:
+    """What a sitemap lists: every page, by its own URL, with a slash more, or by one that is gone (there is no sitemap among the tables)."""
+    p, u = F.col("page_id"), F.col("url")
+    listed = F.when(p % 3 == 0, F.concat(u, F.lit("-old"))).when(p % 3 == 1, F.concat(u, F.lit("/"))).otherwise(u)
+    return table(spark, sf_dir, "pages").select(urls.without_slash(listed).alias("u")).distinct()
+
+
+@query("sitemap_coverage", f"WITH {_LISTED} SELECT count(*) AS pages, count(*) FILTER (regexp_replace(url, '/$', '') IN (SELECT u FROM m)) AS covered FROM pages")
 def sitemap_coverage(spark, sf_dir):
-    """How many pages a sitemap lists; here the links of every second page stand for one."""
-    listed = graph.of(spark, sf_dir).where("page_id % 2 = 0").select(urls.without_slash(F.col("target_url")).alias("u")).distinct().withColumn("covered", F.lit(1))
+    """How many pages a sitemap lists."""
+    listed = _listed(spark, sf_dir).withColumn("covered", F.lit(1))
     pages = table(spark, sf_dir, "pages").select(urls.without_slash(F.col("url")).alias("u"))
     return pages.join(listed, "u", "left").agg(F.count("*").alias("pages"), F.count("covered").alias("covered"))
 
 
+@query("sitemap_missing", f"WITH {_LISTED} SELECT page_id, url FROM pages WHERE regexp_replace(url, '/$', '') NOT IN (SELECT u FROM m)")
+def sitemap_missing(spark, sf_dir):
+    """Pages that a sitemap does not list."""
+    return table(spark, sf_dir, "pages").select("page_id", "url", urls.without_slash(F.col("url")).alias("u")).join(_listed(spark, sf_dir), "u", "left_anti").drop("u")
+
+
+def apex(host):
+    return F.regexp_replace(host, "^www\\.", "")
+
+
+_APEX = "regexp_replace({}, '^www\\.', '')"
+
+
+@query(
+    "www_apex_mix",
+    f"{_PF}, h AS (SELECT page_id, {_APEX.format(html._host('source_url'))} AS base, {html._host('source_url')} AS own, {html._host('target_url')} AS linked FROM links), f AS (SELECT page_id, base, own AS form FROM h UNION SELECT page_id, base, linked FROM h WHERE {_APEX.format('linked')} = base) SELECT page_id, base FROM f GROUP BY page_id, base HAVING bool_or(form = base) AND bool_or(form = 'www.' || base)",
+)
+def www_apex_mix(spark, sf_dir):
+    """Pages that link to their site both with and without www (their own host counts)."""
+    h = graph.of(spark, sf_dir).select("page_id", urls.host(F.col("source_url")).alias("own"), urls.host(F.col("target_url")).alias("linked")).withColumn("base", apex(F.col("own")))
+    forms = h.select("page_id", "base", F.explode(F.array("own", "linked")).alias("form")).where(apex(F.col("form")) == F.col("base"))
+    both = forms.groupBy("page_id", "base").agg(F.bool_or(F.col("form") == F.col("base")).alias("plain"), F.bool_or(F.col("form") == F.concat(F.lit("www."), F.col("base"))).alias("www"))
+    return both.where("plain AND www").select("page_id", "base")
+
+
+@query(
+    "canonical_checks",
+    f"""{_PF}, c AS (SELECT page_id, url, CASE WHEN page_id % 4 = 0 THEN url ELSE (SELECT min(target_url) FROM links WHERE links.page_id = pf.page_id AND NOT is_external) END AS canonical FROM pf),
+    i AS (SELECT DISTINCT target_url FROM links)
+    SELECT page_id, canonical, CASE WHEN canonical IN (SELECT target_url FROM i) THEN ['SITEMAP006'] ELSE ['CANON005', 'SITEMAP006'] END AS codes FROM c WHERE canonical IS NOT NULL AND canonical <> url""",
+)
+def canonical_checks(spark, sf_dir):
+    """Pages whose canonical URL is another one: SITEMAP006, and CANON005 if no page links to it.
+
+    The given pages have no canonical tags; the first internal link of three pages in four stands for one.
+    """
+    found = graph.of(spark, sf_dir)
+    first = found.where("NOT is_external").groupBy("page_id").agg(F.min("target_url").alias("first"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url").join(first, "page_id", "left")
+    other = pages.select("page_id", "url", F.when(F.col("page_id") % 4 == 0, F.col("url")).otherwise(F.col("first")).alias("canonical")).where("canonical <> url")
+    linked = found.select(F.col("target_url").alias("canonical")).distinct().withColumn("linked", F.lit(True))
+    codes = F.when(F.col("linked"), F.array(F.lit("SITEMAP006"))).otherwise(F.array(F.lit("CANON005"), F.lit("SITEMAP006")))
+    return other.join(linked, "canonical", "left").select("page_id", "canonical", codes.alias("codes"))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

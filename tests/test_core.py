@@ -191,4 +191,4 @@ def test_cooccurrence_has_all_pairs(spark):
 
 def test_lease_outcomes_count_every_event(spark):
     total = spark.read.parquet(f"{SF}/events.parquet").count()
-    assert frontier.lease_outcomes_all(spark, SF).agg(F.sum("attempts")).first()[0] == total
+    assert frontier.lease_outcomes(spark, SF).agg(F.sum("attempts")).first()[0] == total
