@@ -92,6 +92,22 @@ def csv_export(spark, sf_dir):
     return spark.read.schema("page_id long, url string, issues string").option("header", True).option("escape", '"').csv(path)
 
 
-@query("page_markdown")
+def _duck_markdown(e: str) -> str:
+    x = f"regexp_replace(regexp_replace({e}, {html._lit(html.NOISE)}, '', 'g'), {html._lit(html.HEAD)}, '', 'g')"
+    for n in range(6, 0, -1):
+        x = f"regexp_replace({x}, '(?is)<h{n}\\b[^>]*>(.*?)</h{n}\\s*>', chr(10) || '{'#' * n} \\1' || chr(10), 'g')"
+    x = f"regexp_replace({x}, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*[\"'']([^\"'']*)[\"''][^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'g')"
+    x = f"regexp_replace(regexp_replace({x}, '(?is)<li\\b[^>]*>', chr(10) || '- ', 'g'), '(?is)<br\\s*/?>|</p\\s*>', chr(10), 'g')"
+    return f"trim(regexp_replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '\\s*\\n\\s*', chr(10), 'g'))"
+
+
+@query("page_markdown", f"SELECT page_id, {_duck_markdown('html')} AS markdown FROM pages")
 def page_markdown(spark, sf_dir):
     return texts(spark, sf_dir, "pages").select("page_id", markdown().alias("markdown"))
+
+
+@query("markdown_merged", f"WITH m AS (SELECT page_id, url, {_duck_markdown('html')} AS markdown FROM pages) SELECT md5(markdown) AS fingerprint, min(page_id) AS page_id, count(*) AS copies, length(arg_min(markdown, page_id)) AS chars FROM m WHERE markdown <> '' GROUP BY 1")
+def markdown_merged(spark, sf_dir):
+    """Pages as Markdown, one for each fingerprint: the first page has it."""
+    rows = texts(spark, sf_dir, "pages").select("page_id", markdown().alias("markdown")).where("markdown <> ''")
+    return rows.groupBy(F.md5(F.col("markdown").cast("binary")).alias("fingerprint")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("copies"), F.length(F.min_by("markdown", "page_id")).cast("long").alias("chars"))

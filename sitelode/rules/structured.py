@@ -1,4 +1,4 @@
-"""Rules on JSON-LD blocks and on response headers, as data joined to what pages carry."""
+"""Rules on JSON-LD blocks, as data joined to what pages carry."""
 
 from __future__ import annotations
 
@@ -162,65 +162,12 @@ def structured_findings(pages: DataFrame) -> DataFrame:
     return met.where(F.coalesce(F.trim(value), F.lit("")) == "").select("page_id", "block", "code", "severity", "type", "property")
 
 
-# Code, severity, title and condition on the lower-case header map h.
-HEADERS = [
-    ("SEC001", "warning", "Missing Content-Security-Policy header", "h['content-security-policy'] IS NULL"),
-    ("SEC002", "warning", "Missing Strict-Transport-Security header", "h['strict-transport-security'] IS NULL"),
-    ("SEC003", "warning", "Missing X-Frame-Options header", "h['x-frame-options'] IS NULL"),
-    ("SEC004", "warning", "Invalid X-Frame-Options value", "upper(h['x-frame-options']) NOT IN ('DENY', 'SAMEORIGIN')"),
-    ("SEC005", "warning", "Missing X-Content-Type-Options header", "h['x-content-type-options'] IS NULL"),
-    ("SEC006", "warning", "Invalid X-Content-Type-Options value", "lower(h['x-content-type-options']) <> 'nosniff'"),
-    ("SEC007", "info", "Missing Referrer-Policy header", "h['referrer-policy'] IS NULL"),
-    ("SEC008", "info", "Missing Permissions-Policy header", "h['permissions-policy'] IS NULL"),
-    ("SEC015", "info", "HSTS missing includeSubDomains", "lower(h['strict-transport-security']) NOT LIKE '%includesubdomains%'"),
-    ("SEC016", "info", "HSTS missing preload", "lower(h['strict-transport-security']) NOT LIKE '%preload%'"),
-    ("CSP001", "warning", "CSP script-src allows unsafe-inline", "lower(h['content-security-policy']) RLIKE 'script-src[^;]*unsafe-inline'"),
-    ("CSP002", "warning", "CSP missing frame-ancestors directive", "lower(h['content-security-policy']) NOT LIKE '%frame-ancestors%'"),
-    ("HSTS003", "warning", "HSTS max-age below recommended minimum", "try_cast(regexp_extract(lower(h['strict-transport-security']), 'max-age=([0-9]+)', 1) AS BIGINT) < 31536000"),
-    ("HSTS001", "warning", "HSTS missing includeSubDomains directive", "lower(h['strict-transport-security']) NOT LIKE '%includesubdomains%'"),
-    ("HSTS002", "info", "HSTS missing preload directive", "lower(h['strict-transport-security']) NOT LIKE '%preload%'"),
-]
-# Points that a finding takes off the security score.
-POINTS = {"critical": 20, "error": 10, "warning": 5, "info": 0}
-
-
-def header_findings(responses: DataFrame) -> DataFrame:
-    """``responses`` (page_id, headers: array of k, v): findings; the first of headers that repeat counts."""
-    names = F.transform("headers", lambda x: F.lower(x["k"]))
-    h = F.map_from_arrays(F.array_distinct(names), F.transform(F.array_distinct(names), lambda n: F.element_at(F.filter("headers", lambda x: F.lower(x["k"]) == n), 1)["v"]))
-    rows = responses.select("page_id", h.alias("h"))
-    made = F.array(*[F.when(F.expr(w), F.struct(F.lit(c).alias("code"), F.lit(s).alias("severity"), F.lit(POINTS[s]).alias("points"), F.lit(t).alias("title"))) for c, s, t, w in HEADERS])
-    return rows.select("page_id", F.inline(F.array_compact(made)))
-
-
-def security_scores(responses: DataFrame) -> DataFrame:
-    """100 less the points of all findings, 0 at least."""
-    lost = header_findings(responses).groupBy("page_id").agg(F.sum("points").alias("lost"))
-    return responses.select("page_id").join(lost, "page_id", "left").select("page_id", F.greatest(F.lit(0), F.lit(100) - F.coalesce("lost", F.lit(0))).cast("long").alias("score"))
-
-
 PAGES = [
     (1, ['{"@type": "Organization", "name": "A", "url": ""}', "{broken"]),
     (2, ['{"@graph": [{"@type": "Person", "name": "P", "sameAs": "x", "jobTitle": "j", "worksFor": {"a": 1}, "url": "u"}, {"@type": "Offer", "price": 3}]}']),
     (3, ['{"@type": "Unknown"}']),
 ]
-RESPONSES = [
-    (1, [("Content-Security-Policy", "script-src 'self' 'unsafe-inline'"), ("Strict-Transport-Security", "max-age=300"), ("X-Frame-Options", "DENY"), ("X-Content-Type-Options", "nosniff"), ("Referrer-Policy", "no-referrer"), ("Permissions-Policy", "a"), ("Cache-Control", "no-store"), ("Set-Cookie", "a=b; Secure"), ("set-cookie", "c=d")]),
-    (2, []),
-]
-_KV = "page_id long, headers array<struct<k:string,v:string>>"
-
 
 @query("sd_rules", """SELECT * FROM (VALUES (1,0,'ORG002','warning','Organization','url'),(1,0,'ORG003','warning','Organization','logo'),(1,0,'ORGCONT-V5001','info','Organization','contactPoint'),(2,0,'OFFER002','error','Offer','priceCurrency'),(2,0,'OFFER003','warning','Offer','availability')) t(page_id, block, code, severity, type, property)""")
 def sd_rules(spark, sf_dir):
     return structured_findings(spark.createDataFrame(PAGES, "page_id long, json_ld array<string>"))
-
-
-@query("header_rules", "SELECT * FROM (VALUES (1,'SEC015'),(1,'SEC016'),(1,'CSP001'),(1,'CSP002'),(1,'HSTS003'),(1,'HSTS001'),(1,'HSTS002'),(2,'SEC001'),(2,'SEC002'),(2,'SEC003'),(2,'SEC005'),(2,'SEC007'),(2,'SEC008')) t(page_id, code)")
-def header_rules(spark, sf_dir):
-    return header_findings(spark.createDataFrame(RESPONSES, _KV)).select("page_id", "code")
-
-
-@query("security_scores", "SELECT * FROM (VALUES (1, 80), (2, 80)) t(page_id, score)")
-def security_scores_query(spark, sf_dir):
-    return security_scores(spark.createDataFrame(RESPONSES, _KV))
