@@ -30,7 +30,7 @@ def robots_rules(files: DataFrame) -> DataFrame:
 
 def disallowed(rules: DataFrame, requests: DataFrame) -> DataFrame:
     """``requests`` (host, agent, path) with disallowed: by the most specific group, longest rule first, ties allow."""
-    token = F.lower(F.regexp_replace("agent", "/.*$", ""))
+    token = F.lower(F.substring_index(F.trim("agent"), " ", 1))
     agent = F.explode("agents").alias("group_agent")
     met = requests.withColumn("token", token).join(rules.select("host", "grp", "rules", agent), "host", "left")
     fits = (F.col("group_agent") == "*") | F.col("token").startswith(F.col("group_agent")) | F.col("group_agent").startswith(F.col("token"))
@@ -87,3 +87,104 @@ def sitemap_parse(spark, sf_dir):
 @query("serp_parse", "SELECT * FROM (VALUES ('q', 1, 'https://a.example/1', 'One b'), ('q', 2, 'https://b.example/2', 'Two')) t(query, rank, url, title)")
 def serp_parse(spark, sf_dir):
     return search_results(spark.createDataFrame(RESULTS, "query string, html string"))
+
+
+# Crawlers that gather text for language models.
+AI_BOTS = "GPTBot Google-Extended PerplexityBot ClaudeBot Anthropic-AI Bytespider Amazonbot Meta-ExternalAgent Applebot-Extended cohere-ai".split()
+
+
+def blanket_blocks(files: DataFrame, agents: list[str]) -> DataFrame:
+    """``files`` (host, content): host and agent of each of ``agents`` that a robots file shuts out of everything.
+
+    A block is one user-agent line and what follows up to the next one, a blank line or a comment; it counts
+    for its agent and, if that is ``*``, for all. It shuts out if the last of its rules for ``/`` or for
+    nothing is for ``/``.
+    """
+    lines = files.select("host", F.posexplode(F.split("content", r"\r?\n")).alias("at", "raw")).withColumn("line", F.trim("raw"))
+    key, value = F.lower(F.trim(F.substring_index("line", ":", 1))), F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    kv = lines.select("host", "at", F.when(F.col("line").contains(":") & ~F.col("line").startswith("#"), key).alias("key"), value.alias("value"), ((F.col("line") == "") | F.col("line").startswith("#")).alias("gap"))
+    order = Window.partitionBy("host").orderBy("at")
+    opens = F.coalesce(F.col("key") == "user-agent", F.lit(False)) | F.col("gap")
+    blocks = kv.withColumn("block", F.sum(opens.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    decides = (F.col("key") == "disallow") & F.col("value").isin("/", "")
+    each = blocks.groupBy("host", "block").agg(F.min_by("value", "at").alias("first"), F.min_by("key", "at").alias("key"), F.max_by(F.when(decides, F.col("value")), F.when(decides, F.col("at"))).alias("last"))
+    shut = each.where((F.col("key") == "user-agent") & (F.col("last") == "/"))
+    named = F.filter(F.array(*[F.lit(a) for a in agents]), lambda a: (F.col("first") == "*") | (F.lower(a) == F.lower("first")))
+    return shut.select("host", F.explode(named).alias("agent")).distinct()
+
+
+_FILES = ["User-agent: *\nDisallow: /\n", "User-agent: GPTBot\nDisallow: /\n\nUser-agent: *\nDisallow: /x\n", "User-agent: ClaudeBot\nUser-agent: GPTBot\nDisallow: /\n", "# none\nUser-agent: *\nDisallow:\n", "User-agent: bytespider\nDisallow: /\nDisallow:\n", "User-agent: cohere-ai\nAllow: /y\nDisallow: /\n# end\nDisallow:\n"]
+
+
+def _robots_files(spark, sf_dir):
+    """A robots file for each event: as many hosts as there are events, six kinds of files."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    return e.select(F.concat(F.lit("h"), F.col("event_id").cast("string")).alias("host"), F.element_at(F.array(*[F.lit(x) for x in _FILES]), (F.col("event_id") % 6 + 1).cast("int")).alias("content"))
+
+
+@query(
+    "robots_ai_bots",
+    """WITH b(agent) AS (VALUES ('GPTBot'), ('Google-Extended'), ('PerplexityBot'), ('ClaudeBot'), ('Anthropic-AI'), ('Bytespider'), ('Amazonbot'), ('Meta-ExternalAgent'), ('Applebot-Extended'), ('cohere-ai'))
+    SELECT 'h' || event_id AS host, agent FROM events, b WHERE event_id % 6 = 0 OR (event_id % 6 IN (1, 2) AND agent = 'GPTBot') OR (event_id % 6 = 5 AND agent = 'cohere-ai')""",
+)
+def robots_ai_bots(spark, sf_dir):
+    """Which language-model crawlers each robots file shuts out."""
+    return blanket_blocks(_robots_files(spark, sf_dir), AI_BOTS)
+
+
+@query("robots_blanket", "SELECT 'h' || event_id AS host FROM events WHERE event_id % 6 = 0")
+def robots_blanket(spark, sf_dir):
+    """Robots files that shut everybody out."""
+    return blanket_blocks(_robots_files(spark, sf_dir), ["*"]).select("host")
+
+
+# Rules on redirect chains: severity, code, title, condition on a chain's facts.
+REDIRECT_RULES = [
+    ("warning", "REDIR001", "Long redirect chain", "hops > 5"),
+    ("critical", "REDIR002", "Redirect loop detected", "loop"),
+    ("critical", "REDIRLOOP001", "Redirect loop detected", "loop"),
+    ("warning", "REDIR003", "Mixed-protocol redirect", "mixed"),
+    ("info", "REDIR004", "Single redirect detected", "hops = 1"),
+    ("warning", "HTTPSRED001", "HTTP URL did not redirect to HTTPS", "stays_plain"),
+    ("warning", "MIXPROT001", "HTTP to HTTPS redirect not using 301", "upgrade_other"),
+    ("critical", "MIXPROT-V2002", "HTTPS redirecting to HTTP", "downgrade"),
+]
+
+
+def redirect_findings(hops: DataFrame) -> DataFrame:
+    """``hops`` (chain, seq, from, to, status): chain, code, severity, title of each rule that a chain of redirects breaks."""
+    scheme = lambda c: F.lower(F.regexp_extract(c, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
+    rows = hops.withColumns({"a": scheme("from"), "b": scheme("to")})
+    chain = rows.groupBy("chain").agg(
+        F.count("*").alias("hops"),
+        F.countDistinct("from").alias("distinct"),
+        F.bool_or(F.col("from") == F.col("to")).alias("self"),
+        F.array_contains(F.collect_set("from"), F.max_by("to", F.struct("seq", "to"))).alias("back"),
+        F.bool_or(F.col("a") != F.col("b")).alias("mixed"),
+        F.bool_or((F.col("a") == "http") & (F.col("b") != "https")).alias("stays_plain"),
+        F.bool_or((F.col("a") == "http") & (F.col("b") == "https") & F.col("status").between(300, 399) & (F.col("status") != 301)).alias("upgrade_other"),
+        F.bool_or((F.col("a") == "https") & (F.col("b") == "http")).alias("downgrade"),
+    )
+    chain = chain.withColumn("loop", (F.col("distinct") < F.col("hops")) | F.col("self") | F.col("back"))
+    made = F.array_compact(F.array(*[F.when(F.expr(when), F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(title).alias("title"))) for severity, code, title, when in REDIRECT_RULES]))
+    return chain.select("chain", F.inline(made))
+
+
+_HOPS = """hp AS (SELECT l_orderkey AS chain, l_linenumber AS seq, CASE WHEN l_partkey % 4 = 0 THEN 'http' ELSE 'https' END || '://h.example/' || l_partkey % 97 AS a, CASE WHEN l_suppkey % 5 = 0 THEN 'http' ELSE 'https' END || '://h.example/' || (l_partkey + l_suppkey) % 97 AS b, 301 + l_suppkey % 2 AS status FROM lineitem),
+ch AS (SELECT chain, count(*) AS hops, count(DISTINCT a) < count(*) OR bool_or(a = b) OR list_contains(list(a), arg_max(b, (seq, b))) AS loop, bool_or(split_part(a, ':', 1) <> split_part(b, ':', 1)) AS mixed, bool_or(starts_with(a, 'http:') AND NOT starts_with(b, 'https:')) AS stays_plain,
+  bool_or(starts_with(a, 'http:') AND starts_with(b, 'https:') AND status <> 301) AS upgrade_other, bool_or(starts_with(a, 'https:') AND starts_with(b, 'http:')) AS downgrade FROM hp GROUP BY chain)"""
+
+
+@query(
+    "redirect_rules",
+    f"""WITH {_HOPS} SELECT chain, unnest(list_filter([CASE WHEN hops > 5 THEN {{'code': 'REDIR001', 'severity': 'warning', 'title': 'Long redirect chain'}} END, CASE WHEN loop THEN {{'code': 'REDIR002', 'severity': 'critical', 'title': 'Redirect loop detected'}} END,
+    CASE WHEN loop THEN {{'code': 'REDIRLOOP001', 'severity': 'critical', 'title': 'Redirect loop detected'}} END, CASE WHEN mixed THEN {{'code': 'REDIR003', 'severity': 'warning', 'title': 'Mixed-protocol redirect'}} END, CASE WHEN hops = 1 THEN {{'code': 'REDIR004', 'severity': 'info', 'title': 'Single redirect detected'}} END,
+    CASE WHEN stays_plain THEN {{'code': 'HTTPSRED001', 'severity': 'warning', 'title': 'HTTP URL did not redirect to HTTPS'}} END, CASE WHEN upgrade_other THEN {{'code': 'MIXPROT001', 'severity': 'warning', 'title': 'HTTP to HTTPS redirect not using 301'}} END,
+    CASE WHEN downgrade THEN {{'code': 'MIXPROT-V2002', 'severity': 'critical', 'title': 'HTTPS redirecting to HTTP'}} END], lambda x: x IS NOT NULL), max_depth := 2) FROM ch""",
+)
+def redirect_rules(spark, sf_dir):
+    """Rules over chains of redirects; each order is a chain, its lines are the hops."""
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    url = lambda plain, path: F.concat(F.when(plain, "http").otherwise("https"), F.lit("://h.example/"), (path % 97).cast("string"))
+    hops = l.select(F.col("l_orderkey").alias("chain"), F.col("l_linenumber").alias("seq"), url(F.col("l_partkey") % 4 == 0, F.col("l_partkey")).alias("from"), url(F.col("l_suppkey") % 5 == 0, F.col("l_partkey") + F.col("l_suppkey")).alias("to"), (301 + F.col("l_suppkey") % 2).alias("status"))
+    return redirect_findings(hops)
