@@ -5,10 +5,11 @@ MinHash digits; two texts of similarity s agree on the first d digits of one tre
 All signatures of a tree, sorted, are a prefix trie: neighbours in that order share as many digits as any
 two texts with as long a common prefix, so that the neighbours' common prefixes hold every node of the trie.
 
-The join starts at the deepest prefixes. What it finds there, weighted by the chance to be found, tells how
-similar the corpus's linked texts are; matched prefixes are then shortened to the longest at which the
-expected recall over those similarities reaches the target, and so on until it stands. One more link at
-the threshold is always assumed, so that little data leads to the shortest prefixes.
+The join starts at the deepest prefixes. The neighbours that meet there, weighted by the chance to meet, tell
+how similar the corpus's similar texts are (by the digits that their whole signatures share); matched prefixes
+are then shortened to the longest at which the expected recall over those similarities reaches the target, and
+so on until it stands. One more pair at the threshold is always assumed, so that little data leads to the
+shortest prefixes.
 
 A crowded node is never turned into pairs. Texts that nodes connect are compared in blocks bounded in texts
 and bytes, by matrix products over the shingles they share, and what leaves a block is one row for each of
@@ -51,9 +52,9 @@ def found_at(similarity: float, depth: int, trees: int) -> float:
 
 
 def shortened(links: dict[int, int], depth: int, trees: int = TREES, recall: float = RECALL) -> int:
-    """The longest prefix, up to ``depth``, with the target recall over the links that ``depth`` has shown.
+    """The longest prefix, up to ``depth``, with the target recall over the pairs that ``depth`` has shown.
 
-    ``links``: links found at ``depth`` by similarity in steps of 1 / STEPS.
+    ``links``: pairs found at ``depth`` by similarity in steps of 1 / STEPS.
     """
     least = STEPS * SIMILAR[0] // SIMILAR[1]
     seen = {least: 1} | {k: n + (k == least) for k, n in links.items()}
@@ -216,12 +217,53 @@ def tries(texts: DataFrame, least: int) -> DataFrame:
     return pairs.where("tree IS NULL").select("a", "b", "shared").unionByName(ends.where("shared IS NOT NULL"))
 
 
-def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The share of digits in which two signatures agree, in steps of 1 / STEPS rounded down."""
+    for batch in batches:
+        one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(len(batch), -1) if len(batch) else np.zeros((0, 1)) for c in ("ta", "tb"))
+        yield pa.RecordBatch.from_arrays([batch.column("shared"), pa.array(((one == two).sum(axis=1) * STEPS // one.shape[1]).astype(np.int32))], names=["shared", "alike"])
+
+
+def chosen_depth(texts: DataFrame, pairs: DataFrame, trees: int, recall: float) -> int:
+    """How many digits must be shared for two texts to become candidates."""
+    once = pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("shared").alias("shared"))
+    side = lambda c: texts.select(F.col("node").alias(c), F.col("trie").alias(f"t{c}"))
+    seen = once.join(side("a"), "a").join(side("b"), "b").select("shared", "ta", "tb").mapInArrow(_alike, "shared int, alike int")
+    found = [(r["shared"], r["alike"], r["n"]) for r in seen.where(F.col("alike") * SIMILAR[1] >= STEPS * SIMILAR[0]).groupBy("shared", "alike").agg(F.count(F.lit(1)).alias("n")).collect()]
+    depth = DEEPEST
+    while True:
+        links: dict[int, int] = {}
+        for shared, alike, n in found:
+            if shared >= depth:
+                links[alike] = links.get(alike, 0) + n
+        last, depth = depth, shortened(links, depth, trees, recall)
+        if depth == last:
+            return depth
+
+
+def groups_of(near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Connected rows and columns of a matrix of links; each row and column is looked at once."""
+    rows, columns = near.any(axis=1), near.any(axis=0)
+    while rows.any():
+        front = np.zeros(len(rows), bool)
+        front[int(rows.argmax())] = True
+        own_rows, own_columns = front.copy(), np.zeros(len(columns), bool)
+        rows &= ~front
+        while front.any():
+            reached = near[front].any(axis=0) & columns
+            columns &= ~reached
+            own_columns |= reached
+            front = near[:, reached].any(axis=1) & rows if reached.any() else np.zeros(len(rows), bool)
+            rows &= ~front
+            own_rows |= front
+        yield np.flatnonzero(own_rows), np.flatnonzero(own_columns)
+
+
+def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Compare texts ``left`` with ``right`` (places in ``texts``; the same array: all pairs of it).
 
     Returns for each text the copies of all texts linked to it, and one place it is linked to in a
-    spanning forest of the links (its own place for roots); and the number of links by similarity, in
-    steps of 1 / STEPS rounded down.
+    spanning forest of the links (its own place for roots).
     """
     keys, counts = exact_shingles(texts)
     owner = np.repeat(np.arange(len(texts)), counts)
@@ -232,7 +274,7 @@ def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.n
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
     width = int(col[-1]) + 1 if len(col) else 0
-    weight, alike = np.zeros(len(texts), np.int64), np.zeros(STEPS + 1, np.int64)
+    weight = np.zeros(len(texts), np.int64)
     root = list(range(len(texts)))
 
     def find(x: int) -> int:
@@ -261,13 +303,16 @@ def linked(texts: list[bytes], copies: np.ndarray, left: np.ndarray, right: np.n
         np.add.at(weight, one, near @ copies[two])
         if left is not right:
             np.add.at(weight, two, near.T @ copies[one])
-        alike += np.bincount(both[near] * STEPS // union[near], minlength=STEPS + 1)
         # a forest edge for each text: the text whose tree it joined
-        for i, j in zip(*np.nonzero(near)):
-            x, y = find(int(one[i])), find(int(two[j]))
-            if x != y:
-                root[max(x, y)] = min(x, y)
-    return weight, np.array([find(i) for i in range(len(texts))]), alike // (2 if left is right else 1)
+        for rows, columns in groups_of(near):
+            members = [*one[rows].tolist(), *two[columns].tolist()]
+            x = find(members[0])
+            for m in members[1:]:
+                y = find(m)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    x = min(x, y)
+    return weight, np.array([find(i) for i in range(len(texts))])
 
 
 def _verify(table: pa.Table) -> pa.Table:
@@ -280,17 +325,9 @@ def _verify(table: pa.Table) -> pa.Table:
     one, two = table.column("one")[0].as_py(), table.column("two")[0].as_py()
     left = np.flatnonzero(block == one)
     right = left if one == two else np.flatnonzero(block == two)
-    weight, root, alike = linked(texts, copies, left, right)
-    keep, bins = np.flatnonzero(weight > 0), np.flatnonzero(alike)
-    none = [None] * len(bins)
-    return pa.table(
-        {
-            "node": pa.array([nodes[i] for i in keep] + none, pa.binary()),
-            "to": pa.array([nodes[root[i]] for i in keep] + none, pa.binary()),
-            "weight": pa.array(np.concatenate([weight[keep], alike[bins]]), pa.int64()),
-            "alike": pa.array([None] * len(keep) + bins.tolist(), pa.int32()),
-        }
-    )
+    weight, root = linked(texts, copies, left, right)
+    keep = np.flatnonzero(weight > 0)
+    return pa.table({"node": pa.array([nodes[i] for i in keep], pa.binary()), "to": pa.array([nodes[root[i]] for i in keep], pa.binary()), "weight": pa.array(weight[keep], pa.int64())})
 
 
 #: Sorts after every id; stands for null ids.
@@ -298,7 +335,7 @@ NO_ID = 2**63 - 1
 
 
 def _compared(inner: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """All links among texts that ``pairs`` connect: node, to, weight; and links by similarity: weight, alike."""
+    """All links among texts that ``pairs`` connect: node, to, weight."""
     members = materialize(components(pairs), "candidates")
     info = materialize(members.join(texts.drop("trie"), "node"), "members")
     blocks = F.greatest(F.ceil(F.col("n") / MOST_TEXTS), F.least(F.ceil(F.col("n") / BLOCK), F.lit(SPREAD)), F.ceil(F.col("bytes") / BLOCK_BYTES))
@@ -306,11 +343,11 @@ def _compared(inner: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame
     placed = materialize(info.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("k", "h", "node", "copies", "label", "blocks", "block"), "placed")
     met = (
         inner.select(F.coalesce("k", F.lit(NO_ID)).alias("k"), "h", "x")
-        .join(placed, ["k", "h"])
+        .join(placed.hint("merge"), ["k", "h"])  # candidates grow with the texts
         .select("node", "copies", "label", "block", "x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("node", "copies", "label", "block", "x", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     )
-    found = materialize(met.groupBy("label", "one", "two").applyInArrow(_verify, "node binary, to binary, weight long, alike int"), "links")
+    found = materialize(met.groupBy("label", "one", "two").applyInArrow(_verify, "node binary, to binary, weight long"), "links")
     for t in (members, info, sizes, placed):
         drop_scratch(t)
     return found
@@ -326,16 +363,7 @@ def _grouped(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> tup
     picked = rows.groupBy("node").agg(F.min(F.struct(F.coalesce("k", F.lit(NO_ID)).alias("k"), "h", "size", "trie")).alias("one"), F.count(F.lit(1)).alias("copies"))
     texts = materialize(picked.select("node", "copies", "one.*"), "texts")
     pairs = tries(texts, shortened({}, DEEPEST, trees, recall))
-    depth, links = DEEPEST, None
-    while True:
-        links, before = _compared(inner, texts, pairs.where(F.col("shared") >= depth)), links
-        if before is not None:
-            drop_scratch(before)
-        seen = {r["alike"]: r["n"] for r in links.where("node IS NULL").groupBy("alike").agg(F.sum("weight").alias("n")).collect()}
-        depth, last = shortened(seen, depth, trees, recall), depth
-        if depth == last:
-            break
-    found = links.where("node IS NOT NULL")
+    found = _compared(inner, texts, pairs.where(F.col("shared") >= chosen_depth(texts, pairs, trees, recall)))
 
     labels = materialize(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))), "labels")
     weights = materialize(found.groupBy("node").agg(F.sum("weight").alias("weight")), "weights")

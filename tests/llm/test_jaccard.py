@@ -107,6 +107,38 @@ def test_shingles_are_told_apart_by_bytes():
             assert len(a & b) == len(set(p.tolist()) & set(q.tolist()))
 
 
+def test_groups_of_links():
+    rng = np.random.default_rng(2)
+    for density in (0.01, 0.05, 0.3):
+        near = rng.random((40, 30)) < density
+        label = list(range(70))
+        for _ in range(70):
+            for i, j in zip(*np.nonzero(near)):
+                label[i] = label[40 + j] = min(label[i], label[40 + j])
+        want = {}
+        for i, x in enumerate(label):
+            want.setdefault(x, []).append(i)
+        got = sorted(sorted([*r.tolist(), *(c + 40).tolist()]) for r, c in jaccard.groups_of(near))
+        assert got == sorted(g for g in want.values() if len(g) > 1)
+
+
+def test_depth_follows_the_data(spark):
+    """Many near copies of high similarity: deep prefixes do; some close to the threshold shorten them."""
+    from sitelode.llm.jaccard import DEEPEST, TREES, chosen_depth
+
+    def depth(alike):
+        sign = lambda n: np.array([i if i < n else 1000 + i for i in range(TREES * DEEPEST)], ">u2").tobytes()
+        base = np.arange(TREES * DEEPEST).astype(">u2").tobytes()
+        nodes, pairs = [], []
+        for k, share in enumerate(alike):
+            a, b = (bytes([k // 256, k % 256, x]) * 2 for x in (0, 1))
+            nodes += [(a, base), (b, sign(int(share * TREES * DEEPEST)))]
+            pairs.append((a, b, DEEPEST))
+        return chosen_depth(spark.createDataFrame(nodes, "node binary, trie binary"), spark.createDataFrame(pairs, "a binary, b binary, shared int"), TREES, 0.9999)
+
+    assert depth([0.97] * 900) > depth([0.97] * 700 + [0.82] * 200) >= depth([0.8] * 300) == shortened({}, DEEPEST, TREES, 0.9999)
+
+
 def test_texts_of_words_with_equal_polynomial_hashes(spark):
     from test_tokens import thue_morse
 
@@ -126,15 +158,15 @@ def test_recall_on_a_table(spark):
 
 def test_blocks_count_each_link_once():
     texts = [b"a b c d e f g h i j", b"a b c d e f g h i j", b"z y x w v"]
-    w, root, alike = linked(texts, np.array([1, 3, 1]), np.array([0]), np.array([1, 2]))
-    assert w.tolist() == [3, 1, 0] and root[0] == root[1] != root[2] and alike.tolist() == [0] * 100 + [1]
+    w, root = linked(texts, np.array([1, 3, 1]), np.array([0]), np.array([1, 2]))
+    assert w.tolist() == [3, 1, 0] and root[0] == root[1] != root[2]
 
 
 def test_a_large_block_takes_little_memory(monkeypatch):
     texts = [f"a b c d e f g h i j k l m n o p q r s t{i // 2}{' z' * (i % 2)}".encode() for i in range(6000)]
     at, ones = np.arange(6000), np.ones(6000, np.int64)
     tracemalloc.start()
-    weight, _, _ = linked(texts[:5000:50], ones[:100], at[:100], at[:100])
+    weight, _ = linked(texts[:5000:50], ones[:100], at[:100], at[:100])
     linked([f"t{i} b c d e f".encode() for i in range(6000)], ones, at, at)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
