@@ -255,3 +255,29 @@ def lighthouse_ingest(spark, sf_dir):
     parsed = rows.select("report", F.from_json("json", "categories map<string, struct<score: double>>").alias("j"))
     each = parsed.select("report", F.explode("j.categories").alias("category", "v")).select("report", "category", F.col("v.score").alias("score"))
     return each.withColumn("severity", F.when(F.col("score") < 0.5, "error").when(F.col("score") < 0.9, "warning").otherwise("info"))
+
+
+# Audits, their metrics and the bounds of good and poor values.
+AUDITS = [("largest-contentful-paint", "cwv:lcp", 2500.0, 4000.0), ("cumulative-layout-shift", "cwv:cls", 0.1, 0.25), ("total-blocking-time", "cwv:tbt", 200.0, 600.0), ("server-response-time", "cwv:ttfb", 800.0, 1800.0)]
+
+
+def audit_metrics(reports: DataFrame) -> DataFrame:
+    """``reports`` (report, json): metric, value and severity of each known audit: over the poor bound an error, over the good one a warning, else info; reports without audits give nothing."""
+    parsed = reports.select("report", F.from_json("json", "audits map<string, struct<numericValue: double>>")["audits"].alias("a"))
+    each = [F.struct(F.lit(m).alias("metric"), F.col("a")[audit]["numericValue"].alias("value"), F.lit(good).alias("good"), F.lit(poor).alias("poor")) for audit, m, good, poor in AUDITS]
+    rows = parsed.select("report", F.inline(F.array(*each))).where("value IS NOT NULL")
+    return rows.select("report", "metric", "value", F.when(F.col("value") > F.col("poor"), "error").when(F.col("value") > F.col("good"), "warning").otherwise("info").alias("severity"))
+
+
+@query(
+    "lighthouse_metrics",
+    """WITH v AS (SELECT event_id AS report, unnest([{'metric': 'cwv:lcp', 'value': CAST(event_id * 7 % 6000 AS DOUBLE), 'good': 2500.0, 'poor': 4000.0}, {'metric': 'cwv:cls', 'value': event_id % 40 / 100.0, 'good': 0.1, 'poor': 0.25}, {'metric': 'cwv:tbt', 'value': CAST(event_id % 900 AS DOUBLE), 'good': 200.0, 'poor': 600.0}], max_depth := 2) FROM events WHERE event_id % 5 <> 0)
+    SELECT report, metric, round(value, 6) AS value, CASE WHEN value > CAST(poor AS DOUBLE) THEN 'error' WHEN value > CAST(good AS DOUBLE) THEN 'warning' ELSE 'info' END AS severity FROM v""",
+)
+def lighthouse_metrics(spark, sf_dir):
+    """Audit reports made of events; one in five has no audits."""
+    e = F.col("event_id")
+    number = lambda v: F.struct(v.cast("double").alias("numericValue"))
+    audits = F.create_map(F.lit("largest-contentful-paint"), number(e * 7 % 6000), F.lit("cumulative-layout-shift"), number((e % 40) / 100.0), F.lit("total-blocking-time"), number(e % 900), F.lit("other"), number(e))
+    report = F.when(e % 5 == 0, "{}").otherwise(F.to_json(F.struct(audits.alias("audits"))))
+    return audit_metrics(table(spark, sf_dir, "events").select(e.alias("report"), report.alias("json"))).withColumn("value", F.round("value", 6))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..registry import query
+from ..registry import query, table
 
 # Code, severity (e, w, i), type of the block, property it must have.
 REQUIRED = """
@@ -171,3 +171,27 @@ PAGES = [
 @query("sd_rules", """SELECT * FROM (VALUES (1,0,'ORG002','warning','Organization','url'),(1,0,'ORG003','warning','Organization','logo'),(1,0,'ORGCONT-V5001','info','Organization','contactPoint'),(2,0,'OFFER002','error','Offer','priceCurrency'),(2,0,'OFFER003','warning','Offer','availability')) t(page_id, block, code, severity, type, property)""")
 def sd_rules(spark, sf_dir):
     return structured_findings(spark.createDataFrame(PAGES, "page_id long, json_ld array<string>"))
+
+
+def _quoted(xs: list[str]) -> str:
+    return ", ".join(f"'{x}'" for x in xs)
+
+
+_KINDS = sorted({t for _, _, t, _ in required()})
+
+
+def made_blocks(pages: DataFrame) -> DataFrame:
+    """A JSON-LD block for each page, of the types in turn, with a name or a URL or neither (the given pages have none of their own)."""
+    p = F.col("page_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (p % len(_KINDS) + 1).cast("int"))
+    block = F.to_json(F.struct(kind.alias("@type"), F.when(p % 2 == 0, "N").alias("name"), F.when(p % 3 == 0, "https://h.example").alias("url")))
+    return pages.select("page_id", F.array(block, F.lit("{broken")).alias("json_ld"))
+
+
+@query(
+    "sd_pages",
+    f"WITH req(code, severity, type, property) AS (VALUES {', '.join(f'({chr(39)}{c}{chr(39)}, {chr(39)}{s}{chr(39)}, {chr(39)}{t}{chr(39)}, {chr(39)}{p}{chr(39)})' for c, s, t, p in required())}), b AS (SELECT page_id, [{_quoted(_KINDS)}][page_id % {len(_KINDS)} + 1] AS type FROM pages) SELECT page_id, 0 AS block, code, severity, type, property FROM b JOIN req USING (type) WHERE NOT (property = 'name' AND page_id % 2 = 0) AND NOT (property = 'url' AND page_id % 3 = 0)",
+)
+def sd_pages(spark, sf_dir):
+    """Required properties that the pages' blocks lack."""
+    return structured_findings(made_blocks(table(spark, sf_dir, "pages")))
