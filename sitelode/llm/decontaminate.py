@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import by_bytes, utf8
-from .scratch import materialize
+from .scratch import drop_scratch, materialize
 from .words import LETTERED, grams, lowered, whole, words_of
 
 #: Words of the shortest tile, and of a seed.
@@ -227,6 +227,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     best = F.max(F.struct("coverage", (-F.col("item")).alias("i"), "tiles")).alias("best")
     each = tiled.groupBy("k1", "k2", "item").agg(F.max(F.struct("coverage", (-F.col("tiles")).alias("t"))).alias("top")).select("k1", "k2", "item", "top.coverage", (-F.col("top.t")).alias("tiles"))
     found = materialize(each.groupBy("k1", "k2").agg(best, F.count_if(F.col("coverage") >= threshold).alias("items")), "found")
+    drop_scratch(items)
+    drop_scratch(sifted)
     return rows.join(found, ["k1", "k2"], "left").select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)],
         F.coalesce(F.col("best.coverage") >= threshold, F.lit(False)).alias("contaminated"),

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .chunks import by_bytes, runs, utf8
 from .components import components
-from .scratch import drop_scratch, materialize, shuffle_partitions
+from .scratch import drop_scratch, materialize, shuffle_partitions, written_tables
 from .words import LETTERED, grams, lowered, mix, whole, words_of
 
 SHINGLE = 5
@@ -386,9 +386,16 @@ def jaccard_classes(docs: DataFrame, trees: int = TREES, recall: float = RECALL)
     At most ``1 - recall`` of the links are expected to be missed as candidates; the shortest prefixes miss
     no more of those at the threshold itself. Candidates are compared by their words' bytes.
     """
+    with written_tables() as made:
+        return _classes(docs, trees, recall, made)
+
+
+def _classes(docs: DataFrame, trees: int, recall: float, made: list[DataFrame]) -> DataFrame:
     rows, lone, named = _grouped(docs, trees, recall)
     least = materialize(named.groupBy("label").agg(F.min("k").alias("least")), "least")
     classes = materialize(named.join(least, "label").select("node", F.when(F.col("least") < NO_ID, F.col("least")).alias("class_id"), (F.col("copies") - 1 + F.col("weight")).alias("n_links")), "classes")
+    for t in made[1:-1]:  # the first has the rows, the last the classes
+        drop_scratch(t)
     out = rows.select("k", "node").join(classes, "node").select(F.col("k").alias("doc_id"), "class_id", "n_links")
     return out.unionByName(lone.select(F.col("k").alias("doc_id"), F.col("k").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
@@ -405,6 +412,14 @@ def surplus(docs: DataFrame) -> DataFrame:
     texts of all its other rows are there with ``chosen`` false. Its own are there, with ``chosen`` true, only
     if several rows have them: all but one of those are to go. Rows in no class of several rows are not there.
     """
+    with written_tables() as made:
+        out = _surplus(docs)
+    for t in made[:-1]:
+        drop_scratch(t)
+    return out
+
+
+def _surplus(docs: DataFrame) -> DataFrame:
     rows, _, named = _grouped(docs)
     best = materialize(named.groupBy("label").agg(F.min(F.struct("k", "h")).alias("best"), F.sum("copies").alias("copies")).where("copies > 1").select("label", "best"), "best")
     several = materialize(named.select("node", "label").join(best, "label").select("node", "best"), "several")

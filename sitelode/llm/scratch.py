@@ -39,6 +39,21 @@ def _frees_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+#: Lists of the tables written since each open ``written_tables``.
+_records: list[list[DataFrame]] = []
+
+
+@contextmanager
+def written_tables():
+    """The tables that ``materialize`` writes inside, as a list."""
+    made: list[DataFrame] = []
+    _records.append(made)
+    try:
+        yield made
+    finally:
+        _records.remove(made)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new Parquet table in the shared folder and return a scan of it.
 
@@ -50,6 +65,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
+    for made in _records:
+        made.append(out)
     return out
 
 
