@@ -9,7 +9,7 @@ from sitelode.llm.decontaminate import decontaminate
 from sitelode.llm.jaccard import keys_of, surplus
 from sitelode.llm.langid import identify, sample_windows, train
 from sitelode.llm.pieces import encode_pieces
-from sitelode.llm.scratch import materialize
+from sitelode.llm.scratch import drop_scratch, materialize
 from sitelode.llm.substrings import dedup_substrings
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -85,7 +85,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{k}")
+            drop_scratch(before)  # read for the last time
     return docs
