@@ -160,7 +160,7 @@ def _signed(trees: int):
 
 
 _LEAF = "tree int, signature binary, node binary"
-_PAIR = "a binary, b binary, shared int, tree int, signature binary"
+_PAIR = "a binary, b binary, shared int, heads array<binary>, tree int, signature binary"
 
 
 def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +173,11 @@ def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(least: int):
-    """Pairs of neighbours in a sorted part of the tries that share ``least`` digits, and both ends of the part."""
+    """Of a sorted part of the tries: neighbours that share ``least`` digits, and for each number of digits from there on the first text of their node; and both ends of the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
+        before = heads = None
+        depths = np.arange(least, DEEPEST + 1)
         for batch in batches:
             if not len(batch):
                 continue
@@ -184,13 +185,20 @@ def _neighbours(least: int):
             digits = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u2").reshape(-1, DEEPEST)
             if before is None:
                 yield _ends(batch.slice(0, 1))
+                heads = node.take(pa.array(np.zeros(len(depths), np.int64)))
             else:
                 tree, digits = np.append(before[0], tree), np.concatenate([before[1], digits])
                 node = pa.concat_arrays([before[2], node])
             shared = np.minimum.accumulate(digits[1:] == digits[:-1], axis=1).sum(axis=1) * (tree[1:] == tree[:-1])
+            # a node's first text: that at which fewer digits are shared, or one that an earlier batch has left
+            opens = np.concatenate([np.zeros((1, len(depths)), bool), shared[:, None] < depths[None, :]])
+            first = np.maximum.accumulate(np.where(opens, np.arange(len(opens))[:, None], 0), axis=0)
+            pool = pa.concat_arrays([heads, node])
+            first = np.where(first > 0, first + len(depths), np.arange(len(depths))[None, :])
             at = np.flatnonzero(shared >= least)
-            none = [pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())]
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(at + 1)), pa.array(shared[at].astype(np.int32)), *none], names=["a", "b", "shared", "tree", "signature"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * len(depths), pa.int32()), pool.take(pa.array(first[at + 1].ravel())))
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(at)), node.take(pa.array(at + 1)), pa.array(shared[at].astype(np.int32)), lists, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=["a", "b", "shared", "heads", "tree", "signature"])
+            heads = pool.take(pa.array(first[-1]))
             before, last = (tree[-1:], digits[-1:], node.slice(len(node) - 1)), batch.slice(len(batch) - 1)
         if before is not None:
             yield _ends(last)
@@ -199,11 +207,12 @@ def _neighbours(least: int):
 
 
 def _ends(row: pa.RecordBatch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([row.column("node"), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), row.column("tree"), row.column("signature")], names=["a", "b", "shared", "tree", "signature"])
+    return pa.RecordBatch.from_arrays([row.column("node"), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.list_(pa.binary())), row.column("tree"), row.column("signature")], names=["a", "b", "shared", "heads", "tree", "signature"])
 
 
 def tries(texts: DataFrame, least: int) -> DataFrame:
-    """a, b, shared: neighbours in the sorted prefix tries of ``texts`` (node, trie), and how many digits they share.
+    """a, b, shared, heads: neighbours in the sorted prefix tries of ``texts`` (node, trie), how many digits they share, and for
+    each number of digits from ``least`` on the first text of b's node (null where two parts of the sort meet).
 
     The sort is by range of tree, signature and node, so a prefix that very many texts have is spread over
     tasks; where one part ends and the next begins, the two texts (one row for each end) are neighbours too.
@@ -214,7 +223,7 @@ def tries(texts: DataFrame, least: int) -> DataFrame:
     order = Window.partitionBy("tree").orderBy("signature", "a")
     digits = [F.substring("signature", 1, 2 * d) == F.substring(F.lag("signature").over(order), 1, 2 * d) for d in range(least, DEEPEST + 1)]
     ends = pairs.where("tree IS NOT NULL").select(F.lag("a").over(order).alias("a"), F.col("a").alias("b"), F.when(digits[0], sum(x.cast("int") for x in digits) + F.lit(least - 1)).alias("shared"))
-    return pairs.where("tree IS NULL").select("a", "b", "shared").unionByName(ends.where("shared IS NOT NULL"))
+    return pairs.where("tree IS NULL").select("a", "b", "shared", "heads").unionByName(ends.where("shared IS NOT NULL").withColumn("heads", F.lit(None).cast("array<binary>")))
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,8 +371,11 @@ def _grouped(docs: DataFrame, trees: int = TREES, recall: float = RECALL) -> tup
     # one row for each text: copies share their node
     picked = rows.groupBy("node").agg(F.min(F.struct(F.coalesce("k", F.lit(NO_ID)).alias("k"), "h", "size", "trie")).alias("one"), F.count(F.lit(1)).alias("copies"))
     texts = materialize(picked.select("node", "copies", "one.*"), "texts")
-    pairs = tries(texts, shortened({}, DEEPEST, trees, recall))
-    found = _compared(inner, texts, pairs.where(F.col("shared") >= chosen_depth(texts, pairs, trees, recall)))
+    least = shortened({}, DEEPEST, trees, recall)
+    pairs = tries(texts, least)
+    depth = chosen_depth(texts, pairs, trees, recall)
+    head = F.coalesce(F.try_element_at("heads", F.lit(depth - least + 1)), F.col("a"))
+    found = _compared(inner, texts, pairs.where(F.col("shared") >= depth).select(head.alias("a"), "b"))
 
     labels = materialize(components(found.select(F.col("node").alias("a"), F.col("to").alias("b"))), "labels")
     weights = materialize(found.groupBy("node").agg(F.sum("weight").alias("weight")), "weights")

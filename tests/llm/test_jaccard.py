@@ -79,20 +79,25 @@ def test_tries_hold_every_node(spark):
     rng = random.Random(5)
     digits = {bytes([i]) * 16: [[rng.randrange(2) for _ in range(DEEPEST)] for _ in range(3)] for i in range(40)}
     raw = [(n, np.array(d, ">u2").tobytes()) for n, d in digits.items()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # nodes go on from batch to batch
     found = tries(spark.createDataFrame(raw, "node binary, trie binary"), 2).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     for depth in range(2, DEEPEST + 1):
-        label = {n: n for n in digits}
+        label, stars = {n: n for n in digits}, {n: n for n in digits}
         for _ in digits:
             for r in found:
                 if r.shared >= depth:
-                    label[bytes(r.a)] = label[bytes(r.b)] = min(label[bytes(r.a)], label[bytes(r.b)])
+                    a, b = bytes(r.a), bytes(r.b)
+                    label[a] = label[b] = min(label[a], label[b])
+                    a = bytes(r.heads[depth - 2]) if r.heads else a
+                    stars[a] = stars[b] = min(stars[a], stars[b])
         want = {n: n for n in digits}
         for _ in digits:
             for x in digits:
                 for y in digits:
                     if any(digits[x][t][:depth] == digits[y][t][:depth] for t in range(3)):
                         want[x] = want[y] = min(want[x], want[y])
-        assert label == want
+        assert label == want and stars == want
 
 
 def test_shingles_are_told_apart_by_bytes():
