@@ -128,7 +128,7 @@ def test_limits():
 
 
 def test_contracts(spark):
-    assert sinks.ddl("findings", "bigquery").splitlines()[1] == "page_id INT64 NOT NULL,"
+    assert sinks.ddl("findings", "bigquery").splitlines()[1] == "page_id STRING NOT NULL,"
     with pytest.raises(ValueError, match="needs url"):
         sinks.conform(spark.createDataFrame([("c", 1)], "crawl_id string, page_id long"), "pages")
 
