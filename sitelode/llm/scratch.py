@@ -51,7 +51,7 @@ def written_tables():
     try:
         yield made
     finally:
-        _records.remove(made)
+        _records.pop()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
