@@ -38,12 +38,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     marks = surplus(docs)
     keyed = keys_of(docs.select(COLUMNS))
-    once = keyed.join(marks, ["k", "h"], "left_anti").select(COLUMNS)
+    once = keyed.join(marks.hint("merge"), ["k", "h"], "left_anti").select(COLUMNS)  # marks grow with the documents
     repeated = marks.where("chosen")
     if repeated.isEmpty():
         return once
     # the key is one struct, not k and h, so that rows that repeat very often meet after partial aggregation
-    rows = keyed.join(repeated.select("k", "h"), ["k", "h"], "left_semi").groupBy(F.struct("k", "h").alias("key"))
+    rows = keyed.join(repeated.select("k", "h").hint("merge"), ["k", "h"], "left_semi").groupBy(F.struct("k", "h").alias("key"))
     one = rows.agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), *COLUMNS)).alias("one"))
     return once.unionByName(one.select([F.col(f"one.{c}").alias(c) for c in COLUMNS]))
 
