@@ -25,37 +25,45 @@ QUERY_GROUP, ROW_GROUP = 16, 8
 LEAST_SCORE, MOST_SCORE = -(2**63), 2**63 - 1
 #: Products up to here are exact in a double.
 _EXACT = float(2**53)
-_TILE = "dim int, ids binary, matrix binary"
+_TILE = "dim int, ids binary, more binary, matrix binary"
 _LIST = "query_id long, vec_id long, score long"
 
 
 def quantized(x: Column, scale: float = 256.0) -> Column:
     """floor(scale * component) as doubles, or null where the vector or a component is null or not finite."""
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
-    return F.when(x.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v.cast("double") * F.lit(scale)).cast("double")))
+
+    def floored(v: Column) -> Column:
+        y = v.cast("double") * F.lit(scale)
+        return F.when(F.abs(y) < F.lit(_EXACT), F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole, and floor() ends at 64 bits
+
+    return F.when(x.isNotNull() & ~bad, F.transform(x, floored))
 
 
 def _pack(rows_per_tile: int):
+    """Tiles of rows (id, v, more): ``more`` is an array of integers, as many for each row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def tile(dim: int) -> pa.RecordBatch:
-            ids = np.concatenate([i for i, _ in held[dim]])
-            m = np.concatenate([v for _, v in held[dim]])
+            ids, more, m = (np.concatenate(x) for x in zip(*held[dim]))
             order = np.argsort(ids, kind="stable")
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([np.ascontiguousarray(m[order]).tobytes()], pa.binary())], names=["dim", "ids", "matrix"])
+            columns = [pa.array([np.ascontiguousarray(x[order]).tobytes()], pa.binary()) for x in (ids, more, m)]
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), *columns], names=["dim", "ids", "more", "matrix"])
 
         for batch in batches:
             lists = batch.column("v")
             ids, dims = np.asarray(batch.column("id"), np.int64), np.asarray(lists.value_lengths(), np.int64)
+            more = np.asarray(batch.column("more").flatten(), np.int64).reshape(len(batch), -1)
             flat, starts = np.asarray(lists.flatten(), np.float64), np.concatenate([[0], np.cumsum(dims)])
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 for lo in range(0, len(at), rows_per_tile):
                     part = at[lo : lo + rows_per_tile]
                     m = flat[starts[part][:, None] + np.arange(dim)[None, :]]
-                    held.setdefault(int(dim), []).append((ids[part], m))
-                    if sum(len(i) for i, _ in held[int(dim)]) >= rows_per_tile:
+                    held.setdefault(int(dim), []).append((ids[part], more[part], m))
+                    if sum(len(x[0]) for x in held[int(dim)]) >= rows_per_tile:
                         yield tile(int(dim))
                         held[int(dim)] = []
         for dim in held:
@@ -67,7 +75,7 @@ def _pack(rows_per_tile: int):
 
 def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k best, by score down and vec_id up."""
-    order = np.lexsort((vec, -score, query))
+    order = np.lexsort((vec, ~score, query))  # ~ turns the order round, for the least number of 64 bits too
     q = query[order]
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
     rank = np.arange(len(q)) - np.repeat(first, np.diff(np.concatenate([first, [len(q)]])))
@@ -76,11 +84,17 @@ def _best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.n
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T as exact integers, within LEAST_SCORE and MOST_SCORE."""
-    bound = (np.abs(a).max(initial=0.0)) * (np.abs(b).max(initial=0.0)) * a.shape[1]
-    if bound < _EXACT:
-        return (a @ b.T).astype(np.int64)
-    whole = [[list(map(int, r)) for r in m] for m in (a, b)]
-    return np.array([[max(LEAST_SCORE, min(MOST_SCORE, sum(x * y for x, y in zip(r, s)))) for s in whole[1]] for r in whole[0]], np.int64).reshape(len(a), len(b))
+    tops = [np.abs(m).max(axis=1, initial=0.0) for m in (a, b)]
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = a @ b.T
+        if tops[0].max(initial=0.0) * tops[1].max(initial=0.0) * a.shape[1] < _EXACT:
+            return out.astype(np.int64)
+        large = np.outer(*tops) * a.shape[1] >= _EXACT
+    out = np.where(large, 0.0, out).astype(np.int64)
+    whole = [{i: list(map(int, m[i])) for i in np.flatnonzero(large.any(axis=side)).tolist()} for m, side in ((a, 1), (b, 0))]
+    for i, j in zip(*(x.tolist() for x in np.nonzero(large))):  # only the pairs of rows whose numbers are that large
+        out[i, j] = max(LEAST_SCORE, min(MOST_SCORE, sum(x * y for x, y in zip(whole[0][i], whole[1][j]))))
+    return out
 
 
 def _search(k: int):
@@ -122,9 +136,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id: str = "vec_id",
     Every query meets every row, which is the work asked for. A row tile travels once for each group of
     query tiles and a query tile once for each group of row tiles; a task holds one group of each.
     """
-    rows = vectors.select(F.col(id).cast("long").alias("id"), quantized(F.col(vector)).alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    tiles = materialize(rows.select("id", "v").mapInArrow(_pack(ROWS_PER_TILE), _TILE), "topk-rows")
-    once = rows.where("q").groupBy("id").agg(F.min("v").alias("v"))
+    rows = vectors.select(F.col(id).cast("long").alias("id"), quantized(F.col(vector)).alias("v"), is_query.alias("q"), F.expr("array(0L)").alias("more")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
+    tiles = materialize(rows.select("id", "v", "more").mapInArrow(_pack(ROWS_PER_TILE), _TILE), "topk-rows")
+    once = rows.where("q").groupBy("id").agg(F.min("v").alias("v"), F.expr("array(0L)").alias("more"))
     asked = materialize(once.mapInArrow(_pack(QUERIES_PER_TILE), _TILE), "topk-queries")
     grid = {}
     for name, table, size in (("query_group", asked, QUERY_GROUP), ("row_group", tiles, ROW_GROUP)):

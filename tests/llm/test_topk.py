@@ -55,3 +55,26 @@ def test_query(spark, tmp_path):
 
 def test_empty(spark):
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_the_least_score_of_64_bits_ranks_last(spark):
+    rows = [(0, [-(2.0**32), 0.0]), (1, [2.0**32, 0.0]), (2, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in top_k(df, F.col("vec_id") == 0, k=1).collect()]
+    assert got == [(0, 1, 2, -(2**48))]
+
+
+def test_components_beyond_64_bits_do_not_saturate(spark):
+    rows = [(0, [2.0**-8, 0.0]), (1, [2.0**60, 0.0]), (2, [2.0**61, -3.5]), (3, [2.0**-9, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in top_k(df, F.col("vec_id") == 0, k=2).collect()) == brute(rows, 2)[:2]
+    (v,) = spark.createDataFrame([([1e300, -1e300, 2.0**70, 0.3],)], "v array<double>").select(topk.quantized(F.col("v"))).first()
+    assert v == [256e300, -256e300, 2.0**78, 76.0]
+
+
+def test_only_outliers_leave_the_fast_product():
+    rng = np.random.default_rng(1)
+    a, b = np.floor(256 * rng.normal(size=(30, 8))), np.floor(256 * rng.normal(size=(400, 8)))
+    b[7, 3], a[2, 0] = 2.0**60, -(2.0**50)
+    want = [[max(-(2**63), min(2**63 - 1, sum(int(x) * int(y) for x, y in zip(r, s)))) for s in b] for r in a]
+    assert _products(a, b).tolist() == want
