@@ -5,6 +5,8 @@ from __future__ import annotations
 from .decontaminate import op6_decontaminate
 from .jaccard import op2_jaccard_join
 from .langid import op10_language_id
+from .merkle import op13_merkle_manifest
+from .negatives import op11_hard_negatives
 from .pieces import op8_sentencepiece
 from .records import op7_token_records
 from .sharding import op1_sharding
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 
@@ -72,6 +76,22 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+_OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, v.r, v.vec_id, v.label = a.label AS same, CAST(list_dot_product(a.e, v.e) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 100 = 0 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, e) = 1) AS a JOIN v ON a.vec_id <> v.vec_id AND len(a.e) = len(v.e)
+), p AS (
+  SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS positive_rank FROM s WHERE same QUALIFY positive_rank <= 5
+)
+SELECT anchor_id, p.vec_id AS positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_rank ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+  s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score, CAST(positive_rank AS INTEGER) AS positive_rank
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
+
 _OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
@@ -109,4 +129,35 @@ SELECT doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans,
 FROM d LEFT JOIN kept USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1, "op2_jaccard_join": _OP2, "op3_suffix_dedup": _OP3, "op4_top_k": _OP4, "op5_substring_dedup": _OP5}
+
+
+def _op13(levels: int = 6, over: int = 3) -> str:
+    """The manifest for languages of up to 8**levels rows, and 8**over languages."""
+    framed = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(framed, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    third = f"doc_id IS NOT NULL AND {crc32_sql('encode(CAST(doc_id AS VARCHAR))')} % 3 = 0"
+    out = [
+        f"d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {third} THEN {leaf(lower)} END AS altered FROM documents)",
+        "w0 AS (SELECT *, coalesce(altered, leaf) AS cur, '' AS proof, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM d)",
+        "m0 AS (SELECT lang, p, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM w0)",
+    ]
+
+    def climb(k: int, m: str, group: str, same: str) -> None:
+        run = f"{group}p // 8 ORDER BY p ROWS BETWEEN"
+        out.append(f"s{k} AS (SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY {run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (PARTITION BY {run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {m})")
+        out.append(f"w{k + 1} AS (SELECT w.* EXCLUDE (cur, proof, p), CASE WHEN n > 1 THEN sha256(l || cur || r) ELSE cur END AS cur, proof || l || r AS proof, w.p // 8 AS p FROM w{k} AS w JOIN s{k} AS s ON w.p = s.p {same})")
+        out.append(f"m{k + 1} AS (SELECT {group}p // 8 AS p, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE min(h) END AS h, (any_value(n) + 7) // 8 AS n FROM {m} GROUP BY {group}p // 8)")
+
+    for k in range(levels):
+        climb(k, f"m{k}", "lang, ", "AND w.lang IS NOT DISTINCT FROM s.lang")
+    out.append(f"u AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM m{levels})")
+    k = levels + 1
+    out.append(f"w{k} AS (SELECT w.* EXCLUDE (p), u.p, u.h AS subroot FROM w{levels} AS w JOIN u ON w.lang IS NOT DISTINCT FROM u.lang)")
+    for i in range(over):
+        climb(k + i, "u" if not i else f"m{k + i}", "", "")
+    end = k + over
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM w{end}, m{end}"
+
+
+ORACLE_SQL: dict[str, str] = {"op1_sharding": _OP1, "op2_jaccard_join": _OP2, "op3_suffix_dedup": _OP3, "op4_top_k": _OP4, "op5_substring_dedup": _OP5, "op11_hard_negatives": _OP11, "op13_merkle_manifest": _op13()}
