@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .extract import op12_html_extraction
 from .jaccard import op2_jaccard_join
 from .langid import op10_language_id
 from .merkle import op13_merkle_manifest
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_html_extraction": op12_html_extraction,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
