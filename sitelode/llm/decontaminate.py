@@ -6,7 +6,9 @@ both, and so on with shorter runs down to the seed's length. The tiles' share of
 which does not depend on the order in which the document has the item's passages.
 
 A sieve, a bitmap of fixed size that holds the seeds' hashes, goes to every task, so that of the documents
-only those seeds travel that the benchmark may have, and only the words under them.
+only those seeds travel that the benchmark may have, and only the words under them. Seeds that many
+documents share are left out of an item's join as long as all of them together cover less of the item than
+what is reported, so that a stock phrase pairs nothing. Hashes only guide; the words' bytes decide.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .chunks import by_bytes, utf8
 from .scratch import drop_scratch, materialize
-from .words import LETTERED, grams, lowered, whole, words_of
+from .words import LETTERED, Words, grams, lowered, mix, whole, words_of
 
 #: Words of the shortest tile, and of a seed.
 LEAST = 5
@@ -30,71 +32,92 @@ COVERAGE = 0.6
 SIEVE_BITS = 27
 _BLOCK = 4096
 _CHUNK = 1 << 20
-_PRIME = (1 << 61) - 1
-_BASE = 1_000_003
-
-
-def _matches(a: list[list[int]], free_a: list[list[bool]], b: list[list[int]], free_b: list[list[bool]], s: int) -> list[tuple[int, int, int, int, int]]:
-    """Maximal common runs of at least ``s`` unmarked words: (length, run in a, place, run in b, place)."""
-    top = pow(_BASE, s - 1, _PRIME)
-
-    def windows(rows, free):
-        for r, (row, ok) in enumerate(zip(rows, free)):
-            n = h = 0
-            for i, word in enumerate(row):
-                if not ok[i]:
-                    n = h = 0
-                    continue
-                if n == s:
-                    h = (h - row[i - s] * top) % _PRIME
-                    n -= 1
-                h = (h * _BASE + word) % _PRIME
-                n += 1
-                if n == s:
-                    yield h, r, i - s + 1
-
-    table: dict[int, list[tuple[int, int]]] = {}
-    for h, r, i in windows(a, free_a):
-        table.setdefault(h, []).append((r, i))
-    found = []
-    for h, q, j in windows(b, free_b):
-        for r, i in table.get(h, ()):
-            x, fx, y, fy = a[r], free_a[r], b[q], free_b[q]
-            if x[i : i + s] != y[j : j + s] or (i and j and fx[i - 1] and fy[j - 1] and x[i - 1] == y[j - 1]):
-                continue  # a collision, or part of a run that began before
-            n = s
-            while i + n < len(x) and j + n < len(y) and fx[i + n] and fy[j + n] and x[i + n] == y[j + n]:
-                n += 1
-            found.append((n, r, i, q, j))
-    return found
-
-
-def tiles(item: list[int], runs: list[list[int]], least: int = LEAST) -> list[tuple[int, int, int, int]]:
-    """Greedy tiles (length, place in item, run, place in run), longest first, then by place in both."""
-    a, free_a = [item], [[True] * len(item)]
-    free_b = [[True] * len(r) for r in runs]
-    out = []
-    s = max(least, len(item) // 2)
-    while True:
-        found = _matches(a, free_a, runs, free_b, s)
-        for n, r, i, q, j in sorted(found, key=lambda m: (-m[0], m[2], m[3], m[4])):
-            if all(free_a[r][i : i + n]) and all(free_b[q][j : j + n]):
-                free_a[r][i : i + n] = [False] * n
-                free_b[q][j : j + n] = [False] * n
-                out.append((n, i, q, j))
-        left = _matches(a, free_a, runs, free_b, s) if found else []
-        if left:  # what a marked run cut off may still be as long
+_MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+
+
+class _Windows:
+    """Karp-Rabin hashes of all windows of a word sequence: differences of running sums, modulo 2**64."""
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        powers = lambda x: np.cumprod(np.array([1, *[x] * n], np.uint64))
+        terms = mix(ids.astype(np.uint64) + np.uint64(1)) * powers(_MULTIPLIER)[:n]
+        self.ids, self.sums, self.back = ids, np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms)]), powers(_INVERSE)
+        self.free = ids >= 0
+
+    def of(self, s: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the unmarked windows of ``s`` words, and their hashes."""
+        marked = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(marked[s:] == marked[: len(marked) - s]) if s < len(marked) else np.empty(0, np.int64)
+        return at, (self.sums[at + s] - self.sums[at]) * self.back[at]
+
+
+def _marked_at(a: _Windows, b: _Windows, s: int) -> list[tuple[int, int]]:
+    """Marks common runs of ``s`` words, the longest there are, in the order of their places: (in a, in b)."""
+    (at, ha), (bt, hb) = a.of(s), b.of(s)
+    both = np.intersect1d(ha, hb)
+    at, ha = at[np.isin(ha, both)], ha[np.isin(ha, both)]
+    bt, hb = bt[np.isin(hb, both)], hb[np.isin(hb, both)]
+    order = np.argsort(hb, kind="stable")
+    lo, hi = (np.searchsorted(hb[order], ha, side).tolist() for side in ("left", "right"))
+    places = bt[order].tolist()
+    used: dict[int, int] = {}  # of the places with one hash, how many are marked for sure
+    out, end = [], 0
+    for i, first, last in zip(at.tolist(), lo, hi):
+        if i < end:
             continue
-        if s == least:
-            return out
-        s = max(least, s // 2)
-
-
-def _seeds(texts: list[bytes | None], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all texts together: word fingerprints, words of each text, and the seeds' fingerprints and places."""
+        # windows were free before this round, and all marks since are as long, so the ends tell
+        k = used.get(first, first)
+        while k < last and not (b.free[places[k]] and b.free[places[k] + s - 1]):
+            k += 1
+        used[first] = k
+        while k < last:
+            j = places[k]
+            if b.free[j] and b.free[j + s - 1] and np.array_equal(a.ids[i : i + s], b.ids[j : j + s]):
+                a.free[i : i + s] = b.free[j : j + s] = False
+                out.append((i, j))
+                end = i + s
+                break
+            k += 1  # marked meanwhile, or another run with the same hash
+    return out
+
+
+def tiles(item: np.ndarray, other: np.ndarray, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """Greedy tiles (length, place in item, place in other), longest first, then by place in both.
+
+    Words are numbers; negative ones match nothing. The longest common run is found by halving, as a run of
+    s words holds runs of s - 1. A round marks all runs of that length, so there are as many rounds as
+    different lengths, at most the root of twice the item's words, each in time near its words'.
+    """
+    a, b = _Windows(np.asarray(item, np.int64)), _Windows(np.asarray(other, np.int64))
+    common = lambda s: bool(np.isin(a.of(s)[1], b.of(s)[1]).any())
+    out, high = [], min(len(item), len(other))
+    while high >= least:
+        if not common(high):
+            low = least - 1
+            while high - low > 1:  # common at low (or it is too short), not at high
+                mid = (low + high) // 2
+                low, high = (mid, high) if common(mid) else (low, mid)
+            high = low
+            if high < least:
+                break
+        out += [(high, i, j) for i, j in _marked_at(a, b, high)]
+        high -= 1
+    return out
+
+
+def _seeds(texts: list[bytes | None], least: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """Of all texts together: their words, and the seeds' fingerprints and places."""
     w = words_of([lowered(t) for t in texts], LETTERED)
     at = np.flatnonzero(whole(w.counts, least))
-    return w.hashes, w.counts, grams(w.hashes, least)[at], at
+    return w, grams(w.hashes, least)[at], at
+
+
+def _bytes_of(w: Words, first: int, last: int) -> bytes:
+    """Words ``first`` to ``last`` (exclusive), parted by white space."""
+    part = w.data[w.starts[first] : w.ends[last - 1]]
+    return np.where(LETTERED[part], part, np.uint8(32)).tobytes()
 
 
 def _slots(seeds: np.ndarray) -> np.ndarray:
@@ -102,15 +125,49 @@ def _slots(seeds: np.ndarray) -> np.ndarray:
 
 
 def _of_items(least: int):
-    """For each item its words and its distinct seeds."""
+    """For each item with as many words its words, and the seed at each of its places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, counts, seeds, at = _seeds(utf8(batch.column("t")), least)
-            ends = np.cumsum(counts)
+            w, seeds, at = _seeds(utf8(batch.column("t")), least)
+            ends = np.cumsum(w.counts)
             which = np.searchsorted(ends, at, side="right")
-            own = [np.unique(seeds[lo:hi]).view(np.int64).tolist() for lo, hi in zip(np.searchsorted(which, np.arange(len(batch))), np.searchsorted(which, np.arange(1, len(batch) + 1)))]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([hashes[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["item", "words", "seeds"])
+            rows = [(i, _bytes_of(w, ends[i] - w.counts[i], ends[i]), seeds[slice(*np.searchsorted(which, (i, i + 1)))].view(np.int64).tolist()) for i in np.unique(which).tolist()]
+            at, words, own = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("i").take(pa.array(at, pa.int32())), pa.array(words, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["item", "words", "seeds"])
+
+    return run
+
+
+def common_seeds(seeds: list[int], counts: dict[int, int], report: float, least: int = LEAST) -> set[int]:
+    """Seeds of an item, those of most documents first, that cover less than ``report`` of it all together.
+
+    What a document shares with the item by them alone is less too, so they need not bring the two together.
+    """
+    places: dict[int, list[int]] = {}
+    for p, seed in enumerate(seeds):
+        places.setdefault(seed, []).append(p)
+    n = len(seeds) + least - 1
+    covered, total, out = bytearray(n), 0, set()
+    for seed in sorted(counts, key=lambda x: (-counts[x], x)):
+        new = {q for p in places[seed] for q in range(p, p + least) if not covered[q]}
+        if (total + len(new)) / n < report:
+            total += len(new)
+            out.add(seed)
+            for q in new:
+                covered[q] = 1
+    return out
+
+
+def _sown(report: float, least: int):
+    """The seeds by which each item is joined."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, seeds, counts in zip(*(batch.column(c).to_pylist() for c in ("n", "seeds", "counts"))):
+                counts = {x["seed"]: x["docs"] for x in counts}
+                own = sorted(set(counts) - common_seeds(seeds, counts, report, least))
+                yield pa.RecordBatch.from_arrays([pa.array([n] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["n", "seed"])
 
     return run
 
@@ -131,74 +188,78 @@ def _merged(table: pa.Table) -> pa.Table:
 
 
 def _sifted(sieve, least: int):
-    """Of each document: the words that the sieve's seeds cover, in runs, and those seeds."""
+    """Of each document: the words that the sieve's seeds cover, a run in a line, and those seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sieve.value
         for batch in batches:
             texts = utf8(batch.column("x"))
             for lo, hi in by_bytes(texts, _CHUNK):
-                hashes, counts, seeds, at = _seeds(texts[lo:hi], least)
+                w, seeds, at = _seeds(texts[lo:hi], least)
                 slot = _slots(seeds)
                 hit = np.flatnonzero(bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
                 if not len(hit):
                     continue
                 seeds, at = seeds[hit], at[hit]
-                text = np.searchsorted(np.cumsum(counts), at, side="right")
+                text = np.searchsorted(np.cumsum(w.counts), at, side="right")
                 rows = []
                 for t in np.unique(text).tolist():
-                    own = np.arange(*np.searchsorted(text, (t, t + 1)))
+                    own = slice(*np.searchsorted(text, (t, t + 1)))
                     place = at[own]
                     # a tile lies in words that seeds cover, so only those runs travel
                     new = np.flatnonzero(np.concatenate([[True], np.diff(place) > least]))
                     first, last = place[new], np.append(place[new[1:] - 1], place[-1]) + least
-                    rows.append((lo + t, (last - first).tolist(), b"".join(hashes[i:j].tobytes() for i, j in zip(first, last)), np.unique(seeds[own]).view(np.int64).tolist()))
-                row, sizes, words, own = zip(*rows)
+                    rows.append((lo + t, b"\n".join(_bytes_of(w, i, j) for i, j in zip(first, last)), np.unique(seeds[own]).view(np.int64).tolist()))
+                row, words, own = zip(*rows)
                 key = [batch.column(c).take(pa.array(row)) for c in ("k1", "k2")]
-                yield pa.RecordBatch.from_arrays([*key, pa.array(sizes, pa.list_(pa.int32())), pa.array(words, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["k1", "k2", "sizes", "words", "seeds"])
+                yield pa.RecordBatch.from_arrays([*key, pa.array(words, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["k1", "k2", "words", "seeds"])
 
     return run
 
 
-def coverage(item: bytes, sizes: list[int], words: bytes, least: int = LEAST) -> tuple[float, int]:
-    """The share of an item's words under tiles with a document's runs of words, and the number of tiles."""
-    own, other = np.frombuffer(item, np.uint64), np.frombuffer(words, np.uint64)
-    mine = set(grams(own, least).tolist())
-    known = set(own.tolist())
-    runs = []
-    for part in np.split(other, np.cumsum(sizes)[:-1]):
-        # of the runs only what this item's own seeds cover: nothing else can be under a tile
-        at = [i for i, g in enumerate(grams(part, least).tolist()) if g in mine]
-        start = end = -1
-        for p in at:
-            if p > end:
-                if end >= 0:
-                    runs.append(part[start:end].tolist())
-                start = p
-            end = p + least
-        if end >= 0:
-            runs.append(part[start:end].tolist())
-    found = tiles(own.tolist(), runs, least) if known else []
+def coverage(item: bytes, words: bytes, least: int = LEAST) -> tuple[float, int]:
+    """The share of an item's words under tiles with a document's runs of words, and the number of tiles.
+
+    Words are parted by white space, runs by newlines.
+    """
+    ids: dict[bytes, int] = {}
+    own = np.array([ids.setdefault(x, len(ids)) for x in item.split()], np.int64)
+    other = np.array([ids.get(x, -1) for line in words.split(b"\n") for x in (*line.split(), b"")], np.int64)
+    # of the document only runs of the item's words that are long enough for a tile
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], other >= 0, [False]]).view(np.int8)))
+    parts = [other[i : j + 1] for i, j in zip(edges[0::2].tolist(), edges[1::2].tolist()) if j - i >= least]
+    found = tiles(own, np.concatenate(parts), least) if parts else []
     return sum(x[0] for x in found) / len(own), len(found)
 
 
 def _tiled(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [coverage(*row, least) for row in zip(*(batch.column(c).to_pylist() for c in ("item_words", "sizes", "words")))]
+            made = [coverage(*row, least) for row in zip(*(batch.column(c).to_pylist() for c in ("item_words", "words")))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "item")), pa.array([c for c, _ in made], pa.float64()), pa.array([n for _, n in made], pa.int32())], names=["k1", "k2", "item", "coverage", "tiles"])
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, threshold: float = COVERAGE) -> DataFrame:
+def pairs_of(sifted: DataFrame, items: DataFrame, report: float) -> DataFrame:
+    """k1, k2 and n of the documents and items that may share ``report`` of an item."""
+    docs = sifted.select("k1", "k2", F.explode("seeds").alias("seed"))
+    counts = docs.groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
+    known = items.select("n", F.explode(F.array_distinct("seeds")).alias("seed")).join(counts, "seed").groupBy("n").agg(F.collect_list(F.struct("seed", "docs")).alias("counts"))
+    sown = items.select("n", "seeds").join(known, "n").mapInArrow(_sown(report, LEAST), "n long, seed long")
+    return docs.join(sown, "seed").select("k1", "k2", "n").distinct()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, threshold: float = COVERAGE, report: float | None = None) -> DataFrame:
     """``docs``' columns named in ``keep`` (doc_id if none) with contaminated, best_item, coverage, n_items and n_tiles.
 
     best_item is the item of the highest coverage (ties: the smaller id), n_items how many items reach
-    ``threshold``. Words are runs of ASCII letters, digits and non-ASCII characters, in lower case. A
-    null or short text is not contaminated (coverage 0, no item); items of fewer than five words or
-    with null text or id match nothing; repeated rows and ids are judged each; an empty table gives no
-    rows, an empty benchmark finds nothing.
+    ``threshold``. Coverages below ``report`` (``threshold`` if none) count as no coverage; with a ``report``
+    of 0 all are told, at the price of pairing every document and item with a common seed. Words are runs
+    of ASCII letters, digits and non-ASCII characters, in lower case, told apart by their bytes. A null or
+    short text is not contaminated (coverage 0, no item); items of fewer than five words or with null
+    text or id match nothing; repeated rows and ids are judged each; an empty table gives no rows, an
+    empty benchmark finds nothing.
 
     Repeated item ids are items each, of which the one with the highest coverage counts; n_items counts ids.
 
@@ -208,22 +269,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     if it is small.
     """
     keep = keep or ["doc_id"]
+    report = threshold if report is None else min(report, threshold)
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t"))
-    items = materialize(items.mapInArrow(_of_items(LEAST), "item long, words binary, seeds array<long>").withColumn("n", F.xxhash64("item", "words")), "items")
-    sown = items.select("item", "n", F.explode("seeds").alias("seed"))
+    items = materialize(items.mapInArrow(_of_items(LEAST), "item long, words binary, seeds array<long>").withColumn("n", F.monotonically_increasing_id()), "items")
     sieve = np.zeros(1 << SIEVE_BITS - 3, np.uint8)
     blocks = "block int, bits binary"
-    for r in sown.select("seed").distinct().mapInArrow(_marked, blocks).groupBy("block").applyInArrow(_merged, blocks).collect():
+    for r in items.select(F.explode("seeds").alias("seed")).distinct().mapInArrow(_marked, blocks).groupBy("block").applyInArrow(_merged, blocks).collect():
         sieve[r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["bits"], np.uint8)
     shared = spark.sparkContext.broadcast(sieve)
 
     known = [F.xxhash64("doc_id", "text"), F.xxhash64(F.lit(7), "text", F.col("doc_id").isNull(), "doc_id")]
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], known[0].alias("k1"), known[1].alias("k2"))
-    sifted = materialize(docs.select(known[0].alias("k1"), known[1].alias("k2"), F.col("text").alias("x")).mapInArrow(_sifted(shared, LEAST), "k1 long, k2 long, sizes array<int>, words binary, seeds array<long>").dropDuplicates(["k1", "k2"]), "sifted")
-    pairs = sifted.select("k1", "k2", F.explode("seeds").alias("seed")).join(sown, "seed").select("k1", "k2", "item", "n").distinct()
-    met = pairs.join(items.select("item", "n", F.col("words").alias("item_words")), ["item", "n"]).join(sifted.drop("seeds"), ["k1", "k2"])
-    tiled = met.select("k1", "k2", "item", "item_words", "sizes", "words").mapInArrow(_tiled(LEAST), "k1 long, k2 long, item long, coverage double, tiles int")
+    sifted = materialize(docs.select(known[0].alias("k1"), known[1].alias("k2"), F.col("text").alias("x")).mapInArrow(_sifted(shared, LEAST), "k1 long, k2 long, words binary, seeds array<long>").dropDuplicates(["k1", "k2"]), "sifted")
+    pairs = pairs_of(sifted, items, report)
+    met = pairs.join(items.select("item", "n", F.col("words").alias("item_words")), "n").join(sifted.drop("seeds"), ["k1", "k2"])
+    tiled = met.select("k1", "k2", "item", "item_words", "words").mapInArrow(_tiled(LEAST), "k1 long, k2 long, item long, coverage double, tiles int").where((F.col("coverage") > 0) & (F.col("coverage") >= report))
     best = F.max(F.struct("coverage", (-F.col("item")).alias("i"), "tiles")).alias("best")
     each = tiled.groupBy("k1", "k2", "item").agg(F.max(F.struct("coverage", (-F.col("tiles")).alias("t"))).alias("top")).select("k1", "k2", "item", "top.coverage", (-F.col("top.t")).alias("tiles"))
     found = materialize(each.groupBy("k1", "k2").agg(best, F.count_if(F.col("coverage") >= threshold).alias("items")), "found")

@@ -1,13 +1,15 @@
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sitelode.llm import decontaminate as decontamination
 from sitelode.llm import langid, toxicity
-from sitelode.llm.decontaminate import decontaminate, tiles
+from sitelode.llm.decontaminate import coverage, decontaminate, tiles
 
 SF = "/root/testdata/sf0.01"
 
@@ -93,7 +95,62 @@ def test_tiles_are_greedy(seed):
     a = [rng.randrange(6 if seed % 2 else 60) for _ in range(40)]
     cut = rng.randrange(10, 30)
     b = [99] * 3 + a[cut:] + [98] + a[:cut] + [rng.randrange(6) for _ in range(20)]
-    assert sorted((t[0] for t in tiles(a, [b], 3)), reverse=True) == plain_tiles(a, b, 3)
+    found = tiles(np.array(a), np.array(b), 3)
+    assert [t[0] for t in found] == plain_tiles(a, b, 3)
+    assert all(a[i : i + n] == b[j : j + n] for n, i, j in found)
+
+
+def test_long_repeated_texts_are_tiled_in_time():
+    started = time.perf_counter()
+    assert coverage(b"x " * 5000, b"x " * 20_000) == (1.0, 1)
+    assert coverage(b"x " * 20_000, b"x " * 5000) == (0.25, 1)
+    five = b" ".join(b"x x x x x y%d" % i for i in range(800))
+    assert coverage(five, b" ".join(b"x x x x x z%d" % i for i in range(4000))) == (5 / 6, 800)
+    assert coverage(b"a b c " * 3000, b"c b a " * 9000) == (0.0, 0)
+    assert time.perf_counter() - started < 8
+
+
+def test_words_that_share_a_fingerprint_are_told_apart(spark):
+    bench = spark.createDataFrame([(1, "one two three four abcdefghijklmnop")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "one two three four mddvp1yus9uj24ws"), (2, "one two three four abcdefghijklmnop")], "doc_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.coverage) for r in decontaminate(df, bench).collect()}
+    assert got == {1: (False, 0.0), 2: (True, 1.0)}
+
+
+def test_windows_of_one_hash_are_compared(monkeypatch):
+    monkeypatch.setattr(decontamination, "mix", lambda x: np.zeros_like(x))  # every window hashes to 0
+    rng = random.Random(3)
+    for _ in range(30):
+        a, b = ([rng.randrange(3) for _ in range(25)] for _ in range(2))
+        assert [t[0] for t in tiles(np.array(a), np.array(b), 3)] == plain_tiles(a, b, 3)
+
+
+def test_a_stock_phrase_makes_no_pairs(spark):
+    phrase = "all of this has been said before by many"
+    word = lambda k, n: " ".join(f"{k}x{i}" for i in range(n))
+    items = [(i, f"{word(f'i{i}', 12)} {phrase}") for i in range(40)]
+    texts = [(i, f"{phrase} {word(f'd{i}', 30)}") for i in range(200)] + [(900, word("z", 9) + " " + items[7][1]), (901, items[8][1].split(" all")[0])]
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    counts = []
+    with pytest.MonkeyPatch.context() as m:
+        whole = decontamination.pairs_of
+        m.setattr(decontamination, "pairs_of", lambda *a: (counts.append((p := whole(*a)).count()), p)[1])
+        got = {r.doc_id: (r.best_item, r.n_items, round(r.coverage, 3)) for r in decontaminate(df, bench).collect()}
+        assert counts[0] <= 4
+        assert {k: v for k, v in got.items() if v[0] is not None} == {900: (7, 1, 1.0)}
+        every = {r.doc_id: r.coverage for r in decontaminate(df, bench, report=0.0).collect()}
+        assert counts[1] >= 40 * 200 and every[901] == pytest.approx(12 / 21) and every[0] == pytest.approx(9 / 21)
+
+
+def test_common_seeds_cover_less_than_what_is_reported():
+    rng = random.Random(6)
+    for _ in range(50):
+        seeds = [rng.randrange(30) for _ in range(rng.randrange(1, 60))]
+        counts = {s: rng.randrange(1, 9) for s in set(seeds) if rng.random() < 0.8}
+        out = decontamination.common_seeds(seeds, counts, 0.6)
+        covered = {q for p, s in enumerate(seeds) if s in out for q in range(p, p + 5)}
+        assert out <= set(counts) and len(covered) / (len(seeds) + 4) < 0.6
+        assert not decontamination.common_seeds(seeds, counts, 0.0)
 
 
 def test_decontamination(spark, docs, corpus, nothing):
@@ -104,7 +161,7 @@ def test_decontamination(spark, docs, corpus, nothing):
     texts = [(1, " ".join(noise + a + noise)), (2, " ".join(b[15:] + noise[:9] + b[:15]).upper() + "!"), (3, " ".join(noise[:20] + a[:12])), (4, None), (5, ""), (None, ", ".join(b)), (6, " ".join(a + b))]
     df = spark.createDataFrame([(i, t, "y") for i, t in texts], "doc_id long, text string, item string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item): r for r in decontaminate(df, bench, ["doc_id", "item"]).collect()}
+    got = {(r.doc_id, r.item): r for r in decontaminate(df, bench, ["doc_id", "item"], report=0.0).collect()}
     flags = {k[0]: (r.contaminated, r.best_item, r.n_items, r.n_tiles) for k, r in got.items()}
     assert flags == {1: (True, 0, 1, 1), 2: (True, 1, 1, 2), 3: (False, 0, 0, 1), 4: (False, None, 0, 0), 5: (False, None, 0, 0), None: (True, 1, 1, 1), 6: (True, 0, 2, 1)}
     assert got[3, "y"].coverage == pytest.approx(0.4)
@@ -116,7 +173,8 @@ def plain_words(t):
     return re.findall(r"[a-z0-9\u0080-\U0010ffff]+", (t or "").lower())
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("report", [None, 0.0, 0.3])
+def test_decontamination_against_brute_force(spark, report):
     """Every document against every item, tiled by the definition."""
     rng = random.Random(12)
     items = [(i, " ".join(f"v{rng.randrange(40)}" for _ in range(rng.randrange(4, 26)))) for i in range(12)] + [(3, " ".join(f"v{rng.randrange(40)}" for _ in range(15)))]
@@ -130,7 +188,7 @@ def test_decontamination_against_brute_force(spark):
         texts.append((i if i % 9 else None, " ".join(parts)))
     texts += [(5, texts[5][1]), (5, texts[6][1])]
     df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = Counter((r.doc_id, r.contaminated, r.best_item, round(r.coverage, 9), r.n_items, r.n_tiles) for r in decontaminate(df, bench).collect())
+    got = Counter((r.doc_id, r.contaminated, r.best_item, round(r.coverage, 9), r.n_items, r.n_tiles) for r in decontaminate(df, bench, report=report).collect())
     want = Counter()
     for i, t in texts:
         best, over = (0.0, 0, 0), set()
@@ -142,7 +200,7 @@ def test_decontamination_against_brute_force(spark):
             share = sum(found) / len(a)
             if share >= 0.6:
                 over.add(j)
-            best = max(best, (share, -j, -len(found))) if share else best
+            best = max(best, (share, -j, -len(found))) if share and share >= (0.6 if report is None else report) else best
         want[i, best[0] >= 0.6, -best[1] if best[0] else None, round(best[0], 9), len(over), -best[2]] += 1
     assert got == want
 
