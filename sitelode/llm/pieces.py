@@ -18,6 +18,8 @@ that decoding gives the text back, byte by byte.
 
 from __future__ import annotations
 
+import bisect
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,6 +39,8 @@ SEED = 20250101
 _CHUNK = 1 << 19
 _MARK = "▁"
 _SLOTS = np.uint64((1 << 20) - 1)
+#: Words that are still unfinished go on one by one, not in rounds, once there are as few of them.
+FEW = 12
 _models: dict[tuple[str, float], Lattice] = {}
 
 
@@ -51,6 +55,37 @@ class Edges:
     upto: np.ndarray  # place * 2**32 + running share of its edges, of 2**32
 
 
+def _forward(edges: tuple[list[int], list[float]], first: list[int], origin: int, begin: int, total: list[float], scale: list[int]) -> list[int]:
+    """The rounds of ``Lattice.edges`` for one word from place ``begin`` on: the shares of its edges from there.
+
+    ``edges`` (starts and weights) and ``first`` begin there, ``total`` and ``scale`` at the word's ``origin``;
+    those two grow. The same operations in the same order give the same numbers.
+    """
+    starts, weights = edges
+    share: list[int] = []
+    for place in range(len(first) - 1):
+        lo, hi = first[place] - first[0], first[place + 1] - first[0]
+        terms, top = [], None
+        for k in range(lo, hi):
+            at = starts[k] - origin
+            value, power = (weights[k], 0) if at == 0 else (weights[k] * total[at], scale[at])
+            if value > 0 and (top is None or power > top):
+                top = power
+            terms.append((value, power))
+        ways, running = 0.0, []
+        for value, power in terms:
+            if value > 0:
+                ways += math.ldexp(value, max(power - top, -2000))
+            running.append(ways)
+        share += [math.floor(x / ways * 2.0**32) if ways > 0 else 0 for x in running]
+        if hi > lo:
+            share[-1] = 1 << 32
+        fraction, exponent = math.frexp(ways)
+        total.append(fraction)
+        scale.append(exponent + top if ways > 0 else 0)
+    return share
+
+
 class Lattice:
     def __init__(self, path: str, theta: float = THETA):
         import sentencepiece
@@ -181,6 +216,12 @@ class Lattice:
         share = np.zeros(len(e), np.int64)
         for d in range(1, len(cuts)):
             place = at_depth[cuts[d - 1] : cuts[d]] + 1
+            if len(place) <= FEW:
+                for at in place.tolist():  # the rest of each long word
+                    o, end = int(origin[at - 1]), int(stop[at - 1]) + 1
+                    lo, hi = first[at], first[end]
+                    share[lo:hi] = _forward((s[lo:hi].tolist(), w[lo:hi].tolist()), first[at : end + 1].tolist(), o, at, total[o:at].tolist(), scale[o:at].tolist())
+                break
             lo, hi = first[place], first[place + 1]
             some = hi > lo
             place, lo, size = place[some], lo[some], (hi - lo)[some]
@@ -234,7 +275,7 @@ class Lattice:
         text_at = np.cumsum(lens) - lens
         out = np.full(n + 1, -1, np.int32)
         live = np.arange(len(start))
-        while len(live):
+        while len(live) > FEW:
             here = place[live]
             counter = (here + shift[live] - text_at[owner[live]]).astype(np.uint64)
             u = mix(salt[owner[live]] + counter * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
@@ -242,6 +283,16 @@ class Lattice:
             out[here + shift[live]] = edges.pieces[e]
             place[live] = edges.starts[e]
             live = live[place[live] > floor[live]]
+        for i in live.tolist():  # the rest of each long word
+            at, low, by = int(place[i]), int(floor[i]), int(shift[i])
+            counted, seed = by - int(text_at[owner[i]]), salt[owner[i]]
+            draws = (mix(seed + (np.arange(low, at + 1) + counted).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).tolist()
+            e0 = int(edges.first[low])
+            upto, begins = edges.upto[e0 : edges.first[at + 1]].tolist(), edges.starts[e0 : edges.first[at + 1]].tolist()
+            while at > low:
+                e = bisect.bisect_right(upto, (at << 32) + draws[at - low])
+                out[at + by] = edges.pieces[e0 + e]
+                at = begins[e]
         used = np.flatnonzero(out >= 0)
         ends = np.cumsum(lens)
         counts = np.searchsorted(used, ends, side="right") - np.searchsorted(used, ends - lens, side="right")

@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import Counter
 
@@ -163,3 +164,34 @@ def test_records_query(spark, docs, corpus, tmp_path):
     rows = records.op7_token_records(spark, str(tmp_path)).collect()
     tok = library()
     assert sum(r.n_tokens for r in rows) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in corpus)
+
+
+def test_long_words_are_cut_in_rounds_and_one_by_one_alike(monkeypatch):
+    from sitelode.llm import pieces
+
+    rng = random.Random(7)
+    cut = lattice(PIECES)
+    letters = b"abcdefghijklmnopqrstuvwxyzABC019+/"
+    long = bytes(rng.choice(letters) for _ in range(4000))
+    texts = [long, "漢字かな交じり文".encode() * 90, b"aaaaaaaaaaa" * 200, b"word two " * 40 + long[:900], b"", b"a", *(long[i * 9 : i * 10] for i in range(40))]
+    keys = np.arange(len(texts)).astype(np.uint64)
+    found = []
+    for few in (0, 1, 12, 10**6):
+        monkeypatch.setattr(pieces, "FEW", few)
+        ids, counts = cut.sample(texts, keys)
+        found.append((ids.tolist(), counts.tolist()))
+        assert cut.decode(ids, counts) == texts
+    assert all(f == found[0] for f in found)
+
+
+def test_a_text_without_blanks_costs_a_few_times_one_with_blanks():
+    rng = random.Random(8)
+    cut = lattice(PIECES)
+    long = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(100_000))
+    short = b" ".join(long[i : i + 6] for i in range(0, len(long), 6))
+    seconds = {}
+    for name, text in (("short", short), ("long", long), ("short", short)):
+        started = time.perf_counter()
+        cut.sample([text], np.array([1], np.uint64))
+        seconds[name] = time.perf_counter() - started
+    assert seconds["long"] < max(2.0, 12 * seconds["short"])
