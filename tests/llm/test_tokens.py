@@ -1,3 +1,4 @@
+import random
 import time
 import zlib
 from collections import Counter
