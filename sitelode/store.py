@@ -167,42 +167,6 @@ def findings_merged(spark, sf_dir):
     return both.groupBy("code").agg(F.count("*").alias("n"))
 
 
-def selector(css: str) -> str:
-    """A pattern for the elements of a simple selector: tag, tag.class, tag#id or tag[attr]; group 1 is the inside."""
-    import re
-
-    m = re.fullmatch(r"([a-z][a-z0-9]*)(?:\.([\w-]+)|#([\w-]+)|\[([\w-]+)\])?", css)
-    if not m:
-        raise ValueError(f"not a simple selector: {css}")
-    tag, cls, ident, attribute = m.groups()
-    needs = rf"[^>]*\bclass\s*=\s*[\"'](?:[^\"']*\s)?{cls}(?:\s[^\"']*)?[\"']" if cls else rf"[^>]*\bid\s*=\s*[\"']{ident}[\"']" if ident else rf"[^>]*\b{attribute}\s*=" if attribute else ""
-    return rf"(?is)<{tag}\b{needs}[^>]*>(.*?)</{tag}\s*>"
-
-
-def extracted(page: Column, css: str, what: str = "text", pattern: str | None = None, most: int | None = None) -> Column:
-    """Values of a user's rule on a page, in order: ``what`` is text, html or @attribute; of a pattern the first group counts; cut to ``most`` characters."""
-    if what == "html":
-        found = F.regexp_extract_all(page, F.lit(selector(css)), 1)
-    else:
-        whole = F.regexp_extract_all(page, F.lit(selector(css)), 0)
-        found = F.transform(whole, lambda x: F.regexp_extract(x, rf"(?is)^<[^>]*\b{what[1:]}\s*=\s*[\"']([^\"']*)", 1)) if what.startswith("@") else F.transform(whole, lambda x: scalars.collapsed(F.regexp_replace(x, "<[^>]*>", "")))
-    if pattern:
-        found = F.transform(found, lambda x: F.regexp_extract(x, pattern, 1))
-    found = F.filter(found, lambda x: x != "")
-    return F.transform(found, lambda x: F.substring(x, 1, most)) if most else found
-
-
-@query(
-    "extraction_rules",
-    r"""SELECT page_id, list_filter(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<h1\b[^>]*>(.*?)</h1\s*>'), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'))), lambda x: x <> '') AS headings,
-    list_transform(list_filter(list_transform(list_transform(regexp_extract_all(coalesce(html, ''), '(?is)<a\b[^>]*\bhref\s*=[^>]*>(.*?)</a\s*>'), lambda x: regexp_extract(x, '(?is)^<[^>]*\bhref\s*=\s*["'']([^"'']*)', 1)), lambda x: regexp_extract(x, '^/([a-z]+)', 1)), lambda x: x <> ''), lambda x: substr(x, 1, 3)) AS sections FROM pages""",
-)
-def extraction_rules(spark, sf_dir):
-    """Two rules of a user: texts of h1, and the first three letters of the first part of linked paths."""
-    page = F.coalesce("html", F.lit(""))
-    return texts(spark, sf_dir, "pages").select("page_id", extracted(page, "h1").alias("headings"), extracted(page, "a[href]", "@href", "^/([a-z]+)", 3).alias("sections"))
-
-
 @query("backlinks_of", f"WITH {html.SQL}, top AS (SELECT target_url FROM links GROUP BY target_url ORDER BY count(*) DESC, target_url LIMIT 1) SELECT l.source_url, {html._host('l.source_url')} AS domain, count(*) AS n FROM links l JOIN top USING (target_url) GROUP BY ALL")
 def backlinks_of(spark, sf_dir):
     """Who links to one URL, here the most linked one."""

@@ -113,15 +113,10 @@ def test_bodies():
     assert bodies.undone(raw, None) == raw and bodies.undone(raw, "br") is None and bodies.undone(gzip.compress(raw)[:-9], "gzip") is None and bodies.undone(None, "gzip") is None
 
 
-def test_extraction_and_hmac(spark):
+def test_hmac_and_marks(spark):
     import hashlib
     import hmac
 
-    page = F.lit('<p class="a lead b">One <b>two</b></p><p class="leader">no</p><a data-x="1" href="/q/7">t</a><div id="m">in <i>x</i></div>')
-    assert one(spark, store.extracted(page, "p.lead")) == ["One two"] and one(spark, store.extracted(page, "div#m", "html")) == ["in <i>x</i>"]
-    assert one(spark, store.extracted(page, "a[data-x]", "@href", r"/q/(\d)")) == ["7"]
-    with pytest.raises(ValueError):
-        store.selector("a > b")
     assert one(spark, scalars.hmac_sha256("k" * 80, F.lit("päyload"))) == hmac.new(b"k" * 80, "päyload".encode(), hashlib.sha256).hexdigest()
     assert one(spark, scalars.marked_types(F.lit('<div itemtype="http://s/A http://s/B"><p itemtype="C">'), "itemtype")) == ["http://s/A", "http://s/B", "C"]
     assert one(spark, scalars.canonical_json(F.lit('{"b": 1, "a": "x"}'))) == '{"k":"a"}|x,{"k":"b"}|1'
