@@ -72,7 +72,7 @@ def _attribute_value(text: str) -> str:
 class Tree:
     """The nodes of one page while its tags are read."""
 
-    __slots__ = ("tag", "parent", "last", "depth", "nth", "nth_type", "attrs", "text_from", "text_to", "inner_from", "inner_to", "pieces", "open", "counts", "born", "again", "body")
+    __slots__ = ("tag", "parent", "last", "depth", "nth", "nth_type", "attrs", "text_from", "text_to", "inner_from", "inner_to", "pieces", "owners", "open", "counts", "born", "again", "body")
 
     def __init__(self) -> None:
         self.tag: list[str] = []
@@ -87,6 +87,7 @@ class Tree:
         self.inner_from: list[int] = []
         self.inner_to: list[int] = []
         self.pieces: list[str] = []
+        self.owners: list[int] = []  # the node that each piece is directly in
         self.open: list[int] = []
         self.counts: dict[str, int] = {}
         self.born: list[dict[str, int]] = []  # children of each node so far, by tag; under "" all
@@ -168,7 +169,11 @@ class Tree:
             self.enter_body(at)
         if self.again and data.strip():
             self.resume(at)
+        self.say(data)
+
+    def say(self, data: str) -> None:
         self.pieces.append(data)
+        self.owners.append(self.open[-1])
 
     def start(self, tag: str, attrs: dict[str, str], closed: bool, begin: int, at: int) -> None:
         if tag == "html" or tag == "body" or tag == "head":
@@ -248,6 +253,19 @@ class Tree:
             k -= 1
         return k
 
+    def index(self) -> dict[str, list[int]]:
+        """The nodes of each type, ``.class`` and ``#id``."""
+        out: dict[str, list[int]] = {}
+        for i, (tag, attrs) in enumerate(zip(self.tag, self.attrs)):
+            out.setdefault(tag, []).append(i)
+            if attrs:
+                if attrs.get("id"):
+                    out.setdefault("#" + attrs["id"], []).append(i)
+                for name in dict.fromkeys(re.split("[ \t\n\f\r]+", attrs.get("class", ""))):
+                    if name:
+                        out.setdefault("." + name, []).append(i)
+        return out
+
 
 def parse(page: str) -> Tree:
     """The tree of a page. html, head and body are always there.
@@ -302,7 +320,7 @@ def parse(page: str) -> Tree:
             stop, after = (n, n) if end is None else (end.start(), end.end())
             content = page[at:stop]
             if content:
-                tree.pieces.append(html.unescape(content) if name in DECODED_RAW else content)
+                tree.say(html.unescape(content) if name in DECODED_RAW else content)
             tree.pop(stop)
             at = after
     tree.enter_body(n)
@@ -313,8 +331,8 @@ def parse(page: str) -> Tree:
     return tree
 
 
-def _columns(trees: list[Tree]) -> tuple[pa.Array, pa.Array]:
-    """nodes and pieces of pages, as Arrow lists."""
+def _columns(trees: list[Tree]) -> list[pa.Array]:
+    """nodes, pieces, owners and index of pages, as Arrow lists and maps."""
     sizes = np.array([len(t.tag) for t in trees])
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
     ints = {k: np.array([x for t in trees for x in getattr(t, k)], np.int32) for k in ("parent", "last", "depth", "nth", "nth_type", "text_from", "text_to", "inner_from", "inner_to")}
@@ -344,8 +362,10 @@ def _columns(trees: list[Tree]) -> tuple[pa.Array, pa.Array]:
         "attrs": maps,
     }
     nodes = pa.StructArray.from_arrays([fields[f.name] for f in _NODE], fields=list(_NODE))
-    pieces = pa.array([t.pieces for t in trees], pa.list_(pa.string()))
-    return pa.ListArray.from_arrays(offsets, nodes), pieces
+    index = [t.index() for t in trees]
+    starts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in index])]), pa.int32())
+    index = pa.MapArray.from_arrays(starts, pa.array([k for x in index for k in x], pa.string()), pa.array([v for x in index for v in x.values()], pa.list_(pa.int32())))
+    return [pa.ListArray.from_arrays(offsets, nodes), pa.array([t.pieces for t in trees], pa.list_(pa.string())), pa.array([t.owners for t in trees], pa.list_(pa.int32())), index]
 
 
 #: Characters of pages whose trees are built at a time; a larger page is built alone.
@@ -362,18 +382,18 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(pages[hi] or "")
                 hi += 1
             part = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([*part.columns, *_columns([parse(p or "") for p in pages[lo:hi]])], names=[*batch.schema.names, "nodes", "pieces"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *_columns([parse(p or "") for p in pages[lo:hi]])], names=[*batch.schema.names, "nodes", "pieces", "owners", "index"])
             lo = hi
 
 
 def trees(pages: DataFrame) -> DataFrame:
-    """``pages`` (page_id, url, html) with nodes and pieces (the texts between tags): one row a page, nothing is shuffled.
+    """``pages`` (page_id, url, html) with nodes, pieces (the texts between tags), owners (the node that each is directly in) and index (nodes by type, ``.class`` and ``#id``): one row a page, nothing is shuffled.
 
     A null page has the tree of an empty one. Repeated rows have a tree each; an empty table has none.
     """
     rows = pages.select("page_id", "url", "html")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_planted, f"{kinds}, nodes array<{NODE}>, pieces array<string>")
+    return rows.mapInArrow(_planted, f"{kinds}, nodes array<{NODE}>, pieces array<string>, owners array<int>, index map<string,array<int>>")
 
 
 def elements(planted: DataFrame) -> DataFrame:
@@ -394,6 +414,8 @@ _TOKEN = re.compile(
 _NTH = re.compile(r"\s*(?:(odd)|(even)|([+-]?\d*)n\s*(?:([+-])\s*(\d+))?|([+-]?\d+))\s*$", re.I)
 
 Test = Callable[[Column], Column]
+#: A combinator, a test of a node, and what the index may know such nodes by.
+Step = tuple[str, Test, str | None]
 
 
 class SelectorError(ValueError):
@@ -453,18 +475,18 @@ def _unescaped(name: str) -> str:
     return re.sub(r"\\(.)", r"\1", name)
 
 
-def compiled(css: str) -> list[tuple[list[tuple[str, Test]], tuple[int, int, int]]]:
-    """For each selector of a list: its steps (combinator, test of a node) from the left, and its specificity."""
-    out, steps, tests, weight = [], [], [], [0, 0, 0]
+def compiled(css: str) -> list[tuple[list[Step], tuple[int, int, int]]]:
+    """For each selector of a list: its steps from the left, and its specificity."""
+    out, steps, tests, weight, keys = [], [], [], [0, 0, 0], []
     combinator, at, css = "", 0, css.strip()
 
     def step() -> None:
-        nonlocal tests
+        nonlocal tests, keys
         if not tests:
             raise SelectorError(f"nothing to select in {css!r}")
         own = tests
-        steps.append((combinator, lambda n: _all(t(n) for t in own)))
-        tests = []
+        steps.append((combinator, lambda n: _all(t(n) for t in own), min(keys, default=None)))  # ids sort first, then classes
+        tests, keys = [], []
 
     while at < len(css):
         m = _TOKEN.match(css, at)
@@ -481,11 +503,14 @@ def compiled(css: str) -> list[tuple[list[tuple[str, Test]], tuple[int, int, int
             name = _unescaped(m["tag"]).lower()
             tests.append((lambda n: F.lit(True)) if name == "*" else lambda n, name=name: n["tag"] == name)
             weight[2] += name != "*"
+            keys += [name] * (name != "*")
         elif m["id"]:
             tests.append(_attribute_test("id", "=", _unescaped(m["id"]), False))
+            keys.append("#" + _unescaped(m["id"]))
             weight[0] += 1
         elif m["cls"]:
             tests.append(_attribute_test("class", "~=", _unescaped(m["cls"]), False))
+            keys.append("." + _unescaped(m["cls"]))
             weight[1] += 1
         elif m["attr"]:
             tests.append(_attribute_test(m["attr"], m["op"], next((m[k] for k in ("dq", "sq", "bare") if m[k] is not None), ""), (m["flag"] or "").lower() == "i"))
@@ -540,9 +565,13 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _no_ints() -> Column:
+    return F.expr("cast(array() as array<int>)")
+
+
 def _ints(lo: Column, hi: Column) -> Column:
     """lo, lo + 1, ..., hi - 1; nothing where hi <= lo."""
-    return F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.when(lo < hi, F.sequence(lo, hi - 1)).otherwise(_no_ints())
 
 
 def _step(found: Column, combinator: str, nodes: Column, test: Test) -> Column:
@@ -551,7 +580,7 @@ def _step(found: Column, combinator: str, nodes: Column, test: Test) -> Column:
     passed = lambda some: F.filter(some, lambda i: test(node(i)))
     if combinator == " ":
         # of nested nodes only the outermost count: their insides do not overlap and hold all others'
-        start = F.struct(F.lit(-1).alias("reach"), F.expr("cast(array() as array<int>)").alias("kept"))
+        start = F.struct(F.lit(-1).alias("reach"), _no_ints().alias("kept"))
         outer = F.aggregate(found, start, lambda s, i: F.when(i > s["reach"], F.struct(node(i)["last"].alias("reach"), F.array_append(s["kept"], i).alias("kept"))).otherwise(s))["kept"]
         return F.flatten(F.transform(outer, lambda i: passed(_ints(i + 1, node(i)["last"] + 1))))
     if combinator == ">":
@@ -565,21 +594,22 @@ def _step(found: Column, combinator: str, nodes: Column, test: Test) -> Column:
     return F.sort_array(F.flatten(F.transform(F.filter(first, lambda x: x["parent"] >= 0), lambda x: passed(after(x)))))
 
 
-def _selected(steps: list[tuple[str, Test]], nodes: Column) -> Column:
-    found = F.filter(_ints(F.lit(0), F.size(nodes)), lambda i: steps[0][1](F.get(nodes, i)))
-    for combinator, test in steps[1:]:
+def _selected(steps: list[Step], nodes: Column, index: Column) -> Column:
+    _, test, key = steps[0]
+    first = _ints(F.lit(0), F.size(nodes)) if key is None else F.coalesce(index[key], _no_ints())
+    found = F.filter(first, lambda i: test(F.get(nodes, i)))
+    for combinator, test, _ in steps[1:]:
         found = _step(found, combinator, nodes, test)
     return found
 
 
-def select(css: str, nodes: str | Column = "nodes") -> Column:
-    """Numbers of the nodes that a selector list selects, in document order.
+def select(css: str) -> Column:
+    """Numbers of the nodes that a selector list selects, in document order, over the columns of ``trees``.
 
     Types, ``*``, ids, classes, attributes with all operators, ``:not``, ``:is`` and ``:where`` of compounds, places among
     siblings, ``:empty``, ``:root``; descendants, children, next and later siblings. Anything else raises SelectorError.
     """
-    nodes = F.col(nodes) if isinstance(nodes, str) else nodes
-    each = [_selected(steps, nodes) for steps, _ in compiled(css)]
+    each = [_selected(steps, F.col("nodes"), F.col("index")) for steps, _ in compiled(css)]
     return each[0] if len(each) == 1 else F.sort_array(F.array_distinct(F.flatten(F.array(*each))))
 
 
