@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import findings, html
@@ -34,13 +34,17 @@ _SIZE = "(s1 IS NULL) <> (s2 IS NULL) OR coalesce(abs(s1 - s2) > floor(s1 * CAST
 _KIND = f"CASE WHEN p IS NULL THEN ['added'] WHEN q IS NULL THEN ['removed'] ELSE list_filter([CASE WHEN t1 IS DISTINCT FROM t2 THEN 'title' END, CASE WHEN {_CONTENT} THEN 'content' END, CASE WHEN {_SIZE} THEN 'size' END], lambda x: x IS NOT NULL) END"
 
 
+def change_kinds() -> Column:
+    """What changed between two rows of a page: p, t1, w1, s1 of the first and q, t2, w2, s2 of the second."""
+    return F.when(F.col("p").isNull(), F.array(F.lit("added"))).when(F.col("q").isNull(), F.array(F.lit("removed"))).otherwise(F.array_compact(F.array(F.expr("CASE WHEN t1 IS DISTINCT FROM t2 THEN 'title' END"), F.expr(f"CASE WHEN {_CONTENT} THEN 'content' END"), F.expr(f"CASE WHEN {_SIZE} THEN 'size' END"))))
+
+
 def diff(base: DataFrame, later: DataFrame) -> DataFrame:
     """url, change: added, removed, or each of title, content and size that changed for pages of both crawls."""
     first = lambda d: d.groupBy("url").agg(F.min_by(F.struct("page_id", "title", "word_count", "html_bytes"), "page_id").alias("r")).select("url", "r.*")
     x, y = first(base).alias("x"), first(later).alias("y")
     j = x.join(y, "url", "full_outer").select("url", F.col("x.page_id").alias("p"), F.col("y.page_id").alias("q"), F.col("x.title").alias("t1"), F.col("y.title").alias("t2"), F.col("x.word_count").alias("w1"), F.col("y.word_count").alias("w2"), F.col("x.html_bytes").alias("s1"), F.col("y.html_bytes").alias("s2"))
-    kinds = F.when(F.col("p").isNull(), F.array(F.lit("added"))).when(F.col("q").isNull(), F.array(F.lit("removed"))).otherwise(F.array_compact(F.array(F.expr("CASE WHEN t1 IS DISTINCT FROM t2 THEN 'title' END"), F.expr(f"CASE WHEN {_CONTENT} THEN 'content' END"), F.expr(f"CASE WHEN {_SIZE} THEN 'size' END"))))
-    return j.select("url", F.explode(kinds).alias("change"))
+    return j.select("url", F.explode(change_kinds()).alias("change"))
 
 
 @query("crawl_diff", f"{_TWO} SELECT url, unnest({_KIND}) AS change FROM j")
