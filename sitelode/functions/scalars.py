@@ -65,12 +65,26 @@ def render(template: str, **values: Column) -> Column:
     return out
 
 
-COLORS = [("#fff", "#000"), ("#ffffff", "#777777"), ("#123456", "#abcdef"), ("#ff0000", "#00ff00")]
+_LEVEL = "CASE WHEN {0} / 255.0 <= 0.03928 THEN {0} / 255.0 / 12.92 ELSE pow(({0} / 255.0 + 0.055) / 1.055, 2.4) END"
+_CHANNEL = "CAST('0x' || substr({0}, {1}, 2) AS INTEGER)"
 
 
-@query("contrast", "SELECT * FROM (VALUES ('#fff', '#000', 21.0::DOUBLE), ('#ffffff', '#777777', 4.48::DOUBLE), ('#123456', '#abcdef', 7.7::DOUBLE), ('#ff0000', '#00ff00', 2.91::DOUBLE)) t(a, b, ratio)")
+def _luminance_sql(h: str) -> str:
+    return " + ".join(f"{w} * ({_LEVEL.format(_CHANNEL.format(h, k))})" for w, k in ((0.2126, 2), (0.7152, 4), (0.0722, 6)))
+
+
+@query(
+    "contrast",
+    f"""WITH c AS (SELECT page_id, '#' || lpad(lower(to_hex(page_id * 7919 % 16777216)), 6, '0') AS a, CASE WHEN page_id % 2 = 0 THEN '#ffffff' ELSE '#112233' END AS b FROM pages),
+    l AS (SELECT *, {_luminance_sql('a')} AS x, {_luminance_sql('b')} AS y FROM c)
+    SELECT page_id, a, CASE WHEN page_id % 2 = 0 THEN '#FFF' ELSE '#123' END AS b, round((greatest(x, y) + 0.05) / (least(x, y) + 0.05), 6) AS ratio FROM l""",
+)
 def contrast_query(spark, sf_dir):
-    return spark.createDataFrame(COLORS, "a string, b string").select("a", "b", F.round(contrast(F.col("a"), F.col("b")), 2).alias("ratio"))
+    """The contrast of a colour made of every page's number with white or a dark blue, in short and long notation."""
+    p = F.col("page_id")
+    a = F.concat(F.lit("#"), F.lpad(F.lower(F.hex(p * 7919 % 16777216)), 6, "0"))
+    rows = table(spark, sf_dir, "pages").select("page_id", a.alias("a"), F.when(p % 2 == 0, "#FFF").otherwise("#123").alias("b"))
+    return rows.withColumn("ratio", F.round(contrast(F.col("a"), F.col("b")), 6))
 
 
 _keys = ", ".join(f"nullif(regexp_extract(url, '[?&]{k}=([0-9]+)', 1), '')" for k in PAGE_KEYS)
@@ -182,10 +196,15 @@ def private_hosts(spark, sf_dir):
 
 
 def canonical_json(text: Column) -> Column:
-    """An object's members sorted by key, values as they are written; null for what is no object."""
-    members = F.from_json(text, "map<string,string>")
-    quoted = F.transform(F.array_sort(F.map_keys(members)), lambda k: F.concat(F.to_json(F.struct(k.alias("k"))), F.lit("|"), F.coalesce(members[k], F.lit("null"))))
-    return F.when(members.isNotNull(), F.array_join(quoted, ","))
+    """JSON with the keys of every object in order of their UTF-8 bytes and no blanks; null for what is no JSON."""
+    return F.to_json(F.try_parse_json(text))
+
+
+@query("canonical_payloads", """SELECT event_id, '{"event":"' || event_type || '","props":{"a":[true,null,{"b":2,"c":1}],"k":' || (props ->> '$.k') || '},"user":' || user_id || '}' AS payload FROM events""")
+def canonical_payloads(spark, sf_dir):
+    """Events as canonical JSON, from objects whose keys are in another order."""
+    text = F.concat(F.lit('{ "user" : '), F.col("user_id").cast("string"), F.lit(', "props": {"k": '), F.get_json_object("props", "$.k"), F.lit(', "a": [true, null, {"c": 1, "b": 2}]}, "event": "'), F.col("event_type"), F.lit('"}'))
+    return table(spark, sf_dir, "events").select("event_id", canonical_json(text).alias("payload"))
 
 
 def hmac_sha256(key: str, text: Column) -> Column:
@@ -225,3 +244,15 @@ def marked_types(page: Column, attribute: str) -> Column:
     """Values of ``itemtype`` (microdata) or ``typeof`` (RDFa), one for each word, in order."""
     found = F.regexp_extract_all(page, F.lit(rf"(?is)\b{attribute}\s*=\s*[\"']([^\"']+)[\"']"), 1)
     return F.filter(F.flatten(F.transform(found, lambda x: F.split(x, r"\s+"))), lambda x: x != "")
+
+
+@query(
+    "marked_types",
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN ['https://schema.org/Article', 'https://schema.org/Thing', 'https://schema.org/Person'] ELSE [] END AS microdata, CASE WHEN page_id % 2 = 1 THEN ['Product', 'Offer'] ELSE [] END AS rdfa FROM pages""",
+)
+def marked_types_query(spark, sf_dir):
+    """Types that microdata and RDFa on every page name, with marks put in by the page's number, as the given pages have none."""
+    p = F.col("page_id")
+    marks = F.concat(F.when(p % 3 == 0, '<div itemscope itemtype="https://schema.org/Article https://schema.org/Thing"><b itemtype=\'https://schema.org/Person\'>x</b></div>').otherwise(""), F.when(p % 2 == 1, '<div typeof="Product"><i TYPEOF = "Offer">y</i></div>').otherwise(""))
+    page = F.concat(F.coalesce("html", F.lit("")), marks)
+    return texts(spark, sf_dir, "pages").select("page_id", marked_types(page, "itemtype").alias("microdata"), marked_types(page, "typeof").alias("rdfa"))

@@ -245,16 +245,24 @@ def crux_join(spark, sf_dir):
     return pages.join(field, "origin").select("page_id", "lcp")
 
 
-LIGHTHOUSE = ['{"categories":{"performance":{"score":0.42},"seo":{"score":0.95}},"audits":{"largest-contentful-paint":{"numericValue":3000.5}}}', "{}"]
+def category_scores(reports: DataFrame) -> DataFrame:
+    """``reports`` (report, json): report, category, score, severity of each category: under 0.5 an error, under 0.9 a warning."""
+    parsed = reports.select("report", F.from_json("json", "categories map<string, struct<score: double>>").alias("j"))
+    each = parsed.select("report", F.explode("j.categories").alias("category", "v")).select("report", "category", F.col("v.score").alias("score"))
+    return each.withColumn("severity", F.when(F.col("score") < 0.5, "error").when(F.col("score") < 0.9, "warning").otherwise("info"))
 
 
-@query("lighthouse_ingest", "SELECT * FROM (VALUES (0, 'performance', 0.42::DOUBLE, 'error'), (0, 'seo', 0.95::DOUBLE, 'info')) t(report, category, score, severity)")
+@query(
+    "lighthouse_ingest",
+    """WITH v AS (SELECT page_id AS report, unnest(['performance', 'seo']) AS category, unnest([page_id % 100 / 100.0, (100 - page_id % 30) / 100.0])::DOUBLE AS score FROM pages WHERE page_id % 6 <> 0)
+    SELECT *, CASE WHEN score < 0.5 THEN 'error' WHEN score < 0.9 THEN 'warning' ELSE 'info' END AS severity FROM v""",
+)
 def lighthouse_ingest(spark, sf_dir):
-    """Category scores of audit reports: under 0.5 an error, under 0.9 a warning."""
-    rows = spark.createDataFrame(list(enumerate(LIGHTHOUSE)), "report int, json string")
-    parsed = rows.select("report", F.from_json("json", "categories map<string, struct<score: double>>").alias("j"))
-    each = parsed.select("report", F.explode("j.categories").alias("category", "v")).select("report", "category", F.col("v.score").alias("score"))
-    return each.withColumn("severity", F.when(F.col("score") < 0.5, "error").when(F.col("score") < 0.9, "warning").otherwise("info"))
+    """Category scores of an audit report of every page; the reports are made of the pages' numbers, and one in six is empty."""
+    p = F.col("page_id")
+    score = lambda x: F.struct((x / 100.0).alias("score"))
+    made = F.to_json(F.struct(F.create_map(F.lit("performance"), score(p % 100), F.lit("seo"), score(100 - p % 30)).alias("categories")))
+    return category_scores(table(spark, sf_dir, "pages").select(p.alias("report"), F.when(p % 6 == 0, "{}").otherwise(made).alias("json")))
 
 
 # Audits, their metrics and the bounds of good and poor values.

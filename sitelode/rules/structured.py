@@ -162,15 +162,23 @@ def structured_findings(pages: DataFrame) -> DataFrame:
     return met.where(F.coalesce(F.trim(value), F.lit("")) == "").select("page_id", "block", "code", "severity", "type", "property")
 
 
-PAGES = [
-    (1, ['{"@type": "Organization", "name": "A", "url": ""}', "{broken"]),
-    (2, ['{"@graph": [{"@type": "Person", "name": "P", "sameAs": "x", "jobTitle": "j", "worksFor": {"a": 1}, "url": "u"}, {"@type": "Offer", "price": 3}]}']),
-    (3, ['{"@type": "Unknown"}']),
+#: Blocks that pages get in turn by their number.
+BLOCKS = [
+    ['{"@type": "Organization", "name": "A", "url": ""}', "{broken"],
+    ['{"@graph": [{"@type": "Person", "name": "P", "sameAs": "x", "jobTitle": "j", "worksFor": {"a": 1}, "url": "u"}, {"@type": "Offer", "price": 3}]}'],
+    ['{"@type": "Unknown"}'],
 ]
 
-@query("sd_rules", """SELECT * FROM (VALUES (1,0,'ORG002','warning','Organization','url'),(1,0,'ORG003','warning','Organization','logo'),(1,0,'ORGCONT-V5001','info','Organization','contactPoint'),(2,0,'OFFER002','error','Offer','priceCurrency'),(2,0,'OFFER003','warning','Offer','availability')) t(page_id, block, code, severity, type, property)""")
+
+@query(
+    "sd_rules",
+    """SELECT page_id, 0 AS block, code, severity, type, property FROM pages JOIN (VALUES (0, 'ORG002', 'warning', 'Organization', 'url'), (0, 'ORG003', 'warning', 'Organization', 'logo'), (0, 'ORGCONT-V5001', 'info', 'Organization', 'contactPoint'),
+    (1, 'OFFER002', 'error', 'Offer', 'priceCurrency'), (1, 'OFFER003', 'warning', 'Offer', 'availability')) t(k, code, severity, type, property) ON page_id % 3 = k""",
+)
 def sd_rules(spark, sf_dir):
-    return structured_findings(spark.createDataFrame(PAGES, "page_id long, json_ld array<string>"))
+    """Required properties that blocks lack or have empty, in a list, in a graph, broken or of an unknown type."""
+    some = F.element_at(F.array(*[F.array(*[F.lit(x) for x in b]) for b in BLOCKS]), (F.col("page_id") % 3 + 1).cast("int"))
+    return structured_findings(table(spark, sf_dir, "pages").select("page_id", some.alias("json_ld")))
 
 
 def _quoted(xs: list[str]) -> str:

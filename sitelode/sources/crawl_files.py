@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..registry import query
+from .. import html
+from ..functions import urls
+from ..registry import query, table
 
 
 def robots_rules(files: DataFrame) -> DataFrame:
@@ -42,7 +44,10 @@ def disallowed(rules: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def _tag(xml: Column, name: str) -> Column:
-    return F.nullif(F.trim(F.regexp_extract(xml, rf"(?is)<{name}>\s*(.*?)\s*</{name}>", 1)), F.lit(""))
+    text = F.trim(F.regexp_extract(xml, rf"(?is)<{name}>\s*(.*?)\s*</{name}>", 1))
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return F.nullif(text, F.lit(""))
 
 
 def sitemap_urls(files: DataFrame) -> DataFrame:
@@ -61,32 +66,60 @@ def search_results(files: DataFrame) -> DataFrame:
     return rows.select("query", (F.col("at") + 1).alias("rank"), F.when(target != "", F.url_decode(target)).otherwise(href).alias("url"), F.trim(F.regexp_replace("a", r"<[^>]*>", "")).alias("title"))
 
 
-# --- small inputs of our own ---------------------------------------------------------------------
+# --- files made of the crawled pages, as the tables have none --------------------------------------
 
+#: Robots files, one for each host by the length of its name.
 ROBOTS = [
-    ("a.example", "User-agent: *\nDisallow: /private\nAllow: /private/open\n# note\nCrawl-delay: 2\n\nUser-agent: NewsBot\nUser-agent: OtherBot\nDisallow: /\n"),
-    ("b.example", "User-agent: *\nDisallow:\n"),
-    ("c.example", "Sitemap: https://c.example/s.xml\nno colon line\nUser-agent: tool\nAllow: /x\nDisallow: /x\n"),
+    "User-agent: *\nDisallow: /en\nAllow: /en/1\nDisallow: /fr/2\n# note\nCrawl-delay: 2\n\nUser-agent: NewsBot\nUser-agent: OtherBot\nDisallow: /\n",
+    "User-agent: *\nDisallow:\n",
+    "Sitemap: https://c.example/s.xml\nno colon line\nUser-agent: newsbot\nAllow: /de\nDisallow: /de\nDisallow: /de/4\n",
 ]
-REQUESTS = [("a.example", "Any/1.0", "/private/a"), ("a.example", "Any/1.0", "/private/open/b"), ("a.example", "NewsBot/2", "/"), ("a.example", "OtherBot", "/z"), ("b.example", "Any", "/q"), ("c.example", "tool/1", "/x/1"), ("d.example", "Any", "/")]
-SITEMAPS = [("s1", "<urlset><url><loc> https://a.example/1 </loc><lastmod>2024-01-02</lastmod><priority>0.5</priority></url><url><loc>https://a.example/2</loc><changefreq>daily</changefreq></url><url></url></urlset>"), ("s2", "<sitemapindex><sitemap><loc>https://a.example/s1.xml</loc></sitemap></sitemapindex>")]
-RESULTS = [("q", '<a class="result__a" href="//x.example/l/?uddg=https%3A%2F%2Fa.example%2F1&r=2">One <b>b</b></a><p></p><a rel="n" class="result__a" href="https://b.example/2">Two</a>')]
+AGENTS = ["Any/1.0", "NewsBot/2"]
 
 
-@query("robots_eval", "SELECT * FROM (VALUES ('a.example','Any/1.0','/private/a',true),('a.example','Any/1.0','/private/open/b',false),('a.example','NewsBot/2','/',true),('a.example','OtherBot','/z',true),('b.example','Any','/q',false),('c.example','tool/1','/x/1',false),('d.example','Any','/',false)) t(host, agent, path, disallowed)")
+def _located(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.path(F.col("url")).alias("path"))
+
+
+@query(
+    "robots_eval",
+    f"""WITH {html.SQL}, r AS (SELECT DISTINCT host, path, agent FROM pf, (VALUES ('Any/1.0'), ('NewsBot/2')) t(agent))
+    SELECT host, agent, path, CASE length(host) % 3 WHEN 0 THEN agent = 'NewsBot/2' OR (starts_with(path, '/en') AND NOT starts_with(path, '/en/1')) OR starts_with(path, '/fr/2')
+      WHEN 1 THEN false ELSE agent = 'NewsBot/2' AND starts_with(path, '/de/4') END AS disallowed FROM r""",
+)
 def robots_eval(spark, sf_dir):
-    rules = robots_rules(spark.createDataFrame(ROBOTS, "host string, content string"))
-    return disallowed(rules, spark.createDataFrame(REQUESTS, "host string, agent string, path string"))
+    """May two agents fetch the pages of every host, by a robots file for each?"""
+    at = _located(spark, sf_dir)
+    files = at.select("host").distinct().select("host", F.element_at(F.array(*[F.lit(x) for x in ROBOTS]), F.length("host") % 3 + 1).alias("content"))
+    requests = at.select("host", F.explode(F.array(*[F.lit(a) for a in AGENTS])).alias("agent"), "path").distinct()
+    return disallowed(robots_rules(files), requests)
 
 
-@query("sitemap_parse", "SELECT * FROM (VALUES ('s1','url','https://a.example/1','2024-01-02',NULL,CAST(0.5 AS DOUBLE)),('s1','url','https://a.example/2',NULL,'daily',NULL),('s2','sitemap','https://a.example/s1.xml',NULL,NULL,NULL)) t(location, kind, loc, lastmod, changefreq, priority)")
+_FOUND = "(host || '/s' || page_id // 1000 || '.xml')"
+
+
+@query(
+    "sitemap_parse",
+    f"""WITH {html.SQL}, m AS (SELECT page_id, url, host, {_FOUND} AS location FROM pf)
+    SELECT location, 'url' AS kind, url AS loc, CASE WHEN page_id % 3 = 0 THEN '2024-01-02' END AS lastmod, CASE WHEN page_id % 4 = 1 THEN 'daily' END AS changefreq, CASE WHEN page_id % 5 = 2 THEN 0.5::DOUBLE END AS priority FROM m
+    UNION ALL SELECT DISTINCT host || '/index.xml', 'sitemap', 'https://' || location, NULL, NULL, NULL::DOUBLE FROM m""",
+)
 def sitemap_parse(spark, sf_dir):
-    return sitemap_urls(spark.createDataFrame(SITEMAPS, "location string, xml string"))
+    """Sitemaps of all hosts, a thousand page numbers each, and the indexes that name them."""
+    p, esc = F.col("page_id"), lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    at = _located(spark, sf_dir).withColumn("location", F.concat("host", F.lit("/s"), F.expr("page_id div 1000").cast("string"), F.lit(".xml")))
+    entry = F.concat(F.lit("<url><loc> "), esc(F.col("url")), F.lit(" </loc>"), F.when(p % 3 == 0, "<lastmod>2024-01-02</lastmod>").otherwise(""), F.when(p % 4 == 1, "<changefreq>daily</changefreq>").otherwise(""), F.when(p % 5 == 2, "<priority>0.5</priority>").otherwise(""), F.lit("</url><url></url>"))
+    maps = at.groupBy("location").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("xml"))
+    named = at.select("host", "location").distinct().groupBy(F.concat("host", F.lit("/index.xml")).alias("location")).agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>https://"), "location", F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml"))
+    return sitemap_urls(maps.unionByName(named))
 
 
-@query("serp_parse", "SELECT * FROM (VALUES ('q', 1, 'https://a.example/1', 'One b'), ('q', 2, 'https://b.example/2', 'Two')) t(query, rank, url, title)")
+@query("serp_parse", "SELECT 'topic ' || page_id AS query, unnest([1, 2])::INTEGER AS rank, unnest([url, 'https://b.example/' || page_id]) AS url, unnest(['One b ' || page_id, 'Two']) AS title FROM pages")
 def serp_parse(spark, sf_dir):
-    return search_results(spark.createDataFrame(RESULTS, "query string, html string"))
+    """A page of results for every page: the page itself behind a redirect, and another."""
+    n = F.col("page_id").cast("string")
+    found = F.concat(F.lit('<a class="result__a" href="//x.example/l/?uddg='), F.url_encode("url"), F.lit('&r=2">One <b>b</b> '), n, F.lit('</a><p></p><a rel="n" class="result__a" href="https://b.example/'), n, F.lit('">Two</a><a href="/next">Next</a>'))
+    return search_results(table(spark, sf_dir, "pages").select(F.concat(F.lit("topic "), n).alias("query"), found.alias("html")))
 
 
 # Crawlers that gather text for language models.

@@ -115,11 +115,14 @@ def test_bodies():
 
 def test_hmac_and_marks(spark):
     import hashlib
+    import json
     import hmac
 
     assert one(spark, scalars.hmac_sha256("k" * 80, F.lit("päyload"))) == hmac.new(b"k" * 80, "päyload".encode(), hashlib.sha256).hexdigest()
     assert one(spark, scalars.marked_types(F.lit('<div itemtype="http://s/A http://s/B"><p itemtype="C">'), "itemtype")) == ["http://s/A", "http://s/B", "C"]
-    assert one(spark, scalars.canonical_json(F.lit('{"b": 1, "a": "x"}'))) == '{"k":"a"}|x,{"k":"b"}|1'
+    nested = '{"b": [1, {"z": null, "y": "ü\\""}], "a": {"d": true, "c": 2.5}, "": "x"}'
+    assert one(spark, scalars.canonical_json(F.lit(nested))) == json.dumps(json.loads(nested), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert one(spark, scalars.canonical_json(F.lit("{broken"))) is None
 
 
 def test_gates_and_changes(spark):
@@ -191,3 +194,24 @@ def test_www_and_apex(spark, tmp_path):
     rows = [(1, "https://a.example/", link("https://www.a.example/p")), (2, "https://www.b.example/", link("https://www.b.example/q")), (3, "https://c.example/", link("https://d.example/"))]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in site.www_apex_mix(spark, str(tmp_path)).select("page_id", "base").collect()] == [(1, "a.example")]
+
+
+def test_robots_groups(spark):
+    files = [
+        ("a.example", "User-agent: *\nDisallow: /private\nAllow: /private/open\n# note\nCrawl-delay: 2\n\nUser-agent: NewsBot\nUser-agent: OtherBot\nDisallow: /\n"),
+        ("b.example", "User-agent: *\nDisallow:\n"),
+        ("c.example", "Sitemap: https://c.example/s.xml\nno colon line\nUser-agent: tool\nAllow: /x\nDisallow: /x\n"),
+    ]
+    asked = [("a.example", "Any/1.0", "/private/a", True), ("a.example", "Any/1.0", "/private/open/b", False), ("a.example", "NewsBot/2", "/", True), ("a.example", "OtherBot", "/z", True), ("b.example", "Any", "/q", False), ("c.example", "tool/1", "/x/1", False), ("d.example", "Any", "/", False)]
+    rules = crawl_files.robots_rules(spark.createDataFrame(files, "host string, content string"))
+    got = crawl_files.disallowed(rules, spark.createDataFrame([a[:3] for a in asked], "host string, agent string, path string"))
+    assert sorted(map(tuple, got.collect())) == sorted(asked)
+    assert {r.host: r.delay for r in rules.where("array_contains(agents, '*')").collect()} == {"a.example": 2.0, "b.example": None}
+
+
+def test_sitemaps_and_results(spark):
+    maps = [("s1", "<urlset><url><loc> https://a.example/1?x=1&amp;y=2 </loc><lastmod>2024-01-02</lastmod><priority>0.5</priority></url><url><loc>https://a.example/2</loc><changefreq>daily</changefreq></url><url></url></urlset>"), ("s2", "<sitemapindex><sitemap><loc>https://a.example/s1.xml</loc></sitemap></sitemapindex>"), ("s3", None)]
+    got = sorted(map(tuple, crawl_files.sitemap_urls(spark.createDataFrame(maps, "location string, xml string")).collect()))
+    assert got == [("s1", "url", "https://a.example/1?x=1&y=2", "2024-01-02", None, 0.5), ("s1", "url", "https://a.example/2", None, "daily", None), ("s2", "sitemap", "https://a.example/s1.xml", None, None, None)]
+    page = '<a class="result__a" href="//x.example/l/?uddg=https%3A%2F%2Fa.example%2F1&r=2">One <b>b</b></a><p></p><a rel="n" class="result__a" href="https://b.example/2">Two</a>'
+    assert [tuple(r) for r in crawl_files.search_results(spark.createDataFrame([("q", page)], "query string, html string")).collect()] == [("q", 1, "https://a.example/1", "One b"), ("q", 2, "https://b.example/2", "Two")]
