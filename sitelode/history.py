@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import findings, html
+from .plans.scratch import cut
 from .registry import query, table, texts
 
 
@@ -61,9 +62,11 @@ def crawl_diff_counts(spark, sf_dir):
 def monitor_alerts(spark, sf_dir, urls=3):
     """Changes by kind with a severity and the first few URLs."""
     severity = F.when(F.col("change") == "removed", "critical").when(F.col("change").isin("title", "content"), "warning").otherwise("info")
-    from_top = Window.partitionBy("change").orderBy("url")
-    rows = crawl_diff(spark, sf_dir).withColumn("k", F.row_number().over(from_top))
-    return rows.groupBy("change").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("k") <= urls, F.col("url")))), " ").alias("urls")).withColumn("severity", severity)
+    told = cut(crawl_diff(spark, sf_dir))
+    # only the first few URLs of each task and kind reach the window
+    first = told.withColumn("k", F.row_number().over(Window.partitionBy("change").orderBy("url"))).where(F.col("k") <= urls)
+    first = first.groupBy("change").agg(F.array_join(F.array_sort(F.collect_list("url")), " ").alias("urls"))
+    return told.groupBy("change").agg(F.count("*").alias("n")).join(first, "change").select("change", "n", "urls", severity.alias("severity"))
 
 
 _CWV = """v AS (SELECT page_id, 1000 + page_id * 7 % 4000 AS lcp, page_id * 3 % 600 AS inp, page_id % 40 / 100.0 AS cls FROM pages), w AS (SELECT page_id, CAST(lcp AS DOUBLE) AS lcp, CAST(inp AS DOUBLE) AS inp, CAST(cls AS DOUBLE) AS cls FROM v),

@@ -47,17 +47,20 @@ def near_duplicates(rows: DataFrame, threshold: float = NEAR) -> DataFrame:
 
     ``rows``: id, words. Pairs come from equi-joins on words. If no word of a repeats, a and b each share
     more than threshold**2 of their words, so both offer only as many of their rarest words as may be
-    missing from the other, plus one. Where words of a repeat there is no such bound, and all are offered.
+    missing from the other, plus one. Where words of a repeat, b may be much shorter: what both share is then
+    still more than threshold * sqrt(len a) words of a, repeats counted, so a leaves out its most frequent words
+    as long as they are fewer, and meets all words of b.
     """
     rows = cut(rows.where(F.size("words") > 0).select("id", "words"))
     distinct = F.size(F.array_distinct("words"))
-    each = rows.select("id", (distinct - F.ceil(F.lit(threshold * threshold) * F.size("words")) + 1).alias("most"), (distinct < F.size("words")).alias("repeats"), F.explode(F.array_distinct("words")).alias("w"))
+    each = rows.select("id", (distinct - F.ceil(F.lit(threshold * threshold) * F.size("words")) + 1).alias("most"), (distinct < F.size("words")).alias("repeats"), F.sqrt(F.size("words")).alias("root"), F.explode(F.array_distinct("words")).alias("w"), "words").withColumn("m", F.size(F.filter("words", lambda x: x == F.col("w")))).drop("words")
     often = each.groupBy("w").agg(F.count("*").alias("n"))
-    ranked = cut(each.join(often, "w").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("n", "w"))))
+    ranked = cut(each.join(often, "w").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("n", "w"))).withColumn("left_out", F.sum("m").over(Window.partitionBy("id").orderBy(F.desc("n"), F.desc("w")).rowsBetween(Window.unboundedPreceding, 0))))
     side = lambda df, c: df.select(F.col("id").alias(c), "w")
     rare = ranked.where("k <= greatest(most, 1)")
     plain = side(rare.where("NOT repeats"), "a").join(side(rare, "b"), "w")
-    pairs = plain.unionByName(side(ranked.where("repeats"), "a").join(side(ranked, "b"), "w")).where("a < b").select("a", "b").distinct()
+    heavy = ranked.where(F.col("repeats") & (F.col("left_out") > F.lit(threshold) * F.col("root")))
+    pairs = plain.unionByName(side(heavy, "a").join(side(ranked, "b"), "w")).where("a < b").select("a", "b").distinct()
     words = lambda c: rows.select(F.col("id").alias(c), F.col("words").alias(f"w{c}"))
     score = F.size(F.filter("wa", lambda x: F.array_contains(F.col("wb"), x))) / F.sqrt(F.size("wa") * F.size("wb"))
     return pairs.join(words("a"), "a").join(words("b"), "b").select("a", "b", F.round(score, 6).alias("similarity"), score.alias("raw")).where(F.col("raw") > threshold).drop("raw")
@@ -168,16 +171,25 @@ def apex(host):
 _APEX = "regexp_replace({}, '^www\\.', '')"
 
 
+def mixed_hosts(links) -> DataFrame:
+    """page_id, base of pages whose links (page_id, source_url, target_url) go to their site both with and without www (their own host counts)."""
+    h = links.select("page_id", urls.host(F.col("source_url")).alias("own"), urls.host(F.col("target_url")).alias("linked")).withColumn("base", apex(F.col("own")))
+    forms = h.select("page_id", "base", F.explode(F.array("own", "linked")).alias("form")).where(apex(F.col("form")) == F.col("base"))
+    both = forms.groupBy("page_id", "base").agg(F.bool_or(F.col("form") == F.col("base")).alias("plain"), F.bool_or(F.col("form") == F.concat(F.lit("www."), F.col("base"))).alias("www"))
+    return both.where("plain AND www").select("page_id", "base")
+
+
 @query(
     "www_apex_mix",
-    f"{_PF}, h AS (SELECT page_id, {_APEX.format(html._host('source_url'))} AS base, {html._host('source_url')} AS own, {html._host('target_url')} AS linked FROM links), f AS (SELECT page_id, base, own AS form FROM h UNION SELECT page_id, base, linked FROM h WHERE {_APEX.format('linked')} = base) SELECT page_id, base FROM f GROUP BY page_id, base HAVING bool_or(form = base) AND bool_or(form = 'www.' || base)",
+    f"""{_PF}, h AS (SELECT page_id, {_APEX.format(html._host('source_url'))} AS base, {html._host('source_url')} AS own, {html._host('target_url')} AS linked FROM links
+      UNION ALL SELECT page_id, {_APEX.format('host')}, host, CASE WHEN page_id % 2 = 0 THEN 'www.' ELSE '' END || {_APEX.format('host')} FROM pf WHERE page_id % 5 = 0),
+    f AS (SELECT page_id, base, own AS form FROM h UNION SELECT page_id, base, linked FROM h WHERE {_APEX.format('linked')} = base) SELECT page_id, base FROM f GROUP BY page_id, base HAVING bool_or(form = base) AND bool_or(form = 'www.' || base)""",
 )
 def www_apex_mix(spark, sf_dir):
-    """Pages that link to their site both with and without www (their own host counts)."""
-    h = graph.of(spark, sf_dir).select("page_id", urls.host(F.col("source_url")).alias("own"), urls.host(F.col("target_url")).alias("linked")).withColumn("base", apex(F.col("own")))
-    forms = h.select("page_id", "base", F.explode(F.array("own", "linked")).alias("form")).where(apex(F.col("form")) == F.col("base"))
-    both = forms.groupBy("page_id", "base").agg(F.bool_or(F.col("form") == F.col("base")).alias("plain"), F.bool_or(F.col("form") == F.concat(F.lit("www."), F.col("base"))).alias("www"))
-    return both.where("plain AND www").select("page_id", "base")
+    """Pages that link to their site in both forms. Every fifth page gets a link to its site, with or without www, as none has such."""
+    base = apex(urls.host(F.col("url")))
+    added = table(spark, sf_dir, "pages").where("page_id % 5 = 0").select("page_id", F.col("url").alias("source_url"), F.concat(F.lit("https://"), F.when(F.col("page_id") % 2 == 0, "www.").otherwise(""), base, F.lit("/home")).alias("target_url"))
+    return mixed_hosts(graph.of(spark, sf_dir).select("page_id", "source_url", "target_url").unionByName(added))
 
 
 @query(

@@ -111,11 +111,13 @@ def heading_keywords(spark, sf_dir, most=10):
     return words.groupBy(F.lower("w").alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
 
 
-@query("order_breaks", "SELECT user_id, count(*) AS breaks FROM (SELECT user_id, ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events) WHERE b GROUP BY user_id")
+@query("order_breaks", "WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 3 THEN ts - INTERVAL 1 DAY ELSE ts END AS ts FROM events) SELECT user_id, count(*) AS breaks FROM (SELECT user_id, ts < lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM e) WHERE b GROUP BY user_id")
 def order_breaks(spark, sf_dir):
-    """Where events of a user are not in order of time."""
+    """How often events of a user are not in order of time, with one clock in seven a day behind."""
+    late = F.when(F.col("event_id") % 7 == 3, F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", late.alias("ts"))
     back = F.col("ts") < F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("user_id", back.alias("b")).where("b").groupBy("user_id").agg(F.count("*").alias("breaks"))
+    return events.select("user_id", back.alias("b")).where("b").groupBy("user_id").agg(F.count("*").alias("breaks"))
 
 
 @query("latency_percentiles", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")

@@ -251,10 +251,14 @@ def soft_404_pages(spark, sf_dir):
     return texts(spark, sf_dir, "pages").select("page_id", soft_404(F.coalesce("html", F.lit(""))).alias("soft_404"))
 
 
-@query("soft_404_documents", f"SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), {_GONE})")
+_NOTICES = ["", " Page NOT found", " It has been removed.", " 404", " Error 404"]
+
+
+@query("soft_404_documents", f"SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), {_GONE}) OR doc_id % 5 IN (1, 2, 4)")
 def soft_404_documents(spark, sf_dir):
-    """The same test on plain texts."""
-    return texts(spark, sf_dir, "documents").where(soft_404(F.coalesce("text", F.lit("")))).select("doc_id")
+    """The same test on plain texts, with a notice put at the end by the document's number, as none has one."""
+    notice = F.element_at(F.array(*[F.lit(x) for x in _NOTICES]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return texts(spark, sf_dir, "documents").where(soft_404(F.concat(F.coalesce("text", F.lit("")), notice))).select("doc_id")
 
 
 def people(text: Column) -> Column:
