@@ -177,7 +177,7 @@ def form_controls(planted: DataFrame) -> DataFrame:
     nodes = F.col("nodes")
     node = lambda i: F.get(nodes, i)
     inside = lambda i, css: F.filter(dom.select(css), lambda x: (x > i) & (x <= node(i)["last"]))
-    forms = planted.select("page_id", "nodes", F.posexplode(dom.select("form")).alias("form", "f"))
+    forms = planted.select("page_id", "nodes", "index", F.posexplode(dom.select("form")).alias("form", "f"))
     f = F.col("f")
     forms = forms.select(
         "*",
