@@ -32,6 +32,8 @@ COVERAGE = 0.6
 SIEVE_BITS = 27
 _BLOCK = 4096
 _CHUNK = 1 << 20
+#: Bytes of a found document's row in memory, at most.
+_FOUND_BYTES = 128
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -245,9 +247,9 @@ def pairs_of(sifted: DataFrame, items: DataFrame, report: float) -> DataFrame:
     """k1, k2 and n of the documents and items that may share ``report`` of an item."""
     docs = sifted.select("k1", "k2", F.explode("seeds").alias("seed"))
     counts = docs.groupBy("seed").agg(F.count(F.lit(1)).alias("docs"))
-    known = items.select("n", F.explode(F.array_distinct("seeds")).alias("seed")).join(counts, "seed").groupBy("n").agg(F.collect_list(F.struct("seed", "docs")).alias("counts"))
+    known = items.select("n", F.explode(F.array_distinct("seeds")).alias("seed")).join(counts.hint("merge"), "seed").groupBy("n").agg(F.collect_list(F.struct("seed", "docs")).alias("counts"))
     sown = items.select("n", "seeds").join(known, "n").mapInArrow(_sown(report, LEAST), "n long, seed long")
-    return docs.join(sown, "seed").select("k1", "k2", "n").distinct()
+    return docs.join(sown.hint("merge"), "seed").select("k1", "k2", "n").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, threshold: float = COVERAGE, report: float | None = None) -> DataFrame:
@@ -265,8 +267,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
 
     Documents are known by hashes of doc_id and text, 128 bits together; rows that repeat both get one
     answer. Pairs of documents and items meet by an equi-join on seeds and are told apart before any
-    words are sent to them. Found documents join back by their hashes: Spark broadcasts that table only
-    if it is small.
+    words are sent to them. Found documents join back by their hashes; they are broadcast only if, counted,
+    they fit Spark's bound for that.
     """
     keep = keep or ["doc_id"]
     report = threshold if report is None else min(report, threshold)
@@ -283,13 +285,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], known[0].alias("k1"), known[1].alias("k2"))
     sifted = materialize(docs.select(known[0].alias("k1"), known[1].alias("k2"), F.col("text").alias("x")).mapInArrow(_sifted(shared, LEAST), "k1 long, k2 long, words binary, seeds array<long>").dropDuplicates(["k1", "k2"]), "sifted")
     pairs = pairs_of(sifted, items, report)
-    met = pairs.join(items.select("item", "n", F.col("words").alias("item_words")), "n").join(sifted.drop("seeds"), ["k1", "k2"])
+    # written tables are far larger than their compressed files, by which Spark would judge what to broadcast
+    met = pairs.join(items.select("item", "n", F.col("words").alias("item_words")).hint("merge"), "n").join(sifted.drop("seeds").hint("merge"), ["k1", "k2"])
     tiled = met.select("k1", "k2", "item", "item_words", "words").mapInArrow(_tiled(LEAST), "k1 long, k2 long, item long, coverage double, tiles int").where((F.col("coverage") > 0) & (F.col("coverage") >= report))
     best = F.max(F.struct("coverage", (-F.col("item")).alias("i"), "tiles")).alias("best")
     each = tiled.groupBy("k1", "k2", "item").agg(F.max(F.struct("coverage", (-F.col("tiles")).alias("t"))).alias("top")).select("k1", "k2", "item", "top.coverage", (-F.col("top.t")).alias("tiles"))
     found = materialize(each.groupBy("k1", "k2").agg(best, F.count_if(F.col("coverage") >= threshold).alias("items")), "found")
     drop_scratch(items)
     drop_scratch(sifted)
+    most = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.autoBroadcastJoinThreshold")))
+    found = found.hint("broadcast" if found.count() * _FOUND_BYTES <= most else "merge")
     return rows.join(found, ["k1", "k2"], "left").select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)],
         F.coalesce(F.col("best.coverage") >= threshold, F.lit(False)).alias("contaminated"),
