@@ -44,8 +44,15 @@ class WordWindows(Method):
         mark[1:][at[shared]] = 1
         before = np.cumsum(mark)
         starts = np.flatnonzero((before[PERIOD : PERIOD + n] > before[:n]) & whole(w.counts, WINDOW)) if n else np.empty(0, np.int64)
-        one = grams(w.hashes, WINDOW)[starts]
-        two = grams(w.again(1), WINDOW, 0xD6E8FEB86659FD93)[starts]
+        # the words under those windows, by digests that nobody can make clash
+        edge = np.zeros(len(w.hashes) + WINDOW + 1, np.int64)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + WINDOW, -1)
+        under = np.flatnonzero(np.cumsum(edge)[: len(w.hashes)])
+        words = np.zeros((2, len(w.hashes)), np.uint64)
+        words[:, under] = w.digests(under).T
+        one = grams(words[0], WINDOW)[starts]
+        two = grams(words[1], WINDOW, 0xD6E8FEB86659FD93)[starts]
         ids = pack.ids[doc[starts]]
         order = np.lexsort((ids, two, one))
         a, b, c = one[order], two[order], ids[order]
@@ -103,8 +110,8 @@ def dedup_substrings(docs: DataFrame, keep: list[str] | None = None) -> DataFram
 
     Null text has no words; documents under 13 words keep all. A null doc_id counts as larger than
     any; rows that share an id take nothing from each other. Very long texts are packed alone. An empty
-    table gives no rows. Windows are told apart by 128 bits: two fingerprints of the words' bytes that owe
-    each other nothing.
+    table gives no rows. Words are told apart by 128-bit digests of their bytes, windows by two numbers of 64
+    bits, each made of one half of those digests.
     """
     return exchange(docs, WordWindows(), keep or ["doc_id"], [("n_words", "long"), ("n_removed", "long"), ("kept_text", "string")])
 
