@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import html
 from .functions import urls
-from .plans.scratch import cut
+from .plans.scratch import cut, dropped, written
 from .registry import query, table, texts
 
 DAMPING, ROUNDS = 0.85, 20
@@ -38,25 +38,23 @@ def vertices(e: DataFrame) -> DataFrame:
 def pagerank(e: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """url, pagerank after a fixed number of rounds; what vertices without links hold is spread over all.
 
-    Each round is one join on the source (edges stay partitioned by it) and one sum by target; the number
-    of vertices and the mass without links are single numbers.
+    Each round is one join on the source and one sum by target, in which every vertex takes part with nothing; it
+    is written, and the mass of vertices without links, a single number, is read from what was written.
     """
-    e = cut(e.join(e.groupBy("src").agg(F.count("*").alias("degree")), "src"))
-    v = cut(vertices(e).join(e.select("src").distinct().withColumnRenamed("src", "url").withColumn("links", F.lit(True)), "url", "left"))
+    e = written(e.join(e.groupBy("src").agg(F.count("*").alias("degree")), "src"))
+    ends = e.select(F.explode(F.array(F.struct(F.col("src").alias("url"), F.lit(True).alias("links")), F.struct(F.col("dst").alias("url"), F.lit(False).alias("links")))).alias("v"))
+    v = written(ends.groupBy("v.url").agg(F.max("v.links").alias("links")))
     n = v.count()
     if not n:
         return v.select("url", F.lit(0.0).alias("pagerank"))
     ranks = v.withColumn("pagerank", F.lit(1.0 / n))
-    for k in range(rounds):
-        dangling = ranks.where("links IS NULL").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("mass"))
-        into = e.join(ranks.select(F.col("url").alias("src"), "pagerank"), "src").groupBy("dst").agg(F.sum(F.col("pagerank") / F.col("degree")).alias("got"))
-        ranks = (
-            v.join(into, F.col("url") == F.col("dst"), "left")
-            .crossJoin(F.broadcast(dangling))
-            .select("url", "links", (F.lit((1 - damping) / n) + F.col("mass") * F.lit(damping / n) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("pagerank"))
-        )
-        if (k + 1) % CUT_EVERY == 0:
-            ranks = cut(ranks)
+    still = v.select("url", "links", F.lit(0.0).alias("got"))
+    for _ in range(rounds):
+        mass = ranks.where("NOT links").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0))).first()[0]
+        given = e.join(ranks.select(F.col("url").alias("src"), "pagerank"), "src").select(F.col("dst").alias("url"), F.lit(False).alias("links"), (F.col("pagerank") / F.col("degree")).alias("got"))
+        summed = given.unionByName(still).groupBy("url").agg(F.max("links").alias("links"), F.sum("got").alias("got"))
+        before, ranks = ranks, written(summed.select("url", "links", (F.lit((1 - damping) / n + mass * damping / n) + F.lit(damping) * F.col("got")).alias("pagerank")))
+        dropped(before)
     return ranks.select("url", "pagerank")
 
 
