@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import findings, graph, html
-from .functions import scalars
 from .registry import query, table, texts
 from .rules.families import families
 

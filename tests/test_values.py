@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from sitelode import elements, findings, history, logs, search, site, store, text
+from sitelode import elements, findings, history, logs, search, site, text
 from sitelode.functions import scalars
 from sitelode.operators import frontier, sinks
 from sitelode.rules import elements as element_rules
