@@ -6,6 +6,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,11 +85,57 @@ def parity(pairs: DataFrame) -> DataFrame:
     return rows.select("page_id", F.inline(F.array_compact(F.array(*each))))
 
 
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """After each word of b a number whose bit i is 0 where a[: i + 1] shares one word more with that part of b than a[:i]."""
+    full, places = (1 << len(a)) - 1, {}
+    for i, w in enumerate(a):
+        places.setdefault(w, []).append(i)
+    bits = {w: sum(1 << i for i in at) if len(at) < 64 else int("".join("1" if x == w else "0" for x in reversed(a)), 2) for w, at in places.items()}
+    v = full
+    for w in b:
+        u = v & bits.get(w, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """How many words each start of a, from the empty one on, shares with b in order."""
+    v = (1 << len(a)) - 1
+    for v in _rows(a, b):  # noqa: B007  the last one counts
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def longest(a: list[str], b: list[str], room: int = 1 << 26) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common subsequence. Bits of a row are worked on together; beyond ``room`` bytes of rows b is halved."""
+    if not a or not b:
+        return []
+    width = len(a) // 8 + 1
+    if width * len(b) > room and len(b) > 1:
+        half = len(b) // 2
+        at = int(np.argmax(_lengths(a, b[:half]) + _lengths(a[::-1], b[half:][::-1])[::-1]))
+        return longest(a[:at], b[:half], room) + [(i + at, j + half) for i, j in longest(a[at:], b[half:], room)]
+    rows = [v.to_bytes(width, "little") for v in _rows(a, b)]
+    grows = lambda i, j: not rows[j][i >> 3] >> (i & 7) & 1
+    out, i, j = [], len(a) - 1, len(b) - 1
+    while i >= 0 and j >= 0:
+        if not grows(i, j):
+            i -= 1
+        elif j and grows(i, j - 1):
+            j -= 1
+        else:
+            out.append((i, j))
+            i, j = i - 1, j - 1
+    return out[::-1]
+
+
 def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Pairs of places of equal words, rising in both: words that both sides have once are anchors.
 
     Equal ends are paired first. Between the longest rising chain of anchors the same is done again; where there are
-    no anchors, nothing more is paired. Time is near the number of words for each level.
+    no anchors, a longest common subsequence is paired, so a text with parts taken out loses no word. Time is near the
+    number of words for each level, and the product of both lengths over the bits of a machine word without anchors.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
@@ -119,9 +166,13 @@ def aligned(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             chain.append(anchors[k])
             k = back[k]
         chain.reverse()
+        if not chain:
+            common = once_a.keys() & once_b.keys()
+            here, there = ([i for i in range(x0, x1) if x[i] in common] for x, x0, x1 in ((a, a0, a1), (b, b0, b1)))
+            out += [(here[i], there[j]) for i, j in longest([a[i] for i in here], [b[j] for j in there])]
+            continue
         for (i, j), (k, m) in zip([(a0 - 1, b0 - 1), *chain], [*chain, (a1, b1)]):
-            if chain:
-                todo.append((i + 1, k, j + 1, m))
+            todo.append((i + 1, k, j + 1, m))
         out += chain
     return sorted(out)
 

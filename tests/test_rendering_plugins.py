@@ -115,3 +115,15 @@ def test_rules_of_users(spark):
 def test_words_of_pages(spark):
     page = "<STYLE>p{}</style>Häuser, a I'm <!-- no -->x1<b>y2</b> é <script>never closed"
     assert spark.range(1).select(rendering.words(F.lit(page)).alias("w")).first().w == ["häuser", "im", "x1", "y2", "é"]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_a_text_with_parts_taken_out_loses_no_word(seed):
+    rng = random.Random(seed)
+    b = [rng.choice("abcd") for _ in range(rng.randrange(1, 120))]  # every word often: no anchors
+    a = [x for x in b if rng.random() < 0.5]
+    assert len(aligned(a, b)) == len(a) and len(aligned(b, a)) == len(a)
+    c = [rng.choice("abcde") for _ in range(60)]
+    for pairs in (rendering.longest(c, b), rendering.longest(c, b, room=40)):
+        assert len(pairs) == longest(c, b) and all(c[i] == b[j] for i, j in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
