@@ -201,15 +201,23 @@ def chunked(pages: DataFrame, size: int) -> DataFrame:
     return rows.select("page_id", "url", F.col("k").cast("long").alias("seq"), F.col("h").substr(F.col("k") * size + 1, F.lit(size)).alias("chunk"), (F.col("k") == F.col("n") - 1).alias("last"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("k").cast("decimal(18,6)"))).alias("ts"))
 
 
-def _streamed(spark: SparkSession, name: str, sources: dict[str, DataFrame], run: Callable[..., DataFrame], files: int) -> DataFrame:
-    """What ``run`` makes of ``sources``, each written to files in the shared folder and read again as a stream, a few files at a time."""
+def _streamed(spark: SparkSession, name: str, sources: dict[str, DataFrame], run: Callable[..., DataFrame], files: int, last: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What ``run`` makes of ``sources``, each written to files in the shared folder and read again as a stream, a few files at a time.
+
+    Files written together are read in any order. Rows of ``last`` come after all others: the stream stops and goes on with them.
+    """
     place = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     streams = {}
     for key, df in sources.items():
         df.write.parquet(f"{place}/{key}")
         streams[key] = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/{key}")
     out = run(**streams)
-    out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+    go_on = lambda: out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+    go_on()
+    if last:
+        for key, df in last.items():
+            df.write.mode("append").parquet(f"{place}/{key}")
+        go_on()
     return spark.read.schema(out.schema).parquet(f"{place}/out")
 
 
@@ -236,7 +244,8 @@ def changes(base: DataFrame, later: DataFrame, within: str = "1 day", lateness:
     columns = ("page_id", "title", "word_count", "html_bytes", "ts", "url")
     once = lambda d: d.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["url"])
     x, y = (once(d).select(*[F.col(c).alias(f"{side}_{c}") for c in columns]) for d, side in ((base, "x"), (later, "y")))
-    near = F.expr(f"x_url = y_url AND y_ts >= x_ts AND y_ts <= x_ts + INTERVAL {within}")
+    # in the state of a stream null meets null, so pages without a URL are kept from meeting
+    near = F.expr(f"x_url = y_url AND x_url IS NOT NULL AND y_url IS NOT NULL AND y_ts >= x_ts AND y_ts <= x_ts + INTERVAL {within}")
     j = x.join(y, near, "full_outer")
     short = {"page_id": ("p", "q"), "title": ("t1", "t2"), "word_count": ("w1", "w2"), "html_bytes": ("s1", "s2")}
     pairs = j.select(F.coalesce("x_url", "y_url").alias("url"), *[F.col(f"{side}_{c}").alias(names[k]) for c, names in short.items() for k, side in enumerate("xy")])
@@ -253,7 +262,7 @@ def monitor_stream(spark, sf_dir):
     """Two crawls as streams, the second a few hours behind; every page's changes, each told once although rows come twice."""
     first = lambda d: d.groupBy("url").agg(F.min_by(F.struct("page_id", "title", "word_count", "html_bytes"), "page_id").alias("r")).select("url", "r.*")
     base, later = (first(d).withColumn("ts", _at(F.col("page_id"), h)) for d, h in zip(history.crawls(spark, sf_dir), (0, 5)))
-    # a row from much later in each crawl lets the watermarks pass all others; it is dropped again
-    end = lambda d: spark.range(1).select(F.lit("end").alias("url"), *[F.lit(None).cast(d.schema[c].dataType).alias(c) for c in d.columns[1:-1]], F.lit("2024-03-01").cast("timestamp").alias("ts"))
-    twice = lambda d: d.unionByName(d).unionByName(end(d)).repartitionByRange(3, "ts")
-    return _streamed(spark, "monitor", {"base": twice(base), "later": twice(later)}, changes, 1).where("url <> 'end'")
+    # a row from much later lets the watermarks pass all others; of the two, the base's is the later one, so they meet nothing and stay in the state
+    end = lambda d, day: spark.range(1).select(F.lit("end").alias("url"), *[F.lit(None).cast(d.schema[c].dataType).alias(c) for c in d.columns[1:-1]], F.lit(day).cast("timestamp").alias("ts"))
+    twice = lambda d: d.unionByName(d).repartitionByRange(3, "ts")
+    return _streamed(spark, "monitor", {"base": twice(base), "later": twice(later)}, changes, 1, {"base": end(base, "2024-03-02"), "later": end(later, "2024-03-01")})

@@ -66,3 +66,13 @@ def test_chunks_spell_the_page(spark):
     df = spark.createDataFrame([(1, "u", "é" * 25), (2, "u", ""), (3, "u", None), (4, "u", "x" * 10)], "page_id long, url string, html string")
     rows = S.chunked(df, 10).groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x["chunk"]), "").alias("h"), F.count("*").alias("n"), F.count_if("last").alias("l")).collect()
     assert {r.page_id: (r.h, r.n, r.l) for r in rows} == {1: ("é" * 25, 3, 1), 2: ("", 1, 1), 3: ("", 1, 1), 4: ("x" * 10, 1, 1)}
+
+
+def test_two_crawls_as_streams_tell_what_tables_tell(spark, tmp_path):
+    from sitelode import history
+
+    url = lambda i: None if i % 29 == 1 else "end" if i == 40 else f"http://h/{i % 150}"
+    pages = [(i, url(i), f"<html><head><title>t{i}</title></head><body>some words {i}</body></html>") for i in range(200)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got, want = (sorted(map(str, q(spark, str(tmp_path)).select("url", "change").collect())) for q in (S.monitor_stream, history.crawl_diff))
+    assert got == want
