@@ -219,3 +219,20 @@ def test_near_classes_lose_no_pair_and_expand_no_copies(spark):
     assert got == pytest.approx(want) and used == set(links)
     copies = spark.createDataFrame([(i, ["same", "title"]) for i in range(500)], "id long, words array<string>")
     assert site.near_classes(copies).count() == 500
+
+
+def test_cooccurrence_counted_in_pieces_is_the_same(spark):
+    docs = spark.createDataFrame([(i, f"apple pear{i % 3} plum apple Ünï-{i % 2}") for i in range(40)] + [(50, None), (51, "one")], "doc_id long, text string").repartition(3)
+    whole, pieces = (sorted(map(tuple, text.cooccurring(docs, held=h).collect())) for h in (text.HELD, 1))
+    assert whole == pieces and ("apple", "apple", 40) in whole and ("apple", "plum", 80) in whole
+    plan = text.cooccurring(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan  # pairs are counted before they are rows
+
+
+def test_terms_are_shuffled_as_documents(spark, tmp_path):
+    docs = [(1, "pear pear plum"), (1, "plum fig2 fig2"), (1, "pear"), (2, None), (3, "pear"), (None, "plum"), (None, "plum")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    terms = text._terms(spark, str(tmp_path))
+    want = {(1, "pear", 3, 2), (1, "plum", 3, 2), (1, "fig2", 3, 2), (1, "pear", 1, 1), (3, "pear", 1, 1), (None, "plum", 1, 2)}
+    assert sorted(map(str, map(tuple, terms.collect()))) == sorted(map(str, want))
+    assert "HashAggregate" not in terms._jdf.queryExecution().executedPlan().toString()
