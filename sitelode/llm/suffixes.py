@@ -89,17 +89,19 @@ class _Sorter:
         bytes_used = np.flatnonzero(np.bincount(body, minlength=256))
         self.bits = max(1, int(len(bytes_used)).bit_length())
         self.chars = min(63 // self.bits, WINDOW)
-        lut = np.zeros(256, np.uint64)
+        lut = np.zeros(256, np.uint16)
         lut[bytes_used] = np.arange(1, len(bytes_used) + 1)
         # zeros behind each unit, so that a key never reads into the next
         pad = self.chars
         self.first = np.concatenate([[0], np.cumsum(lengths + pad)])[:-1]
-        code = np.zeros(int((lengths + pad).sum()), np.uint64)
+        code = np.zeros(int((lengths + pad).sum()), np.uint16)
+        #: places fit into half the bytes unless there are very many
+        self.index = np.int32 if len(code) < np.iinfo(np.int32).max else np.int64
         code[runs(self.first, lengths)] = lut[body]
         self.code, self.sizes, self.last = code, sizes, self.first + lengths - 1
         self.top = len(bytes_used)
         # end of the unit, exclusive, at each place
-        self.end = np.repeat(self.last + 1, lengths + pad)
+        self.end = np.repeat((self.last + 1).astype(self.index), lengths + pad)
         self.key = self._keys()
 
     def _keys(self) -> np.ndarray:
@@ -107,44 +109,61 @@ class _Sorter:
         b, n = self.bits, len(self.code)
         width, built = 1, {1: self.code}
         while width * 2 <= self.chars:
-            k = built[width]
-            nxt = np.zeros(n, np.uint64)
-            nxt[: n - width] = k[width:]
-            built[width * 2] = (k << np.uint64(b * width)) | nxt
+            kind = next(t for t in (np.uint16, np.uint32, np.uint64) if 2 * width * b <= 8 * t().itemsize)
+            k = built[width].astype(kind)
+            k <<= kind(b * width)
+            k[: n - width] |= built[width][width:]
+            built[width * 2] = k
             width *= 2
-        out, have = np.zeros(n, np.uint64), 0
+        out, have = np.zeros(n + WINDOW, np.uint64), 0  # zeros for places past the end
         for w in sorted(built, reverse=True):
             if self.chars - have >= w:
-                k = np.zeros(n, np.uint64)
-                k[: n - have] = built[w][have:]
-                out = (out << np.uint64(b * w)) | k
+                out <<= np.uint64(b * w)
+                out[: n - have] |= built[w][have:]
                 have += w
         return out
 
     def at(self, place: np.ndarray, offset: int) -> np.ndarray:
-        p = place + offset
-        inside = p < self.end[place]
-        return np.where(inside, self.key[np.minimum(p, len(self.key) - 1)], np.uint64(0))
+        return np.where(place + offset < self.end[place], self.key[place + offset], np.uint64(0))
+
+    def _agreed(self, x: np.ndarray, offset: int) -> np.ndarray:
+        """How many symbols agree where keys at ``offset``, those before being equal, differ in the bits ``x``."""
+        # symbols before the highest bit that differs
+        high = np.where(x >> np.uint64(32), np.frexp((x >> np.uint64(32)).astype(np.float64))[1] + 32, np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
+        return np.minimum(offset + self.chars - 1 - (high - 1) // self.bits, WINDOW)
 
     def common_prefix(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many of the places' next WINDOW symbols agree, up to the first that does not."""
-        out = np.zeros(len(a), np.int64)
+        out = np.full(len(a), WINDOW)
         live = np.arange(len(a))
+        rest_a, rest_b = self.end[a] - a, self.end[b] - b
         for offset in range(0, WINDOW, self.chars):
-            x = self.at(a[live], offset) ^ self.at(b[live], offset)
-            # symbols before the highest bit that differs
-            high = np.where(x >> np.uint64(32), np.frexp((x >> np.uint64(32)).astype(np.float64))[1] + 32, np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
-            out[live] += np.where(x == 0, self.chars, self.chars - 1 - (high - 1) // self.bits)
-            live = live[x == 0]
-        return np.minimum(out, WINDOW)
+            x = np.where(offset < rest_a, self.key[a + offset], np.uint64(0)) ^ np.where(offset < rest_b, self.key[b + offset], np.uint64(0))
+            differ = np.flatnonzero(x)
+            if len(differ):
+                out[live[differ]] = self._agreed(x[differ], offset)
+                on = np.flatnonzero(x == 0)
+                live, a, b, rest_a, rest_b = live[on], a[on], b[on], rest_a[on], rest_b[on]
+        return out
+
+    def neighbours(self, order: np.ndarray) -> np.ndarray:
+        """``common_prefix`` of each but the first of ``order`` with the one before it. All start windows, so no key is past its unit."""
+        out = np.full(max(len(order) - 1, 0), WINDOW)
+        for offset in range(0, WINDOW, self.chars):
+            k = self.key[order + offset]
+            x = k[1:] ^ k[:-1]
+            differ = np.flatnonzero((x != 0) & (out == WINDOW))
+            out[differ] = self._agreed(x[differ], offset)
+        return out
 
     def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return self.common_prefix(a, b) == WINDOW
 
     def direct(self, places: np.ndarray) -> np.ndarray:
         """``places`` in the order of their next WINDOW symbols."""
-        order = places[np.argsort(self.key[places], kind="stable")]
-        k = self.key[order]
+        k = self.key[places]
+        by = np.argsort(k)
+        order, k = places[by], k[by]
         tie = np.zeros(len(order), bool)
         tie[1:] = k[1:] == k[:-1]
         offset = self.chars
@@ -171,30 +190,30 @@ class _Sorter:
     def suffixes(self) -> np.ndarray:
         """Starts of windows, sorted."""
         n = len(self.code)
-        index = np.arange(n)
+        index = np.arange(n, dtype=self.index)
         breaks = np.ones(n, bool)
         breaks[:-1] = self.code[:-1] != self.code[1:]
-        stop = np.where(breaks, index, n)
+        stop = np.where(breaks, index, self.index(n))
         stop = np.minimum.accumulate(stop[::-1])[::-1]  # last place of the run of equal symbols
         after = np.minimum(stop + 1, n - 1)
         larger = (self.code[after] < self.code) & (after < self.end)
-        b_next = np.minimum.accumulate(np.where(~larger, index, n)[::-1])[::-1]
+        b_next = np.minimum.accumulate(np.where(larger, self.index(n), index)[::-1])[::-1]
         final = b_next[self.first + self.sizes - 1]  # type B at or after the last window; the unit's last place is one
         used = runs(self.first, final - self.first + 1)
         is_a = larger[used]
         a, b = used[is_a], self.direct(used[~is_a])
-        first_a, first_b = self.code[a].astype(np.int64), self.code[b].astype(np.int64)
+        first_a, first_b = self.code[a], self.code[b]
         n_a, n_b = np.bincount(first_a, minlength=self.top + 1), np.bincount(first_b, minlength=self.top + 1)
         start = np.concatenate([[0], np.cumsum(n_a + n_b)])
-        rank = np.zeros(n, np.int64)
+        rank = np.zeros(n, self.index)
         begin_b = np.concatenate([[0], np.cumsum(n_b)])[:-1]
-        rank[b] = start[first_b] + n_a[first_b] + np.arange(len(b)) - begin_b[first_b]
+        rank[b] = (start[:-1] + n_a - begin_b)[first_b] + np.arange(len(b))
         by_symbol = a[np.argsort(first_a, kind="stable")]
         begin_a = np.concatenate([[0], np.cumsum(n_a)])
         for c in np.flatnonzero(n_a):
             own = by_symbol[begin_a[c] : begin_a[c + 1]]
             length = stop[own] - own + 1
-            order = np.argsort((length << 40) | rank[after[own]], kind="stable")
+            order = np.argsort((length << 40) | rank[after[own]])
             rank[own[order]] = start[c] + np.arange(len(own))
         out = np.empty(len(used), np.int64)
         out[rank[used]] = used
@@ -210,7 +229,7 @@ def covered(docs: np.ndarray, sizes: np.ndarray, body: np.ndarray) -> np.ndarray
     s = _Sorter(body, sizes)
     order = s.suffixes()
     new = np.ones(len(order), bool)
-    new[1:] = s.common_prefix(order[1:], order[:-1]) < WINDOW
+    new[1:] = s.neighbours(order) < WINDOW
     doc = np.zeros(len(s.code), np.int64)
     windows = runs(s.first, sizes)
     doc[windows] = np.repeat(docs, sizes)

@@ -150,3 +150,16 @@ def test_common_prefixes():
         return n
 
     assert s.common_prefix(s.first[0] + a, s.first[0] + b).tolist() == [plain(i, j) for i, j in at]
+
+
+def test_neighbours_in_order_agree_as_any_two_places_do():
+    rng = random.Random(7)
+    for letters in (b"ab", b"abcdefgh \n", bytes(range(256))):
+        sizes = np.array([rng.randrange(1, 90) for _ in range(40)])
+        passage = bytes(rng.choice(letters) for _ in range(150))
+        body = b"".join((passage if rng.random() < 0.5 else bytes(rng.choice(letters) for _ in range(150)))[: n + 49] for n in sizes)
+        s = _Sorter(np.frombuffer(body, np.uint8), sizes)
+        order = s.suffixes()
+        assert len(s.key) == len(s.code) + 50 and s.code.dtype == np.uint16
+        assert s.neighbours(order).tolist() == s.common_prefix(order[1:], order[:-1]).tolist()
+        assert s.neighbours(order[:1]).tolist() == s.neighbours(order[:0]).tolist() == []
