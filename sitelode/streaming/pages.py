@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .. import history, html
 from ..functions import urls
 from ..plans.scratch import shared_folder
-from ..registry import query, table
+from ..registry import query, texts
 
 _OPENERS = re.compile(r"(?is)<!--|<(?:script|style|noscript|svg)\b")
 _NOISE = re.compile(html.NOISE)
@@ -94,6 +94,10 @@ class Scanner:
 
 _OUT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("place", T.LongType()), T.StructField("anchor", T.StringType())])
 _TEXT = T.StructType([T.StructField("tail", T.StringType()), T.StructField("clean", T.StringType()), T.StructField("next", T.LongType()), T.StructField("links", T.LongType()), T.StructField("complete", T.BooleanType()), T.StructField("url", T.StringType()), T.StructField("ends", T.StringType())])
+_HELD = T.ArrayType(T.StructType([T.StructField("seq", T.LongType()), T.StructField("chunk", T.StringType()), T.StructField("last", T.BooleanType())]))
+_PAGE = T.StructType([*_TEXT.fields, T.StructField("due", T.LongType()), T.StructField("timer", T.LongType()), T.StructField("held", _HELD), T.StructField("hrefs", T.ArrayType(T.StringType())), T.StructField("spilled", T.BooleanType())])
+#: Characters of chunks before their turn, and of addresses already given, that a page's one value may hold; more go to maps.
+_HOLD = 64 << 10
 _SEQ = T.StructType([T.StructField("seq", T.LongType())])
 _CHUNK = T.StructType([T.StructField("chunk", T.StringType()), T.StructField("last", T.BooleanType())])
 _KEY = T.StructType([T.StructField("href", T.StringType())])
@@ -108,22 +112,49 @@ class Pages(StatefulProcessor):
     of event time, so the page was read as far as it had come. A chunk that comes twice, or after the end, is ignored.
     """
 
-    def __init__(self, patience: int = 600_000) -> None:
-        self.patience = patience
+    def __init__(self, patience: int = 600_000, hold: int = _HOLD) -> None:
+        self.patience, self.hold = patience, hold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.text = handle.getValueState("text", _TEXT)
+        # a call for each piece of state costs more than the work on it, so a page is one value unless it holds much
+        self.page = handle.getValueState("page", _PAGE)
         self.early = handle.getMapState("early", _SEQ, _CHUNK)
         self.seen = handle.getMapState("seen", _KEY, _SEEN)
 
+    def _state(self) -> dict:
+        old = self.page.get()
+        if old is None:
+            return {"tail": "", "clean": "", "next": 0, "links": 0, "complete": False, "url": None, "ends": "", "due": 0, "timer": 0, "held": {}, "hrefs": set(), "spilled": False}
+        state = dict(zip(_PAGE.names, old))
+        return state | {"held": {seq: (chunk, last) for seq, chunk, last in state["held"]}, "hrefs": set(state["hrefs"])}
+
+    def _remember(self, state: dict) -> None:
+        if sum(len(c) for c, _ in state["held"].values()) + sum(map(len, state["hrefs"])) > self.hold:
+            for seq, chunk in state["held"].items():
+                self.early.updateValue((seq,), chunk)
+            for href in state["hrefs"]:
+                self.seen.updateValue((href,), (0,))
+            state |= {"held": {}, "hrefs": set(), "spilled": True}
+        state = state | {"held": [(seq, chunk, last) for seq, (chunk, last) in state["held"].items()], "hrefs": list(state["hrefs"])}
+        self.page.update(tuple(state[k] for k in _PAGE.names))
+
+    def _taken(self, state: dict) -> tuple[str, bool] | None:
+        """The chunk whose turn it is, if it is there."""
+        key = (state["next"],)
+        found = state["held"].pop(state["next"], None)
+        if state["spilled"] and self.early.containsKey(key):
+            found = found or self.early.getValue(key)
+            self.early.removeKey(key)
+        return found
+
     def _read(self, key: int, state: dict, chunk: str, last: bool) -> Iterator[Row]:
         scanner = Scanner(state["tail"], state["clean"])
         complete = any(x in state["ends"] + chunk for x in ("</html>", "</body>"))
         for anchor in scanner.feed(chunk, last):
             href = _HREF.match(anchor)[1].strip(" ")
-            if not self.seen.containsKey((href,)):
-                self.seen.updateValue((href,), (state["links"],))
+            if href not in state["hrefs"] and not (state["spilled"] and self.seen.containsKey((href,))):
+                state["hrefs"].add(href)
                 yield Row(page_id=key, url=state["url"], kind="link", place=state["links"], anchor=anchor)
                 state["links"] += 1
         state["tail"], state["clean"], state["ends"] = scanner.tail, scanner.clean, (state["ends"] + chunk)[-8:]
@@ -133,42 +164,47 @@ class Pages(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         (page,) = key
-        old = self.text.get() if self.text.exists() else None
-        state = dict(zip(_TEXT.names, old)) if old else {"tail": "", "clean": "", "next": 0, "links": 0, "complete": False, "url": None, "ends": ""}
+        state = self._state()
         for r in rows:
             state["url"] = state["url"] or r.url
             if state["next"] >= 0 and r.seq >= state["next"]:
-                self.early.updateValue((r.seq,), (r.chunk or "", bool(r.last)))
-        while state["next"] >= 0 and self.early.containsKey((state["next"],)):
-            chunk, last = self.early.getValue((state["next"],))
-            self.early.removeKey((state["next"],))
+                state["held"][r.seq] = (r.chunk or "", bool(r.last))
+        while state["next"] >= 0 and (found := self._taken(state)):
             state["next"] += 1
-            yield from self._read(page, state, chunk, last)
-            if last:
+            yield from self._read(page, state, *found)
+            if found[1]:
                 yield from self._end(page, state, "done")
-        self._remember(state)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
         if state["next"] >= 0:
-            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.patience)
+            # the first batch has no watermark yet: patience begins with the first there is
+            now = timerValues.getCurrentWatermarkInMs()
+            state["due"] = now + self.patience if now > 0 else 0
+            # a timer that is set already stays, and is set anew when it rings too early
+            if not state["timer"]:
+                state["timer"] = now + self.patience
+                self.handle.registerTimer(state["timer"])
+        elif state["timer"]:
+            self.handle.deleteTimer(state["timer"])
+            state["timer"] = 0
+        self._remember(state)
 
     def _end(self, page: int, state: dict, kind: str) -> Iterator[Row]:
         yield Row(page_id=page, url=state["url"], kind=kind, place=state["links"], anchor=None)
-        for k in list(self.early.keys()):
-            self.early.removeKey(k)
-        self.seen.clear()
-        state |= {"tail": "", "clean": "", "next": -1}  # an ended page is a number to remember
-
-    def _remember(self, state: dict) -> None:
-        self.text.update(tuple(state[k] for k in _TEXT.names))
+        if state["spilled"]:
+            self.early.clear()
+            self.seen.clear()
+        state |= {"tail": "", "clean": "", "next": -1, "held": {}, "hrefs": set(), "spilled": False}  # an ended page is a number to remember
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         (page,) = key
-        state = dict(zip(_TEXT.names, self.text.get()))
-        if state["next"] >= 0:
+        state = self._state()
+        state["timer"], now = 0, timerValues.getCurrentWatermarkInMs()
+        if state["next"] >= 0 and not 0 < state["due"] <= now:
+            state["due"] = state["timer"] = state["due"] or now + self.patience
+            self.handle.registerTimer(state["timer"])
+        elif state["next"] >= 0:
             yield from self._read(page, state, "", True)
             yield from self._end(page, state, "expired")
-            self._remember(state)
+        self._remember(state)
 
     def close(self) -> None:
         pass
@@ -194,11 +230,11 @@ def links(found: DataFrame) -> DataFrame:
 
 
 def chunked(pages: DataFrame, size: int) -> DataFrame:
-    """Pages cut into chunks of ``size`` characters: page_id, url, seq, chunk, last, ts."""
+    """Pages cut into chunks of ``size`` characters: page_id, url, seq, chunk, last, ts. The chunks of each page, however many, come within a minute, so none is late."""
     page = F.coalesce("html", F.lit(""))
     n = F.greatest(F.ceil(F.length(page) / F.lit(size)), F.lit(1)).cast("int")
     rows = pages.select("page_id", "url", page.alias("h"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
-    return rows.select("page_id", "url", F.col("k").cast("long").alias("seq"), F.col("h").substr(F.col("k") * size + 1, F.lit(size)).alias("chunk"), (F.col("k") == F.col("n") - 1).alias("last"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("k").cast("decimal(18,6)"))).alias("ts"))
+    return rows.select("page_id", "url", F.col("k").cast("long").alias("seq"), F.col("h").substr(F.col("k") * size + 1, F.lit(size)).alias("chunk"), (F.col("k") == F.col("n") - 1).alias("last"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=(F.col("k") * 60 / F.col("n")).cast("decimal(18,6)"))).alias("ts"))
 
 
 def _streamed(spark: SparkSession, name: str, sources: dict[str, DataFrame], run: Callable[..., DataFrame], files: int, last: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -231,8 +267,10 @@ def _streamed(spark: SparkSession, name: str, sources: dict[str, DataFrame], run
 )
 def links_incremental(spark, sf_dir):
     """Links of every page, each when it is first seen, from chunks of 400 characters that arrive out of order over several batches."""
-    chunks = chunked(table(spark, sf_dir, "pages"), 400).repartition(4, "seq")  # a page's chunks in different files
-    return _streamed(spark, "chunks", {"chunks": chunks}, lambda chunks: links(events(chunks)), 1)
+    # four batches of as many files as there are cores; a page's chunks go to different ones
+    cores = max(spark.sparkContext.defaultParallelism, 1)
+    chunks = chunked(texts(spark, sf_dir, "pages"), 400).repartition(4 * cores, "page_id", "seq")
+    return _streamed(spark, "chunks", {"chunks": chunks}, lambda chunks: links(events(chunks)), cores)
 
 
 def changes(base: DataFrame, later: DataFrame, within: str = "1 day", lateness: str = "1 hour") -> DataFrame:
