@@ -63,18 +63,30 @@ _INPUT = r"<(?:input|select|textarea)\b[^>]*>"
 _QUIET = r"\btype\s*=\s*[\"'](hidden|submit|button|image|reset)[\"']"
 
 
-def facts(d: Dialect) -> dict[str, str]:
-    """Columns over ``c`` (the page without comments and scripts), ``s`` (with scripts) and ``url``, ``title``, ``description``, ``canonical``."""
-    images, tables = d.all("c", r"<img\b[^>]*>"), d.all("c", r"<table\b.*?</table\s*>")
-    forms = d.all("c", r"<form\b.*?</form\s*>")
-    inputs = d.all(d.joined(forms), _INPUT)
+def tags(d: Dialect) -> dict[str, str]:
+    """Lists of tags that several columns of ``facts`` read, over ``c`` and ``s``, and the texts of forms and labels as one."""
+    forms = d.joined(d.all("c", r"<form\b.*?</form\s*>"))
+    return {
+        "image_tags": d.all("c", r"<img\b[^>]*>"),
+        "table_texts": d.all("c", r"<table\b.*?</table\s*>"),
+        "form_texts": d.all("c", r"<form\b.*?</form\s*>"),
+        "input_tags": d.all(forms, _INPUT),
+        "script_tags": d.all("s", r"<script\b[^>]*>"),
+        "sheet_tags": d.all("c", r"<link\b[^>]*\brel\s*=\s*[\"']stylesheet[\"'][^>]*>"),
+        "lang_tags": d.all("c", r"<link\b[^>]*\bhreflang\s*=\s*[\"'][^\"']*[\"'][^>]*>"),
+    }
+
+
+def facts(d: Dialect, found: dict[str, str] | None = None) -> dict[str, str]:
+    """Columns over ``c`` (the page without comments and scripts), ``s`` (with scripts), ``url``, ``title``, ``description``, ``canonical`` and ``found``: what stands for each of ``tags``."""
+    found = found or tags(d)
+    images, tables, forms, inputs, scripts, sheets = (found[k] for k in ("image_tags", "table_texts", "form_texts", "input_tags", "script_tags", "sheet_tags"))
     targets = d.map(d.all(d.joined(forms), r"<label\b[^>]*>"), lambda x: d.first(x, attr("for")))
     wrapped = d.all(d.joined(d.all(d.joined(forms), r"<label\b.*?</label\s*>")), _INPUT)
     named = lambda x: f"({d.has(x, r'\baria-label(ledby)?\s*=')} OR ({d.first(x, attr('id'))} <> '' AND {d.holds('label_targets', d.first(x, attr('id')))}) OR {d.holds('wrapped_inputs', x)})"
-    scripts, sheets = d.all("s", r"<script\b[^>]*>"), d.all("c", r"<link\b[^>]*\brel\s*=\s*[\"']stylesheet[\"'][^>]*>")
     external = lambda x: f"({d.has(x, attr('src'))})"
-    langs = d.map(d.all("c", r"<link\b[^>]*\bhreflang\s*=\s*[\"'][^\"']*[\"'][^>]*>"), lambda x: d.first(x, attr("hreflang")))
-    hrefs = d.map(d.all("c", r"<link\b[^>]*\bhreflang\s*=\s*[\"'][^\"']*[\"'][^>]*>"), lambda x: d.first(x, attr("href")))
+    langs = d.map(found["lang_tags"], lambda x: d.first(x, attr("hreflang")))
+    hrefs = d.map(found["lang_tags"], lambda x: d.first(x, attr("href")))
     meta = lambda key: d.first(d.first("c", rf"<meta\b[^>]*\b(?:property|name)\s*=\s*[\"']{key}[\"'][^>]*>", 0), attr("content"))
     n = lambda items, f=None: d.size(d.keep(items, f) if f else items)
     generic = r"^(image|photo|picture|img|icon|logo|graphic|untitled)$"
@@ -156,9 +168,12 @@ def enriched(pages: DataFrame) -> DataFrame:
 def element_facts(pages: DataFrame) -> DataFrame:
     """page_id, url, title, description, canonical and the columns of ``facts``."""
     parsed = html.parse(pages).select("page_id", "url", "title", "description", "canonical", F.col("clean").alias("c"), F.regexp_replace("raw", r"(?is)<!--.*?-->", " ").alias("s"))
-    made = facts(Dialect(True))
+    # each list is found once: Spark shares nothing between the functions with lambdas that read it
+    lists = tags(Dialect(True))
+    made = facts(Dialect(True), {n: n for n in lists})
     first = ("label_targets", "wrapped_inputs")
-    rows = parsed.select("*", *[F.expr(made[n]).alias(n) for n in first])
+    rows = parsed.select("*", *[F.expr(e).alias(n) for n, e in lists.items()])
+    rows = rows.select("*", *[F.expr(made[n]).alias(n) for n in first])
     return rows.select("page_id", "url", "title", "description", "canonical", *[F.expr(e).alias(n) for n, e in made.items() if n not in first])
 
 

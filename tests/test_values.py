@@ -215,3 +215,14 @@ def test_sitemaps_and_results(spark):
     assert got == [("s1", "url", "https://a.example/1?x=1&y=2", "2024-01-02", None, 0.5), ("s1", "url", "https://a.example/2", None, "daily", None), ("s2", "sitemap", "https://a.example/s1.xml", None, None, None)]
     page = '<a class="result__a" href="//x.example/l/?uddg=https%3A%2F%2Fa.example%2F1&r=2">One <b>b</b></a><p></p><a rel="n" class="result__a" href="https://b.example/2">Two</a>'
     assert [tuple(r) for r in crawl_files.search_results(spark.createDataFrame([("q", page)], "query string, html string")).collect()] == [("q", 1, "https://a.example/1", "One b"), ("q", 2, "https://b.example/2", "Two")]
+
+
+def test_each_list_of_tags_is_found_once(spark):
+    from sitelode import elements
+
+    facts = elements.element_facts(spark.createDataFrame([(1, "http://h/", "<img src='a.webp'><form><input></form>")], "page_id long, url string, html string"))
+    most = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.debug.maxToStringFields", most)
+    assert ["regexp_extract_all(c#" in plan, *[plan.count(f"(?is){tag}\\b[^>]*>, 0)") for tag in ("<img", "<script")]] == [True, 1, 1]
